@@ -118,3 +118,102 @@ def gram_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, second:
     if second:
         return mix(_WORD_POWERS_2.spans(mix(words ^ np.uint64(0x5851F42D4C957F2D)), starts, ends) ^ np.uint64(0x14057B7EF767814F))
     return mix(_WORD_POWERS.spans(words, starts, ends))
+
+
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each word starts there."""
+    sizes = ends - starts
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes + 1)])
+    out = np.full(at[-1] + 8, 0x20, np.uint8)
+    source = np.repeat(starts - at[:-1], sizes) if len(starts) else np.zeros(0, np.int64)
+    inside = np.ones(at[-1], dtype=bool)
+    inside[at[1:] - 1] = False
+    place = np.flatnonzero(inside)
+    out[place] = raw[place + source]
+    return out, at
+
+
+# XXH64's primes (fixed values)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _round(acc, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * _P2, 31) * _P1
+
+
+def _xxh64_block(raw: np.ndarray, lanes: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the ``size`` bytes at each position; lanes: the little-endian 8 bytes at every position."""
+    n, p = len(at), 0
+    with np.errstate(over="ignore"):
+        s = np.uint64(seed)
+        if size >= 32:
+            v = [np.full(n, x, np.uint64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+            while p + 32 <= size:
+                v = [_round(v[i], lanes[at + (p + 8 * i)]) for i in range(4)]
+                p += 32
+            h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
+            for x in v:
+                h = (h ^ _round(np.uint64(0), x)) * _P1 + _P4
+        else:
+            h = np.full(n, s + _P5, np.uint64)
+        h = h + np.uint64(size)
+        while p + 8 <= size:
+            h = _rotl(h ^ _round(np.uint64(0), lanes[at + p]), 27) * _P1 + _P4
+            p += 8
+        if p + 4 <= size:
+            h = _rotl(h ^ ((lanes[at + p] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+            p += 4
+        while p < size:
+            h = _rotl(h ^ (raw[at + p].astype(np.uint64) * _P5), 11) * _P1
+            p += 1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
+def xxh64(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each span of bytes; raw has 8 bytes more than the last end.  Spans of one size are hashed together."""
+    import xxhash
+
+    out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    lanes = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), shape=(len(raw) - 7,), strides=(1,)))
+    sizes = ends - starts
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    cuts = np.flatnonzero(np.diff(ranked)) + 1
+    whole = None
+    for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]]), strict=True):
+        at, size = order[lo:hi], int(ranked[lo])
+        if hi - lo < 24 or size > 1024:
+            whole = whole or raw.tobytes()
+            out[at] = [xxhash.xxh64_intdigest(whole[s : s + size], seed) for s in starts[at].tolist()]
+        else:
+            out[at] = _xxh64_block(raw, lanes, starts[at], size, seed)
+    return out
+
+
+_LANES = np.array([sum(1 << (8 * i) for i in range(8) if x >> i & 1) for x in range(256)], np.uint64)
+
+
+def bit_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each row of values[bounds[i]:bounds[i + 1]], how many have each of the 64 bits set."""
+    sizes = np.diff(bounds)
+    out = np.zeros((len(sizes), 64), np.int64)
+    rows = np.flatnonzero(sizes)
+    if not len(rows):
+        return out
+    pieces = (sizes[rows] + 254) // 255  # eight counters of 8 bits in a word hold 255 values
+    first = np.cumsum(pieces) - pieces
+    within = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    at = np.repeat(bounds[rows], pieces) + 255 * within
+    for byte in range(8):
+        lanes = _LANES[(values >> np.uint64(8 * byte)).astype(np.uint8)]
+        counts = np.add.reduceat(lanes, at).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        out[rows, 8 * byte : 8 * byte + 8] = np.add.reduceat(counts, first, axis=0)
+    return out

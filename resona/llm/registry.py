@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import mixing, simhash, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_simhash": simhash.op7_simhash,
 }
 ORACLE = {
     "op1_mix_sources": mixing.SQL,
