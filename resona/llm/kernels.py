@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 M64 = (1 << 64) - 1
@@ -20,7 +21,7 @@ M64 = (1 << 64) - 1
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about ``limit`` text bytes each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
     at = 0
     while at < batch.num_rows:
@@ -33,7 +34,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
 def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and its n + 1 row bounds within them; a null is an empty row."""
     if array.null_count:
-        array = pa.compute.fill_null(array, "")
+        array = pc.fill_null(array, "")
     wide = pa.types.is_large_string(array.type)
     bounds = np.frombuffer(array.buffers()[1], dtype=np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     data = array.buffers()[2]
