@@ -19,14 +19,14 @@ CHUNK = 1 << 20
 M64 = (1 << 64) - 1
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in row slices of about ``limit`` text bytes each."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` text bytes and at most ``rows`` rows each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
@@ -48,6 +48,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_LETTERS = np.full(256, 0x20, dtype=np.uint8)
+_LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
+
+
+def letters_only(raw: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, and every other ASCII byte that is no letter a space."""
+    return _LETTERS[raw]
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
