@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, simhash, toxicity, url_filter
+from . import language_id, mixing, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op9_language_id": language_id.op9_language_id,
