@@ -73,7 +73,7 @@ def _blocks(nodes: int, radius: int) -> tuple[list[int], int]:
     """The block masks, and how many blocks a key has, so that a key meets few unrelated nodes."""
     for count in range(radius + 1, 2 * radius + 1):
         width = 64 * (count - radius) // count
-        if nodes >> width <= 32:
+        if nodes >> width <= 256:
             break
     cuts = [64 * i // count for i in range(count + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)], count - radius
