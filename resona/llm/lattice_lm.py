@@ -1,8 +1,9 @@
 """Language-model scoring over the lattice of subword segmentations.
 
-The pieces are those of an existing subword vocabulary.  A piece's weight is how often it occurs
-where the vocabulary's own rule splits the training words, added to a prior that follows the
-vocabulary's scores; the end of a text is one more outcome.  A text's probability is the sum over
+The pieces are those of an existing subword vocabulary.  A piece's weight begins as how often it
+occurs where the vocabulary's own rule splits the training words, added to a prior that follows the
+vocabulary's scores; then ``ROUNDS`` rounds of expectation maximisation over all training words
+replace the counts by expected ones.  The end of a text is one more outcome.  A text's probability is the sum over
 all its segmentations into pieces.  Pieces do not cross words, so that sum is a product over words,
 and the forward recursion over a word's lattice, in logarithms, runs once for each distinct word of
 all the texts.  Any byte may also be its byte piece, so no text has probability zero.
@@ -38,6 +39,7 @@ from .frames import cut, fold, table
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Words that every task knows, and distinct words that a task holds before it passes them on.
 COMMON, HELD = 100_000, 200_000
+ROUNDS = 3
 #: All pieces' prior weight together, in pieces.
 PRIOR = 1000.0
 SPACE = "▁".encode()
@@ -95,6 +97,35 @@ class Lattice:
         return reach[n]
 
 
+    def expect(self, word: bytes, times: int, into: dict[bytes, float]) -> None:
+        """Add to each piece how often it is expected in the word, times over."""
+        text, weight, opens = SPACE + word, self.log_weight, self.opens
+        n = len(text)
+        reach, edges = [-math.inf] * (n + 1), []
+        reach[0] = 0.0
+        for i in range(n):
+            here = reach[i]
+            if here == -math.inf:
+                continue
+            j = i
+            while j < n:
+                j += 1
+                piece = text[i:j]
+                w = weight.get(piece)
+                if w is not None:
+                    a, b = here + w, reach[j]
+                    reach[j] = a if b == -math.inf else a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+                    edges.append((i, j, piece, a))
+                if piece not in opens:
+                    break
+        rest = [0.0] * (n + 1)  # share of the whole that passes a position
+        rest[n] = 1.0
+        for i, j, piece, a in reversed(edges):
+            if share := rest[j] * math.exp(a - reach[j]):
+                rest[i] += share
+                into[piece] = into.get(piece, 0.0) + times * share
+
+
 def count_words(documents: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(word, c): every distinct word of every text, with its count in the training texts."""
 
@@ -120,32 +151,49 @@ def count_words(documents: DataFrame, train: Column, text: str = "text") -> Data
     return documents.select(text, train.alias("_train")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def piece_weights(words: DataFrame, n_texts: int, vocabulary: str) -> tuple[dict[bytes, float], float]:
+def piece_weights(words: DataFrame, n_texts: int, vocabulary: str, rounds: int = ROUNDS) -> tuple[dict[bytes, float], float]:
     """Natural logarithms of the pieces' weights and of the end's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = processor(vocabulary)
-        counts = np.zeros(model.get_piece_size(), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                found = model.encode(part.column("word").to_pylist(), num_threads=1)
-                ids = np.array([i for x in found for i in x], np.int64)
-                np.add.at(counts, ids, np.repeat(part.column("c").to_numpy(), [len(x) for x in found]))
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["piece", "n"])
-
-    counts = dict(words.where("c > 0").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n")).collect())
     model, pieces = processor(vocabulary), piece_bytes(vocabulary)
     scores = {i: model.get_score(i) for i, p in enumerate(pieces) if p is not None}
     place = {i: k for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i)))}
     harmonic = sum(1 / (k + 2) for k in range(len(place)))
-    weight: dict[bytes, float] = {}
+    prior: dict[bytes, float] = {}
     for i, k in place.items():
-        weight[pieces[i]] = weight.get(pieces[i], 0.0) + counts.get(i, 0) + PRIOR / (k + 2) / harmonic
+        prior[pieces[i]] = prior.get(pieces[i], 0.0) + PRIOR / (k + 2) / harmonic
     end = n_texts + 0.5
-    total = sum(weight.values()) + end
-    return {p: math.log(w / total) for p, w in weight.items()}, math.log(end / total)
+    train = words.where("c > 0")
+
+    def weights(add_up) -> dict[bytes, float]:
+        """The weights under the counts that add_up(words, counts, into) makes of the training words, a row for each piece and task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: dict[bytes, float] = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    add_up(part.column("word").to_pylist(), part.column("c").to_pylist(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
+
+        counts = {bytes(p): n for p, n in train.mapInArrow(run, "piece binary, n double").groupBy("piece").agg(F.sum("n")).collect()}
+        total = sum(prior.values()) + sum(counts.values()) + end
+        return {p: math.log((w + counts.get(p, 0.0)) / total) for p, w in prior.items()} | {b"": math.log(end / total)}
+
+    def split(held: list[str], times: list[int], into: dict[bytes, float]) -> None:
+        for ids, k in zip(processor(vocabulary).encode(held, num_threads=1), times, strict=True):
+            for i in ids:
+                if pieces[i] is not None:
+                    into[pieces[i]] = into.get(pieces[i], 0.0) + k
+
+    found = weights(split)
+    for _ in range(rounds):
+        lattice = Lattice({p: w for p, w in found.items() if p})
+
+        def expected(held: list[str], times: list[int], into: dict[bytes, float], lattice: Lattice = lattice) -> None:
+            for word, k in zip(held, times, strict=True):
+                lattice.expect(word.encode(), k, into)
+
+        found = weights(expected)
+    return found, found.pop(b"")
 
 
 def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, common: int = COMMON, text: str = "text", key: str = "doc_id") -> DataFrame:
