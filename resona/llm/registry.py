@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, lattice_lm, mixing, packing, simhash, toxicity, url_filter
+from . import language_id, lattice_lm, media, mixing, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_language_id": language_id.op9_language_id,
+    "op10_media_webp": media.op10_media_webp,
 }
 ORACLE = {
     "op1_mix_sources": mixing.SQL,
