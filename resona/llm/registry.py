@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, lattice_lm, media, mixing, packing, simhash, toxicity, url_filter
+from . import language_id, lattice_lm, media, mixing, packing, simhash, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_topk_search": topk_search.op4_topk_search,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_mix_sources": mixing.SQL,
+    "op4_topk_search": topk_search.SQL,
     "op6_url_filter": url_filter.SQL,
 }
