@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, lattice_lm, media, mixing, packing, simhash, topk_search, toxicity, url_filter
+from . import language_id, lattice_lm, media, mixing, packing, simhash, substrings, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_topk_search": topk_search.op4_topk_search,
     "op5_packing": packing.op5_packing,
