@@ -1 +1,6 @@
 """The catalogue of queries."""
+
+from . import spectra  # noqa: F401
+from .catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
