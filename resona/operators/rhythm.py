@@ -121,13 +121,13 @@ def phase(series: DataFrame, tempos: DataFrame, hop: float, t: str = "t", x: str
 
 
 def beats(tempos: DataFrame, spans: DataFrame, beats_per_bar: int = 4) -> DataFrame:
-    """(track, at, bar): bar lines and inner beats in milliseconds within [0, span]; spans: (track, span)."""
+    """(track, ms, bar): bar lines and inner beats in milliseconds within [0, span]; spans: (track, span)."""
     bar = 60000.0 / F.col("bpm") * beats_per_bar
     first = F.expr("pmod(offset * 1000, bar)")
     held = tempos.join(spans, "track").withColumn("bar", bar).withColumn("first", first).withColumn("beat", F.col("bar") / beats_per_bar)
     low = -F.floor(F.col("first") / F.col("beat")).cast("long")
     rows = held.withColumn("k", F.explode(F.sequence(low, F.floor((F.col("span") - F.col("first")) / F.col("beat")).cast("long"))))
-    return rows.select("track", F.bround(F.col("first") + F.col("k") * F.col("beat"), 6).alias("at"), (F.pmod(F.col("k"), F.lit(beats_per_bar)) == 0).alias("bar"))
+    return rows.select("track", F.bround(F.col("first") + F.col("k") * F.col("beat"), 6).alias("ms"), (F.pmod(F.col("k"), F.lit(beats_per_bar)) == 0).alias("bar"))
 
 
 def media_grid(seconds: Column, offset: float, epoch_ms: int) -> Column:

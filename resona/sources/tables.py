@@ -5,7 +5,7 @@ Each has its SQL twin, for oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), ts)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, n, v): a user's events in order of time."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -33,7 +38,7 @@ FRAMES = "frames as (select label as track, row_number() over (partition by labe
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, track, pitch, start, end, conf): events as intervals in seconds."""
-    start = F.unix_micros("ts") / 1e6
+    start = micros(F.col("ts")) / 1e6
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("track"),
@@ -49,7 +54,7 @@ NOTES = "notes as (select event_id as id, event_type as track, (user_id % 88 + 2
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, t, x): events of a type in each hour from its first to its last, hours without any included."""
-    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.floor(F.unix_seconds("ts") / 3600).alias("hour"))
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.floor(micros(F.col("ts")) / 3_600_000_000).alias("hour"))
     counts = events.groupBy("track", "hour").agg(F.count("*").cast("double").alias("x"))
     spans = events.groupBy("track").agg(F.min("hour").alias("low"), F.max("hour").alias("high"))
     hours = spans.select("track", "low", F.explode(F.sequence("low", "high")).alias("hour"))
