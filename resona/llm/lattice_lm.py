@@ -72,6 +72,7 @@ class Lattice:
 
     def __init__(self, log_weight: dict[bytes, float]):
         self.log_weight = log_weight
+        self.weight = {p: math.exp(w) for p, w in log_weight.items()}
         self.opens = {p[:i] for p in log_weight for i in range(1, len(p))}
 
     def log_probability(self, word: bytes) -> float:
@@ -98,28 +99,52 @@ class Lattice:
 
 
     def expect(self, word: bytes, times: int, into: dict[bytes, float]) -> None:
-        """Add to each piece how often it is expected in the word, times over."""
-        text, weight, opens = SPACE + word, self.log_weight, self.opens
+        """Add to each piece how often it is expected in the word, times over.
+
+        Products are taken as they are; where they get too small for that, in logarithms.
+        """
+        text, weight, opens = SPACE + word, self.weight, self.opens
         n = len(text)
-        reach, edges = [-math.inf] * (n + 1), []
-        reach[0] = 0.0
+        reach, edges = [0.0] * (n + 1), []
+        reach[0] = 1.0
         for i in range(n):
             here = reach[i]
-            if here == -math.inf:
+            if here == 0.0:
                 continue
-            j = i
-            while j < n:
-                j += 1
+            for j in range(i + 1, n + 1):
                 piece = text[i:j]
                 w = weight.get(piece)
                 if w is not None:
-                    a, b = here + w, reach[j]
-                    reach[j] = a if b == -math.inf else a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+                    a = here * w
+                    reach[j] += a
                     edges.append((i, j, piece, a))
                 if piece not in opens:
                     break
+        if reach[n] < 1e-250:
+            return self._expect_logs(text, times, into)
         rest = [0.0] * (n + 1)  # share of the whole that passes a position
         rest[n] = 1.0
+        for i, j, piece, a in reversed(edges):
+            if share := rest[j] * a / reach[j]:
+                rest[i] += share
+                into[piece] = into.get(piece, 0.0) + times * share
+
+    def _expect_logs(self, text: bytes, times: int, into: dict[bytes, float]) -> None:
+        n = len(text)
+        reach, edges = [-math.inf] * (n + 1), []
+        reach[0] = 0.0
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                w = self.log_weight.get(piece)
+                if w is not None:
+                    a = reach[i] + w
+                    reach[j] = float(np.logaddexp(reach[j], a))
+                    edges.append((i, j, piece, a))
+                if piece not in self.opens:
+                    break
+        rest = [0.0] * (n + 1)
+        rest[n] = 1.0
         for i, j, piece, a in reversed(edges):
             if share := rest[j] * math.exp(a - reach[j]):
                 rest[i] += share
