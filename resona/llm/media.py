@@ -85,7 +85,7 @@ def measure(stored: DataFrame, media: str = "media") -> DataFrame:
     def values(stored_bytes: bytes) -> tuple:
         digest, n, tail, sums, height = sha256(), 0, b"", np.zeros(256, np.int64), 0
         for image in images(stored_bytes):
-            samples = (image >> 8 & 0xFF).astype(np.uint8)
+            samples = (image >> 8).astype(np.uint8)
             body = samples.tobytes()
             digest.update(body)
             n, tail, height = n + len(body), body[-ROW:], height + len(samples)

@@ -63,13 +63,18 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
         flat += 1
 
 
+_REVERSED = [0]
+for _bit in range(14, -1, -1):
+    _REVERSED += [x | 1 << _bit for x in _REVERSED]
+
+
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol -> (code with its first bit lowest, length)."""
     code, out, before = 0, {}, 0
     for length, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= length - before
         before = length
-        out[symbol] = (int(format(code, f"0{length}b")[::-1], 2), length)
+        out[symbol] = (_REVERSED[code] >> (15 - length), length)
         code += 1
     return out
 
@@ -186,31 +191,32 @@ def _value(bits: Bits, prefix: int) -> int:
 def _chain(bits: Bits, code: Code, n: int) -> np.ndarray | None:
     """The next n symbols of one code, or None if one of them is no literal."""
     start = bits.position
-    raw = np.frombuffer(bits.data, np.uint8)[start // 8 :].astype(np.uint32)
-    raw = np.concatenate([raw, np.zeros(4 + SEGMENT // 8, np.uint32)])
-    out, done, local, base = np.empty(n, np.int32), 0, start % 8, 0
+    raw = np.zeros(len(bits.data) - start // 8 + 8, np.uint32)
+    raw[:-8] = np.frombuffer(bits.data, np.uint8)[start // 8 :]
+    table = code.table.astype(np.int16)
+    out, done, local, base = np.empty(n, np.uint32), 0, start % 8, 0
     mask, shift = np.uint32((1 << code.bits) - 1), np.arange(8, dtype=np.uint32)
     while done < n:
-        span = min(SEGMENT, 8 * (len(raw) - 4 - base))
+        span = min(SEGMENT, 8 * (len(raw) - 8 - base))
         if span <= local:
             raise CorruptImage("the image ends early")
         span = min(span, -(-(local + (n - done) * code.bits) // 8) * 8)
         part = raw[base : base + span // 8 + 3]
         wide = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-        entry = code.table[(wide[: span // 8, None] >> shift & mask).reshape(-1)]
+        entry = table.take((wide[: span // 8, None] >> shift & mask).reshape(-1))
         # from span on, a position leads to itself
         jump = np.arange(span + 16, dtype=np.int32)
         jump[:span] += entry & 15
         jumps = [jump]
-        for _ in range(4):
-            jumps.append(jumps[-1][jumps[-1]])
-        at, seen, far = local, [], memoryview(jumps[-1][jumps[-1]])
+        for _ in range(3):
+            jumps.append(jumps[-1].take(jumps[-1]))
+        at, seen, far = local, [], memoryview(jumps.pop())
         while at < span:
             seen.append(at)
             at = far[at]
         at_all = np.array(seen, np.int32)
         for j in reversed(jumps):
-            at_all = np.stack([at_all, j[at_all]], axis=1).reshape(-1)
+            at_all = np.stack([at_all, j.take(at_all)], axis=1).reshape(-1)
         at_all = at_all[at_all < span][: n - done]
         out[done : done + len(at_all)] = entry[at_all] >> 4
         done += len(at_all)
@@ -229,7 +235,7 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     if main and bits.read(1):
         group_bits = bits.read(3) + 2
         across = -(-width // (1 << group_bits))
-        group_of = _entropy_image(bits, across, -(-height // (1 << group_bits)), False) >> 8 & 0xFFFF
+        group_of = _entropy_image(bits, across, -(-height // (1 << group_bits)), False).astype(np.int64) >> 8 & 0xFFFF
         groups = int(group_of.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, n) for n in (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
@@ -237,11 +243,11 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     if groups == 1 and not cache_size and all(c.single is not None for c in codes[0][1:4]):
         rest = codes[0][3].single << 24 | codes[0][1].single << 16 | codes[0][2].single
         if codes[0][0].bits == 0 and codes[0][0].single < 256:
-            return np.full(n, rest | codes[0][0].single << 8, np.int64)
+            return np.full(n, rest | codes[0][0].single << 8, np.uint32)
         back = bits.position
         found = _chain(bits, codes[0][0], n) if codes[0][0].bits else None
         if found is not None:
-            return found.astype(np.int64) << 8 | rest
+            return found << np.uint32(8) | np.uint32(rest)
         bits.seek(back)
     out, cache, at = [0] * n, [0] * cache_size, 0
     shift = 32 - cache_bits
@@ -369,19 +375,19 @@ def decode(data: bytes) -> np.ndarray:
         kind = bits.read(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
-            blocks = _entropy_image(bits, -(-across // (1 << size)), -(-height // (1 << size)), False)
+            blocks = _entropy_image(bits, -(-across // (1 << size)), -(-height // (1 << size)), False).astype(np.int64)
             undo = _undo_predictor if kind == PREDICTOR else _undo_cross_colour
             steps.append(lambda p, w=across, s=size, b=blocks, f=undo: f(p, w, height, s, b))
         elif kind == SUBTRACT_GREEN:
             steps.append(lambda p: p & 0xFF00FF00 | (p & 0xFF00FF) + (p >> 8 & 0xFF) * 0x10001 & 0xFF00FF)
         else:
             count = bits.read(8) + 1
-            palette = _pixels(np.cumsum(_channels(_entropy_image(bits, count, 1, False)), axis=0))
+            palette = _pixels(np.cumsum(_channels(_entropy_image(bits, count, 1, False).astype(np.int64)), axis=0))
             steps.append(lambda p, w=across, b=_bundle(count), c=palette: _undo_palette(p, w, height, b, c))
             across = -(-across // (1 << _bundle(count)))
     pixels = _entropy_image(bits, across, height, True)
     for undo in reversed(steps):
-        pixels = undo(pixels)
+        pixels = undo(pixels.astype(np.int64))
     return pixels.reshape(height, width)
 
 
@@ -401,17 +407,18 @@ class Writer:
         self.count += n
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Each value in so many bits."""
+        """Each value in so many bits, 15 at most."""
         ends = np.cumsum(sizes) + self.count
-        out = np.zeros(int(ends[-1]) if len(ends) else self.count, np.uint8)
-        out[: self.count] = [self.value >> i & 1 for i in range(self.count)]
-        at = ends - sizes
-        for bit in range(int(sizes.max(initial=0))):
-            held = np.flatnonzero(sizes > bit)
-            out[at[held] + bit] = values[held] >> bit & 1
-        whole = len(out) // 8 * 8
-        self.done.append(np.packbits(out[:whole], bitorder="little").tobytes())
-        self.value, self.count = int(sum(int(b) << i for i, b in enumerate(out[whole:]))), len(out) - whole
+        total = int(ends[-1]) if len(ends) else self.count
+        starts = ends - sizes
+        moved, at, n = values << (starts & 7), starts >> 3, total // 8 + 4
+        # no two values share a bit, so sums of their bytes are their unions
+        out = sum(np.bincount(at + k, moved >> (8 * k) & 0xFF, n) for k in range(3)).astype(np.int64)
+        for k, byte in enumerate(self.value.to_bytes(-(-self.count // 8), "little")):
+            out[k] |= byte
+        whole = total // 8
+        self.done.append(out[:whole].astype(np.uint8).tobytes())
+        self.value, self.count = int(out[whole]) if total % 8 else 0, total % 8
 
     def data(self) -> bytes:
         return b"".join(self.done) + self.value.to_bytes(-(-self.count // 8), "little")
@@ -476,12 +483,15 @@ def encode(samples: np.ndarray) -> bytes:
     height, width = samples.shape
     to = Writer()
     to.put(0x2F | (width - 1) << 8 | (height - 1) << 22, 40)
-    seen, index = np.unique(samples, return_inverse=True)
+    seen = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
     bundle = _bundle(len(seen))
     if bundle:
         to.put(1 | PALETTE << 1 | (len(seen) - 1) << 3, 11)
         to.put(0, 1)
-        steps = np.diff(seen.astype(np.int64), prepend=0)
+        place = np.zeros(256, np.int64)
+        place[seen] = np.arange(len(seen))
+        index = place[samples]
+        steps = np.diff(seen, prepend=0)
         lengths = code_lengths(np.bincount(steps, minlength=256 + LENGTH_CODES).tolist(), 15)
         # alpha is 255 in the first colour and the same in all, so its steps are 255 and zeros
         alpha = [1] + [0] * 254 + [1] if len(seen) > 1 else [0] * 255 + [1]
@@ -495,7 +505,7 @@ def encode(samples: np.ndarray) -> bytes:
                 to.put(int(i == 0), 1)
         depth = 8 >> bundle
         short = -width % (1 << bundle)
-        index = np.pad(index.reshape(height, width), ((0, 0), (0, short))).reshape(height, -1, 1 << bundle)
+        index = np.pad(index, ((0, 0), (0, short))).reshape(height, -1, 1 << bundle)
         samples = (index << (depth * np.arange(1 << bundle))).sum(axis=2)
     to.put(0, 3)  # no further transform, no colour cache, one group of codes
     _write_samples(to, samples.reshape(-1).astype(np.int64))
