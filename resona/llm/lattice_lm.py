@@ -32,6 +32,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import kernels as K
 from .frames import cut, fold, table
@@ -243,7 +244,7 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
     known = {w.encode(): (c, math.log10(c + 0.5), lp) for w, c, lp in top.mapInArrow(forward, "word string, c long, lp double").collect()}
     shared = documents.sparkSession.sparkContext.broadcast(known)
     names = [key, "held_out", "uid", "word", "n", "n_tokens", "n_known", "base", "lp_sum"]
-    schema = rows.select(key, "held_out").schema.add("uid", "long").add("word", "string").add("n", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("lp_sum", "double")
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.select(key, "held_out").schema]).add("uid", "long").add("word", "string").add("n", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("lp_sum", "double")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each text, under a word that no text has, and one of each of its less common words."""
@@ -272,8 +273,8 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
                     n.append(0)
                     row.append(i)
                     heads.append((len(held) + 1, n_known, base, lp))
-                at, spread = pa.array(row, pa.int64()), pa.array([None if i is None else i for i in row], pa.int64())
-                fields = [pa.array(x).take(spread) for x in zip(*heads, strict=True)]
+                at = pa.array(row, pa.int64())
+                fields = [pa.array(x).take(at) for x in zip(*heads, strict=True)]
                 columns = [part.column(key).take(at), part.column("held_out").take(at), pa.array(uids, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), *fields]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -111,6 +111,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     share = sample / max(1, held.count())
     drawn = held.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), 1 << 30) / float(1 << 30) < share).limit(2 * sample)
     drawn = cut(drawn.groupBy("_id").agg(F.max("toxic").alias("toxic")))
+    documents = documents.select(key, "text")
     rows = documents.join(F.broadcast(drawn), documents[key] == drawn["_id"]).where("text is not null")  # at most 2 * sample rows of 12 bytes
     rows = rows.select(key, "text", "toxic", F.xxhash64("text").alias("_same")).dropDuplicates(["_same"]).select(F.xxhash64(key, "_same").alias("row"), "text", "toxic")
     rows = cut(rows)

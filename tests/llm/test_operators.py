@@ -1,0 +1,462 @@
+"""The ten operators against brute force, on small tables with the awkward cases in them."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from resona.llm import kernels, language_id, lattice_lm, media, mixing, packing, registry, simhash, substrings, topk_search, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+
+
+def make(seed=0, n=60):
+    """Texts with copies, shared passages, nulls, blanks, odd white space and one long text."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passage, near = text(60), text(120)
+    rows = []
+    for i in range(n):
+        t = text(rng.randint(1, 80))
+        if i % 5 == 0:
+            t = t + "\n" + passage + "  " + text(10)
+        elif i % 7 == 0:
+            w = near.split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        rows.append((i, t, ["en", "de", None][i % 3], ["a", "b", None, "c"][i % 4], len(t)))
+    rows += [(n, None, None, None, None), (n + 1, "", "en", "a", 0), (n + 2, " \t\n ", "de", "b", 4), (n + 3, "Ünïcode\x1cß \xa0wörd…", "de", "b", 5), (n + 4, text(6000), "en", "a", 1)]
+    rows += [rows[3], rows[3], (n + 5, rows[5][1], "en", "a", 2), (n + 6, "x " * 400, "en", "a", 3)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The table, with columns that clash with what operators add."""
+    held = spark.createDataFrame(make(), DOCS)
+    return held.withColumns({c: F.lit("own") for c in ("size", "score", "fingerprint", "component_id", "kept", "media", "word", "toxic", "lang_pred", "_key", "url", "length")}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def table(rows):
+    return {r[0]: r for r in rows}
+
+
+def test_word_bounds_are_those_of_the_pattern():
+    texts = [r[1] for r in make()]
+    raw, bounds = kernels.text_buffer(pa.array(texts))
+    starts, ends, at = kernels.word_bounds(raw, bounds)
+    for i, t in enumerate(texts):
+        assert [raw[a:b].tobytes() for a, b in zip(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]], strict=True)] == words(t)
+
+
+@pytest.mark.parametrize("size", [0, 1, 3, 4, 7, 8, 15, 31, 32, 33, 63, 64, 100, 1500])
+def test_xxh64_equals_the_library(size):
+    data = np.random.default_rng(size).integers(0, 256, 40 + size).astype(np.uint8)
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    starts = np.arange(40)
+    got = kernels.xxh64(raw, starts, starts + size)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[s : s + size].tobytes(), 42) for s in starts]
+
+
+# op1
+
+
+def test_mix(docs, spark):
+    got = mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "rate", "copies").collect()
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(words(r.text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = dict(zip(order, [5, 2, 1, 5], strict=False))
+    target, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * sizes[s] < level * weight[s]}
+        if not full:
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3 * sizes[s] for s in full)
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    for r in got:
+        assert r.size == len(words(table(make())[r.doc_id][1])) and r.source_size == sizes[r.source]
+        assert math.isclose(r.target, target[r.source]) and math.floor(r.rate) <= r.copies <= math.ceil(r.rate) <= 3
+    emitted = Counter(r.doc_id for r in mixing.emit(mixing.mix(docs), ["doc_id"]).collect())
+    assert emitted == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
+
+
+def test_mix_draws_meet_the_target(spark):
+    held = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    got = mixing.mix(held).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.1 for r in got) and abs(sum(r.target for r in got) - 12000) < 1e-6
+
+
+# op2
+
+
+def without_repeats(texts, window=35):
+    count, held = Counter(), [words(t) for t in texts]
+    for w in held:
+        count.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    out = []
+    for w in held:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def test_substrings(docs):
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(docs).collect())
+    expected = sorted((r[0], *x) for r, x in zip(make(), without_repeats([r[1] for r in make()]), strict=True))
+    assert got == expected and sum(x[2] for x in got) > 500
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_of_few_words(spark, seed):
+    """Texts over two words repeat in every way."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("ab") * rng.choice((1, 1, 1, 40)) for _ in range(rng.randint(30, 60))) for _ in range(30)]
+    texts = [t + " " + texts[0][: rng.randint(0, 200)] for t in texts] + [" ".join("abc"[i % 3] for i in range(90)), " ".join(["a"] * 300)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(held).collect())
+    assert got == [(i, x[1], x[2]) for i, x in enumerate(without_repeats(texts))]
+
+
+def test_a_long_slice_takes_the_same_anchors():
+    grams = kernels.mix(np.arange(5000, dtype=np.uint64))
+    short = substrings.Anchors._least(grams, 28)
+    runs = np.lib.stride_tricks.sliding_window_view(grams >> np.uint64(substrings.PLACE_BITS), 28)
+    assert (short == runs.argmin(axis=1) + np.arange(len(runs))).all()
+
+
+# op3
+
+
+def test_toxicity(spark):
+    rng = random.Random(1)
+    common = ["".join(rng.choice("etaoin") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        t = [rng.choice(common) for _ in range(rng.randint(5, 60))]
+        if toxic:
+            t.insert(rng.randrange(len(t)), rng.choice(["idiot,", "SCUM!!", "moron"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(toxic)))
+    held = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string").withColumn("toxic", F.lit(1))
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(held, truth.where("doc_id % 4 != 0"))
+    got = {r.doc_id: r for r in toxicity.score(held, model).collect()}
+    held_out = [(k, x) for k, x in labels if k % 4 == 0]
+    assert np.mean([got[k].predicted == x for k, x in held_out]) > 0.97
+    assert got[1000].score == got[1001].score < 0.3 and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_factorization_machine_learns_pairs():
+    """Neither feature alone tells, but both together do."""
+    x = [[], [0], [1], [0, 1]] * 60
+    labels = np.array([0, 0, 0, 1] * 60, float)
+    rows, ids = np.repeat(np.arange(len(x)), [len(i) for i in x]), np.concatenate([np.array(i, np.int64) for i in x])
+    model = toxicity._learn(rows, ids, labels, np.array([1, 2], np.uint64), 4)
+    assert ((model.score(rows, ids, len(x)) > 0.5) == labels).all()
+    flipped = toxicity._learn(rows, ids, np.array([0, 1, 1, 0] * 60, float), np.array([1, 2], np.uint64), 4)
+    assert ((flipped.score(rows, ids, len(x)) > 0.5) == np.array([0, 1, 1, 0] * 60)).all()
+
+
+def test_toxicity_without_labels(docs, spark):
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.score(docs.select("doc_id", "text"), model).collect()} == {0}
+
+
+# op4
+
+
+def brute_topk(rows, k=5, every=50):
+    held = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            q = [math.floor(256 * x) for x in v]
+            held[i] = min(held.get(i, q), q)
+    out = []
+    for q in held:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=False)), i) for i, v in held.items() if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [30, 4096])
+def test_topk(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=16).astype(np.float32)]) for i in range(300)]
+    rows += [(i, rows[50][1]) for i in range(300, 330)] + [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (None, rows[0][1]), (450, []), (451, [1.0]), rows[7], (7, rows[8][1])]
+    held = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
+    got = sorted(tuple(r) for r in topk_search.search(held, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_topk([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+
+
+def test_topk_of_few(spark):
+    held = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk_search.search(held, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
+
+
+# op5
+
+
+@pytest.mark.parametrize("texts", [["", "a", " a", "a  b", "a \n b", "a\nb\n\nc", "\n", "a\rb c", "x <|endoftext|> y<|endoftext|>", "tab\tx y", "a b ", "ж ж z", "don't 've\n'll x", "a\n\r b", "\r", "\ra b", "a\u3000b \xa0c\x1cd \x1ce"], [r[1] or "" for r in make()]])
+def test_ids_are_those_of_the_tokenizer(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.WordEncoder(packing.VOCABULARY)
+    for _ in range(2):
+        assert [encode.encode(t) for t in texts] == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing(docs):
+    encode = packing.WordEncoder(packing.VOCABULARY)
+    got = packing.pack(docs).toPandas()
+    ids = {k: encode.encode(r[1] or "") + b"\0\0\0\0" for k, r in table(make()).items()}
+    times = Counter(r[0] for r in make())
+    assert set(got["doc_id"]) == set(ids)
+    for k, pieces in got.groupby("doc_id"):
+        n = len(ids[k]) // 4
+        covered = Counter(i for p in pieces.itertuples() for i in range(p.start, p.start + p.length))
+        assert covered == Counter(dict.fromkeys(range(n), times[k]))
+        for p in pieces.itertuples():
+            assert p.doc_tokens == n and p.ids_crc32 == zlib.crc32(ids[k][4 * p.start : 4 * (p.start + p.length)])
+    sequences = got.sort_values(["sequence_id", "offset"])
+    assert (sequences["offset"] == sequences.groupby("sequence_id")["length"].cumsum() - sequences["length"]).all()
+    fill = sequences.groupby("sequence_id")["length"].sum()
+    assert fill.max() <= 1024 and sorted(fill.index) == list(range(len(fill)))
+    padded = np.where(fill & (fill - 1) == 0, fill, 1024).sum()
+    assert padded - fill.sum() < 1024 + 0.02 * fill.sum()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cutting_stock_covers_the_demand(seed):
+    rng = np.random.default_rng(seed)
+    demand = Counter(rng.integers(1, 64, 400).tolist())
+    plan = packing.solve(dict(demand), 64)
+    got = Counter()
+    for pattern, n in plan:
+        assert sum(k * v for k, v in pattern.items()) <= 64
+        got.update({k: v * n for k, v in pattern.items()})
+    assert got == demand and sum(n for _, n in plan) <= 1.06 * sum(k * v for k, v in demand.items()) / 64 + 3
+    assert packing.solve({}) == []
+
+
+# op6
+
+
+def test_url_filter(spark):
+    urls = ["https://a.example.net/en/1", "http://example.net/en/x?y", "http://Example.NET/de/", "http://x.example.com/de/7", "http://org/fr/", "http://a.org/fr", "http://badorg/fr/", "net/", "http://net", "http://u.net/?q", "ftp://a.b.org/fr/a#f", "http://q/ads/x", "http://q/ads/a/opt-out", "http://q?phpsessid=1", "http://malware", "x://a://b.net/", "", "no scheme", None, "http://[::1]/en/", "http://ads.q/x", "http://q/ADS/x", "http:///x", "http://a.example.net/EN/"]
+    held = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 2)] + [(None, urls[0], "h")], "page_id long, url string, html string").withColumns({"rule": F.lit(1), "host": F.lit(2)})
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(held, url_filter.rule_table(spark)).collect()}
+    db = duckdb.connect()
+    pages = held.toPandas()  # noqa: F841
+    db.register("pages", held.select("page_id", "url").toPandas().astype({"page_id": "Int64"}))
+    expected = {tuple(None if x is None or x is pd.NA or x != x else x for x in r) for r in db.sql(url_filter.SQL).fetchall()}
+    assert got == expected
+    verdict = dict(zip(urls, (next(r[4] for r in got if r[0] == i) for i in range(len(urls))), strict=True))
+    assert verdict["http://q/ads/x"] == "block" and verdict["http://q/ads/a/opt-out"] == "allow" and verdict["http://q?phpsessid=1"] == "block"
+    with pytest.raises(ValueError):
+        url_filter.rule_table(spark, (), (("*", "block"),))
+
+
+def test_tokens_of_patterns():
+    assert url_filter.pattern_tokens("||example.net/en/") == ["example", "net", "en"]
+    assert url_filter.pattern_tokens("/ads/*/opt-out^") == ["ads", "opt", "out"] and url_filter.pattern_tokens("foo*bar") == []
+
+
+# op7
+
+
+def plain_fingerprint(text):
+    w = [x.lower() for x in words(text)]
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs):
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 4]
+    root = roots(len(rows), links)
+    least = {}
+    for (k, _), r in zip(rows, root, strict=True):
+        least[r] = min(least.get(r, k), k)
+    expected = sorted((k, f, least[r]) for (k, f), r in zip(rows, root, strict=True))
+    got = sorted((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == expected and len({x[2] for x in got}) < len({x[0] for x in got}) - 3
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted({x[2] for x in expected})
+
+
+@pytest.mark.parametrize("bucket,nodes", [(8, 0), (1024, 1 << 24), (1024, 1 << 40)])
+def test_links_keep_every_component(spark, monkeypatch, bucket, nodes):
+    """Chunks of buckets, and more blocks, lose no link."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    prints = {int(b) for b in base}
+    for b in base[:6]:
+        for _ in range(15):
+            x = int(b)
+            for bit in rng.integers(0, 64, rng.integers(1, 8)):
+                x ^= 1 << int(bit)
+            prints.add(x)
+    prints = sorted(prints)
+    plain = simhash._blocks
+    monkeypatch.setattr(simhash, "_blocks", lambda n, r: plain(nodes or n, r))
+    held = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fingerprint long")
+    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(held, 4, bucket).collect()]
+    number = {p: i for i, p in enumerate(prints)}
+    assert all((a ^ b).bit_count() > 0 for a, b in edges)
+    expected = roots(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    assert roots(len(prints), [(number[a], number[b]) for a, b in edges]) == expected
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (300, 100)] + [(500, i) for i in range(501, 520)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 41)) and got[300] == got[95] == got[100] == 90 and got[519] == 500
+
+
+# op8
+
+
+def test_lattice_sums_all_segmentations():
+    weight = {bytes([i]): -9.0 for i in range(256)} | {b"\xe2\x96\x81": -3.0, b"ab": -2.0, b"\xe2\x96\x81a": -2.5, b"abc": -3.0, b"bc": -1.0}
+    lattice = lattice_lm.Lattice(weight)
+
+    def plain(text):
+        return 1.0 if not text else sum(math.exp(weight[text[:i]]) * plain(text[i:]) for i in range(1, len(text) + 1) if text[:i] in weight)
+
+    for word in (b"a", b"abc", b"abcab", b"zz"):
+        assert math.isclose(lattice.log_probability(word), math.log(plain(lattice_lm.SPACE + word)))
+        products, logs = {}, {}
+        lattice.expect(word, 3, products)
+        lattice._expect_logs(lattice_lm.SPACE + word, 3, logs)
+        assert products.keys() == logs.keys() and all(math.isclose(products[p], logs[p], rel_tol=1e-9) for p in logs)
+    assert lattice.log_probability(b"q" * 5000) < -1000
+
+
+@pytest.mark.parametrize("common", [5, 100_000])
+def test_lm_base_and_score(docs, common):
+    rows = {}
+    for r in docs.collect():
+        rows.setdefault(r.doc_id, [w.lower() for w in words(r.text)])
+    learn = [r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    count = Counter(w for k in learn for w in rows[k])
+    total, kinds = sum(count.values()) + len(learn), len(count) + 1
+    got = lattice_lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, common=common).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        w = rows[r.doc_id]
+        base = sum(math.log10((count[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w) + math.log10((len(learn) + 0.5) / (total + 0.5 * (kinds + 1)))
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_tokens == len(w) + 1 and r.n_known == sum(count[x] > 0 for x in w) + 1 and r.train_tokens == total
+        assert r.score < 0
+
+
+def test_lm_scores_are_sums_over_words(docs):
+    got = {r.doc_id: r.score for r in lattice_lm.score(docs, F.lit(False)).collect()}
+    again = {r.doc_id: r.score for r in lattice_lm.score(docs, F.lit(False), common=3).collect()}
+    assert all(math.isclose(got[k], again[k], rel_tol=1e-9) for k in got)
+
+
+# op9
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    syllables = {"en": ["the", "ing", "tion", "and"], "de": ["sch", "ung", "ein", "ß"], "fr": ["eau", "é", "que", "ou"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(40)), k) for i in range(300) for k in [list(syllables)[i % 3]]]
+    held = spark.createDataFrame([*rows, (900, None, "en"), (901, "", "en"), (902, "123 !!!", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
+    model = language_id.fit(held, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r for r in language_id.identify(held, model).collect()}
+    assert np.mean([got[i].lang_pred == k for i, _, k in rows if i % 5 == 0]) > 0.98
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (900, 901, 902))
+    assert sum(got[i].rejected for i, *_ in rows) == 0
+
+
+def test_language_id_rejects_what_is_far(spark):
+    held = spark.createDataFrame([(i, "the thing and the other thing is that and this", "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(held, F.lit(True))
+    far = spark.createDataFrame([(1, "zxqj kvwzq xqzzj", None)], "doc_id long, text string, lang string")
+    assert language_id.identify(far, model).first().rejected
+
+
+# op10
+
+
+def test_media(docs):
+    got = media.measure(media.store(docs.select("doc_id", "text", "score"))).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        body = (table(make())[r.doc_id][1] or "").encode()
+        payload = body + b"\0" * (-len(body) % 64 if body else 64)
+        stored = media.to_images(payload)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.n_bytes, r.media_bytes, r.media_sha256, r.score) == (len(body), len(stored), hashlib.sha256(stored).hexdigest(), "own")
+    image = media.pixels(media.store(docs.where("doc_id = 1").select("doc_id", "text"))).first()
+    assert image.width == 64 and len(image.pixels) == 64 * image.height
+
+
+# all
+
+
+def test_empty_tables(empty, spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    results = [
+        mixing.mix(empty), substrings.remove_repeats(empty), toxicity.score(empty, toxicity.fit(empty, labels)), packing.pack(empty), simhash.near_duplicates(empty), simhash.keep_one(empty),
+        lattice_lm.score(empty, F.lit(False)), language_id.identify(empty, language_id.fit(empty, F.lit(True))), media.measure(media.store(empty)),
+        topk_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)), url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.rule_table(spark)),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_same_rows_as_sql(spark, duck, name):
+    ours, theirs = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.sql(registry.ORACLE[name]).df()
+    names = sorted(theirs.columns)
+    plain = lambda f: sorted((tuple(None if x is None or x != x else x for x in r) for r in f[names].itertuples(index=False)), key=repr)
+    assert sorted(ours.columns) == names and plain(ours) == plain(theirs)
