@@ -29,7 +29,7 @@ from .frames import cut, fold, table
 #: Labelled rows that the model is fitted on, and the features and pair factors it has.
 SAMPLE, FEATURES, RANK = 20_000, 4096, 8
 #: Least log-likelihood ratio of a feature, and the score from which a text is predicted toxic.
-EVIDENCE, THRESHOLD = 30.0, 0.3
+EVIDENCE, THRESHOLD = 24.0, 0.3
 PREFIXES = (4, 5)
 
 
