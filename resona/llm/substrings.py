@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import stash, table
+from .frames import cut, stash, table
 
 WINDOW, GRAM = 35, 8
 #: A gram's rank is the high bits of its hash; the low ones make room for its position.
@@ -141,7 +141,8 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(seed[first].view(np.int64)), pa.array(context[first].view(np.int64)), keys, pa.array(n)], names=["seed", "context", "_of", "n"])
 
     found = rows.select("_key", text).mapInArrow(anchors, "seed long, context long, _of long, n long")
-    repeated = found.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+    # written first, so that the join below can split the anchors of a hot seed
+    repeated = cut(found.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"))
     seeds = stash(found.join(repeated, "seed", "left_semi"))
     kinds = seeds.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min("_of").alias("_of"))
     several = kinds.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
