@@ -30,7 +30,7 @@ from .frames import fold, table
 WIDTH = 4096
 #: Labelled texts that the centroids are fitted on, all languages together, and clusters of each.
 SAMPLE, CLUSTERS = 1600, 4
-MARGIN = 0.5
+MARGIN = 0.25
 ROWS = 512
 
 
