@@ -186,11 +186,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component: that of the smallest doc_id, a repeated row once."""
-    same = F.xxhash64("text")
-    groups = near_duplicates(documents.select("doc_id", "text", same.alias("_same")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_same")
+    row = F.xxhash64("doc_id", "text")
+    groups = near_duplicates(documents.select("doc_id", "text", row.alias("_row")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_print")).agg(F.min(order).alias("_kept"))
-    kept = kept.select(F.col("_kept.doc_id").alias("_id"), F.col("_kept._same").alias("_hash"))
-    rows = documents.withColumn("_same", same)
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_same"] == kept["_hash"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_same"]).select(*documents.columns)
+    kept = kept.select(F.col("_kept.doc_id").alias("_id"), F.col("_kept._row").alias("_hash"))
+    rows = documents.withColumn("_row", row)
+    # one shuffle of the texts, by the row's hash, serves the join and the removal of repeated rows
+    same = F.coalesce(rows["doc_id"] == kept["_id"], rows["doc_id"].isNull() & kept["_id"].isNull())
+    joined = rows.join(kept, (rows["_row"] == kept["_hash"]) & same, "left_semi")
+    return joined.dropDuplicates(["_row", "doc_id"]).select(*documents.columns)
