@@ -31,7 +31,7 @@ BLOCK, QUERIES = 4096, 2048
 #: Magnitudes that a dimension's postings are told apart by, and rounds that take them all.
 LEVELS, ROUNDS = 32, 10
 #: Share of a block that is scored exactly once no more can be members.
-REST = 0.2
+REST = 0.5
 
 
 class Postings:
@@ -44,7 +44,7 @@ class Postings:
         width = int(np.abs(vectors).max(initial=0)) // LEVELS + 1
         level = np.abs(vectors) // width
         order = np.argsort(level, axis=0, kind="stable").T
-        self.rows = order.reshape(-1).astype(np.int32)
+        self.rows = order.reshape(-1)
         self.values = np.take_along_axis(vectors.T, order, axis=1).reshape(-1).astype(float)
         sizes = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)]) if dims else np.zeros((0, LEVELS), np.int64)
         self.starts = (np.cumsum(sizes, axis=1) - sizes + n * np.arange(dims)[:, None]).reshape(-1)
@@ -70,10 +70,10 @@ class Postings:
             segments = order[at:to]
             sizes = self.sizes[segments]
             places = np.arange(sizes.sum()) + np.repeat(self.starts[segments] - (np.cumsum(sizes) - sizes), sizes)
-            rows, values, w = self.rows[places], self.values[places], np.repeat(weight[segments // LEVELS], sizes)
+            rows, values, w = self.rows.take(places), self.values.take(places), np.repeat(weight[segments // LEVELS], sizes)
             score += np.bincount(rows, w * values, n)
-            used += np.bincount(rows, w * w, n)
-            seen += np.bincount(rows, values * values, n)
+            used += np.bincount(rows, np.multiply(w, w, out=w), n)
+            seen += np.bincount(rows, np.multiply(values, values, out=values), n)
             at = to
             missing = np.sqrt(np.maximum((weight @ weight - used) * (self.squares - seen), 0)) * (1 + 1e-9) + 1e-3
             best = members[np.argpartition(-score[members], min(4 * k, len(members) - 1))[: 4 * k]]
