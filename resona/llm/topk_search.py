@@ -66,7 +66,8 @@ class Postings:
         score, used, seen = np.zeros(n), np.zeros(n), np.zeros(n)
         members, at = np.flatnonzero(~own), 0
         while at < len(order) and len(members) > max(k, REST * n):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + n * dims // ROUNDS)))
+            # no proof comes of the first few tenths, so they are one round
+            to = max(at + 1, int(np.searchsorted(ends, ends[at - 1] + n * dims // ROUNDS if at else 3 * n * dims // ROUNDS)))
             segments = order[at:to]
             sizes = self.sizes[segments]
             places = np.arange(sizes.sum()) + np.repeat(self.starts[segments] - (np.cumsum(sizes) - sizes), sizes)
