@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -109,16 +109,11 @@ def low_rank_chunks(frames: DataFrame, chunk: int = 400, overlap: int = 80) -> D
     # a frame is in its last chunk and, within the overlap, in the one before with the weights' complement
     last = parts.groupBy("track", "n").agg(F.max("chunk").alias("last"))
     held = parts.join(last, ["track", "n"])
-    place = F.col("n") - F.max("start").over(_frame())
+    own = Window.partitionBy("track", "n")
+    place = F.col("n") - F.max("start").over(own)
     w = (place + 1) / (overlap + 1.0)
-    both = F.count("*").over(_frame()) > 1
+    both = F.count("*").over(own) > 1
     weight = F.when(~both, 1.0).when(F.col("chunk") == F.col("last"), w).when(F.col("chunk") == F.col("last") - 1, 1 - w).otherwise(0.0)
     held = held.withColumn("w", weight).where("w > 0")
     cells = held.select("track", "n", "w", F.posexplode(F.arrays_zip("low", "sparse")).alias("bin", "c"))
     return cells.groupBy("track", F.col("n").alias("frame"), "bin").agg(F.sum(F.col("w") * F.col("c.low")).alias("low"), F.sum(F.col("w") * F.col("c.sparse")).alias("sparse"))
-
-
-def _frame():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("track", "n")

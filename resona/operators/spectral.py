@@ -133,3 +133,35 @@ def masks(frames: DataFrame, n_bins: int, time: int = 31, freq: int = 31) -> Dat
     cells = held.select("track", "frame", F.posexplode(F.arrays_zip("m", "p")).alias("bin", "c")).select("track", "frame", "bin", "c.m", "c.p")
     near = Window.partitionBy("track", "bin").orderBy("frame").rowsBetween(-half, half)
     return cells.withColumn("h", F.percentile("m", F.lit(0.5)).over(near)).join(ends, "track").where((F.col("frame") >= 0) & (F.col("frame") <= F.col("last"))).drop("last")
+
+
+def packed(cells: DataFrame, n_rows: int) -> DataFrame:
+    """(track, n_cols, spec): the quantised cells row after row, as base64; cells that are missing are 0.
+
+    A track is one value here, bounded by the rows and columns that pooling leaves.
+    """
+    width = cells.groupBy("track").agg((F.max("col") + 1).alias("n_cols"))
+    held = cells.join(width, "track").groupBy("track", "n_cols").agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") * F.col("n_cols") + F.col("col")).alias("k"), F.lpad(F.hex("q"), 2, "0").alias("h")))).alias("_m"))
+    digits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_cols") * n_rows - 1), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit("00")))
+    return held.select("track", "n_cols", F.translate(F.base64(F.unhex(F.array_join(digits, ""))), "\r\n", "").alias("spec"))
+
+
+def unpacked(packed_: DataFrame) -> DataFrame:
+    """(track, row, col, q) from what packed() gives."""
+    digits = F.hex(F.unbase64("spec"))
+    cells = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda i: F.conv(F.substr(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+    return packed_.select("track", "n_cols", cells.alias("k", "q")).select("track", F.floor(F.col("k") / F.col("n_cols")).alias("row"), (F.col("k") % F.col("n_cols")).alias("col"), "q")
+
+
+def resampled(signal: DataFrame, up: int, down: int, lobes: int = 4) -> DataFrame:
+    """(track, n, v) at up / down times the rate, through a sinc under a Hann window; the signal itself if the two are equal."""
+    if up == down:
+        return signal.select("track", "n", "v")
+    wide = max(1.0, down / up)  # samples between two zeros of the kernel
+    reach = lobes * wide
+    sizes = signal.groupBy("track").agg(F.ceil((F.max("n") + 1) * up / down).alias("length"))
+    low, high = F.ceil((F.col("n") - reach) * up / down), F.floor((F.col("n") + reach) * up / down)
+    held = signal.join(sizes, "track").withColumn("m", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.col("length") - 1)))).withColumn("d", (F.col("m") * down / up - F.col("n")) / wide)
+    sinc = F.when(F.abs("d") < 1e-12, 1.0).otherwise(F.try_divide(F.sin(math.pi * F.col("d")), math.pi * F.col("d")))
+    weight = sinc * (0.5 + 0.5 * F.cos(math.pi * F.col("d") / lobes)) / wide
+    return held.groupBy("track", F.col("m").alias("n")).agg(F.sum(F.col("v") * weight).alias("v"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import intervals, store
+from ..operators import intervals, rhythm, store
 from ..sources import media
 from ..sources.tables import FRAMES, NOTES, SIGNAL, frames, notes, read, signal
 from .catalog import query
@@ -68,8 +69,6 @@ _RUNS = """typed as (select user_id as track, event_type as state, row_number()
 
 def _runs(spark, sf_dir):
     typed = read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_type").alias("state"), "ts", "event_id")
-    from pyspark.sql import Window
-
     held = typed.withColumn("frame", (F.row_number().over(Window.partitionBy("track").orderBy("ts", "event_id")) - 1).cast("long"))
     return intervals.runs(held.select("track", "state", "frame"), rest="view")
 
@@ -98,8 +97,6 @@ def merge_poly(spark, sf_dir):
  select p.track, p.frame, coalesce(min(o.frame), p.frame) as snapped from p left join o on o.track = p.track and o.frame between p.frame - 1 and p.frame + 1 group by p.track, p.frame""")
 def snap(spark, sf_dir):
     typed = read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), "event_type", "ts", "event_id")
-    from pyspark.sql import Window
-
     held = typed.withColumn("frame", (F.row_number().over(Window.partitionBy("track").orderBy("ts", "event_id")) - 1).cast("long"))
     points = _runs(spark, sf_dir).select("track", F.col("f0").alias("frame")).distinct()
     return intervals.snapped(points, held.where("event_type = 'click'"))
@@ -117,8 +114,6 @@ def note_conf(spark, sf_dir):
 @query()
 def mono_notes(spark, sf_dir):
     """All of the way from frames to notes; its steps have SQL of their own."""
-    from ..operators import rhythm
-
     held = frames(spark, sf_dir)
     low, end = rhythm.band_bins(*LEAD.band, RATE, WIN)
     return intervals.mono_notes(held, rhythm.onsets(held, low, end, 5, 2, 4), LEAD, RATE, WIN, 0.05)

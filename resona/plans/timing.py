@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import rhythm, separation
+from ..operators import intervals, rhythm, separation
 from ..sources.tables import HOURLY, SIGNAL, hourly, read, signal
 from .catalog import query
 
@@ -103,9 +104,7 @@ def infer_ola(spark, sf_dir):
     def double(batch):
         return batch.assign(y=batch["v"] * 2)
 
-    from ..operators.intervals import batches_of
-
-    parts = batches_of(held, double, held.select("*").schema.add("y", "double"))
+    parts = intervals.batches_of(held, double, held.select("*").schema.add("y", "double"))
     return separation.blended(parts).withColumn("v", F.bround(F.bround("v", 9), 4))
 
 
@@ -162,8 +161,6 @@ def ewma_speed(spark, sf_dir):
 
     What an event adds fades by 0.7 with each one after it, so a window of 120 holds all that a double can tell.
     """
-    from pyspark.sql import Window
-
     by = Window.partitionBy("event_type").orderBy("ts", "event_id")
     held = read(spark, sf_dir, "events").withColumn("k", F.row_number().over(by)).withColumn("near", F.collect_list("value").over(by.rowsBetween(-119, 0)))
     first = F.col("k") <= 120
