@@ -69,87 +69,80 @@ def piece_bytes(path: str) -> list[bytes | None]:
 
 
 class Lattice:
-    """Forward recursion over the segmentations of a word."""
+    """The segmentations of many words at once.
+
+    Every place before, between and after the bytes of a word is a node, and every piece found in it
+    an edge.  Edges are sorted by where they end in their word, so the recursion takes all words one
+    place further at a time.
+    """
 
     def __init__(self, log_weight: dict[bytes, float]):
-        self.log_weight = log_weight
-        self.weight = {p: math.exp(w) for p, w in log_weight.items()}
-        self.opens = {p[:i] for p in log_weight for i in range(1, len(p))}
-
-    def log_probability(self, word: bytes) -> float:
-        """Natural logarithm of the sum over all segmentations of the products of their pieces' weights."""
-        text, weight, opens = SPACE + word, self.log_weight, self.opens
-        n = len(text)
-        reach = [-math.inf] * (n + 1)
-        reach[0] = 0.0
-        for i in range(n):
-            here = reach[i]
-            if here == -math.inf:
-                continue
-            j = i
-            while j < n:
-                j += 1
-                piece = text[i:j]
-                w = weight.get(piece)
-                if w is not None:
-                    a, b = here + w, reach[j]
-                    reach[j] = a if b == -math.inf else a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
-                if piece not in opens:
-                    break
-        return reach[n]
-
-
-    def expect(self, word: bytes, times: int, into: dict[bytes, float]) -> None:
-        """Add to each piece how often it is expected in the word, times over.
-
-        Products are taken as they are; where they get too small for that, in logarithms.
-        """
-        text, weight, opens = SPACE + word, self.weight, self.opens
-        n = len(text)
-        reach, edges = [0.0] * (n + 1), []
-        reach[0] = 1.0
-        for i in range(n):
-            here = reach[i]
-            if here == 0.0:
-                continue
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                w = weight.get(piece)
-                if w is not None:
-                    a = here * w
-                    reach[j] += a
-                    edges.append((i, j, piece, a))
-                if piece not in opens:
-                    break
-        if reach[n] < 1e-250:
-            return self._expect_logs(text, times, into)
-        rest = [0.0] * (n + 1)  # share of the whole that passes a position
-        rest[n] = 1.0
-        for i, j, piece, a in reversed(edges):
-            if share := rest[j] * a / reach[j]:
-                rest[i] += share
-                into[piece] = into.get(piece, 0.0) + times * share
-
-    def _expect_logs(self, text: bytes, times: int, into: dict[bytes, float]) -> None:
-        n = len(text)
-        reach, edges = [-math.inf] * (n + 1), []
-        reach[0] = 0.0
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                w = self.log_weight.get(piece)
-                if w is not None:
-                    a = reach[i] + w
-                    reach[j] = float(np.logaddexp(reach[j], a))
-                    edges.append((i, j, piece, a))
-                if piece not in self.opens:
-                    break
-        rest = [0.0] * (n + 1)
-        rest[n] = 1.0
-        for i, j, piece, a in reversed(edges):
-            if share := rest[j] * math.exp(a - reach[j]):
-                rest[i] += share
-                into[piece] = into.get(piece, 0.0) + times * share
+        raw = np.frombuffer(b"".join(log_weight), np.uint8)
+        ends = np.cumsum([len(p) for p in log_weight])
+        hashes = K.word_hashes(raw, ends - [len(p) for p in log_weight], ends)
+        order = np.argsort(hashes)
+        self.pieces = [p for _, p in sorted(zip(hashes.tolist(), log_weight, strict=True))]
+        self.weight = np.array([log_weight[p] for p in self.pieces])
+        self.hashes, self.longest = hashes[order], max(map(len, log_weight))
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def _edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Piece, first and last node and word of each edge, in order, and each word's last node."""
+        raw = np.frombuffer(b"".join(SPACE + w for w in words), np.uint8)
+        sizes = np.array([len(w) + len(SPACE) for w in words])
+        stop = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        found, place, left = [], np.arange(len(raw)), stop[word] - np.arange(len(raw))
+        for size in range(1, min(self.longest, int(sizes.max())) + 1):
+            place = place[left[place] >= size]
+            hashes = K.word_hashes(raw, place, place + size)
+            held = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, hashes[held]), len(self.hashes) - 1)
+            true = self.hashes[at] == hashes[held]
+            found.append((at[true], place[held[true]], np.full(int(true.sum()), size)))
+        piece, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        of = word[start]
+        to = start + size - (stop - sizes)[of]
+        order = np.argsort(to * len(words) + of, kind="stable")
+        piece, start, size, of, to = piece[order], start[order], size[order], of[order], to[order]
+        return piece, start + of, start + size + of, of, to, stop + np.arange(len(words))
+
+    def _forward(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        piece, first, last, of, to, final = self._edges(words)
+        reach = np.full(int(final[-1]) + 1, -np.inf)
+        reach[np.concatenate([[0], final[:-1] + 1])] = 0.0
+        through = np.empty(len(piece))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            through[a:b] = reach[first[a:b]] + self.weight[piece[a:b]]
+            opens = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1]))
+            reach[last[a:b][opens]] = np.logaddexp.reduceat(through[a:b], opens)
+        return piece, first, last, of, cuts, through, reach, final
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the sums, over all segmentations, of the products of the pieces' weights."""
+        if not words:
+            return np.zeros(0)
+        *_, reach, final = self._forward(words)
+        return reach[final]
+
+    def expect(self, words: list[bytes], times: list[int]) -> np.ndarray:
+        """How often each piece is expected in the words, times over."""
+        if not words:
+            return np.zeros(len(self.pieces))
+        piece, first, last, of, cuts, through, reach, final = self._forward(words)
+        rest = np.zeros(len(reach))  # share of a word's whole that passes a node
+        rest[final] = 1.0
+        share = np.exp(through - reach[last])
+        for a, b in zip(cuts[-2::-1].tolist(), cuts[:0:-1].tolist(), strict=True):
+            share[a:b] *= rest[last[a:b]]
+            rest[first[a:b]] += share[a:b]  # edges that end at one place begin at different ones
+        return np.bincount(piece, share * np.array(times, float)[of], len(self.pieces))
+
+
+def word_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return K.slices(batch, "word", 1 << 17)
 
 
 def count_words(documents: DataFrame, train: Column, text: str = "text") -> DataFrame:
@@ -190,33 +183,34 @@ def piece_weights(words: DataFrame, n_texts: int, vocabulary: str, rounds: int =
     train = words.where("c > 0")
 
     def weights(add_up) -> dict[bytes, float]:
-        """The weights under the counts that add_up(words, counts, into) makes of the training words, a row for each piece and task."""
+        """The weights under what add_up(words, counts) makes of the training words, a row for each piece and task."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: dict[bytes, float] = {}
+            counts: Counter[bytes] = Counter()
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    add_up(part.column("word").to_pylist(), part.column("c").to_pylist(), counts)
+                for part in word_slices(batch):
+                    for piece, n in add_up(part.column("word").to_pylist(), part.column("c").to_pylist()):
+                        counts[piece] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
 
         counts = {bytes(p): n for p, n in train.mapInArrow(run, "piece binary, n double").groupBy("piece").agg(F.sum("n")).collect()}
         total = sum(prior.values()) + sum(counts.values()) + end
         return {p: math.log((w + counts.get(p, 0.0)) / total) for p, w in prior.items()} | {b"": math.log(end / total)}
 
-    def split(held: list[str], times: list[int], into: dict[bytes, float]) -> None:
+    def split(held: list[str], times: list[int]) -> Iterator[tuple[bytes, float]]:
         for ids, k in zip(processor(vocabulary).encode(held, num_threads=1), times, strict=True):
             for i in ids:
                 if pieces[i] is not None:
-                    into[pieces[i]] = into.get(pieces[i], 0.0) + k
+                    yield pieces[i], float(k)
 
     found = weights(split)
     for _ in range(rounds):
         lattice = Lattice({p: w for p, w in found.items() if p})
 
-        def expected(held: list[str], times: list[int], into: dict[bytes, float], lattice: Lattice = lattice) -> None:
-            for word, k in zip(held, times, strict=True):
-                lattice.expect(word.encode(), k, into)
+        def expected(held: list[str], times: list[int], lattice: Lattice = lattice) -> Iterator[tuple[bytes, float]]:
+            counts = lattice.expect([w.encode() for w in held], times)
+            for i in np.flatnonzero(counts).tolist():
+                yield lattice.pieces[i], float(counts[i])
 
         found = weights(expected)
     return found, found.pop(b"")
@@ -236,8 +230,9 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [lattice.log_probability(w.encode()) / log10 for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(scores, pa.float64())], names=["word", "c", "lp"])
+            for part in word_slices(batch):
+                scores = lattice.log_probabilities([w.encode() for w in part.column("word").to_pylist()]) / log10
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(scores)], names=["word", "c", "lp"])
 
     scored = words.mapInArrow(forward, "word string, c long, lp double")
     top = words.where("c > 0").orderBy(F.desc("c"), "word").limit(common)  # at most `common` rows for every task to hold

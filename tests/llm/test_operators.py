@@ -371,13 +371,24 @@ def test_lattice_sums_all_segmentations():
     def plain(text):
         return 1.0 if not text else sum(math.exp(weight[text[:i]]) * plain(text[i:]) for i in range(1, len(text) + 1) if text[:i] in weight)
 
-    for word in (b"a", b"abc", b"abcab", b"zz"):
-        assert math.isclose(lattice.log_probability(word), math.log(plain(lattice_lm.SPACE + word)))
-        products, logs = {}, {}
-        lattice.expect(word, 3, products)
-        lattice._expect_logs(lattice_lm.SPACE + word, 3, logs)
-        assert products.keys() == logs.keys() and all(math.isclose(products[p], logs[p], rel_tol=1e-9) for p in logs)
-    assert lattice.log_probability(b"q" * 5000) < -1000
+    def counts(text):
+        """Weighted piece counts over all segmentations."""
+        if not text:
+            return [(1.0, Counter())]
+        return [(math.exp(weight[text[:i]]) * w, c + Counter([text[:i]])) for i in range(1, len(text) + 1) if text[:i] in weight for w, c in counts(text[i:])]
+
+    held = [b"a", b"abc", b"", b"abcab", b"zz"]
+    got = lattice.log_probabilities(held)
+    assert all(math.isclose(x, math.log(plain(lattice_lm.SPACE + w))) for x, w in zip(got, held, strict=True))
+    expected, times = Counter(), [3, 1, 2, 5, 1]
+    for w, k in zip(held, times, strict=True):
+        paths = counts(lattice_lm.SPACE + w)
+        for x, c in paths:
+            for p, n in c.items():
+                expected[p] += k * n * x / sum(x for x, _ in paths)
+    shares = dict(zip(lattice.pieces, lattice.expect(held, times), strict=True))
+    assert all(math.isclose(shares[p], expected[p], rel_tol=1e-9, abs_tol=1e-12) for p in shares)
+    assert lattice.log_probabilities([b"q" * 5000])[0] < -1000 and abs(lattice.expect([b"q" * 5000], [1]).sum() - 5001) < 1e-6
 
 
 @pytest.mark.parametrize("common", [5, 100_000])
