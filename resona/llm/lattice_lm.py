@@ -38,7 +38,7 @@ from . import kernels as K
 from .frames import cut, fold, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Words that every task knows, and distinct words that a task holds before it passes them on.
+#: Words that every task knows at most, and distinct words that a task holds before it passes them on.
 COMMON, HELD = 100_000, 200_000
 ROUNDS = 3
 #: All pieces' prior weight together, in pieces.
@@ -235,7 +235,15 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(scores)], names=["word", "c", "lp"])
 
     scored = words.mapInArrow(forward, "word string, c long, lp double")
-    top = words.where("c > 0").orderBy(F.desc("c"), "word").limit(common)  # at most `common` rows for every task to hold
+    # the greatest counts, from a histogram of their logarithms: at most `common` rows for every task to hold
+    step = F.floor(F.log("c") * 16)
+    least, held = None, 0
+    for at, n in sorted(words.where("c > 0").groupBy(step.alias("at")).count().collect(), reverse=True):
+        held += n
+        if held > common:
+            break
+        least = at
+    top = words.where(F.lit(False) if least is None else (F.col("c") > 0) & (step >= least))
     known = {w.encode(): (c, math.log10(c + 0.5), lp) for w, c, lp in top.mapInArrow(forward, "word string, c long, lp double").collect()}
     shared = documents.sparkSession.sparkContext.broadcast(known)
     names = [key, "held_out", "uid", "word", "n", "n_tokens", "n_known", "base", "lp_sum"]
