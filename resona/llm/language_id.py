@@ -4,8 +4,13 @@ A text's vector has the hashed byte 2-, 3- and 4-grams of its lower-cased letter
 log(1 + count) times the inverse document frequency, and is normalised.  Each language has up to
 ``CLUSTERS`` centroids, from spherical k-means over a sample of at most ``SAMPLE`` labelled texts
 in all; document frequencies cover every training text.  A text gets the language of the centroid
-of the greatest cosine; it is rejected if that cosine is below ``MARGIN`` times what all but one in
-a hundred sampled texts of that language reach.
+of the greatest cosine.
+
+A long text meets every centroid in some buckets by chance, so rejection goes by the centred cosine,
+the correlation over buckets, which is near 0 for what the language did not make.  It is held
+against ``MARGIN`` times what all but one in a hundred texts of that language and about that many
+grams reach; these are the sampled texts and their first 1, 4, 16, 64 and 256 words, each scored by
+centroids of the half of the sample that it is not in.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and rejected; with nothing to
 learn from, so is every text; ties go to the language first in order; repeated rows are scored
@@ -14,6 +19,7 @@ alike; other columns stay; a null doc_id hashes as an empty one; an empty table
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +36,9 @@ from .frames import fold, table
 WIDTH = 4096
 #: Labelled texts that the centroids are fitted on, all languages together, and clusters of each.
 SAMPLE, CLUSTERS = 1600, 4
-MARGIN = 0.25
+MARGIN = 0.5
+#: Words of the beginnings that floors are set on, and the powers of two of grams that have a floor each.
+HEADS, LENGTHS = (1, 4, 16, 64, 256), 24
 ROWS = 512
 
 
@@ -61,10 +69,39 @@ class Model:
         x = np.log1p(counts).astype(np.float32) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = self.vectors(counts) @ self.centroids.T
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language and cosine of each text, and whether it is too far from that language."""
+        x = self.vectors(counts)
+        near = x @ self.centroids.T
         best = near.argmax(axis=1)
-        return self.language[best], near[np.arange(len(best)), best]
+        lang = self.language[best]
+        return lang, near[np.arange(len(best)), best], _centred(x, self.centroids)[np.arange(len(best)), best] < self.floor[lang, _length(counts)]
+
+
+def _centred(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines once each vector's mean is taken off: 0 for what falls into the buckets by chance."""
+    x, c = x - x.mean(axis=1, keepdims=True), centroids - centroids.mean(axis=1, keepdims=True)
+    return x @ c.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True) * np.linalg.norm(c, axis=1), 1e-12)
+
+
+def _length(counts: np.ndarray) -> np.ndarray:
+    """The power of two of a text's grams; repeats of a gram count by their logarithm, as they do in the vector."""
+    return np.minimum(np.log2(np.maximum(np.log2(1.0 + counts).sum(axis=1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _floors(lengths: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The floor of each length; a length that no text has lies between its neighbours."""
+    known = np.unique(lengths)
+    found = [max(MARGIN * np.quantile(scores[lengths == k], 0.01), 1e-6) for k in known]
+    return np.interp(np.arange(LENGTHS), known, found)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    """Counts from the buckets that have any, followed by their counts."""
+    at, n = np.frombuffer(held, "<u2").reshape(2, -1)
+    out = np.zeros(WIDTH, "<u2")
+    out[at] = n
+    return out
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -117,23 +154,45 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, clusters: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, rows=ROWS):
-                held = np.minimum(gram_counts(part.column("text")), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part.column(lang), pa.array([x.tobytes() for x in held], pa.binary())], names=[lang, "counts"])
+                texts = part.column("text")
+                held = np.minimum(gram_counts(texts), 65535).astype("<u2")
+                heads = [[] for _ in held]
+                for k in HEADS:
+                    short = [(i, " ".join(t[:k])) for i, t in enumerate(t.split(None, k) for t in texts.to_pylist()) if len(t) > k]
+                    for (i, _), x in zip(short, gram_counts(pa.array([t for _, t in short], pa.string())) if short else []):
+                        at = np.flatnonzero(x)
+                        heads[i].append(np.concatenate([at, np.minimum(x[at], 65535)]).astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(lang), pa.array([x.tobytes() for x in held], pa.binary()), pa.array(heads, pa.list_(pa.binary()))], names=[lang, "counts", "heads"])
 
     # the draw is a bound in expectation; the limit makes it one for repeated keys too
-    drawn = chosen.mapInArrow(run, f"`{lang}` string, counts binary").limit(2 * max(sample, 8 * len(names))).collect()
+    drawn = chosen.mapInArrow(run, f"`{lang}` string, counts binary, heads array<binary>").limit(2 * max(sample, 8 * len(names))).collect()
     drawn.sort(key=lambda r: (r[0], r[1]))
     frequency, n = _frequencies(rows.select("text"))
-    model = Model((np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(len(names)), names)
+    model = Model((np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros((len(names), LENGTHS)), names)
     for i, name in enumerate(names):
-        held = [np.frombuffer(r[1], "<u2") for r in drawn if r[0] == name]
-        if not held:
+        own = [r for r in drawn if r[0] == name]
+        if not own:
             continue
-        x = model.vectors(np.stack(held))
+        whole = np.stack([np.frombuffer(r[1], "<u2") for r in own])
+        x = model.vectors(whole)
         c = _clusters(x, clusters)
         model.centroids = np.concatenate([model.centroids, c])
         model.language = np.concatenate([model.language, np.full(len(c), i)])
-        model.floor[i] = MARGIN * np.quantile((x @ c.T).max(axis=1), 0.01)
+        # equal texts are in the same half
+        side = np.array([zlib.crc32(r[1]) & 1 for r in own], dtype=bool)
+        lengths, scores = [], []
+        for half in (side, ~side):
+            if not half.any():
+                continue
+            away = _clusters(x[~half], clusters) if (~half).any() else c
+            for j in np.flatnonzero(half):
+                held = np.stack([whole[j], *map(_unpacked, own[j][2])])
+                held = held[held.sum(axis=1) > 0]
+                lengths.append(_length(held))
+                scores.append(_centred(model.vectors(held), away).max(axis=1, initial=0))
+        lengths, scores = np.concatenate(lengths), np.concatenate(scores)
+        if len(lengths):
+            model.floor[i] = _floors(lengths, scores)
     return model if len(model.centroids) else None
 
 
@@ -150,10 +209,10 @@ def identify(documents: DataFrame, model: Model | None, text: str = "text", keep
                 held = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool) & (model is not None)
                 names, scores, rejected = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
                 if held.any():
-                    lang, near = model.predict(gram_counts(texts.filter(pa.array(held))))
+                    lang, near, far = model.predict(gram_counts(texts.filter(pa.array(held))))
                     names[held] = [model.names[i] for i in lang]
                     scores[held] = np.clip(near, 0, 1)
-                    rejected[held] = near < model.floor[lang]
+                    rejected[held] = far
                 new = [pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, "lang_pred", "score", "rejected"])
 

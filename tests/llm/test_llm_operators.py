@@ -436,6 +436,25 @@ def test_language_id_rejects_what_is_far(spark):
     assert language_id.identify(far, model).first().rejected
 
 
+ENGLISH = "the a of and to in is was that it for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world".split()
+GERMAN = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei schon wenn habe seine ihre dann unter wir soll ich eines kann gegen vom können wieder ihr immer zwischen viele jetzt sehr weil alle diese heute Jahre ohne sagt mehrere müssen Menschen würde gibt damit Straße geht Leben Schule Kinder Arbeit Welt Frage Stadt Land Zeit Wasser Freund spielen lernen schreiben machen später während größer schön wichtig".split()
+
+
+def test_language_id_rejects_long_texts_of_no_language_and_keeps_short_ones(spark):
+    rng = random.Random(9)
+    text = lambda words, k: " ".join(rng.choice(words) for _ in range(k))
+    rows = [(i, text(words, rng.randint(20, 400)), k) for i in range(160) for k, words in [[("en", ENGLISH), ("de", GERMAN)][i % 2]]]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    letters = lambda alphabet, k: " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(k))
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    far = [letters(latin, 20), letters(latin, 100), letters(latin, 2000), letters(latin + latin.upper() + "0123456789+/", 300).replace(" ", ""), letters("абвгдежзийклмнопрстуфхцчшщыьэюя", 100), letters([chr(0x4E00 + i) for i in range(3000)], 100)]
+    near = [text(words, k) for words in (ENGLISH, GERMAN) for k in (1, 2, 3, 6, 20, 100, 1000) for _ in range(10)]
+    near = [t for t in near if len(t) > 3]
+    held = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
+    got = [r.rejected for r in language_id.identify(held, model).orderBy("doc_id").collect()]
+    assert got == [True] * len(far) + [False] * len(near)
+
+
 # op10
 
 
