@@ -111,6 +111,13 @@ def note_conf(spark, sf_dir):
     return intervals.confidences(spans, scaled)
 
 
+@query()
+def note_conf_segments(spark, sf_dir):
+    """The confidence of each segment that decoding finds over all frames of a track; note_conf has made-up spans."""
+    scaled = _scaled(spark, sf_dir)
+    return intervals.confidences(intervals.merge_mono(intervals.runs(intervals.decode(scaled, HOP, LEAD), rest=N), HOP), scaled)
+
+
 @query()
 def mono_notes(spark, sf_dir):
     """All of the way from frames to notes; its steps have SQL of their own."""

@@ -39,8 +39,16 @@ def band_energy_sub5(spark, sf_dir):
  taps as (select range as row, greatest(0, least(439, range + d)) as source, w from range(440), k)
  select track, frame, t.row::int as row, round_even(sum(p * w), 9) as p from taps t join power s on s.row = t.source where t.row % 5 = 0 group by all""")
 def widen_rows(spark, sf_dir):
+    """Every fifth row of widen_rows_all."""
+    return widen_rows_all(spark, sf_dir).where("row % 5 = 0")
+
+
+@query(f"""with {FRAMES}, {_bands_sql(5)}, k(d, w) as (values (-1, 1 / 6.0), (0, 2 / 6.0), (1, 2 / 6.0), (2, 1 / 6.0)),
+ taps as (select range as row, greatest(0, least(439, range + d)) as source, w from range(440), k)
+ select track, frame, t.row::int as row, round_even(sum(p * w), 9) as p from taps t join power s on s.row = t.source group by all""")
+def widen_rows_all(spark, sf_dir):
     held = spectral.band_power(frames(spark, sf_dir), RATE, WIN, 5)
-    return held.select("track", "frame", F.posexplode(spectral.widen(F.col("p"), 440, 5)).alias("row", "p")).where("row % 5 = 0").withColumn("p", F.bround("p", 9))
+    return held.select("track", "frame", F.posexplode(spectral.widen(F.col("p"), 440, 5)).alias("row", "p")).withColumn("p", F.bround("p", 9))
 
 
 _POOLED = """sizes as (select track, greatest(1, ceil((max(frame) + 1) / {n}.0))::bigint as block from frames group by track),
@@ -77,7 +85,13 @@ def pool2d(spark, sf_dir):
 
 @query(f"with {FRAMES}, {_bands_sql(1)}, {_POOLED.format(n=20)}, {_QUANTISED} select track, row::int as row, col, round_even(pow(least(greatest(q / 255.0 + 6.0 / 70.0, 0.0), 1.0), 1 / 0.8), 9) as level from quantised where row between 20 and 59")
 def intensity(spark, sf_dir):
-    return _quantised(spark, sf_dir).where("row between 20 and 59").select("track", "row", "col", F.bround(S.intensity(F.col("q") / 255.0, 6.0, 70.0, 0.8), 9).alias("level"))
+    """The middle rows of intensity_all."""
+    return intensity_all(spark, sf_dir).where("row between 20 and 59")
+
+
+@query(f"with {FRAMES}, {_bands_sql(1)}, {_POOLED.format(n=20)}, {_QUANTISED} select track, row::int as row, col, round_even(pow(least(greatest(q / 255.0 + 6.0 / 70.0, 0.0), 1.0), 1 / 0.8), 9) as level from quantised")
+def intensity_all(spark, sf_dir):
+    return _quantised(spark, sf_dir).select("track", "row", "col", F.bround(S.intensity(F.col("q") / 255.0, 6.0, 70.0, 0.8), 9).alias("level"))
 
 
 _FRAMED = """sizes as (select track, max(n) + 1 as samples from signal group by track),

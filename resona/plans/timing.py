@@ -157,7 +157,13 @@ def event_summary(spark, sf_dir):
  r as (select event_type, k, value as speed from o where k = 1 union all select o.event_type, o.k, 0.7 * r.speed + 0.3 * o.value from r join o on o.event_type = r.event_type and o.k = r.k + 1)
  select event_type, k::int as k, round_even(speed, 6) as speed from r where k % 50 = 0""")
 def ewma_speed(spark, sf_dir):
-    """The speed of a transfer, seven tenths the last and three tenths the new, at every fiftieth event.
+    """Every fiftieth row of ewma_speed_all."""
+    return ewma_speed_all(spark, sf_dir).where("k % 50 = 0")
+
+
+@query()
+def ewma_speed_all(spark, sf_dir):
+    """The speed of a transfer, seven tenths the last and three tenths the new, at every event.
 
     What an event adds fades by 0.7 with each one after it, so a window of 120 holds all that a double can tell.
     """
@@ -165,4 +171,4 @@ def ewma_speed(spark, sf_dir):
     held = read(spark, sf_dir, "events").withColumn("k", F.row_number().over(by)).withColumn("near", F.collect_list("value").over(by.rowsBetween(-119, 0)))
     first = F.col("k") <= 120
     fold = F.aggregate(F.slice("near", F.lit(2), F.size("near") - 1), F.when(first, F.element_at("near", 1)).otherwise(F.lit(0.0)), lambda s, x: 0.7 * s + 0.3 * x)
-    return held.where("k % 50 = 0").select("event_type", "k", F.bround(fold, 6).alias("speed"))
+    return held.select("event_type", "k", F.bround(fold, 6).alias("speed"))
