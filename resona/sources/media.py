@@ -19,6 +19,10 @@ from ..functions import scalars as S
 LARGEST = 512 << 20
 
 
+class TooLarge(ValueError):
+    """A file of more than LARGEST bytes."""
+
+
 class UnsupportedFormat(ValueError):
     """The bytes are of a format that this engine does not decode."""
 
@@ -63,8 +67,12 @@ def wav_samples(data: bytes, start: float = 0.0, end: float | None = None) -> tu
 
 
 def read_wav(spark: SparkSession, path: str, start: float = 0.0, end: float | None = None) -> DataFrame:
-    """(track, ch, n, v, rate) of the files under a path."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= LARGEST).select("path", "content")
+    """(track, ch, n, v, rate) of the files under a path; TooLarge if any of them is, even for a slice."""
+    found = spark.read.format("binaryFile").load(path)
+    # only names and sizes are read here
+    if large := found.where(F.col("length") > LARGEST).select("path", "length").first():
+        raise TooLarge(f"{large.path} has {large.length} bytes, the most is {LARGEST}")
+    files = found.select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

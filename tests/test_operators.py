@@ -149,6 +149,16 @@ def test_wav_round_trip(spark, tmp_path):
         media.wav_samples(media.wav_bytes(x, 8000), start=5.0)
 
 
+def test_a_wav_file_too_large_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.wav").write_bytes(media.wav_bytes(np.zeros(100), 8000))
+    (tmp_path / "b.wav").write_bytes(media.wav_bytes(np.zeros(1000), 8000))
+    monkeypatch.setattr(media, "LARGEST", 1000)
+    with pytest.raises(media.TooLarge, match="b.wav has 2044 bytes"):
+        media.read_wav(spark, str(tmp_path), end=0.01)
+    monkeypatch.setattr(media, "LARGEST", 2044)
+    assert media.read_wav(spark, str(tmp_path)).count() == 1100
+
+
 def test_fingerprint(spark):
     import hashlib
 
