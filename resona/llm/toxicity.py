@@ -1,22 +1,29 @@
 """Toxicity: a factorization machine over hashed terms.
 
 The terms of a text are 64-bit hashes of its lower-cased words of letters and of their first four
-and five bytes.  Those that go with the label, by their log-likelihood ratio over the sampled
-training rows, are the model's features, present or not; the machine learns a weight for each and,
-as inner products of ``RANK`` factors, one for each pair.
+and five bytes, present or not.  The machine has a weight for each feature and, as inner products of
+``RANK`` factors, one for each pair of features.  Two tests on the training rows choose the features:
+
+* alone: log-likelihood ratio of term and label, of either sign, at a false discovery rate of ``FALSE``;
+* in pairs: among the ``COMMON`` terms of most texts and the ``STRONG`` best of the first test, the score
+  test of a pair's weight given a machine without pairs, at ``FALSE`` by Bonferroni.  So a term that tells
+  nothing alone, such as the mention of a group, is a feature if it does beside another.
 
 It is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of doc_id, equal texts once.
 Scoring reads every text whole.
 
 Cases: a null or empty text, and any text when nothing can be learned, gets the score of a text
-without features; several labels of one doc_id count as toxic if one is; repeated rows are scored
-alike; other columns stay; an empty table gives none.
+without features; several labels of one doc_id, or of equal texts, count as toxic if one is; terms of
+equal evidence go by their hash; a text of any length is read in one slice of its own; repeated rows
+are scored alike; other columns stay; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +33,14 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .frames import cut, fold, table
 
-#: Labelled rows that the model is fitted on, and the features and pair factors it has.
+#: Labelled rows that the model is fitted on, the features it has at most from the first test, and pair factors.
 SAMPLE, FEATURES, RANK = 20_000, 4096, 8
-#: Least log-likelihood ratio of a feature, and the score from which a text is predicted toxic.
-EVIDENCE, THRESHOLD = 24.0, 0.3
+#: Terms whose pairs are tested: those of most texts, and the best of the first test.
+COMMON, STRONG = 768, 256
+#: Rate of false features that the tests allow, and the score from which a text is predicted toxic.
+FALSE, THRESHOLD = 0.1, 0.3
+#: Texts of a step of learning.
+BATCH = 2048
 PREFIXES = (4, 5)
 
 
@@ -83,20 +94,27 @@ class Finder:
 
 
 def _learn(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, listed: np.ndarray, rank: int, rounds: int = 300) -> Model:
-    """Full-batch Adam on the logistic loss; factors begin at small fixed values."""
-    n, m = len(labels), len(listed)
+    """Adam on the logistic loss, each step on the texts of one of a few fixed batches; factors begin at small fixed values."""
+    m, rng = len(listed), np.random.default_rng(42)
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    theta = [np.array([np.log(base / (1 - base))]), np.zeros(m), np.random.default_rng(42).normal(0, 0.01, (m, rank))]
+    theta = [np.array([np.log(base / (1 - base))]), np.zeros(m), rng.normal(0, 0.01, (m, rank))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    batches, dealt, place = [], -(-len(labels) // BATCH), rng.permutation(len(labels))
+    for k in range(dealt):
+        chosen = np.flatnonzero(place[rows] % dealt == k)
+        own, at = np.unique(rows[chosen], return_inverse=True)
+        rest = np.setdiff1d(np.flatnonzero(place % dealt == k), own)
+        batches.append((at, ids[chosen], labels[np.concatenate([own, rest])]))
     for step in range(1, rounds + 1):
-        bias, weights, factors = theta
-        sums = np.stack([np.bincount(rows, f[ids], n) for f in factors.T], axis=1)
-        squares = np.bincount(rows, (factors[ids] ** 2).sum(axis=1), n)
-        z = bias[0] + np.bincount(rows, weights[ids], n) + ((sums**2).sum(axis=1) - squares) / 2
-        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
-        per = slope[rows]
-        pulls = np.stack([np.bincount(ids, per * sums[rows, f], m) for f in range(rank)], axis=1)
-        own = np.bincount(ids, per, m)
+        (at, of, truth), (bias, weights, factors) = batches[step % dealt], theta
+        n = len(truth)
+        sums = np.stack([np.bincount(at, f[of], n) for f in factors.T], axis=1) if rank else np.zeros((n, 0))
+        squares = np.bincount(at, (factors[of] ** 2).sum(axis=1), n)
+        z = bias[0] + np.bincount(at, weights[of], n) + ((sums**2).sum(axis=1) - squares) / 2
+        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - truth) / n
+        per = slope[at]
+        pulls = np.stack([np.bincount(of, per * sums[at, f], m) for f in range(rank)], axis=1) if rank else np.zeros((m, 0))
+        own = np.bincount(of, per, m)
         gradients = [np.array([slope.sum()]), own + 1e-6 * weights, pulls - own[:, None] * factors + 1e-5 * factors]
         for i, g in enumerate(gradients):
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -105,16 +123,43 @@ def _learn(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, listed: np.nda
     return Model(listed, float(theta[0][0]), theta[1], theta[2])
 
 
+def _discovered(evidence: np.ndarray, tested: int) -> int:
+    """How many of the likelihood ratios, greatest first, pass at a false discovery rate of FALSE among those tested (Benjamini and Hochberg)."""
+    chance = np.array([erfc(sqrt(max(e, 0.0) / 2)) for e in evidence])
+    passed = np.flatnonzero(chance <= FALSE * np.arange(1, len(chance) + 1) / max(tested, 1))
+    return int(passed[-1]) + 1 if len(passed) else 0
+
+
+def _in_pairs(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, expected: np.ndarray, m: int) -> np.ndarray:
+    """Which of m features have a pair whose weight is not 0, given what a machine without pairs expects of each text."""
+    pull, spread = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    ends = np.searchsorted(rows, np.arange(0, len(labels) + BATCH, BATCH))
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        span = slice(k * BATCH, min((k + 1) * BATCH, len(labels)))
+        there = np.zeros((span.stop - span.start, m), np.float32)
+        there[rows[a:b] - span.start, ids[a:b]] = 1
+        pull += there.T @ (there * (labels - expected)[span, None].astype(np.float32))
+        spread += there.T @ (there * (expected * (1 - expected))[span, None].astype(np.float32))
+    pairs = max(m * (m - 1) // 2, 1)
+    strong = np.abs(pull) > NormalDist().inv_cdf(1 - FALSE / pairs / 2) * np.sqrt(spread + 1)
+    np.fill_diagonal(strong, False)
+    return strong.any(axis=1)
+
+
+def _longs(found: DataFrame) -> np.ndarray:
+    return np.array([r[0] for r in found.collect()], np.int64).view(np.uint64)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, rank: int = RANK, key: str = "doc_id") -> Model:
     """A model of labels (doc_id, toxic) for documents (doc_id, text)."""
     held = labels.where("toxic is not null").select(F.col(key).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     share = sample / max(1, held.count())
-    drawn = held.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), 1 << 30) / float(1 << 30) < share).limit(2 * sample)
-    drawn = cut(drawn.groupBy("_id").agg(F.max("toxic").alias("toxic")))
+    drawn = held.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), 1 << 30) / float(1 << 30) < share)
+    drawn = cut(drawn.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample))
     documents = documents.select(key, "text")
     rows = documents.join(F.broadcast(drawn), documents[key] == drawn["_id"]).where("text is not null")  # at most 2 * sample rows of 12 bytes
-    rows = rows.select(key, "text", "toxic", F.xxhash64("text").alias("_same")).dropDuplicates(["_same"]).select(F.xxhash64(key, "_same").alias("row"), "text", "toxic")
-    rows = cut(rows)
+    # one row of equal texts, whichever comes first
+    rows = cut(rows.groupBy(F.xxhash64("text").alias("row")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,26 +179,40 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     if not 0 < t < n:
         return Model(np.zeros(0, np.uint64), -4.0 if not t else 4.0, np.zeros(0), np.zeros((0, rank)))
     by_term = rows.mapInArrow(counts, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("n >= 3")
-    ratio = lambda a, b: F.when(a > 0, a * F.ln(a / b)).otherwise(0.0)
+    ratio = lambda a, b: F.when((a > 0) & (b > 0), a * F.ln(F.try_divide(a, b))).otherwise(0.0)
     there, away = F.col("t").cast("double"), F.lit(float(t)) - F.col("t")
     there0, away0 = (F.col("n") - F.col("t")).cast("double"), F.lit(float(n - t)) - (F.col("n") - F.col("t"))
     in_, out = F.col("n") / float(n), 1 - F.col("n") / float(n)
     evidence = 2 * (ratio(there, in_ * float(t)) + ratio(away, out * float(t)) + ratio(there0, in_ * float(n - t)) + ratio(away0, out * float(n - t)))
-    best = by_term.where(F.col("t") * float(n) > F.col("n") * float(t)).withColumn("e", evidence).where(F.col("e") >= EVIDENCE)
-    listed = np.sort(np.array([r[0] for r in best.orderBy(F.desc("e"), "term").limit(features).select("term").collect()], np.int64).view(np.uint64))
+    tested = cut(by_term.select("term", "n", evidence.alias("e")))
+    best = tested.orderBy(F.desc("e"), "term").limit(features).select("term", "e").collect()
+    alone = np.array([r[0] for r in best], np.int64).view(np.uint64)[: _discovered(np.array([r[1] for r in best]), tested.count())]
+    often = _longs(tested.orderBy(F.desc("n"), "term").limit(COMMON).select("term"))
+    listed = np.union1d(alone, often)
     find = Finder(listed)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
                 at, ids = find(*terms(part.column("text")))
-                held_ids = np.split(ids.astype(np.int32), np.searchsorted(at, np.arange(1, part.num_rows)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("toxic"), pa.array(held_ids, pa.list_(pa.int32()))], names=["row", "toxic", "ids"])
-
-    fitted = sorted(rows.mapInArrow(present, "row long, toxic int, ids array<int>").collect())
-    ids = [np.array(r[2], np.int64) for r in fitted]
-    at = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    return _learn(at, np.concatenate(ids).astype(np.int64), np.array([r[1] for r in fitted], float), listed, rank)
+                held_ids = [x.tobytes() for x in np.split(ids.astype("<i4"), np.searchsorted(at, np.arange(1, part.num_rows)))]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("toxic"), pa.array(held_ids, pa.binary())], names=["row", "toxic", "ids"])
+
+    fitted = sorted(rows.mapInArrow(present, "row long, toxic int, ids binary").collect())
+    sizes, truth = np.array([len(r[2]) // 4 for r in fitted]), np.array([r[1] for r in fitted], float)
+    at, ids = np.repeat(np.arange(len(fitted)), sizes), np.frombuffer(b"".join(r[2] for r in fitted), "<i4").astype(np.int64)
+
+    def among(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(listed), -1)
+        place[np.searchsorted(listed, chosen)] = np.arange(len(chosen))
+        held = place[ids] >= 0
+        return at[held], place[ids[held]]
+
+    alone_only = _learn(*among(np.sort(alone)), truth, np.sort(alone), 0, 100)
+    paired = np.union1d(often, alone[:STRONG])
+    both = _in_pairs(*among(paired), truth, alone_only.score(*among(np.sort(alone)), len(truth)), len(paired))
+    chosen = np.union1d(alone, paired[both])
+    return _learn(*among(chosen), truth, chosen, rank)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

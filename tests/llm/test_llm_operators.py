@@ -186,6 +186,50 @@ def test_factorization_machine_learns_pairs():
     assert ((flipped.score(rows, ids, len(x)) > 0.5) == np.array([0, 1, 1, 0] * 60)).all()
 
 
+def labelled_texts(kind, n=4000):
+    """Texts whose label no sum of single words tells: one of two words, or an insult with the mention of a group (or a slur)."""
+    rng = random.Random(5)
+    common = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        t = [rng.choice(common) for _ in range(rng.randint(5, 40))]
+        if kind == "either":
+            one, two = rng.random() < 0.5, rng.random() < 0.5
+            t += ["alphaword"] * one + ["betaword"] * two
+            toxic = one != two
+        else:
+            group, slur, insult = rng.random() < 0.6, rng.random() < 0.1, rng.random() < 0.28
+            t += ["groupies"] * group + ["slurring"] * slur + ["insulting"] * insult
+            toxic = slur or (insult and group)
+        rng.shuffle(t)
+        rows.append((i, " ".join(t), int(toxic)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["either", "insult"])
+def test_toxicity_learns_pairs_from_texts(spark, kind):
+    rows = labelled_texts(kind)
+    held = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(held, held.select("doc_id", "toxic").where("doc_id % 4 != 2"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(held.drop("toxic"), model).collect()}
+    tested = [(got[i], y) for i, _, y in rows if i % 4 == 2]
+    assert np.mean([a == b for a, b in tested]) > 0.95
+    assert np.mean([b for a, b in tested if a]) > 0.95 and np.mean([a for a, b in tested if b]) > 0.95
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    """Equal texts with different labels, and repeated ids, in any order."""
+    rows = [(i, f"plain words {i % 9}" if i % 3 else f"scum words {i % 9}", int(i % 3 == 0 and i % 2)) for i in range(300)]
+    rows += [(r[0], r[1], 1 - r[2]) for r in rows[:40]]
+    scores = []
+    for seed, parts in ((0, 1), (1, 3), (2, 7)):
+        random.Random(seed).shuffle(rows)
+        held = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(parts)
+        model = toxicity.fit(held.select("doc_id", "text"), held.select("doc_id", "toxic"))
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(held.select("doc_id", "text"), model).collect()))
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_toxicity_without_labels(docs, spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(docs.select("doc_id", "text"), model).collect()} == {0}
