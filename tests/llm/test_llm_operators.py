@@ -239,31 +239,50 @@ def test_toxicity_without_labels(docs, spark):
 
 
 def brute_topk(rows, k=5, every=50):
-    held = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * x) for x in v]
-            held[i] = min(held.get(i, q), q)
+    held = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in held:
-        if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=False)), i) for i, v in held.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for q in sorted({i for i, _ in held if i % every == 0}):
+        best = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for j, u in held if j == q for i, v in held if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("block", [30, 4096])
 def test_topk(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "LEAST_BLOCK", block)
     monkeypatch.setattr(topk_search, "BLOCK", block)
-    monkeypatch.setattr(topk_search, "QUERIES", 3)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=16).astype(np.float32)]) for i in range(300)]
-    rows += [(i, rows[50][1]) for i in range(300, 330)] + [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (None, rows[0][1]), (450, []), (451, [1.0]), rows[7], (7, rows[8][1])]
+    rows += [(i, rows[50][1]) for i in range(300, 330)] + [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (None, rows[0][1]), (450, []), (451, [1.0]), rows[7], (7, rows[8][1]), (50, rows[9][1])]
     held = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
     got = sorted(tuple(r) for r in topk_search.search(held, F.col("vec_id") % 50 == 0).collect())
     assert got == brute_topk([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
 
 
+@pytest.mark.parametrize("size", [1e3, 1e6, 1e12])
+def test_topk_of_great_components(spark, monkeypatch, size):
+    """Exact where doubles are not; vectors have few components, so that scores fit 64 bits, and near ties."""
+    monkeypatch.setattr(topk_search, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(topk_search, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    small = [(i, [float(x) for x in rng.integers(-3, 4, 8)]) for i in range(120)]
+    big = [(i + 120, [size + float(rng.integers(0, 3)), *(float(x) / 256 for x in rng.integers(0, 3, 7))]) for i in range(60)]
+    rows = small + big if size < 1e6 else [(i, v) for i, v in small] + [(i, v if i % 50 else [1.0 / 256, *v[1:]]) for i, v in big]
+    got = sorted(tuple(r) for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    expected = brute_topk(rows)
+    assert max(abs(r[3]) for r in expected) < 1 << 63
+    assert got == expected
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    held = spark.createDataFrame([(0, [8e6] * 8), (1, [8e6] * 8)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk_search.search(held, F.col("vec_id") % 50 == 0).collect()
+    held = spark.createDataFrame([(0, [8e6] * 8), (1, [-1.0] * 8), (2, [3e38] * 8)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk_search.search(held, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_topk_of_few(spark):
     held = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.search(held, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
