@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: spark.checkpoint.dir, and a temporary one only where that is unset, as in tests."""
+    """The checkpoint folder: spark.checkpoint.dir, and a temporary one only where that is unset and one machine does all.
+
+    A cluster without the setting is an error, since no folder of one machine would do there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -67,3 +73,16 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever that is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def salted(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """A join on a key that may be hot on the left: its rows are dealt by a hash of ``by``, and the right side, one row a key, is there for each salt."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [on, "_salt"], how).drop("_salt")

@@ -15,7 +15,8 @@ pairs; alternating large and small stars then join them across buckets.
 
 Cases: a null or blank text has fingerprint zero and links like any other; a text of fewer words
 than a shingle is one shingle; a component is named by its smallest non-null doc_id, null if it has
-none; repeated rows get the same values; other columns stay.
+none; repeated rows get the same values; a text of any length is hashed whole, in a slice of its own;
+other columns stay, and clashing ones give way; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import cut, lookup, table
+from .frames import cut, lookup, salted, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Columns of the pivot table.
@@ -174,8 +175,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     nodes = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("_low")))
     roots = components(links(nodes.select("fingerprint"), radius))
     named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "_low", F.coalesce("root", "fingerprint").alias("root"))
-    lows = named.groupBy("root").agg(F.min("_low").alias("component_id"))
-    owner = named.join(lows, "root").select(F.col("fingerprint").alias("_print"), "component_id")
+    # a component may hold a large share of all nodes: they are added up before the shuffle, and the way back is salted
+    lows = named.groupBy("root").agg(F.count("*").alias("_n"), F.min("_low").alias("component_id")).where("_n > 1").drop("_n")
+    owner = salted(named, lows, "root", "fingerprint", how="left").select(F.col("fingerprint").alias("_print"), F.coalesce("component_id", "_low").alias("component_id"))
     return prints.drop("component_id").join(owner, F.col("fingerprint") == F.col("_print")).drop("_print")
 
 

@@ -17,7 +17,9 @@ windows by 96.  Hot anchors are added up before they are shuffled, and the joins
 Spark can split.
 
 Cases: a null text has no words; texts shorter than a window keep all; equal rows repeat each other;
-a text that repeats itself loses both places; other columns stay; an empty table gives none.
+a text that repeats itself loses both places; of grams with equal hashes in a window the first is its
+anchor; a text of any length is worked on whole, in a slice of its own; other columns stay, and
+clashing ones give way; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -142,13 +144,13 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
 
     found = rows.select("_key", text).mapInArrow(anchors, "seed long, context long, _of long, n long")
     # written first, so that the join below can split the anchors of a hot seed
-    repeated = cut(found.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"))
-    seeds = stash(found.join(repeated, "seed", "left_semi"))
-    kinds = seeds.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min("_of").alias("_of"))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    repeated = found.groupBy("seed").agg(F.sum("n").alias("n"), (F.min("context") != F.max("context")).alias("several"))
+    repeated = cut(repeated.where("n > 1").select("seed", "several"))
+    seeds = stash(found.join(repeated, "seed"))
+    kinds = seeds.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min("_of").alias("_of"), F.max("several").alias("several"))
     whole = seeds.join(kinds.where("n > 1").select("seed", "context"), ["seed", "context"], "left_semi").select("_of", "context", F.lit(-1).alias("windows"))
 
-    ends = kinds.join(several, "seed", "left_semi").select("_of", F.struct("context", (F.col("n") == 1).alias("alone")).alias("item"))
+    ends = kinds.where("several").select("_of", F.struct("context", (F.col("n") == 1).alias("alone")).alias("item"))
     asked = ends.groupBy("_of").agg(F.collect_list("item").alias("_asked"))  # as many as the text has anchors
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
