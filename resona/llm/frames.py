@@ -81,8 +81,8 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def salted(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, on: list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """A join on a key that may be hot on the left: its rows are dealt by a hash of ``by``, and the right side, one row a key, is there for each salt."""
     left = left.withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -3,7 +3,8 @@
 A text's vector has the hashed byte 2-, 3- and 4-grams of its lower-cased letters, weighted
 log(1 + count) times the inverse document frequency, and is normalised.  Each language has up to
 ``CLUSTERS`` centroids, from spherical k-means over a sample of at most ``SAMPLE`` labelled texts
-in all; document frequencies cover every training text.  A text gets the language of the centroid
+in all, or ``LEAST`` of each language if those are more; the ``LANGUAGES`` with most texts can be
+learned, so dirty values of the column do not make the model grow; document frequencies cover every training text.  A text gets the language of the centroid
 of the greatest cosine.
 
 A long text meets every centroid in some buckets by chance, so rejection goes by the centred cosine,
@@ -14,7 +15,8 @@ centroids of the half of the sample that it is not in.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and rejected; with nothing to
 learn from, so is every text; ties go to the language first in order; repeated rows are scored
-alike; other columns stay; a null doc_id hashes as an empty one; an empty table gives none.
+alike; a text of any length is read whole, in a slice of its own; other columns stay, and clashing
+ones give way; a null doc_id hashes as an empty one; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .frames import fold, table
 WIDTH = 4096
 #: Labelled texts that the centroids are fitted on, all languages together, and clusters of each.
 SAMPLE, CLUSTERS = 1600, 4
+#: Languages that can be learned, and the least sample of each.
+LANGUAGES, LEAST = 200, 8
 MARGIN = 0.5
 #: Words of the beginnings that floors are set on, and the powers of two of grams that have a floor each.
 HEADS, LENGTHS = (1, 4, 16, 64, 256), 24
@@ -142,14 +146,15 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = CLUSTERS, lang: str = "lang", key: str = "doc_id") -> Model | None:
     """A model of the rows where train holds and lang is not null."""
     rows = documents.where(train & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy(lang).count().collect())
+    counts = dict(rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect())
     if not counts:
         return None
     names = sorted(counts)
-    each = max(8, sample // len(names))
+    each = max(LEAST, sample // len(names))
     draw = F.pmod(F.xxhash64(F.lit("language"), key, F.xxhash64("text")), 1 << 30) / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(x) for name in names for x in (name, min(1.0, each / counts[name])))), F.col(lang))
-    chosen = rows.where(draw < share).select(lang, "text")
+    shares = documents.sparkSession.createDataFrame([(name, min(1.0, each / counts[name])) for name in names], "_lang string, _share double")
+    rows = rows.join(F.broadcast(shares), F.col(lang) == F.col("_lang"))  # at most LANGUAGES rows
+    chosen = rows.where(draw < F.col("_share")).select(lang, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +170,7 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, clusters: int
                 yield pa.RecordBatch.from_arrays([part.column(lang), pa.array([x.tobytes() for x in held], pa.binary()), pa.array(heads, pa.list_(pa.binary()))], names=[lang, "counts", "heads"])
 
     # the draw is a bound in expectation; the limit makes it one for repeated keys too
-    drawn = chosen.mapInArrow(run, f"`{lang}` string, counts binary, heads array<binary>").limit(2 * max(sample, 8 * len(names))).collect()
+    drawn = chosen.mapInArrow(run, f"`{lang}` string, counts binary, heads array<binary>").limit(2 * max(sample, LEAST * len(names))).collect()
     drawn.sort(key=lambda r: (r[0], r[1]))
     frequency, n = _frequencies(rows.select("text"))
     model = Model((np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros((len(names), LENGTHS)), names)

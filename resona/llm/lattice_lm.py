@@ -1,10 +1,12 @@
 """Language-model scoring over the lattice of subword segmentations.
 
-The pieces are those of an existing subword vocabulary.  A piece's weight begins as how often it
-occurs where the vocabulary's own rule splits the training words, added to a prior that follows the
-vocabulary's scores; then ``ROUNDS`` rounds of expectation maximisation over all training words
-replace the counts by expected ones.  The end of a text is one more outcome.  A text's probability is the sum over
-all its segmentations into pieces.  Pieces do not cross words, so that sum is a product over words,
+The pieces are those of an existing subword vocabulary.  Its scores are ranks, not logarithms of
+probabilities, so a piece of rank k is given the share 1 / (k + 2) of all (``vocabulary_shares``).
+These shares alone weight the segmentations of ``vocab_score``.  For ``score`` they are the prior: a
+piece's weight begins as how often it occurs where the vocabulary's own rule splits the training
+words, added to the prior; then ``ROUNDS`` rounds of expectation maximisation over all training words
+replace the counts by expected ones.  The end of a text is one more outcome.  A text's probability is
+the sum over all its segmentations into pieces.  Pieces do not cross words, so that sum is a product over words,
 and the forward recursion over a word's lattice, in logarithms, runs once for each distinct word of
 all the texts.  Any byte may also be its byte piece, so no text has probability zero.
 
@@ -15,8 +17,9 @@ the words that are among the ``COMMON`` most frequent, which every task knows, a
 travel to the table of words and back, so no key is hot.
 
 Cases: a null or empty text is the end alone; a null doc_id hashes as an empty one; repeated rows
-are texts of their own; with no training rows all counts are 0; a word of any length is scored
-whole; an empty table gives none.
+are texts of their own; with no training rows all counts are 0; words of equal counts are both common
+or both not; a text or word of any length is scored whole; columns other than the two named are not
+read, so their names cannot clash; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -108,30 +111,33 @@ class Lattice:
         piece, start, size, of, to = piece[order], start[order], size[order], of[order], to[order]
         return piece, start + of, start + size + of, of, to, stop + np.arange(len(words))
 
-    def _forward(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        piece, first, last, of, to, final = self._edges(words)
+    def _forward(self, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        piece, first, last, of, to, final = edges
         reach = np.full(int(final[-1]) + 1, -np.inf)
         reach[np.concatenate([[0], final[:-1] + 1])] = 0.0
         through = np.empty(len(piece))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            through[a:b] = reach[first[a:b]] + self.weight[piece[a:b]]
+            through[a:b] = reach[first[a:b]] + weight[piece[a:b]]
             opens = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1]))
             reach[last[a:b][opens]] = np.logaddexp.reduceat(through[a:b], opens)
         return piece, first, last, of, cuts, through, reach, final
 
-    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
-        """Natural logarithms of the sums, over all segmentations, of the products of the pieces' weights."""
+    def log_probabilities(self, words: list[bytes], *others: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the sums, over all segmentations, of the products of the pieces' weights; a row more for each of the other weights."""
         if not words:
-            return np.zeros(0)
-        *_, reach, final = self._forward(words)
-        return reach[final]
+            return np.zeros((1 + len(others), 0)) if others else np.zeros(0)
+        edges, found = self._edges(words), []
+        for weight in (self.weight, *others):
+            *_, reach, final = self._forward(edges, weight)
+            found.append(reach[final])
+        return np.stack(found) if others else found[0]
 
     def expect(self, words: list[bytes], times: list[int]) -> np.ndarray:
         """How often each piece is expected in the words, times over."""
         if not words:
             return np.zeros(len(self.pieces))
-        piece, first, last, of, cuts, through, reach, final = self._forward(words)
+        piece, first, last, of, cuts, through, reach, final = self._forward(self._edges(words), self.weight)
         rest = np.zeros(len(reach))  # share of a word's whole that passes a node
         rest[final] = 1.0
         share = np.exp(through - reach[last])
@@ -170,15 +176,21 @@ def count_words(documents: DataFrame, train: Column, text: str = "text") -> Data
     return documents.select(text, train.alias("_train")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def piece_weights(words: DataFrame, n_texts: int, vocabulary: str, rounds: int = ROUNDS) -> tuple[dict[bytes, float], float]:
-    """Natural logarithms of the pieces' weights and of the end's."""
+def vocabulary_shares(vocabulary: str = VOCABULARY) -> dict[bytes, float]:
+    """Each piece's share by the rank of its score, greatest first; together they are 1."""
     model, pieces = processor(vocabulary), piece_bytes(vocabulary)
     scores = {i: model.get_score(i) for i, p in enumerate(pieces) if p is not None}
-    place = {i: k for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i)))}
-    harmonic = sum(1 / (k + 2) for k in range(len(place)))
-    prior: dict[bytes, float] = {}
-    for i, k in place.items():
-        prior[pieces[i]] = prior.get(pieces[i], 0.0) + PRIOR / (k + 2) / harmonic
+    harmonic = sum(1 / (k + 2) for k in range(len(scores)))
+    shares: dict[bytes, float] = {}
+    for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))):
+        shares[pieces[i]] = shares.get(pieces[i], 0.0) + 1 / (k + 2) / harmonic
+    return shares
+
+
+def piece_weights(words: DataFrame, n_texts: int, vocabulary: str, rounds: int = ROUNDS) -> tuple[dict[bytes, float], float]:
+    """Natural logarithms of the pieces' weights and of the end's."""
+    pieces = piece_bytes(vocabulary)
+    prior = {p: PRIOR * share for p, share in vocabulary_shares(vocabulary).items()}
     end = n_texts + 0.5
     train = words.where("c > 0")
 
@@ -217,7 +229,7 @@ def piece_weights(words: DataFrame, n_texts: int, vocabulary: str, rounds: int =
 
 
 def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, common: int = COMMON, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, vocab_score) of every row."""
     rows = documents.select(F.col(key), held_out.alias("held_out"), F.col(text).alias("text"))
     words = cut(count_words(rows, ~F.col("held_out")))
     n_words, n_kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -225,16 +237,20 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
     tokens, kinds = n_words + n_texts, n_kinds + (n_texts > 0)
     weight, end = piece_weights(words, n_texts, vocabulary)
     lattice = Lattice(weight)
+    # the vocabulary's weights leave the end the share that it has of the training tokens
+    ends = (n_texts + 0.5) / (tokens + 1)
+    by_rank = vocabulary_shares(vocabulary)
+    plain, plain_end = np.log(np.array([by_rank[p] for p in lattice.pieces])) + math.log(1 - ends), math.log(ends)
     per_token = math.log10(tokens + 0.5 * (kinds + 1))
     log10 = math.log(10)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in word_slices(batch):
-                scores = lattice.log_probabilities([w.encode() for w in part.column("word").to_pylist()]) / log10
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(scores)], names=["word", "c", "lp"])
+                scores = lattice.log_probabilities([w.encode() for w in part.column("word").to_pylist()], plain) / log10
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), *map(pa.array, scores)], names=["word", "c", "lp", "lv"])
 
-    scored = words.mapInArrow(forward, "word string, c long, lp double")
+    scored = words.mapInArrow(forward, "word string, c long, lp double, lv double")
     # the greatest counts, from a histogram of their logarithms: at most `common` rows for every task to hold
     step = F.floor(F.log("c") * 16)
     least, held = None, 0
@@ -244,10 +260,10 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
             break
         least = at
     top = words.where(F.lit(False) if least is None else (F.col("c") > 0) & (step >= least))
-    known = {w.encode(): (c, math.log10(c + 0.5), lp) for w, c, lp in top.mapInArrow(forward, "word string, c long, lp double").collect()}
+    known = {w.encode(): (c, math.log10(c + 0.5), lp, lv) for w, c, lp, lv in top.mapInArrow(forward, "word string, c long, lp double, lv double").collect()}
     shared = documents.sparkSession.sparkContext.broadcast(known)
-    names = [key, "held_out", "uid", "word", "n", "n_tokens", "n_known", "base", "lp_sum"]
-    schema = StructType([StructField(f.name, f.dataType) for f in rows.select(key, "held_out").schema]).add("uid", "long").add("word", "string").add("n", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("lp_sum", "double")
+    names = [key, "held_out", "uid", "word", "n", "n_tokens", "n_known", "base", "lp_sum", "lv_sum"]
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.select(key, "held_out").schema]).add("uid", "long").add("word", "string").add("n", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("lp_sum", "double").add("lv_sum", "double")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each text, under a word that no text has, and one of each of its less common words."""
@@ -259,7 +275,7 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
                 for i, t in enumerate(part.column("text").to_pylist()):
                     uid += 1
                     held = words_of(t)
-                    n_known, base, lp = end_known, end_base, end / log10
+                    n_known, base, lp, lv = end_known, end_base, end / log10, plain_end / log10
                     for w, k in Counter(held).items():
                         found = listed.get(w)
                         if found is None:
@@ -271,11 +287,12 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
                             n_known += k
                             base += k * found[1]
                             lp += k * found[2]
+                            lv += k * found[3]
                     uids.append(uid)
                     word.append(b" %d" % uid)
                     n.append(0)
                     row.append(i)
-                    heads.append((len(held) + 1, n_known, base, lp))
+                    heads.append((len(held) + 1, n_known, base, lp, lv))
                 at = pa.array(row, pa.int64())
                 fields = [pa.array(x).take(at) for x in zip(*heads, strict=True)]
                 columns = [part.column(key).take(at), part.column("held_out").take(at), pa.array(uids, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), *fields]
@@ -291,8 +308,9 @@ def score(documents: DataFrame, held_out: Column, vocabulary: str = VOCABULARY,
         (F.max("n_known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
         (F.max("base") + F.sum(F.when(F.col("n") > 0, F.col("n") * F.log10(c + 0.5)).otherwise(0.0))).alias("base"),
         (F.max("lp_sum") + F.sum(F.coalesce(F.col("n") * F.col("lp"), F.lit(0.0)))).alias("score"),
+        (F.max("lv_sum") + F.sum(F.coalesce(F.col("n") * F.col("lv"), F.lit(0.0)))).alias("vocab_score"),
     )
-    return whole.select(key, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score")
+    return whole.select(key, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score", "vocab_score")
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ beyond ``IMAGE`` go on in a further image of the same binary value, so that a ta
 not grow with a text.
 
 Cases: a null or empty text is stored as 64 zero bytes; equal texts give equal values; repeated
-rows are stored each; other columns stay; an empty table gives none; bytes that are no image raise.
+rows are stored each; a text of any length goes on in further images; other columns stay, and
+clashing ones give way; an empty table gives none; bytes that are no image raise.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ its id and the seed falls below the fraction of the rate.  The draws are the sam
 
 Cases: a null text has size 0; a null source is a source of its own, ranked last; a source of size
 0 has target 0 and gives nothing; repeated rows are documents of their own with the same draw; a
-null doc_id draws as an empty id; an empty table gives an empty mix.
+null doc_id draws as an empty id; a text of any length is counted whole; sources that tie do so by no
+rule but their code points, which differ; other columns stay, and clashing ones give way; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import WORD, cut, lookup, ranked, table
+from .frames import BROADCAST_ROWS, WORD, cut, ranked, salted, table
 
 #: Weights of the sources in their order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
@@ -50,14 +52,17 @@ def mix(documents: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS
     """The documents with size, source_size, target, rate and copies (how often the mix takes each); other columns stay."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     sources = targets(documents.select(F.col(source).alias("source"), size.alias("size")), weights, limit)
-    sources = sources.select(F.col("source").alias("_source"), "source_size", "target", "rate")
-    names = [c for c in documents.columns if c not in ("size", "source_size", "target", "rate", "copies", "_source")]
-    sized = documents.select(*names, size.alias("size"))
-    mixed = lookup(sized, sources, sized[source].eqNullSafe(sources["_source"]))
+    # a null source has a name of its own here, so that the join is on plain equality
+    named = lambda c: [F.coalesce(F.col(c), F.lit("")).alias("_source"), F.col(c).isNull().alias("_none")]
+    sources = sources.select(*named("source"), "source_size", "target", "rate")
+    names = [c for c in documents.columns if c not in ("size", "source_size", "target", "rate", "copies", "_source", "_none")]
+    sized = documents.select(*names, size.alias("size"), *named(source))
+    few = sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mixed = sized.join(F.broadcast(sources), ["_source", "_none"]) if few else salted(sized, sources, ["_source", "_none"], key)
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13)
     draw = F.conv(digits, 16, 10).cast("double") / float(1 << 52)
     whole = F.floor("rate")
-    return mixed.withColumn("copies", whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).drop("_source")
+    return mixed.withColumn("copies", whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).drop("_source", "_none")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

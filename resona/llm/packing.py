@@ -13,8 +13,8 @@ The ids are those of the tokenizers library; tiktoken makes the same ones from t
 and is faster on single words (a test compares the two on whole texts).
 
 Cases: a null or empty text is the id 0 alone; repeated rows are packed each; ties in rank are
-between equal pieces; documents of any length are cut; other columns are not read; an empty table
-gives none.
+between equal pieces; documents of any length are cut; columns other than the two named are not
+read, so their names cannot clash; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -177,7 +177,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "_low", F.coalesce("root", "fingerprint").alias("root"))
     # a component may hold a large share of all nodes: they are added up before the shuffle, and the way back is salted
     lows = named.groupBy("root").agg(F.count("*").alias("_n"), F.min("_low").alias("component_id")).where("_n > 1").drop("_n")
-    owner = salted(named, lows, "root", "fingerprint", how="left").select(F.col("fingerprint").alias("_print"), F.coalesce("component_id", "_low").alias("component_id"))
+    owner = salted(named, lows, ["root"], "fingerprint", how="left").select(F.col("fingerprint").alias("_print"), F.coalesce("component_id", "_low").alias("component_id"))
     return prints.drop("component_id").join(owner, F.col("fingerprint") == F.col("_print")).drop("_print")
 
 

@@ -9,7 +9,8 @@ functions; distinct urls are judged once and joined back.
 
 Cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; of two
 rules of equal length that fit, the greater text wins; repeated rows are judged alike; other
-columns stay; a null page_id is kept.
+columns stay, and clashing ones give way; a null page_id is kept; a url of any length is judged whole;
+an empty table gives none.
 """
 
 from __future__ import annotations

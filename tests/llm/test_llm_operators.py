@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from resona.llm import kernels, language_id, lattice_lm, media, mixing, packing, registry, simhash, substrings, topk_search, toxicity, url_filter
+from resona.llm import frames, kernels, language_id, lattice_lm, media, mixing, packing, registry, simhash, substrings, topk_search, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,6 +105,26 @@ def test_mix(docs, spark):
     assert emitted == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
 
 
+def test_mix_of_many_sources(docs, monkeypatch):
+    """Above the rows that may be broadcast the join is salted, with the same result."""
+    columns = ("doc_id", "size", "source", "source_size", "target", "copies")
+    few = sorted(map(repr, mixing.mix(docs).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert sorted(map(repr, mixing.mix(docs).select(*columns).collect())) == few
+
+
+def test_ranks_and_lookups_above_the_bound(spark, monkeypatch):
+    held = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 100).alias("k"), "id")
+    got = [r.id for r in frames.ranked(held, [F.col("k"), F.col("id")], "at").orderBy("at").collect()]
+    assert got == [r.id for r in held.orderBy("k", "id").collect()]
+    right = spark.range(100).select(F.col("id").alias("_k"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    joined = lambda: frames.lookup(held, right, F.col("k") == F.col("_k"))
+    assert "broadcast" in plan(joined()) and joined().count() == 500
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 50)
+    assert "broadcast" not in plan(joined()) and joined().count() == 500
+
+
 def test_mix_draws_meet_the_target(spark):
     held = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
     got = mixing.mix(held).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
@@ -353,6 +373,12 @@ def test_url_filter(spark):
         url_filter.rule_table(spark, (), (("*", "block"),))
 
 
+def test_url_filter_of_one_hot_url(spark):
+    held = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 > 0, F.lit("http://a.net/hot")).otherwise(F.concat(F.lit("http://q.io/"), "id")).alias("url"))
+    got = {(r.rule, r.verdict): r["count"] for r in url_filter.judge(held, url_filter.rule_table(spark)).groupBy("rule", "verdict").count().collect()}
+    assert got == {("net/", "block"): 2700, (None, "allow"): 300}
+
+
 def test_tokens_of_patterns():
     assert url_filter.pattern_tokens("||example.net/en/") == ["example", "net", "en"]
     assert url_filter.pattern_tokens("/ads/*/opt-out^") == ["ads", "opt", "out"] and url_filter.pattern_tokens("foo*bar") == []
@@ -471,6 +497,35 @@ def test_lm_base_and_score(docs, common):
         assert r.score < 0
 
 
+def test_lm_scores_are_sums_over_segmentations(docs, spark):
+    """score by the fitted weights and vocab_score by the vocabulary's own, each summed over every way to cut each word."""
+    rows = [(r[0], " ".join(w.decode()[:6] for w in words(r[1])[:8])) for r in make()[:40]]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice_lm.score(held, F.col("doc_id") % 5 == 1).collect()}
+    learn = [words(t.lower()) for i, t in rows if i % 5 != 1]
+    count = Counter(w for t in learn for w in t)
+    counted = spark.createDataFrame([(w.decode(), n) for w, n in count.items()], "word string, c long")
+    fitted, end = lattice_lm.piece_weights(counted, len(learn), lattice_lm.VOCABULARY)
+    assert math.isclose(sum(map(math.exp, fitted.values())) + math.exp(end), 1, rel_tol=1e-9)
+    shares = lattice_lm.vocabulary_shares()
+    assert math.isclose(sum(shares.values()), 1, rel_tol=1e-9)
+    scores = {p: lattice_lm.processor(lattice_lm.VOCABULARY).get_score(i) for i, p in enumerate(lattice_lm.piece_bytes(lattice_lm.VOCABULARY)) if p and len(p) > 3}
+    ranked = sorted(scores, key=lambda p: -scores[p])
+    assert all(shares[a] >= shares[b] for a, b in zip(ranked, ranked[1:], strict=False))
+    ends = (len(learn) + 0.5) / (sum(count.values()) + len(learn) + 1)
+
+    def total(text, weight):
+        through = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            through[j] = sum(through[i] * weight(text[i:j]) for i in range(j))
+        return through[-1]
+
+    for i, t in rows:
+        one = sum(math.log10(total(lattice_lm.SPACE + w, lambda p: math.exp(fitted[p]) if p in fitted else 0.0)) for w in words(t.lower())) + end / math.log(10)
+        two = sum(math.log10(total(lattice_lm.SPACE + w, lambda p: shares.get(p, 0.0) * (1 - ends))) for w in words(t.lower())) + math.log10(ends)
+        assert math.isclose(got[i].score, one, rel_tol=1e-9) and math.isclose(got[i].vocab_score, two, rel_tol=1e-9)
+
+
 def test_lm_scores_are_sums_over_words(docs):
     got = {r.doc_id: r.score for r in lattice_lm.score(docs, F.lit(False)).collect()}
     again = {r.doc_id: r.score for r in lattice_lm.score(docs, F.lit(False), common=3).collect()}
@@ -492,6 +547,41 @@ def test_language_id(spark):
     assert sum(got[i].rejected for i, *_ in rows) == 0
 
 
+def test_language_id_with_many_values_of_the_column(spark, monkeypatch):
+    """Those with most texts are learned; the others are no prediction, and cost no memory."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(i, ["the thing and that", "ein schöner satz ist", "une école à côté"][i % 3] + f" {i}", ["en", "de", "fr"][i % 3]) for i in range(90)]
+    rows += [(100 + i, f"noise{i} noise", f"x{i}") for i in range(60)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(held, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(held, model).collect()}
+    assert model.names == ["de", "en", "fr"] and all(got[i] == k for i, _, k in rows[:90])
+
+
+def plain_nearest(train, texts):
+    """Nearest of plain centroids of whole n-gram counts, one a language, by cosine."""
+    grams = lambda t: Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
+    sums, frequency = {}, Counter()
+    for t, k in train:
+        g = grams(t)
+        frequency.update(g.keys())
+        sums.setdefault(k, Counter()).update({x: math.log1p(n) for x, n in g.items()})
+    idf = lambda x: math.log((1 + len(train)) / (1 + frequency[x])) + 1
+    centroids = {k: {x: v * idf(x) for x, v in c.items()} for k, c in sums.items()}
+    norm = {k: math.sqrt(sum(v * v for v in c.values())) for k, c in centroids.items()}
+    best = lambda t: max(sorted(centroids), key=lambda k: sum(math.log1p(n) * idf(x) * centroids[k].get(x, 0.0) for x, n in grams(t).items()) / norm[k])
+    return [best(t) for t in texts]
+
+
+def test_language_id_agrees_with_plain_centroids(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(w) for _ in range(rng.randint(8, 60))).lower(), k) for i in range(200) for k, w in [[("en", ENGLISH), ("de", GERMAN)][i % 2]]]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(held, language_id.fit(held, F.col("doc_id") % 5 != 0)).collect()}
+    plain = plain_nearest([(t, k) for i, t, k in rows if i % 5], [t for i, t, _ in rows if i % 5 == 0])
+    assert [got[i] for i, *_ in rows if i % 5 == 0] == plain
+
+
 def test_language_id_rejects_what_is_far(spark):
     held = spark.createDataFrame([(i, "the thing and the other thing is that and this", "en") for i in range(40)], "doc_id long, text string, lang string")
     model = language_id.fit(held, F.lit(True))
@@ -521,6 +611,15 @@ def test_language_id_rejects_long_texts_of_no_language_and_keeps_short_ones(spar
 # op10
 
 
+def test_media_feature(spark):
+    held = spark.createDataFrame([(0, "aB c" * 32), (1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in media.measure(media.store(held)).collect()}
+    body = b"aB c" * 32
+    shares = [sum(a <= x < b for x in body) * 1000 // len(body) for a, b in ((0, 33), (33, 97), (97, 128), (128, 256))]
+    assert got[0] == f"64x2;mean={sum(body) // len(body)};kinds=4;shares={'/'.join(map(str, shares))}"
+    assert got[1] == "64x1;mean=0;kinds=1;shares=1000/0/0/0"
+
+
 def test_media(docs):
     got = media.measure(media.store(docs.select("doc_id", "text", "score"))).collect()
     assert len(got) == docs.count()
@@ -547,6 +646,45 @@ def test_empty_tables(empty, spark):
     assert [r.count() for r in results] == [0] * len(results)
 
 
+CONTRACT = {
+    "op1_mix_sources": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op2_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op3_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op4_topk_search": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op5_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op6_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op7_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op8_lattice_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op10_media_webp": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+}
+FOLDS = {"op3_toxicity": (4, 2), "op8_lattice_lm": (5, 1), "op9_language_id": (5, 0)}
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_registered_query_keeps_its_contract(spark, duck, name):
+    """Columns and types, one row a document where that is said, folds by id, and values where a plain version gives them."""
+    held = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert CONTRACT[name].items() <= dict(held.dtypes).items()
+    got = held.toPandas()
+    docs = duck.sql("select doc_id, text from documents").fetchall()
+    if "doc_id" in got and name != "op5_packing":
+        assert sorted(got["doc_id"]) == sorted(d[0] for d in docs)
+    if name in FOLDS:
+        n, k = FOLDS[name]
+        assert all(h == (zlib.crc32(str(i).encode()) % n == k) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
+    by_id = got.set_index("doc_id") if "doc_id" in got else None
+    if name == "op2_substring_dedup":
+        for (i, _), (n, gone, kept) in zip(docs, without_repeats([t for _, t in docs]), strict=True):
+            assert tuple(by_id.loc[i, ["n_words", "n_removed", "kept_sha256"]]) == (n, gone, hashlib.sha256(kept).hexdigest())
+    if name == "op7_simhash":
+        assert all(by_id.loc[i, "fingerprint"] == f"{plain_fingerprint(t):016x}" for i, t in docs)
+    if name == "op10_media_webp":
+        for i, t in docs:
+            payload = (t or "").encode() + b"\0" * (-len((t or "").encode()) % 64 if t else 64)
+            assert by_id.loc[i, "payload_sha256"] == hashlib.sha256(payload).hexdigest() and by_id.loc[i, "tail_crc32"] == zlib.crc32(payload[-64:])
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows_as_sql(spark, duck, name):
     ours, theirs = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.sql(registry.ORACLE[name]).df()
