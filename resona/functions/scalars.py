@@ -17,6 +17,8 @@ BLACK_KEYS = (1, 3, 6, 8, 10)
 A4_MIDI, A4_HZ = 69.0, 440.0
 #: Corner frequencies of the A curve in Hz, its reference and its compression (fixed values).
 A_CORNERS, A_REFERENCE, A_COMPRESSION = (20.6, 107.7, 737.9, 12194.0), 1000.0, 0.25
+#: Range of a gamma, and the shortest span of a view in milliseconds (fixed values).
+GAMMA_LOW, GAMMA_HIGH, LEAST_SPAN_MS = 0.6, 5.0, 1000.0
 #: Ticks of a quarter note and the tempo where none is given (fixed values).
 TICKS, DEFAULT_BPM = 480, 120.0
 
@@ -144,3 +146,59 @@ def follow_start(playhead: Column, start: Column, span: Column, low: Column, hig
 
 def round_to(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
+
+
+def gamma_anchor(p: Column, gamma: Column) -> Column:
+    """Where an anchor of a colour scale moves under a gamma, which is kept within its range."""
+    return F.pow(p, clamp(gamma, GAMMA_LOW, GAMMA_HIGH))
+
+
+def key_range(low: int, high: int, sub: int) -> tuple[float, float]:
+    """Ends, in rows, of the pitches from low to high with sub rows each."""
+    return low * sub - 0.5, (high + 1) * sub - 0.5
+
+
+def row_centre(pitch: Column, sub: int) -> Column:
+    return pitch * sub + (sub - 1) / 2.0
+
+
+def plot_fraction(row: Column, low: int, high: int, sub: int) -> Column:
+    """How far down from the top of the range a row is."""
+    a, b = key_range(low, high, sub)
+    return (b - row) / (b - a)
+
+
+def kept_within(start: Column, span: Column, low, high) -> tuple[Column, Column]:
+    """A range of this span moved so that it lies within the bounds; all of them if it is wider."""
+    wide = span >= F.lit(high) - F.lit(low)
+    moved = F.least(F.greatest(start, F.lit(low)), F.lit(high) - span)
+    return F.when(wide, F.lit(low)).otherwise(moved), F.when(wide, F.lit(high)).otherwise(moved + span)
+
+
+def zoomed(start: Column, end: Column, factor: Column, anchor: Column, low, high) -> tuple[Column, Column]:
+    """A range whose span is multiplied while the anchor keeps its place in it; without an anchor its middle does."""
+    span = end - start
+    wanted = F.least(F.greatest(F.bround(span * factor), F.lit(LEAST_SPAN_MS)), F.lit(high) - F.lit(low))
+    share = F.when(anchor.isNull() | (span <= 0), 0.5).otherwise(clamp(F.try_divide(anchor - start, span), 0.0, 1.0))
+    return kept_within(start + share * (span - wanted), wanted, low, high)
+
+
+def panned(start: Column, end: Column, by: Column, low, high) -> tuple[Column, Column]:
+    return kept_within(start + by, end - start, low, high)
+
+
+def columns_of(seconds: Column, rate: Column, least: int = 60, most: int | None = None) -> Column:
+    """Columns of a spectrogram of so many seconds at a rate."""
+    wanted = F.greatest(F.lit(least), F.bround(rate * seconds).cast("int"))
+    return wanted if most is None else F.least(wanted, F.lit(most))
+
+
+def preferred(wanted: Column, available: Column, last: str) -> Column:
+    """The wanted names that are available, in the order wanted and once each, with ``last`` at the end where it is missing."""
+    held = F.array_distinct(F.filter(wanted, lambda x: F.array_contains(available, x)))
+    return F.when(F.array_contains(held, last), held).otherwise(F.array_append(held, F.lit(last)))
+
+
+def missing(registry: Column, found: Column) -> Column:
+    """The names of the registry that were not found, in its order."""
+    return F.array_except(registry, found)

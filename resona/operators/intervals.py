@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .spectral import hz
+from .transform import rows
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ PRESETS = {
 }
 #: Longest gap that mono and poly merging close, least note of poly, frames that a snap moves (fixed values).
 MONO_GAP, POLY_GAP, POLY_LEAST, SNAP = 0.06, 0.05, 0.03, 1
+#: Islands of notes that one group matches.
+ISLANDS = 64
 
 
 def salience(frames: DataFrame, preset: Preset, rate: int, win: int) -> DataFrame:
@@ -77,28 +81,55 @@ def transition_costs(n: int, hop: float, preset: Preset) -> np.ndarray:
 def decode(salient: DataFrame, hop: float, preset: Preset) -> DataFrame:
     """(track, frame, state): the cheapest path through pitches and rest, the lowest state of equals.
 
-    A track is one group, as long as a recording is; tracks are the unit of parallel work.
+    The frames of a track stream by in order.  Whatever frames lie behind the point where the paths to
+    all states become one are settled and handed on, so a task holds only the frames after it.
     """
     n = preset.high - preset.low + 1
     cost = transition_costs(n, hop, preset)
 
-    def path(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("frame")
-        s = np.stack(track["s"].to_list())
-        emission = np.concatenate([1.0 - s, np.full((len(s), 1), preset.rest_emission)], axis=1)
-        back, total = np.zeros(emission.shape, np.int32), emission[0]
-        for f in range(1, len(s)):
-            through = total[:, None] + cost
-            back[f] = through.argmin(axis=0)
-            total = through[back[f], np.arange(n + 1)] + emission[f]
-        states = np.empty(len(s), np.int32)
-        states[-1] = total.argmin()
-        for f in range(len(s) - 1, 0, -1):
-            states[f - 1] = back[f, states[f]]
-        return pd.DataFrame({"track": track["track"], "frame": track["frame"], "state": states})
-
-    schema = salient.select("track", "frame").schema.add("state", "integer")
-    return salient.groupBy("track").applyInPandas(path, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, total, open_ = None, None, []  # open_: (frame, the best state before each state)
+
+        def settled(states: np.ndarray) -> pa.RecordBatch:
+            """The open frames but the first of the next batch, along the path that ends in the last of these states."""
+            frames = [f for f, _ in open_[: len(states)]]
+            tracks = pa.array([track] * len(frames), kind)
+            return pa.RecordBatch.from_arrays([tracks, pa.array(frames, pa.int64()), pa.array(states, pa.int32())], names=["track", "frame", "state"])
+
+        def back(state: int, upto: int) -> np.ndarray:
+            states = np.empty(upto + 1, np.int32)
+            states[upto] = state
+            for f in range(upto, 0, -1):
+                states[f - 1] = open_[f][1][states[f]]
+            return states
+
+        for batch in batches:
+            kind = batch.schema.field("track").type
+            for name, frame, s in zip(batch.column("track").to_pylist(), batch.column("frame").to_pylist(), rows(pa.chunked_array([batch.column("s")])), strict=True):
+                emission = np.append(1.0 - s, preset.rest_emission)
+                if name != track or total is None:
+                    if open_:
+                        yield settled(back(int(total.argmin()), len(open_) - 1))
+                    track, total, open_ = name, emission, [(frame, None)]
+                    continue
+                through = total[:, None] + cost
+                best = through.argmin(axis=0)
+                total = through[best, np.arange(n + 1)] + emission
+                open_.append((frame, best.astype(np.int32)))
+            # where all paths are one
+            at, states = len(open_) - 1, np.arange(n + 1)
+            while at > 0 and (states != states[0]).any():
+                states, at = open_[at][1][states], at - 1
+            if at > 0:
+                done = back(int(states[0]), at)
+                yield settled(done[:-1])
+                open_ = open_[at:]
+        if open_:
+            yield settled(back(int(total.argmin()), len(open_) - 1))
+
+    schema = salient.select("track", F.col("frame").cast("long").alias("frame")).schema.add("state", "integer")
+    held = salient.select("track", F.col("frame").cast("long").alias("frame"), "s")
+    return held.repartition("track").sortWithinPartitions("track", "frame").mapInArrow(run, schema)
 
 
 def runs(states: DataFrame, rest=None, state: str = "state", order: str = "frame") -> DataFrame:
@@ -127,35 +158,64 @@ def merge_poly(notes: DataFrame, gap: float = POLY_GAP, least: float = POLY_LEAS
     return out.where(F.col("end") - F.col("start") >= least).drop("_island")
 
 
-def snapped(points: DataFrame, onsets: DataFrame, by: int = SNAP, column: str = "frame") -> DataFrame:
-    """The points with ``snapped``: the first onset within so many frames, else the frame itself."""
-    near = F.explode(F.sequence(F.col(column) - by, F.col(column) + by))
-    keys = points.select("track", column).distinct().withColumn("_o", near)
-    hits = keys.join(onsets.select("track", F.col("frame").alias("_o")), ["track", "_o"]).groupBy("track", column).agg(F.min("_o").alias("_hit"))
-    return points.join(hits, ["track", column], "left").withColumn("snapped", F.coalesce("_hit", column)).drop("_hit")
+def snapped(points: DataFrame, onsets: DataFrame, by: int = SNAP, columns: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """The points with ``snapped`` (several columns: with each name and _snapped): the first onset within so many frames, else the frame itself."""
+    near = onsets.select("track", F.col("frame").alias("_o"), F.explode(F.sequence(F.col("frame") - by, F.col("frame") + by)).alias("_at"))
+    hits = near.groupBy("track", "_at").agg(F.min("_o").alias("_hit"))
+    for column in columns:
+        named = hits.select("track", F.col("_at").alias(column), "_hit")
+        name = "snapped" if columns == ("frame",) else f"{column}_snapped"
+        points = points.join(named, ["track", column], "left").withColumn(name, F.coalesce("_hit", column)).drop("_hit")
+    return points
 
 
 def confidences(segments: DataFrame, salient: DataFrame, low: int = 0) -> DataFrame:
-    """The segments with ``conf``, the mean salience of their pitch over their frames; state indexes the salience array."""
-    spread = segments.select("track", "state", "f0", "f1", F.explode(F.sequence("f0", F.greatest(F.col("f1"), F.col("f0") + 1) - 1)).alias("frame"))
-    held = spread.join(salient, ["track", "frame"])
-    return held.groupBy("track", "state", "f0", "f1").agg(F.bround(S.clamp(F.avg(F.element_at("s", F.col("state") - low + 1)), 0.0, 1.0), 4).alias("conf"))
+    """The segments with ``conf``, the mean salience of their pitch over their frames; state indexes the salience array.
+
+    Segments are told apart by all of their columns, so an id keeps two of equal bounds apart.
+    """
+    frame = F.explode(F.sequence("f0", F.greatest(F.col("f1"), F.col("f0") + 1) - 1)).alias("frame")
+    held = segments.select("*", frame).join(salient, ["track", "frame"])
+    return held.groupBy(*segments.columns).agg(F.bround(S.clamp(F.avg(F.element_at("s", F.col("state") - low + 1)), 0.0, 1.0), 4).alias("conf"))
 
 
 def mono_notes(frames: DataFrame, onsets: DataFrame, preset: Preset, rate: int, win: int, hop: float) -> DataFrame:
     """(track, pitch, start, end, conf): salience, decoding, segments, merging, snapping and confidence of a track."""
     scaled = normalised(salience(frames, preset, rate, win))
     n = preset.high - preset.low + 1
-    held = merge_mono(runs(decode(scaled, hop, preset), rest=n), hop)
-    held = snapped(held.withColumnRenamed("f0", "frame"), onsets).withColumn("f0", F.col("snapped")).drop("frame", "snapped")
-    held = snapped(held.withColumnRenamed("f1", "frame"), onsets).withColumn("f1", F.col("snapped")).drop("frame", "snapped")
-    held = held.where((F.col("f1") - F.col("f0")) * hop >= preset.least_note)
-    named = confidences(held, scaled)
+    held = snapped(merge_mono(runs(decode(scaled, hop, preset), rest=n), hop), onsets, columns=("f0", "f1"))
+    # the bounds before snapping tell apart what snaps to the same ones
+    held = held.select("track", "state", F.struct("f0", "f1").alias("id"), F.col("f0_snapped").alias("f0"), F.col("f1_snapped").alias("f1"))
+    named = confidences(held.where((F.col("f1") - F.col("f0")) * hop >= preset.least_note), scaled)
     return named.select("track", (F.col("state") + preset.low).alias("pitch"), F.bround(F.col("f0") * hop, 4).alias("start"), F.bround(F.col("f1") * hop, 4).alias("end"), "conf")
 
 
-def visible(notes: DataFrame, a: float, b: float, longest: float) -> DataFrame:
-    """Notes that touch [a, b]; a bound on the start lets sorted files be skipped."""
+def presets(spark: SparkSession) -> DataFrame:
+    """(name, low, high, band_low, band_high, harmonics, least_note): the presets as a dimension."""
+    held = [(name, p.low, p.high, *p.band, p.harmonics, p.least_note) for name, p in PRESETS.items()]
+    return spark.createDataFrame(held, "name string, low int, high int, band_low double, band_high double, harmonics int, least_note double")
+
+
+def preset_of(name: str) -> Preset:
+    if name not in PRESETS:
+        raise KeyError(f"preset {name!r} is none of {sorted(PRESETS)}")
+    return PRESETS[name]
+
+
+def names_of(selection: str) -> list[str]:
+    """The presets that a selection covers: one, or both of them."""
+    if selection != "both":
+        preset_of(selection)
+    return list(PRESETS) if selection == "both" else [selection]
+
+
+def selected(notes: DataFrame, selection: str, column: str = "preset") -> DataFrame:
+    """The notes of one preset, or of both together."""
+    return notes.where(F.col(column).isin(names_of(selection)))
+
+
+def visible(notes: DataFrame, a: float, b: float, longest) -> DataFrame:
+    """Notes that touch [a, b]; none is longer than ``longest``, a number or a column, so the start is bounded on both sides."""
     return notes.where((F.col("start") >= a - longest) & (F.col("start") <= b) & (F.col("end") >= a))
 
 
@@ -181,24 +241,34 @@ def deltas(events: DataFrame) -> DataFrame:
 def match(reference: DataFrame, estimate: DataFrame, pitch: float = 0.5, start: float = 0.05) -> DataFrame:
     """(track, ref_id, est_id): each reference note in order takes the free estimate that it overlaps most.
 
-    Estimates must be within both tolerances; the earliest of equals wins.  Tracks are the groups.
+    Estimates must be within both tolerances; the earliest of equals wins.  Notes that begin further
+    apart than the tolerance never meet, so a track falls into islands, and a group holds a few of
+    them; each reference note looks only at the estimates within its tolerance.
     """
-
-    def pairs(_, ref: pd.DataFrame, est: pd.DataFrame) -> pd.DataFrame:
-        est = est.sort_values(["start", "id"]).reset_index(drop=True)
+    side = lambda df, ref: df.select("track", "id", F.col("pitch").cast("double").alias("pitch"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(ref).alias("ref"))
+    both = side(reference, True).union(side(estimate, False))
+    order = Window.partitionBy("track").orderBy("start")
+    opens = F.coalesce((F.col("start") - F.lag("start").over(order) > start).cast("int"), F.lit(1))
+    islands = both.withColumn("_opens", opens).withColumn("_group", F.floor(F.sum("_opens").over(order) / ISLANDS)).drop("_opens")
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        held = part.sort_values(["start", "id"])
+        ref, est = held[held["ref"]], held[~held["ref"]]
+        a, b, p, ids = (est[c].to_numpy() for c in ("start", "end", "pitch", "id"))
+        low, high = np.searchsorted(a, ref["start"].to_numpy() - start - 1e-9), np.searchsorted(a, ref["start"].to_numpy() + start + 1e-9, side="right")
         free, found = np.ones(len(est), bool), []
-        a, b, p = (est[c].to_numpy(float) for c in ("start", "end", "pitch"))
-        for r in ref.sort_values(["start", "id"]).itertuples():
-            overlap = np.minimum(b, r.end) - np.maximum(a, r.start)
-            good = free & (np.abs(p - r.pitch) <= pitch) & (np.abs(a - r.start) <= start) & (overlap > 0)
+        for r, i, j in zip(ref.itertuples(), low, high, strict=True):
+            near = slice(i, j)
+            overlap = np.minimum(b[near], r.end) - np.maximum(a[near], r.start)
+            good = free[near] & (np.abs(p[near] - r.pitch) <= pitch) & (np.abs(a[near] - r.start) <= start) & (overlap > 0)
             if good.any():
-                i = int(np.where(good, overlap, -np.inf).argmax())
-                free[i] = False
-                found.append((r.track, r.id, int(est["id"][i])))
+                k = i + int(np.where(good, overlap, -np.inf).argmax())
+                free[k] = False
+                found.append((r.track, r.id, ids[k]))
         return pd.DataFrame(found, columns=["track", "ref_id", "est_id"])
 
     schema = reference.select("track", F.col("id").alias("ref_id"), F.col("id").alias("est_id")).schema
-    return reference.groupBy("track").cogroup(estimate.groupBy("track")).applyInPandas(pairs, schema)
+    return islands.groupBy("track", "_group").applyInPandas(pairs, schema)
 
 
 def scores(reference: DataFrame, estimate: DataFrame, matched: DataFrame) -> DataFrame:
@@ -209,11 +279,24 @@ def scores(reference: DataFrame, estimate: DataFrame, matched: DataFrame) -> Dat
     return held.select("track", F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"), F.bround(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
-def batches_of(notes: DataFrame, predict, schema: str) -> DataFrame:
-    """What an injected model, a function of a batch of rows, returns for each batch."""
+def mean_scores(scored: DataFrame) -> DataFrame:
+    """(files, precision, recall, f1): plain means over all rows of scores()."""
+    return scored.agg(F.count("*").alias("files"), *(F.bround(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield predict(batch)
 
-    return notes.mapInPandas(run, schema)
+def predicted_notes(chunks: DataFrame, predict, gap: float = POLY_GAP, least: float = POLY_LEAST) -> DataFrame:
+    """(track, pitch, start, end, conf): notes that a model finds in the samples of each chunk, merged over all chunks.
+
+    chunks: (track, chunk, n, v, start); predict takes a chunk's samples in order and gives rows
+    (pitch, start, end, conf) in samples since the chunk's start.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        held = part.sort_values("n")
+        found = pd.DataFrame(predict(held["v"].to_numpy(float)), columns=["pitch", "start", "end", "conf"]).astype({"pitch": "int32", "start": float, "end": float, "conf": float})
+        base = int(held["start"].iloc[0])
+        return found.assign(track=held["track"].iloc[0], start=found["start"] + base, end=found["end"] + base)[["track", "pitch", "start", "end", "conf"]]
+
+    schema = chunks.select("track").schema.add("pitch", "integer").add("start", "double").add("end", "double").add("conf", "double")
+    raw = chunks.groupBy("track", "chunk").applyInPandas(run, schema)
+    return merge_poly(raw.withColumn("id", F.xxhash64("track", "pitch", "start", "end", "conf")), gap, least)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tempo candidates, and those that count fully (fixed values).
 BPM_LOW, BPM_HIGH, BPM_STEP, COMMON_LOW, COMMON_HIGH, UNCOMMON = 50.0, 240.0, 0.5, 70.0, 180.0, 0.7
+#: Frames that a tempo needs at least, and what a track without one gets (fixed values).
+LEAST_FRAMES, DEFAULT = 64, (120.0, 0.0)
 #: Spread added to the moving median (fixed value).
 SPREAD = 0.15
 
@@ -58,13 +62,18 @@ def peaks(series: DataFrame, half: int) -> DataFrame:
 
 
 def thin(candidates: DataFrame, gap: int) -> DataFrame:
-    """(track, frame): from the left, those at least ``gap`` after the last one kept; a track's candidates are one array."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("frame")),
-        F.expr("cast(array() as array<bigint>)"),
-        lambda held, f: F.when((F.size(held) == 0) | (f - F.try_element_at(held, F.lit(-1)) >= gap), F.concat(held, F.array(f))).otherwise(held),
-    )
-    return candidates.groupBy("track").agg(kept.alias("kept")).select("track", F.explode("kept").alias("frame"))
+    """(track, frame): from the left, those at least ``gap`` after the last one kept.
+
+    A candidate that far behind the one before is kept whatever came earlier, so each island of closer
+    ones is worked out on its own.
+    """
+    by = Window.partitionBy("track").orderBy("frame")
+    opens = F.coalesce((F.col("frame") - F.lag("frame").over(by) >= gap).cast("int"), F.lit(1))
+    islands = candidates.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(by))
+    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    step = lambda held, f: F.when(held["last"].isNull() | (f - held["last"] >= gap), F.struct(f.alias("last"), F.array_append(held["kept"], f).alias("kept"))).otherwise(held)
+    kept = F.aggregate(F.array_sort(F.collect_list(F.col("frame").cast("bigint"))), empty, step, lambda held: held["kept"])
+    return islands.groupBy("track", "_island").agg(kept.alias("kept")).select("track", F.explode("kept").alias("frame"))
 
 
 def onsets(frames: DataFrame, first: int, end: int, half: int, near: int, gap: int) -> DataFrame:
@@ -118,6 +127,53 @@ def phase(series: DataFrame, tempos: DataFrame, hop: float, t: str = "t", x: str
     return best.select("track", F.bround("bpm", 1).alias("bpm"), F.bround(F.col("phase") * hop, 3).alias("offset"))
 
 
+def smoothed(series: DataFrame, t: str, x: str, keep: float, block: int = 4096) -> DataFrame:
+    """The series, t from 1 without gaps, with ``smooth``: keep times the last smooth value and the rest of the new one; the first is itself.
+
+    Blocks fold on their own from 0.  What a block begins with is then known from the few rows of
+    block ends, folded in order, and fades by keep with each step into the block.
+    """
+    place = F.floor((F.col(t) - 1) / block)
+    own = F.when(F.col(t) == 1, F.col(x)).otherwise(round(1 - keep, 12) * F.col(x))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_t")
+        out, last = np.empty(len(part)), 0.0
+        for i, v in enumerate(part.column("_own").to_numpy().tolist()):
+            out[i] = last = keep * last + v
+        return part.append_column("_part", pa.array(out)).append_column("_step", pa.array(np.arange(1, len(part) + 1))).drop_columns(["_own", "_t"])
+
+    held = series.withColumns({"_block": place, "_own": own.cast("double"), "_t": F.col(t).cast("long")})
+    schema = held.drop("_own", "_t").schema.add("_part", "double").add("_step", "long")
+    parts = held.groupBy("track", "_block").applyInArrow(run, schema)
+    ends = parts.groupBy("track", "_block").agg(F.max_by("_part", "_step").alias("_end"), F.max("_step").alias("_size"))
+
+    def carry(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_block")
+        out, last = [], 0.0
+        for end, size in zip(part.column("_end").to_pylist(), part.column("_size").to_pylist(), strict=True):
+            out.append(last)
+            last = end + last * keep**size
+        return part.select(["track", "_block"]).append_column("_begin", pa.array(out, pa.float64()))
+
+    # one row a block, so a group is a few thousandths of a track
+    begins = ends.groupBy("track").applyInArrow(carry, ends.select("track", "_block").schema.add("_begin", "double"))
+    return parts.join(begins, ["track", "_block"]).withColumn("smooth", F.col("_part") + F.col("_begin") * F.pow(F.lit(keep), F.col("_step"))).drop("_block", "_part", "_step", "_begin")
+
+
+def estimate(series: DataFrame, hop: float, t: str = "t", x: str = "x") -> DataFrame:
+    """(track, bpm, offset) of every track: tempo and phase of a series of rises, (120.0, 0.0) where it is too short or nothing rises."""
+    sizes = series.groupBy("track").agg(F.count("*").alias("_n"), F.max(x).alias("_top"))
+    fit = sizes.where((F.col("_n") >= LEAST_FRAMES) & (F.col("_top") > 0))
+    held = series.join(fit.select("track"), "track", "left_semi")
+    lags = math.ceil(60.0 / BPM_LOW / hop) + 1
+    # lags of half a series and more are not looked at
+    found = autocorrelation(held, lags, t, x).join(fit, "track").where(F.col("lag") < F.floor(F.col("_n") / 2)).select("track", "lag", "ac")
+    beat = phase(held, tempo(found, hop), hop, t, x)
+    given = lambda c, default: F.coalesce(F.col(c), F.lit(default)).alias(c)
+    return sizes.select("track").join(beat, "track", "left").select("track", given("bpm", DEFAULT[0]), given("offset", DEFAULT[1]))
+
+
 def beats(tempos: DataFrame, spans: DataFrame, beats_per_bar: int = 4) -> DataFrame:
     """(track, ms, bar): bar lines and inner beats in milliseconds within [0, span]; spans: (track, span)."""
     bar = 60000.0 / F.col("bpm") * beats_per_bar

@@ -1,13 +1,14 @@
-"""Separation: masks, low rank and sparse parts, chunk plans, overlap-add and passes with a shift."""
+"""Separation: masks, low rank and sparse parts, stems, chunk plans, models run by chunk, overlap-add and passes with a shift."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .transform import NUMBERS, context_frames, istft, lists, magnitudes, masked, rows, stft
 
 #: The stems of each method, in order (fixed values).
 STEMS = {"hpss": ("harmonic", "percussive"), "combined": ("harmonic", "percussive"), "rpca": ("lowrank", "sparse"), "demucs_4": ("drums", "bass", "other", "vocals"), "demucs_6": ("drums", "bass", "other", "vocals", "guitar", "piano")}
@@ -34,12 +35,20 @@ def pulled_back(total: Column, chunk: int, overlap: int) -> Column:
 
 
 def clipped(total: Column, chunk: int, overlap: int) -> Column:
-    """Structs (start, end) of windows from every chunk - overlap; the last is cut at the end."""
-    if not 0 <= overlap < chunk:
-        raise ValueError("the overlap must be at least 0 and below the chunk")
+    """Structs (start, end) of windows that begin at every chunk - overlap below the total; what passes the end is cut off."""
+    if not 1 <= overlap < chunk:
+        raise ValueError("the overlap must be at least 1 and below the chunk")
+    hop = chunk - overlap
+    last = F.ceil(F.greatest(total, F.lit(1)) / hop) - 1
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct((i * hop).alias("start"), F.least(i * hop + chunk, total).alias("end")))
+
+
+def faded(total: Column, chunk: int, overlap: int) -> Column:
+    """By how many rows each of the windows of ``clipped`` is cross-faded with the one before; start and end are columns."""
     hop = chunk - overlap
-    n = F.greatest(F.ceil((total - chunk) / hop) + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct((i * hop).alias("start"), F.least(i * hop + chunk, total).alias("end")))
+    before = F.least(F.col("start") - hop + chunk, total) - (F.col("start") - hop)
+    own = F.least(F.col("start") + hop, total) - F.col("start")
+    return F.when(F.col("start") == 0, 0).otherwise(F.least(F.lit(overlap), F.col("end") - F.col("start"), before, own))
 
 
 def chunks(sizes: DataFrame, plan: Column) -> DataFrame:
@@ -47,17 +56,17 @@ def chunks(sizes: DataFrame, plan: Column) -> DataFrame:
     return sizes.select("track", F.posexplode(plan).alias("chunk", "w")).select("track", "chunk", "w.start", "w.end")
 
 
-def blended(parts: DataFrame) -> DataFrame:
-    """(track, n, v) from rows (track, n, start, end, y): overlapping chunks, weighted by a Hann window that is nowhere zero."""
+def blended(parts: DataFrame, by: tuple[str, ...] = ("track",)) -> DataFrame:
+    """(by, n, v) from rows (by, n, start, end, y): overlapping chunks, weighted by a Hann window that is nowhere zero."""
     w = S.hann_centred(F.col("n") - F.col("start"), F.col("end") - F.col("start"))
-    added = parts.groupBy("track", "n").agg(F.sum(w * F.col("y")).alias("y"), F.sum(w).alias("w"))
-    return added.select("track", "n", (F.col("y") / F.greatest(F.col("w"), F.lit(1e-30))).alias("v"))
+    added = parts.groupBy(*by, "n").agg(F.sum(w * F.col("y")).alias("y"), F.sum(w).alias("w"))
+    return added.select(*by, "n", (F.col("y") / F.greatest(F.col("w"), F.lit(1e-30))).alias("v"))
 
 
 def spread(signal: DataFrame, plan: DataFrame, chunk: int) -> DataFrame:
-    """(track, n, v, chunk, start, end): the samples of each chunk, found by the blocks of the chunk's length that it touches."""
-    block = F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))).alias("block")
-    held = plan.select("track", "chunk", "start", "end", block)
+    """(track, n, v) with the columns of the plan: the samples of each chunk, found by the blocks of the chunk's length that it touches."""
+    block = F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk)))
+    held = plan.withColumn("block", block)
     return signal.withColumn("block", F.floor(F.col("n") / chunk)).join(held, ["track", "block"]).where((F.col("n") >= F.col("start")) & (F.col("n") < F.col("end"))).drop("block")
 
 
@@ -69,51 +78,168 @@ def shifted_mean(signal: DataFrame, sizes: DataFrame, passes: int, infer) -> Dat
     return held.withColumn("y", infer(F.col("v"), place)).groupBy("track", "n").agg(F.avg("y").alias("v"))
 
 
-def low_rank(matrix: np.ndarray, rounds: int = 40, growth: float = 2.0, freeze: float = 1e-3, tolerance: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Low-rank and sparse parts of a matrix, by singular-value and soft thresholding under a growing penalty."""
-    scale = np.linalg.norm(matrix, 2) if matrix.size else 0.0
-    if scale == 0:
+def _without(matrix: np.ndarray, by: float) -> np.ndarray:
+    """The matrix with its singular values less ``by``, none below 0, from the eigenvectors of the smaller Gram matrix."""
+    wide = matrix.shape[0] <= matrix.shape[1]
+    squares, vectors = np.linalg.eigh(matrix @ matrix.T if wide else matrix.T @ matrix)
+    singular = np.sqrt(np.maximum(squares, 0))
+    held = singular > by
+    vectors, share = vectors[:, held], 1 - by / singular[held]
+    return (vectors * share) @ (vectors.T @ matrix) if wide else ((matrix @ vectors) * share) @ vectors.T
+
+
+def low_rank(matrix: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Low-rank and sparse parts of a matrix.
+
+    Principal component pursuit by the augmented Lagrangian method with inexact steps (Lin, Chen and Ma):
+    the multiplier begins at the matrix over its dual norm, and the penalty grows by half in each round.
+    """
+    whole = np.linalg.norm(matrix)
+    if whole == 0:
         return np.zeros_like(matrix), np.zeros_like(matrix)
-    x = matrix / scale
-    size = np.linalg.norm(x)
-    weight, penalty = 1 / np.sqrt(max(x.shape)), 1.25 * size
-    low = sparse = dual = np.zeros_like(x)
+    balance = 1 / np.sqrt(max(matrix.shape))
+    widest = np.linalg.norm(matrix, 2)
+    multiplier, penalty = matrix / max(widest, np.abs(matrix).max() / balance), 1.25 / widest
+    low = np.zeros_like(matrix)
     for _ in range(rounds):
-        u, s, v = np.linalg.svd(x - sparse + dual / penalty, full_matrices=False)
-        low = (u * np.maximum(s - 1 / penalty, 0)) @ v
-        d = x - low + dual / penalty
-        sparse = np.sign(d) * np.maximum(np.abs(d) - weight / penalty, 0)
-        rest = x - low - sparse
-        dual = dual + penalty * rest
-        off = np.linalg.norm(rest) / size
-        if off < tolerance:
+        aim = matrix + multiplier / penalty
+        sparse = aim - low
+        sparse = sparse - np.clip(sparse, -balance / penalty, balance / penalty)
+        low = _without(aim - sparse, 1 / penalty)
+        rest = matrix - low - sparse
+        if np.linalg.norm(rest) <= tolerance * whole:
             break
-        if off > freeze:
-            penalty = min(penalty * growth, 1e7)
-    return low * scale, sparse * scale
+        multiplier, penalty = multiplier + penalty * rest, 1.5 * penalty
+    return low, sparse
 
 
 def low_rank_chunks(frames: DataFrame, chunk: int = 400, overlap: int = 80) -> DataFrame:
-    """(track, frame, low, sparse): each chunk of frames on its own, cross-faded where two overlap."""
+    """(track, frame, low, sparse), arrays: each chunk of frames on its own, cross-faded where one takes over from the one before."""
     sizes = frames.groupBy("track").agg((F.max("frame") + 1).alias("total"))
-    plan = chunks(sizes, clipped(F.col("total"), chunk, overlap))
+    hop = chunk - overlap
+    plan = chunks(sizes, clipped(F.col("total"), chunk, overlap)).join(sizes, "track").withColumn("fade", faded(F.col("total"), chunk, overlap))
+    after = plan.select("track", (F.col("chunk") - 1).alias("chunk"), F.col("fade").alias("next_fade"))
+    plan = plan.join(after, ["track", "chunk"], "left").select("track", "chunk", "start", "end", "fade", F.coalesce("next_fade", F.lit(0)).alias("next_fade"))
     held = spread(frames.select("track", F.col("frame").alias("n"), F.col("m").alias("v")), plan, chunk)
 
-    def split(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        low, sparse = low_rank(np.stack(part["v"].to_list()))
-        return pd.DataFrame({"track": part["track"], "chunk": part["chunk"], "n": part["n"], "start": part["start"], "low": list(low), "sparse": list(sparse)})
-
-    schema = held.select("track", "chunk", "n", "start", F.col("v").alias("low"), F.col("v").alias("sparse")).schema
-    parts = held.groupBy("track", "chunk").applyInPandas(split, schema)
-    # a frame is in its last chunk and, within the overlap, in the one before with the weights' complement
-    last = parts.groupBy("track", "n").agg(F.max("chunk").alias("last"))
-    held = parts.join(last, ["track", "n"])
-    own = Window.partitionBy("track", "n")
-    place = F.col("n") - F.max("start").over(own)
-    w = (place + 1) / (overlap + 1.0)
-    both = F.count("*").over(own) > 1
-    weight = F.when(~both, 1.0).when(F.col("chunk") == F.col("last"), w).when(F.col("chunk") == F.col("last") - 1, 1 - w).otherwise(0.0)
-    held = held.withColumn("w", weight).where("w > 0")
-    cells = held.select("track", "n", "w", F.posexplode(F.arrays_zip("low", "sparse")).alias("bin", "c"))
-    return cells.groupBy("track", F.col("n").alias("frame"), "bin").agg(F.sum(F.col("w") * F.col("c.low")).alias("low"), F.sum(F.col("w") * F.col("c.sparse")).alias("sparse"))
+    def split(part: pa.Table) -> pa.Table:
+        part = part.sort_by("n")
+        n, start = part.column("n").to_numpy(), part.column("start")[0].as_py()
+        fade, after = part.column("fade")[0].as_py(), part.column("next_fade")[0].as_py()
+        parts = low_rank(rows(part.column("v")))
+        # rising within the own fade, falling within that of the next chunk, which begins a hop on
+        place = n - start
+        weight = np.where(place < fade, (place + 1) / (fade + 1), 1.0)
+        weight = np.where(place >= hop, np.where(place - hop < after, 1 - (place - hop + 1) / (after + 1), 0.0), weight)
+        used = np.flatnonzero(weight > 0)
+        low, sparse = (lists(x[used] * weight[used, None]) for x in parts)
+        return pa.table({"track": part.column("track").take(pa.array(used)), "n": n[used], "low": low, "sparse": sparse})
+
+    schema = held.select("track", "n", F.col("v").alias("low"), F.col("v").alias("sparse")).schema
+    parts = held.groupBy("track", "chunk").applyInArrow(split, schema)
+    # a frame has one row, or two where chunks meet
+    both = parts.groupBy("track", F.col("n").alias("frame")).agg(F.collect_list("low").alias("low"), F.collect_list("sparse").alias("sparse"))
+    added = lambda c: F.aggregate(F.slice(c, 2, 8), F.element_at(c, 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return both.select("track", "frame", added("low").alias("low"), added("sparse").alias("sparse"))
+
+
+def medians(frames: DataFrame, time: int = 31, freq: int = 31, block: int = 256) -> DataFrame:
+    """(track, frame, m, h, p), arrays: magnitudes with their medians along time and along frequency, zeros beyond the edges.
+
+    A block of frames takes along half a window of frames on both sides.
+    """
+    half, side = context_frames(time), context_frames(freq)
+    touched = F.explode(F.sequence(F.floor(F.greatest(F.col("frame") - half, F.lit(0)) / block), F.floor((F.col("frame") + half) / block))).alias("block")
+    held = frames.select("track", "frame", "m", touched)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("frame")
+        first, frame, m = part.column("block")[0].as_py() * block, part.column("frame").to_numpy(), rows(part.column("m"))
+        own = np.flatnonzero((frame >= first) & (frame < first + block))
+        padded = np.zeros((block + 2 * half, m.shape[1]))
+        padded[frame - first + half] = m
+        span = int(frame[own[-1]]) - first + 1 if len(own) else 0
+        h = np.concatenate([np.median(np.lib.stride_tricks.sliding_window_view(padded[: span + 2 * half, a : a + 256], time, axis=0), axis=2) for a in range(0, m.shape[1], 256)], axis=1) if span else padded[:0]
+        across = np.pad(m[own], ((0, 0), (side, side)))
+        p = np.concatenate([np.median(np.lib.stride_tricks.sliding_window_view(across[a : a + 16], freq, axis=1), axis=2) for a in range(0, len(own), 16)]) if span else padded[:0]
+        return pa.table({"track": part.column("track").take(pa.array(own)), "frame": frame[own], "m": lists(m[own]), "h": lists(h[frame[own] - first]), "p": lists(p)})
+
+    schema = frames.select("track", "frame", F.col("m").cast("array<double>").alias("m")).schema.add("h", NUMBERS).add("p", NUMBERS)
+    return held.groupBy("track", "block").applyInArrow(run, schema)
+
+
+def median_masks(frames: DataFrame, time: int = 31, freq: int = 31) -> DataFrame:
+    """(track, frame, harmonic, percussive), arrays"""
+    held = medians(frames, time, freq)
+    return held.select("track", "frame", F.zip_with("h", "p", lambda a, b: S.wiener(a, b)).alias("harmonic"), F.zip_with("p", "h", lambda a, b: S.wiener(a, b)).alias("percussive"))
+
+
+def low_rank_masks(frames: DataFrame, chunk: int = 400, overlap: int = 80) -> DataFrame:
+    """(track, frame, lowrank, sparse), arrays"""
+    held = low_rank_chunks(frames, chunk, overlap)
+    return held.select("track", "frame", F.zip_with("low", "sparse", lambda a, b: S.wiener(a, b)).alias("lowrank"), F.zip_with("sparse", "low", lambda a, b: S.wiener(a, b)).alias("sparse"))
+
+
+def combined_masks(frames: DataFrame, time: int = 31, freq: int = 31, chunk: int = 400, overlap: int = 80) -> DataFrame:
+    """(track, frame, harmonic, percussive), arrays: geometric means of both kinds of masks, over their sum."""
+    both = median_masks(frames, time, freq).join(low_rank_masks(frames, chunk, overlap), ["track", "frame"])
+    mean = lambda a, b: F.zip_with(a, b, lambda x, y: F.sqrt(x * y))
+    held = both.select("track", "frame", mean("harmonic", "lowrank").alias("a"), mean("percussive", "sparse").alias("b"))
+    share = lambda a, b: F.zip_with(a, b, lambda x, y: x / (x + y + 1e-10))
+    return held.select("track", "frame", share("a", "b").alias("harmonic"), share("b", "a").alias("percussive"))
+
+
+def stems_of(method: str) -> tuple[str, ...]:
+    if method not in STEMS:
+        raise ValueError(f"method {method!r} is none of {sorted(STEMS)}")
+    return STEMS[method]
+
+
+def separate(signal: DataFrame, method: str, win: int, hop: int | None = None, **sizes) -> DataFrame:
+    """(track, stem, n, v): the signal's transform under each stem's mask, back as samples; the stems of a track add up to it.
+
+    sizes: those that the method's masks take.
+    """
+    makers = {"hpss": median_masks, "rpca": low_rank_masks, "combined": combined_masks}
+    stems = stems_of(method)
+    if method not in makers:
+        raise ValueError(f"method {method!r} needs a model: see infer_chunks")
+    spectra = stft(signal, win, hop)
+    parts = masked(spectra, makers[method](magnitudes(spectra), **sizes), stems)
+    lengths = signal.groupBy("track").agg((F.max("n") + 1).alias("samples"))
+    return istft(parts, lengths, win, hop, by=("track", "stem"))
+
+
+def normalised_output(output, samples: int) -> np.ndarray:
+    """(stem, sample) of what a model gives: an array or a list of one for each stem, with or without axes of length 1 and of channels."""
+    if isinstance(output, list | tuple):
+        output = np.stack([np.atleast_2d(np.squeeze(np.asarray(x, float))).mean(axis=0) for x in output])
+    held = np.squeeze(np.asarray(output, float))
+    if held.ndim == 3:
+        held = held.mean(axis=1)
+    held = held.reshape(1, -1) if held.ndim == 1 else held
+    if held.ndim != 2:
+        raise ValueError(f"a model's output has the shape {np.shape(output)}")
+    return held[:, :samples]
+
+
+def infer_chunks(signal: DataFrame, plan: DataFrame, chunk: int, infer, stems: tuple[str, ...]) -> DataFrame:
+    """(track, stem, n, start, end, y): a model run on each chunk of the plan, whole and in order.
+
+    A chunk shorter than the model's is padded with zeros, and the output cut back.  A model that gives
+    fewer stems than are named is an error.
+    """
+    held = spread(signal, plan, chunk)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("n")
+        x = part.column("v").to_numpy()
+        found = normalised_output(infer(np.concatenate([x, np.zeros(max(0, chunk - len(x)))])), len(x))
+        if missing := stems[len(found) :]:
+            raise ValueError(f"the model's output lacks the stems {', '.join(missing)}")
+        place = pa.array(np.tile(np.arange(len(x)), len(stems)))
+        columns = {c: part.column(c).take(place) for c in ("track", "n", "start", "end")}
+        return pa.table({"track": columns["track"], "stem": np.repeat(stems, len(x)).tolist(), "n": columns["n"], "start": columns["start"], "end": columns["end"], "y": found[: len(stems)].reshape(-1)})
+
+    schema = held.select("track").schema.add("stem", "string").add("n", "long").add("start", "long").add("end", "long").add("y", "double")
+    return held.select("track", "n", "v", "chunk", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).groupBy("track", "chunk").applyInArrow(run, schema)

@@ -6,10 +6,13 @@ contiguous ranges of bins that are worked out once, on a dimension of a few hund
 
 from __future__ import annotations
 
+import base64
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -62,11 +65,14 @@ def pool(frames: DataFrame, columns: int, values: str = "p") -> DataFrame:
     return held.groupBy("track", "row", "col").agg(F.max("p").alias("p"))
 
 
-def quantised(cells: DataFrame, range_db: float = 70.0) -> DataFrame:
-    """(track, row, col, q) against the greatest of all cells of a track; a silent track is an error."""
-    peaks = cells.groupBy("track").agg(F.max("p").alias("peak"))
+def quantised(cells: DataFrame, range_db: float = 70.0, joint: bool = False) -> DataFrame:
+    """The cells with q in place of p, against the greatest of a track's cells, or of all (joint); silence is an error."""
     peak = F.when(F.col("peak") > 0, F.col("peak")).otherwise(F.raise_error(F.lit("the signal is silent")).cast("double"))
-    return cells.join(peaks, "track").select("track", "row", "col", S.quantise(S.decibels(F.col("p"), peak, range_db), range_db).alias("q"))
+    top = F.max("p").alias("peak")
+    # the joint peak is one row
+    held = cells.join(F.broadcast(cells.agg(top)), F.lit(True)) if joint else cells.join(cells.groupBy("track").agg(top), "track")
+    others = [c for c in cells.columns if c != "p"]
+    return held.select(*others, S.quantise(S.decibels(F.col("p"), peak, range_db), range_db).alias("q"))
 
 
 def n_frames(n: Column, win: int, hop: int) -> Column:
@@ -84,7 +90,7 @@ def framed(signal: DataFrame, win: int, hop: int) -> DataFrame:
 
 
 def dft(signal: DataFrame, win: int = 16, hop: int | None = None) -> DataFrame:
-    """(track, frame, re, im): the windowed transform of each frame over the window's sum, for short windows."""
+    """(track, frame, re, im) as sums of products, for windows of a few samples; ``transform.stft`` is the one for all others."""
     hop = hop or win - win * 3 // 4
     held = framed(signal, win, hop).withColumn("x", F.col("v") * S.hann(F.col("i"), win))
     part = lambda f, k, sign: F.sum(sign * F.col("x") * f(2 * math.pi * k * F.col("i") / win)) / (win / 2)
@@ -113,37 +119,21 @@ def parabolic(left: Column, mid: Column, right: Column) -> tuple[Column, Column]
     return offset, mid - 0.25 * (left - right) * offset
 
 
-def moving_median_rows(m: Column, n_bins: int, size: int) -> Column:
-    """Medians of ``size`` neighbours along an array, with zeros beyond its ends."""
-    half = size // 2
-    zeros = F.array_repeat(F.lit(0.0), half)
-    padded = F.concat(zeros, m, zeros)
-    return F.transform(F.sequence(F.lit(1), F.lit(n_bins)), lambda i: F.element_at(F.array_sort(F.slice(padded, i, size)), half + 1))
-
-
-def masks(frames: DataFrame, n_bins: int, time: int = 31, freq: int = 31) -> DataFrame:
-    """(track, frame, bin, m, h, p): magnitudes with their medians along time and along frequency, zeros beyond the edges."""
-    if time % 2 == 0 or freq % 2 == 0:
-        raise ValueError("median windows must be odd")
-    half = time // 2
-    ends = frames.groupBy("track").agg(F.max("frame").alias("last"))
-    zero = F.array_repeat(F.lit(0.0), n_bins)
-    pads = ends.select("track", F.explode(F.concat(F.sequence(F.lit(-half).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("last") + 1, F.col("last") + half))).alias("frame"), zero.alias("m"), zero.alias("p"))
-    held = frames.select("track", "frame", "m", moving_median_rows(F.col("m"), n_bins, freq).alias("p")).union(pads)
-    cells = held.select("track", "frame", F.posexplode(F.arrays_zip("m", "p")).alias("bin", "c")).select("track", "frame", "bin", "c.m", "c.p")
-    near = Window.partitionBy("track", "bin").orderBy("frame").rowsBetween(-half, half)
-    return cells.withColumn("h", F.percentile("m", F.lit(0.5)).over(near)).join(ends, "track").where((F.col("frame") >= 0) & (F.col("frame") <= F.col("last"))).drop("last")
-
-
 def packed(cells: DataFrame, n_rows: int) -> DataFrame:
     """(track, n_cols, spec): the quantised cells row after row, as base64; cells that are missing are 0.
 
     A track is one value here, bounded by the rows and columns that pooling leaves.
     """
-    width = cells.groupBy("track").agg((F.max("col") + 1).alias("n_cols"))
-    held = cells.join(width, "track").groupBy("track", "n_cols").agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") * F.col("n_cols") + F.col("col")).alias("k"), F.lpad(F.hex("q"), 2, "0").alias("h")))).alias("_m"))
-    digits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_cols") * n_rows - 1), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit("00")))
-    return held.select("track", "n_cols", F.translate(F.base64(F.unhex(F.array_join(digits, ""))), "\r\n", "").alias("spec"))
+
+    def run(part: pa.Table) -> pa.Table:
+        row, col = part.column("row").to_numpy(), part.column("col").to_numpy()
+        n_cols = int(col.max()) + 1
+        held = np.zeros((n_rows, n_cols), np.uint8)
+        held[row, col] = part.column("q").to_numpy()
+        return pa.table({"track": part.column("track").slice(0, 1), "n_cols": pa.array([n_cols], pa.int64()), "spec": [base64.b64encode(held.tobytes()).decode()]})
+
+    schema = cells.select("track").schema.add("n_cols", "long").add("spec", "string")
+    return cells.select("track", "row", "col", "q").groupBy("track").applyInArrow(run, schema)
 
 
 def unpacked(packed_: DataFrame) -> DataFrame:

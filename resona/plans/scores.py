@@ -10,7 +10,7 @@ from ..operators import intervals, rhythm, store
 from ..sources import media
 from ..sources.tables import FRAMES, NOTES, SIGNAL, frames, notes, read, signal
 from .catalog import query
-from .spectra import FLUX, RATE, WIN, onset_flux  # noqa: F401
+from .spectra import _PEAKS, _THRESHOLD, RATE, WIN, flux_sql
 
 LEAD = intervals.PRESETS["lead"]
 TEMPO, OFFSET, START = 96.0, 0.25, 1704067200.0
@@ -39,7 +39,8 @@ def salience_norm(spark, sf_dir):
 
 
 N, HOP = LEAD.high - LEAD.low + 1, 0.01
-_VITERBI = f"""step as (select a.range as p, b.range as q, {HOP} * case when a.range = {N} and b.range = {N} then {LEAD.rest_stay} when a.range = {N} then {LEAD.rest_in} when b.range = {N} then {LEAD.rest_out} when a.range = b.range then 0.0
+def _viterbi(hop: float) -> str:
+    return f"""step as (select a.range as p, b.range as q, {hop} * case when a.range = {N} and b.range = {N} then {LEAD.rest_stay} when a.range = {N} then {LEAD.rest_in} when b.range = {N} then {LEAD.rest_out} when a.range = b.range then 0.0
    when abs(a.range - b.range) >= 12 and abs(a.range - b.range) % 12 = 0 then {LEAD.octave_cost} * (abs(a.range - b.range) // 12) else {LEAD.pitch_cost} * abs(a.range - b.range) end as c from range({N + 1}) a, range({N + 1}) b),
  emit as (select track, frame, (pitch - {LEAD.low})::bigint as q, 1 - s as e from norm union all select track, frame, {N}, {LEAD.rest_emission} from frames),
  ahead as (select track, frame, q, e as v from emit where frame = 0 union all
@@ -54,7 +55,7 @@ def _scaled(spark, sf_dir):
     return intervals.normalised(intervals.salience(frames(spark, sf_dir), LEAD, RATE, WIN))
 
 
-@query(f"with recursive {FRAMES}, {_SALIENCE}, {_VITERBI} select * from states")
+@query(f"with recursive {FRAMES}, {_SALIENCE}, {_viterbi(HOP)} select * from states")
 def viterbi_states(spark, sf_dir):
     """The cheapest path; SQL has it as the least sum of costs so far and costs to come."""
     return intervals.decode(_scaled(spark, sf_dir), HOP, LEAD)
@@ -102,25 +103,42 @@ def snap(spark, sf_dir):
     return intervals.snapped(points, held.where("event_type = 'click'"))
 
 
-@query(f"""with {FRAMES}, {_SALIENCE}, spans as (select track, i.range as state, i.range * 2 as f0, i.range * 2 + 6 as f1 from (select distinct track from frames), range(12) i)
- select p.track, state::int as state, f0, f1, round_even(least(greatest(avg(s), 0), 1), 4) as conf from spans p join norm n on n.track = p.track and n.frame >= f0 and n.frame < f1 and n.pitch = {LEAD.low} + state group by all""")
+def _segments(hop: float) -> str:
+    return f"""marked0 as (select *, case when state = lag(state) over w then 0 else 1 end as new from states window w as (partition by track order by frame)),
+ numbered0 as (select *, sum(new) over (partition by track order by frame) as run from marked0),
+ sung0 as (select * from (select track, any_value(state) as state, min(frame) as f0, max(frame) + 1 as f1 from numbered0 group by track, run) where state <> {N}),
+ near0 as (select *, case when state = lag(state) over w and (f0 - lag(f1) over w) * {hop} <= 0.06 + 1e-9 then 0 else 1 end as new from sung0 window w as (partition by track order by f0)),
+ island0 as (select *, sum(new) over (partition by track order by f0) as island from near0),
+ seg as (select track, any_value(state) as state, min(f0) as f0, max(f1) as f1 from island0 group by track, island)"""
+
+
+@query(f"""with recursive {FRAMES}, {_SALIENCE}, {_viterbi(HOP)}, {_segments(HOP)}
+ select p.track, state, f0, f1, round_even(least(greatest(avg(round_even(s, 12)), 0), 1), 4) as conf from seg p join norm n on n.track = p.track and n.frame >= f0 and n.frame < f1 and n.pitch = {LEAD.low} + state group by all""")
 def note_conf(spark, sf_dir):
-    scaled = _scaled(spark, sf_dir)
-    i = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("state")
-    spans = scaled.select("track").distinct().select("track", i).select("track", "state", (F.col("state") * 2).cast("long").alias("f0"), (F.col("state") * 2 + 6).cast("long").alias("f1"))
-    return intervals.confidences(spans, scaled)
+    """The confidence of each segment that decoding finds over all frames of a track."""
+    return note_conf_segments(spark, sf_dir)
 
 
 @query()
 def note_conf_segments(spark, sf_dir):
-    """The confidence of each segment that decoding finds over all frames of a track; note_conf has made-up spans."""
+    """The same rows as note_conf, which has the SQL."""
     scaled = _scaled(spark, sf_dir)
     return intervals.confidences(intervals.merge_mono(intervals.runs(intervals.decode(scaled, HOP, LEAD), rest=N), HOP), scaled)
 
 
-@query()
+_BAND = rhythm.band_bins(*LEAD.band, RATE, WIN)
+
+
+@query(f"""with recursive {FRAMES}, {_SALIENCE}, {_viterbi(0.05)}, {_segments(0.05)}, {flux_sql(*_BAND)}, {_THRESHOLD}, {_PEAKS}, c as (select track, frame from peaks where peak and flux > threshold),
+ kept as (select track, min(frame) as frame from c group by track union all
+   select track, frame from (select k.track, (select min(c.frame) from c where c.track = k.track and c.frame >= k.frame + 4) as frame from kept k) where frame is not null),
+ moved as (select s.track, s.state, s.f0 as a, s.f1 as b, coalesce(min(o.frame) filter (abs(o.frame - s.f0) <= 1), s.f0) as f0, coalesce(min(o.frame) filter (abs(o.frame - s.f1) <= 1), s.f1) as f1
+   from seg s left join kept o on o.track = s.track and (abs(o.frame - s.f0) <= 1 or abs(o.frame - s.f1) <= 1) group by s.track, s.state, s.f0, s.f1),
+ long as (select * from moved where (f1 - f0) * 0.05 >= {LEAD.least_note})
+ select l.track, (state + {LEAD.low})::int as pitch, round_even(f0 * 0.05, 4) as start, round_even(f1 * 0.05, 4) as "end", round_even(least(greatest(avg(s), 0), 1), 4) as conf
+ from long l join norm n on n.track = l.track and n.frame >= f0 and n.frame < greatest(f1, f0 + 1) and n.pitch = {LEAD.low} + state group by l.track, state, a, b, f0, f1""")
 def mono_notes(spark, sf_dir):
-    """All of the way from frames to notes; its steps have SQL of their own."""
+    """All of the way from frames to notes."""
     held = frames(spark, sf_dir)
     low, end = rhythm.band_bins(*LEAD.band, RATE, WIN)
     return intervals.mono_notes(held, rhythm.onsets(held, low, end, 5, 2, 4), LEAD, RATE, WIN, 0.05)
@@ -155,17 +173,28 @@ def midi_bytes(spark, sf_dir):
     return files.select("file", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@query(f"""with {SIGNAL} select track, count(*) as n, count(*) * 2 + 44 as bytes from signal group by track""")
+def _little(x: str, size: int) -> str:
+    """SQL of a number's little-endian bytes as hex digits."""
+    return " || ".join(f"substr(printf('%0{2 * size}x', ({x})::bigint), {i}, 2)" for i in range(2 * size - 1, 0, -2))
+
+
+# samples of 16 bits, cut towards zero
+_PCM16 = f"""pcm as (select track, n, trunc(least(greatest(v / 100 - 0.5, -1.0), 1.0) * 32767)::bigint as x from signal),
+ body as (select track, count(*) as n, string_agg({_little("(x + 65536) % 65536", 2)}, '' order by n) as hex from pcm group by track)"""
+_WAV_HEADER = " || ".join(["'52494646'", _little("36 + 2 * n", 4), "'57415645666d7420' || '10000000' || '01000100'", _little("8000", 4), _little("16000", 4), "'02001000' || '64617461'", _little("2 * n", 4)])
+
+
+@query(f"with {SIGNAL}, {_PCM16} select track, n, n * 2 + 44 as bytes, sha256(unhex({_WAV_HEADER} || hex)) as sha256 from body")
 def wav_bytes(spark, sf_dir):
-    """The size of a WAV file of each track."""
+    """The size and digest of a WAV file of each track."""
     held = signal(spark, sf_dir)
     files = media.one_file(held.withColumn("v", F.col("v") / 100 - 0.5), 8000)
-    return held.groupBy("track").agg(F.count("*").alias("n")).join(files, "track").select("track", "n", F.length("content").cast("long").alias("bytes"))
+    return held.groupBy("track").agg(F.count("*").alias("n")).join(files, "track").select("track", "n", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@query()
+@query(f"with {SIGNAL}, {_PCM16} select track, left(sha256(unhex(hex)), 16) as pcm16 from body")
 def pcm16_hash(spark, sf_dir):
-    """Fingerprints of the tracks' samples; the tests make them again from bytes."""
+    """Fingerprints of the tracks' samples."""
     return media.fingerprints(signal(spark, sf_dir).withColumn("v", F.col("v") / 100 - 0.5))
 
 
@@ -175,8 +204,8 @@ A, B, LONGEST = START + 5 * 86400, START + 5 * 86400 + 7200, 60.0 * 1000
 @query(f"""with {NOTES} select id, pitch, round_even(start, 3) as start, round_even("end", 3) as "end" from notes where "end" >= {A} and start <= {B}""")
 def visible_notes(spark, sf_dir):
     held = notes(spark, sf_dir)
-    longest = held.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0.0
-    return intervals.visible(held, A, B, longest).select("id", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"))
+    longest = held.agg(F.coalesce(F.max(F.col("end") - F.col("start")), F.lit(0.0)).alias("longest"))  # one row
+    return intervals.visible(held.join(F.broadcast(longest), F.lit(True)), A, B, F.col("longest")).select("id", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"))
 
 
 @query(f"with {NOTES} select id, pitch, conf from notes order by conf desc, id limit 1500")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import rhythm, separation, spectral
+from ..operators import analysis, rhythm, separation, spectral, transform
 from ..sources.tables import FRAMES, SIGNAL, frames, read, signal
 from .catalog import query
 
 WIN, RATE, BINS = 126, 8000, 64
 
 
-def _bands_sql(sub: int) -> str:
-    return f"""axis as (select range as bin, range * {RATE} / {WIN}.0 as hz from range({BINS})),
+def _bands_sql(sub: int, win: int = WIN, n_bins: int = BINS) -> str:
+    return f"""axis as (select range as bin, range * {RATE} / {win}.0 as hz from range({n_bins})),
  tone as (select range as row, 440.0 * pow(2.0, (21 + range // {sub} - 0.5 - 69) / 12.0) as a, 440.0 * pow(2.0, (21 + range // {sub} + 0.5 - 69) / 12.0) as b from range({88 * sub}) r),
  edge as (select row, a * pow(b / a, (row % {sub}) / {sub}.0) as low, a * pow(b / a, (row % {sub} + 1) / {sub}.0) as high, {'440.0 * pow(2.0, (21 + row - 69) / 12.0)' if sub == 1 else '0.0'} as c0 from tone),
  band as (select row, low, high, {'c0' if sub == 1 else 'sqrt(low * high)'} as c from edge),
@@ -37,10 +38,10 @@ def band_energy_sub5(spark, sf_dir):
 
 @query(f"""with {FRAMES}, {_bands_sql(5)}, k(d, w) as (values (-1, 1 / 6.0), (0, 2 / 6.0), (1, 2 / 6.0), (2, 1 / 6.0)),
  taps as (select range as row, greatest(0, least(439, range + d)) as source, w from range(440), k)
- select track, frame, t.row::int as row, round_even(sum(p * w), 9) as p from taps t join power s on s.row = t.source where t.row % 5 = 0 group by all""")
+ select track, frame, t.row::int as row, round_even(sum(p * w), 9) as p from taps t join power s on s.row = t.source group by all""")
 def widen_rows(spark, sf_dir):
-    """Every fifth row of widen_rows_all."""
-    return widen_rows_all(spark, sf_dir).where("row % 5 = 0")
+    """All rows, as widen_rows_all has them."""
+    return widen_rows_all(spark, sf_dir)
 
 
 @query(f"""with {FRAMES}, {_bands_sql(5)}, k(d, w) as (values (-1, 1 / 6.0), (0, 2 / 6.0), (1, 2 / 6.0), (2, 1 / 6.0)),
@@ -83,10 +84,10 @@ def pool2d(spark, sf_dir):
     return held.groupBy("track", F.floor(F.col("row") / 4).alias("row"), F.floor(F.col("col") / 3).alias("col")).agg(F.max("db").alias("db"))
 
 
-@query(f"with {FRAMES}, {_bands_sql(1)}, {_POOLED.format(n=20)}, {_QUANTISED} select track, row::int as row, col, round_even(pow(least(greatest(q / 255.0 + 6.0 / 70.0, 0.0), 1.0), 1 / 0.8), 9) as level from quantised where row between 20 and 59")
+@query(f"with {FRAMES}, {_bands_sql(1)}, {_POOLED.format(n=20)}, {_QUANTISED} select track, row::int as row, col, round_even(pow(least(greatest(q / 255.0 + 6.0 / 70.0, 0.0), 1.0), 1 / 0.8), 9) as level from quantised")
 def intensity(spark, sf_dir):
-    """The middle rows of intensity_all."""
-    return intensity_all(spark, sf_dir).where("row between 20 and 59")
+    """All rows, as intensity_all has them."""
+    return intensity_all(spark, sf_dir)
 
 
 @query(f"with {FRAMES}, {_bands_sql(1)}, {_POOLED.format(n=20)}, {_QUANTISED} select track, row::int as row, col, round_even(pow(least(greatest(q / 255.0 + 6.0 / 70.0, 0.0), 1.0), 1 / 0.8), 9) as level from quantised")
@@ -108,6 +109,81 @@ def stft_dft16(spark, sf_dir):
     return flat.select("track", "frame", "bin", (F.bround("c.re", 6) + 0.0).alias("re"), (F.bround("c.im", 6) + 0.0).alias("im"))
 
 
+_DFT = "dft as (select track, frame, b.range as bin, sum(x * cos(2 * pi() * b.range * i / 16)) / 8 as re, sum(-x * sin(2 * pi() * b.range * i / 16)) / 8 as im from windowed, range(9) b group by all)"
+
+
+@query(f"with {SIGNAL}, {_FRAMED}, {_DFT} select track, frame, bin::int as bin, round_even(re, 6) + 0.0 as re, round_even(im, 6) + 0.0 as im from dft")
+def stft_fft(spark, sf_dir):
+    """The same as stft_dft16, by the transform that is there for windows of any size, in blocks of 8 frames."""
+    held = transform.stft(signal(spark, sf_dir), 16, block=8)
+    flat = held.select("track", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c"))
+    return flat.select("track", "frame", "bin", (F.bround("c.re", 6) + 0.0).alias("re"), (F.bround("c.im", 6) + 0.0).alias("im"))
+
+
+def _lengths(samples):
+    return samples.groupBy("track").agg((F.max("n") + 1).alias("samples"))
+
+
+@query(f"with {SIGNAL} select track, n, round_even(v, 4) as v from signal")
+def istft_fft(spark, sf_dir):
+    """The signal itself, by way of a transform at a window of 2048."""
+    samples = signal(spark, sf_dir)
+    back = transform.istft(transform.stft(samples, 2048, 512), _lengths(samples), 2048, 512)
+    return back.withColumn("v", F.bround(F.bround("v", 9), 4))
+
+
+@query(f"with {SIGNAL} select track, n, round_even(v, 4) as v, 2::bigint as stems from signal")
+def stem_samples(spark, sf_dir):
+    """The sum of the harmonic and percussive stems of each track, which is the track."""
+    stems = separation.separate(signal(spark, sf_dir), "hpss", 64, 16)
+    return stems.groupBy("track", "n").agg(F.bround(F.bround(F.sum("v"), 7), 4).alias("v"), F.count("*").alias("stems"))
+
+
+@query(f"""with {SIGNAL}, {_FRAMED}, {_DFT}, bins as (select track, frame, bin, sqrt(re * re + im * im) as m from dft), last as (select track, max(frame) as last from bins group by track),
+ low as (select track, frame, bin, case when m > 1 then 1.0 else 0.25 end as k, re, im from bins join dft using (track, frame, bin))
+ select track, frame, bin::int as bin, stem, round_even(re * case when stem = 'loud' then k else 1 - k end, 6) + 0.0 as re, round_even(im * case when stem = 'loud' then k else 1 - k end, 6) + 0.0 as im from low, (values ('loud'), ('soft')) t(stem)""")
+def masked_spectra(spark, sf_dir):
+    """A transform under the masks of two stems, each cell times its share."""
+    spectra = transform.stft(signal(spark, sf_dir), 16, block=8)
+    loud = F.transform("m", lambda m: F.when(m > 1, 1.0).otherwise(0.25))
+    masks = transform.magnitudes(spectra).select("track", "frame", loud.alias("loud")).withColumn("soft", F.transform("loud", lambda k: 1 - k))
+    held = transform.masked(spectra, masks, ("loud", "soft"))
+    flat = held.select("track", "frame", "stem", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c"))
+    return flat.select("track", "frame", "bin", "stem", (F.bround("c.re", 6) + 0.0).alias("re"), (F.bround("c.im", 6) + 0.0).alias("im"))
+
+
+_PCM = """pcm as (select user_id as track, row_number() over (partition by user_id order by ts, event_id) - 1 as n, value as l, json_extract_string(props, '$.k')::double as r from events),
+ signal as (select track || '/mix' as track, n, (l + r) / 2 as v from pcm union all select track || '/left', n, l from pcm union all select track || '/right', n, r from pcm)"""
+
+
+def _pcm(spark, sf_dir):
+    """(track, ch, n, v): each user's events as samples of two channels."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    held = read(spark, sf_dir, "events").withColumn("n", (F.row_number().over(order) - 1).cast("long"))
+    both = F.posexplode(F.array("value", F.get_json_object("props", "$.k").cast("double"))).alias("ch", "v")
+    return held.select(F.col("user_id").alias("track"), "n", both).select("track", "ch", "n", "v")
+
+
+@query(f"""with {_PCM}, {_FRAMED}, {_DFT}, bins as (select track, frame, bin, sqrt(re * re + im * im) as m from dft), {_bands_sql(1, 16, 9)}, frames as (select distinct track, frame from bins),
+ {_POOLED.format(n=10).replace("sizes", "blocks")}, named as (select split_part(track, '/', 1)::bigint as track, split_part(track, '/', 2) as channel, row, col, p from pooled), tops as (select track, max(p) as peak from named group by track)
+ select track, channel, row::int as row, col, round_even(round(least(greatest((greatest(10 * log10(greatest(p / peak, 1e-12)), -70.0) + 70.0) / 70.0, 0.0), 1.0) * 255, 6), 0)::int as q from named join tops using (track)""")
+def analysis_cells(spark, sf_dir):
+    """Spectra of mix, left and right of each track, on the scale of their joint peak."""
+    return analysis.channel_cells(analysis.channel_spectra(_pcm(spark, sf_dir), 16), RATE, 16, 10)
+
+
+@query()
+def analysis_payload(spark, sf_dir):
+    """The document of each track; the cells in it are those of analysis_cells, and the tempo is tested on clicks."""
+    return analysis.analyse(_pcm(spark, sf_dir), RATE, 16, columns=10)
+
+
+@query("select label as track, frame, frame // 3 as slice from (select label, row_number() over (partition by label order by vec_id) - 1 as frame from embeddings)")
+def frame_slices(spark, sf_dir):
+    """Frames by slices of a tenth of a second, 3 frames each."""
+    return transform.slices(frames(spark, sf_dir).select("track", "frame"), 0.1, 480, 16)
+
+
 @query(f"with {SIGNAL}, {_FRAMED} select track, frame, round_even(sum(x * x), 4) as energy from windowed group by all")
 def parseval(spark, sf_dir):
     """The energy of each windowed frame, from its transform."""
@@ -162,7 +238,8 @@ _MASKED = """last as (select track, max(frame) as last from frames group by trac
 
 
 def _masked(spark, sf_dir):
-    held = spectral.masks(frames(spark, sf_dir), BINS, 5, 5)
+    held = separation.medians(frames(spark, sf_dir), 5, 5).select("track", "frame", F.posexplode(F.arrays_zip("m", "h", "p")).alias("bin", "c"))
+    held = held.select("track", "frame", "bin", "c.m", "c.h", "c.p")
     return held.withColumn("mh", S.wiener(F.col("h"), F.col("p"))).withColumn("mp", S.wiener(F.col("p"), F.col("h")))
 
 
@@ -183,18 +260,18 @@ def combined_masks(spark, sf_dir):
 
 
 @query("""with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings)
- select vec_id, pos::int as pos, round_even(sign(x) * greatest(abs(x) - 0.05, 0.0), 9) as x from e where abs(x) > 0.05""")
+ select vec_id, pos::int as pos, round_even(sign(x) * greatest(abs(x) - 0.05, 0.0), 9) as x from e""")
 def soft_threshold(spark, sf_dir):
     held = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("pos", "x"))
-    return held.where("abs(x) > 0.05").withColumn("x", F.bround(S.soft_threshold(F.col("x"), 0.05), 9))
+    return held.withColumn("x", F.bround(S.soft_threshold(F.col("x"), 0.05), 9))
 
 
 @query()
 def rpca_masks(spark, sf_dir):
     """Masks of the low-rank and sparse parts; iterative, so without SQL."""
-    held = separation.low_rank_chunks(frames(spark, sf_dir), 40, 8)
-    low, sparse = F.abs("low"), F.abs("sparse")
-    return held.select("track", "frame", "bin", F.bround(S.wiener(low, sparse), 6).alias("ml"), F.bround(S.wiener(sparse, low), 6).alias("ms"))
+    held = separation.low_rank_masks(frames(spark, sf_dir), 40, 8)
+    cells = held.select("track", "frame", F.posexplode(F.arrays_zip("lowrank", "sparse")).alias("bin", "c"))
+    return cells.select("track", "frame", "bin", F.bround("c.lowrank", 6).alias("ml"), F.bround("c.sparse", 6).alias("ms"))
 
 
 @query(f"with {FRAMES}, d as (select *, m - lag(m) over (partition by track, bin order by frame) as d from bins) select track, frame, round_even(sum(greatest(d, 0.0)), 6) as flux from d where d is not null group by all")
@@ -203,7 +280,14 @@ def flux_bpm(spark, sf_dir):
 
 
 _LOW, _END = rhythm.band_bins(200.0, 2000.0, RATE, WIN)
-FLUX = f"d as (select *, m - lag(m, 1, 0.0) over (partition by track, bin order by frame) as d from bins where bin >= {_LOW} and bin < {_END}), flux as (select track, frame, sum(greatest(d, 0.0)) as flux from d group by all)"
+
+
+def flux_sql(low: int, end: int) -> str:
+    return f"""d as (select *, m - lag(m, 1, 0.0) over (partition by track, bin order by frame) as d from bins where bin >= {low} and bin < {end}),
+ flux as (select track, frame, sum(greatest(d, 0.0)) as flux from d group by all)"""
+
+
+FLUX = flux_sql(_LOW, _END)
 
 
 def onset_flux(spark, sf_dir):

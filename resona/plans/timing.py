@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import intervals, rhythm, separation
+from ..operators import rhythm, separation
 from ..sources.tables import HOURLY, SIGNAL, hourly, read, signal
 from .catalog import query
 
@@ -74,15 +74,16 @@ def chunk_plan_dl(spark, sf_dir):
     return _plan(signal(spark, sf_dir))
 
 
-@query(f"""with {SIGNAL}, {_SIZES}, p as (select track, i as chunk, i * 15 as start, least(i * 15 + 20, total) as "end" from (select *, unnest(range(greatest(ceil((total - 20) / 15.0)::bigint + 1, 1))) as i from sizes))
- select a.track, a.chunk::int as chunk, a.start + j.range as frame, round_even((j.range + 1) / 6.0, 9) as weight from p a join p b on a.track = b.track and b.chunk = a.chunk - 1, range(5) j where j.range < least(5, a."end" - a.start, b."end" - b.start)""")
+@query(f"""with {SIGNAL}, {_SIZES}, p as (select track, i as chunk, i * 15 as start, least(i * 15 + 20, total) as "end" from (select *, unnest(range(ceil(greatest(total, 1) / 15.0)::bigint)) as i from sizes)),
+ o as (select a.*, least(5, a."end" - a.start, b."end" - b.start, least(a.start + 15, total) - a.start) as fade from p a join p b on a.track = b.track and b.chunk = a.chunk - 1 join sizes z on z.track = a.track)
+ select track, chunk::int as chunk, start + j.range as frame, round_even((j.range + 1) / (fade + 1.0), 9) as weight from o, range(5) j where j.range < fade""")
 def rpca_crossfade_plan(spark, sf_dir):
     """Weights of the later of two chunks where they overlap."""
     sizes = signal(spark, sf_dir).groupBy("track").agg((F.max("n") + 1).alias("total"))
-    plan = separation.chunks(sizes, separation.clipped(F.col("total"), 20, 5))
-    before = plan.select("track", (F.col("chunk") + 1).alias("chunk"), (F.col("end") - F.col("start")).alias("size"))
-    place = F.explode(F.sequence(F.lit(0), F.least(F.lit(5), F.col("end") - F.col("start"), F.col("size")).cast("int") - 1)).alias("j")
-    return plan.join(before, ["track", "chunk"]).select("track", "chunk", "start", place).select("track", "chunk", (F.col("start") + F.col("j")).alias("frame"), F.bround((F.col("j") + 1) / 6.0, 9).alias("weight"))
+    plan = separation.chunks(sizes, separation.clipped(F.col("total"), 20, 5)).join(sizes, "track")
+    held = plan.withColumn("fade", separation.faded(F.col("total"), 20, 5)).where("fade > 0")
+    held = held.select("track", "chunk", "start", "fade", F.explode(F.sequence(F.lit(0), F.col("fade").cast("int") - 1)).alias("j"))
+    return held.select("track", "chunk", (F.col("start") + F.col("j")).alias("frame"), F.bround((F.col("j") + 1) / (F.col("fade") + 1.0), 9).alias("weight"))
 
 
 _BLEND = """part as (select s.track, s.n, v * (1 + 0.1 * chunk) as y, 0.5 - 0.5 * cos(2 * pi() * (n - start + 0.5) / ("end" - start)) as w from signal s join plan p on s.track = p.track and n >= start and n < "end")"""
@@ -95,17 +96,19 @@ def ola_blend(spark, sf_dir):
     return separation.blended(parts).withColumn("v", F.bround("v", 6))
 
 
-@query(f"with {SIGNAL} select track, n, round_even(2 * v, 4) as v from signal")
+@query(f"""with {SIGNAL}, {_PLAN}, part as (select s.track, p.chunk, s.n, 0.5 - 0.5 * cos(2 * pi() * (n - start + 0.5) / ("end" - start)) as w,
+  sum(v) over c as whole, v - first_value(v) over c as rise from signal s join plan p on s.track = p.track and n >= start and n < "end" window c as (partition by s.track, p.chunk order by s.n)),
+ stem as (select track, n, w, 'sum' as stem, whole as y from part union all select track, n, w, 'rise', rise from part)
+ select track, stem, n, round_even(round_even(sum(w * y) / greatest(sum(w), 1e-30), 9), 4) as v from stem group by all""")
 def infer_ola(spark, sf_dir):
-    """An injected model run on each chunk, and the chunks blended; this one doubles its input, so SQL can say the result."""
+    """An injected model run on each whole chunk, and the chunks blended; its stems, running sums and rises since the first sample, need the chunk in order."""
     samples = signal(spark, sf_dir)
-    held = separation.spread(samples, _plan(samples), CHUNK)
 
-    def double(batch):
-        return batch.assign(y=batch["v"] * 2)
+    def model(x):
+        return [x.cumsum()[None, :], (x - x[0])[None, :]]
 
-    parts = intervals.batches_of(held, double, held.select("*").schema.add("y", "double"))
-    return separation.blended(parts).withColumn("v", F.bround(F.bround("v", 9), 4))
+    parts = separation.infer_chunks(samples, _plan(samples), CHUNK, model, ("sum", "rise"))
+    return separation.blended(parts, ("track", "stem")).withColumn("v", F.bround(F.bround("v", 9), 4))
 
 
 @query(f"""with {SIGNAL}, {_SIZES}, p as (select s.track, n, v, total, i.range as pass, total * i.range // 3 as roll from signal s join sizes using (track), range(3) i)
@@ -144,8 +147,8 @@ def overview(spark, sf_dir):
 def makeup_gain(spark, sf_dir):
     """Peak of each track, and the gain that lifts it to the greatest of all."""
     peaks = signal(spark, sf_dir).groupBy("track").agg(F.max(F.abs("v")).alias("peak"))
-    mix = peaks.agg(F.max("peak")).first()[0] or 0.0
-    return peaks.withColumn("db", F.bround(S.makeup_db(F.lit(float(mix)), F.col("peak")), 6))
+    mix = peaks.agg(F.max("peak").alias("mix"))  # one row
+    return peaks.join(F.broadcast(mix), F.lit(True)).select("track", "peak", F.bround(S.makeup_db(F.col("mix"), F.col("peak")), 6).alias("db"))
 
 
 @query("select event_type, count(*) as n, round_even(avg(value), 6) as mean, max(value) as top from events group by all")
@@ -155,20 +158,23 @@ def event_summary(spark, sf_dir):
 
 @query("""with recursive o as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) as k from events),
  r as (select event_type, k, value as speed from o where k = 1 union all select o.event_type, o.k, 0.7 * r.speed + 0.3 * o.value from r join o on o.event_type = r.event_type and o.k = r.k + 1)
- select event_type, k::int as k, round_even(speed, 6) as speed from r where k % 50 = 0""")
+ select event_type, k::int as k, round_even(speed, 6) as speed from r""")
 def ewma_speed(spark, sf_dir):
-    """Every fiftieth row of ewma_speed_all."""
-    return ewma_speed_all(spark, sf_dir).where("k % 50 = 0")
+    """All events, as ewma_speed_all has them."""
+    return ewma_speed_all(spark, sf_dir)
 
 
 @query()
 def ewma_speed_all(spark, sf_dir):
-    """The speed of a transfer, seven tenths the last and three tenths the new, at every event.
-
-    What an event adds fades by 0.7 with each one after it, so a window of 120 holds all that a double can tell.
-    """
+    """The speed of a transfer, seven tenths the last and three tenths the new, at every event."""
     by = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    held = read(spark, sf_dir, "events").withColumn("k", F.row_number().over(by)).withColumn("near", F.collect_list("value").over(by.rowsBetween(-119, 0)))
-    first = F.col("k") <= 120
-    fold = F.aggregate(F.slice("near", F.lit(2), F.size("near") - 1), F.when(first, F.element_at("near", 1)).otherwise(F.lit(0.0)), lambda s, x: 0.7 * s + 0.3 * x)
-    return held.select("event_type", "k", F.bround(fold, 6).alias("speed"))
+    held = read(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.row_number().over(by).alias("k"), F.col("value").alias("x"))
+    return rhythm.smoothed(held, "k", "x", 0.7).select(F.col("track").alias("event_type"), "k", F.bround("smooth", 6).alias("speed"))
+
+
+@query(f"""with {SIGNAL}, hourly as (select track, n as t, v as x from signal), long as (select track from signal group by track having count(*) >= 64 and max(v) > 0),
+ {_AC}, {_BPM}, {_PHASE} select s.track, case when l.track is null then 120.0 else bpm end as bpm, case when l.track is null then 0.0 else "offset" end as "offset"
+  from (select distinct track from signal) s left join long l using (track) left join beat b on b.track = s.track""")
+def tempo_guarded(spark, sf_dir):
+    """Tempo and phase of each user's values; a user of fewer than 64, or of none above 0, gets 120 and 0."""
+    return rhythm.estimate(signal(spark, sf_dir).select("track", F.col("n").alias("t"), F.col("v").alias("x")), HOP)

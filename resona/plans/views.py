@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import intervals, spectral
+from ..operators import intervals, separation, spectral
 from ..sources.tables import FRAMES, SIGNAL, frames, micros, read, signal
 from .catalog import query
 from .spectra import _POOLED, _QUANTISED, RATE, WIN, _bands_sql, _quantised
@@ -38,11 +38,7 @@ def payload_json(spark, sf_dir):
 @query(f"""with {_CELLS}, top as (select max(p) as peak from pooled) select track, row::int as row, col, round_even(least(greatest((greatest(10 * log10(greatest(p / peak, 1e-12)), -70.0) + 70.0) / 70.0, 0.0), 1.0) * 255, 0)::int as q from pooled, top""")
 def stem_spec(spark, sf_dir):
     """Each track's cells against the peak of all tracks."""
-    cells = spectral.pool(spectral.band_power(frames(spark, sf_dir), RATE, WIN), 20)
-    peak = cells.agg(F.max("p")).first()[0]
-    if not peak or peak <= 0:
-        raise ValueError("the signal is silent")
-    return cells.select("track", "row", "col", S.quantise(S.decibels(F.col("p"), F.lit(peak), 70.0), 70.0).alias("q"))
+    return spectral.quantised(spectral.pool(spectral.band_power(frames(spark, sf_dir), RATE, WIN), 20), joint=True)
 
 
 @query(f"""with {_CELLS}, {_QUANTISED}, m as (select row, col, max(q) as master from quantised group by all) select track, row::int as row, col // 2 as bucket, max(q) as stem, max(master) as master from quantised join m using (row, col) group by all""")
@@ -109,3 +105,90 @@ def poly_notes(spark, sf_dir):
         F.col("event_id").alias("id"), F.col("user_id").alias("track"), (F.from_json("props", "k int")["k"] % 12 + 60).alias("pitch"), start.alias("start"), (start + F.col("value")).alias("end"), S.clamp(F.col("value") / 50 - 0.5, 0.0, 1.0).alias("conf")
     )
     return intervals.merge_poly(raw, 40000.0).select("track", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"), F.bround("conf", 6).alias("conf"))
+
+
+@query("""select event_id, round_even(pow(least(value / 100, 1.0), least(greatest(user_id % 9 * 0.75, 0.6), 5.0)), 9) as place from events""")
+def gamma_scale(spark, sf_dir):
+    """Anchors of a colour scale under gammas."""
+    held = read(spark, sf_dir, "events")
+    place = S.gamma_anchor(F.least(F.col("value") / 100, F.lit(1.0)), F.col("user_id") % 9 * 0.75)
+    return held.select("event_id", F.bround(place, 9).alias("place"))
+
+
+@query("""with p as (select event_id, user_id % 88 + 21 as pitch from events)
+ select event_id, pitch * 5 + 2.0 as unit, round_even(((108 + 1) * 5 - 0.5 - (pitch * 5 + 2.0)) / ((108 + 1) * 5 - 0.5 - (21 * 5 - 0.5)), 9) as fraction from p""")
+def row_geometry(spark, sf_dir):
+    """Centre rows of pitches, and how far down the plot they are."""
+    unit = S.row_centre(F.col("user_id") % 88 + 21, 5)
+    return read(spark, sf_dir, "events").select("event_id", unit.alias("unit"), F.bround(S.plot_fraction(unit, 21, 108, 5), 9).alias("fraction"))
+
+
+@query("""with e as (select event_id, value * 100 as a, value * 100 + 2000 as b, user_id % 5 * 0.5 + 0.25 as factor, case when user_id % 3 = 0 then null else value * 100 + 500 end as anchor from events),
+ z as (select *, least(greatest(round_even((b - a) * factor, 0), 1000.0), 12000.0) as span, case when anchor is null then 0.5 else least(greatest((anchor - a) / (b - a), 0.0), 1.0) end as f from e),
+ m as (select *, a + f * ((b - a) - span) as spot, a + value_by as pan from (select *, (factor - 1) * 3000 as value_by from z))
+ select event_id, round_even(case when span >= 12000 then 0.0 else least(greatest(spot, 0.0), 12000.0 - span) end, 6) as zoom_start, round_even(case when span >= 12000 then 12000.0 else least(greatest(spot, 0.0), 12000.0 - span) + span end, 6) as zoom_end,
+  round_even(least(greatest(pan, 0.0), 12000.0 - (b - a)), 6) as pan_start, round_even(least(greatest(pan, 0.0), 12000.0 - (b - a)) + (b - a), 6) as pan_end from m""")
+def zoom_pan(spark, sf_dir):
+    """Views zoomed around an anchor and moved, within 12 seconds."""
+    user, a = F.col("user_id"), F.col("value") * 100
+    b, factor = a + 2000, user % 5 * 0.5 + 0.25
+    anchor = F.when(user % 3 != 0, a + 500)
+    low, high = S.zoomed(a, b, factor, anchor, 0.0, 12000.0)
+    left, right = S.panned(a, b, (factor - 1) * 3000, 0.0, 12000.0)
+    named = zip(("zoom_start", "zoom_end", "pan_start", "pan_end"), (low, high, left, right), strict=True)
+    return read(spark, sf_dir, "events").select("event_id", *(F.bround(c, 6).alias(n) for n, c in named))
+
+
+@query("""select event_id, greatest(60, round_even(least(greatest(value, 15.0), 60.0) * value, 0)::int) as columns, least(greatest(60, round_even(least(greatest(value, 15.0), 60.0) * value * 20, 0)::int), 12000) as stem_columns from events""")
+def column_counts(spark, sf_dir):
+    """Columns of spectrograms of so many seconds; those of stems have a most."""
+    rate, seconds = S.clamp(F.col("value"), 15.0, 60.0), F.col("value")
+    return read(spark, sf_dir, "events").select("event_id", S.columns_of(seconds, rate).alias("columns"), S.columns_of(seconds * 20, rate, most=12000).alias("stem_columns"))
+
+
+@query("""with u as (select user_id, list(event_type order by ts, event_id) as wanted from events group by user_id),
+ k as (select user_id, list_filter(list_distinct(wanted), lambda x: x in ('click', 'purchase', 'view')) as kept, wanted from u),
+ o as (select user_id, list_sort(list_transform(kept, lambda x: (list_position(wanted, x), x))) as placed from k),
+ n as (select user_id, list_transform(placed, lambda x: x[2]) as names from o)
+ select user_id, array_to_string(case when list_contains(names, 'view') then names else list_append(names, 'view') end, ',') as names from n""")
+def preferred_names(spark, sf_dir):
+    """What each user asks for among what is there, in order, with one name that is always last where it is not asked for."""
+    wanted = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("wanted"))
+    available = F.array(*map(F.lit, ("click", "purchase", "view")))
+    return wanted.select("user_id", F.array_join(S.preferred(F.col("wanted"), available, "view"), ",").alias("names"))
+
+
+@query("""with u as (select user_id, list(distinct event_type) as found from events group by user_id),
+ m as (select user_id, list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: not list_contains(found, x)) as missing from u)
+ select user_id, array_to_string(missing, ',') as missing, len(missing) = 0 as whole from m""")
+def missing_names(spark, sf_dir):
+    """Names of a registry that a user's output lacks, and whether it has all of them."""
+    registry = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    held = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("found"))
+    gone = S.missing(registry, F.col("found"))
+    return held.select("user_id", F.array_join(gone, ",").alias("missing"), (F.size(gone) == 0).alias("whole"))
+
+
+@query("""select event_id, event_type as track from events where event_type in ('click', 'view')""")
+def selected_tracks(spark, sf_dir):
+    """The rows of both of two tracks, one after the other."""
+    held = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("track"))
+    one = lambda name: held.where(F.col("track") == name)
+    return one("click").unionByName(one("view"))
+
+
+@query("""select event_id, case when value > 1 and value < 90 then value else 120.0 end as bpm from events""")
+def tempo_default(spark, sf_dir):
+    """The tempo of each event, or the default where it is none."""
+    stated = F.when(F.col("value") >= 90, float("inf")).when(F.col("value") > 1, F.col("value")).otherwise(-1.0)
+    return read(spark, sf_dir, "events").select("event_id", S.tempo(stated).alias("bpm"))
+
+
+@query("""with s(method, stem, place) as (values ('hpss', 'harmonic', 0), ('hpss', 'percussive', 1), ('combined', 'harmonic', 0), ('combined', 'percussive', 1), ('rpca', 'lowrank', 0), ('rpca', 'sparse', 1)),
+ e as (select event_id, case user_id % 4 when 0 then 'hpss' when 1 then 'combined' when 2 then 'rpca' else 'other' end as method from events)
+ select event_id, method, stem, place from e left join s using (method)""")
+def method_stems(spark, sf_dir):
+    """The stems of the method that each event asks for; none where there is no such method."""
+    dimension = spark.createDataFrame([(m, s, i) for m in ("hpss", "combined", "rpca") for i, s in enumerate(separation.stems_of(m))], "method string, stem string, place int")
+    method = F.element_at(F.array(*map(F.lit, ("hpss", "combined", "rpca", "other"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", method.alias("method")).join(F.broadcast(dimension), "method", "left")

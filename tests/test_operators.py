@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import scalars as S
-from resona.operators import intervals, rhythm, separation, spectral, store
+from resona.operators import analysis, intervals, rhythm, separation, spectral, store, transform
 from resona.sources import media
 
 
+NOTES = "id long, track string, pitch int, start double, end double, conf double"
+
+
 def samples(spark, values, track="a"):
     return spark.createDataFrame(pd.DataFrame({"track": track, "n": np.arange(len(values)), "v": np.asarray(values, float)}))
 
@@ -77,12 +80,14 @@ def test_parabola(spark, values, top):
 def test_median_masks_need_odd_windows_and_equal_numpy(spark):
     m = np.random.default_rng(3).random((12, 9))
     with pytest.raises(ValueError):
-        spectral.masks(matrix(spark, m), 9, 30, 31)
-    got = spectral.masks(matrix(spark, m), 9, 5, 3).orderBy("frame", "bin").toPandas()
+        separation.medians(matrix(spark, m), 30, 31)
+    for block in (4, 256):
+        got = separation.medians(matrix(spark, m), 5, 3, block).orderBy("frame").toPandas()
+        assert len(got) == 12 and np.allclose(np.stack(got["m"]), m)
     wide = np.pad(m, ((2, 2), (1, 1)))
     h = [np.median(wide[f : f + 5, b + 1]) for f in range(12) for b in range(9)]
     p = [np.median(wide[f + 2, b : b + 3]) for f in range(12) for b in range(9)]
-    assert np.allclose(got["h"], h) and np.allclose(got["p"], p)
+    assert np.allclose(np.concatenate(list(got["h"])), h) and np.allclose(np.concatenate(list(got["p"])), p)
 
 
 def test_thin_keeps_the_earlier_peak(spark):
@@ -111,7 +116,6 @@ def test_decode_is_the_cheapest_path(spark):
     assert abs(total(got) - total(best)) < 1e-12
 
 
-NOTES = "id long, track string, pitch int, start double, end double, conf double"
 
 
 def test_poly_merge_is_strict_and_by_pitch(spark):
@@ -127,6 +131,139 @@ def test_mono_merge_looks_at_the_segment_before_whatever_its_pitch(spark):
     assert got == [(0, 5), (6, 8), (9, 15)]
 
 
+def test_decoding_in_batches_is_the_whole_path(spark):
+    """Long tracks in small batches, against the textbook recursion."""
+    preset = intervals.PRESETS["bass"]
+    n, rng = preset.high - preset.low + 1, np.random.default_rng(6)
+    tracks = {t: rng.random((k, n)) ** 4 for t, k in (("a", 700), ("b", 3), ("c", 1), ("d", 250))}
+    tracks["e"] = np.zeros((400, n))
+    held = spark.createDataFrame([(t, i, [float(x) for x in row]) for t, m in tracks.items() for i, row in enumerate(m)], "track string, frame long, s array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = intervals.decode(held.repartition(5), 0.02, preset).toPandas().sort_values(["track", "frame"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cost = intervals.transition_costs(n, 0.02, preset)
+    for t, m in tracks.items():
+        e = np.concatenate([1 - m, np.full((len(m), 1), preset.rest_emission)], axis=1)
+        total, back = e[0], []
+        for row in e[1:]:
+            through = total[:, None] + cost
+            back.append(through.argmin(axis=0))
+            total = through.min(axis=0) + row
+        path = [int(total.argmin())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        own = got[got["track"] == t]
+        assert own["frame"].tolist() == list(range(len(m))) and own["state"].tolist() == path[::-1]
+
+
+def test_segments_that_snap_to_the_same_bounds_stay_two(spark):
+    salient = spark.createDataFrame([("a", i, [0.2 * (i + 1)]) for i in range(4)], "track string, frame long, s array<double>")
+    segments = spark.createDataFrame([("a", 0, 1, 0, 3), ("a", 0, 2, 0, 3)], "track string, state int, id int, f0 long, f1 long")
+    assert [r.conf for r in intervals.confidences(segments, salient).collect()] == [0.4, 0.4]
+
+
+def test_smoothing_in_blocks_is_the_whole_fold(spark):
+    x = np.random.default_rng(2).random(100)
+    held = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(x)], "track string, t int, x double")
+    for keep in (0.7, 0.999):
+        for block in (3, 40, 4096):
+            got = [r.smooth for r in rhythm.smoothed(held, "t", "x", keep, block).orderBy("t").collect()]
+            last, out = x[0], []
+            for i, v in enumerate(x):
+                last = v if i == 0 else keep * last + (1 - keep) * v
+                out.append(last)
+            assert np.allclose(got, out, atol=1e-12)
+
+
+def test_silence_and_short_series_have_the_default_tempo(spark):
+    rows = [("flat", t, 0.0) for t in range(200)] + [("short", t, float(t % 5 == 0)) for t in range(63)] + [("clicks", t, float(t % 10 == 3)) for t in range(240)]
+    got = {r.track: (r.bpm, r.offset) for r in rhythm.estimate(spark.createDataFrame(rows, "track string, t long, x double"), 0.05).collect()}
+    assert got["flat"] == got["short"] == (120.0, 0.0) and 105 <= got["clicks"][0] <= 135 and abs(got["clicks"][1] - 0.15) < 0.03
+
+
+def pcm_of(spark, left, right, track="a"):
+    rows = [(track, ch, i, float(v)) for ch, x in enumerate((left, right)) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "track string, ch int, n long, v double")
+
+
+def test_analysis_of_clicks(spark):
+    """Twelve seconds at 120 beats a minute: the tempo, the shapes, and every channel on the scale of the loudest."""
+    import base64
+    import json
+
+    rate, x = 8000, np.zeros(12 * 8000)
+    burst = np.sin(2 * np.pi * 1000 * np.arange(400) / rate) * np.exp(-np.arange(400) / 80)
+    for k in range(24):
+        x[k * 4000 : k * 4000 + 400] += burst
+    held = pcm_of(spark, x, x / 4)
+    got = json.loads(analysis.analyse(held, rate, 512, columns=180).first().payload)
+    assert 105 <= got["bpm"] <= 135 and 0 <= got["beatOffsetSec"] < 60 / got["bpm"] and got["durationSec"] == 12.0
+    cells = {c: np.frombuffer(base64.b64decode(s), np.uint8).reshape(88, got["nCols"]) for c, s in got["specs"].items()}
+    assert set(cells) == {"mix", "left", "right"} and cells["left"].max() == 255 > cells["mix"].max() > cells["right"].max()
+    assert got["envelopes"]["left"] == cells["left"].max(axis=0).tolist()
+    assert got["notes"] is None and got["noteLabels"][0] == "A0" and (got["rate"], got["sub"]) == (15, 1)
+    assert analysis.checked(5, 3) == (15, 1) and analysis.checked(99, 10) == (60, 10)
+    with pytest.raises(Exception, match="silent"):
+        analysis.analyse(pcm_of(spark, np.zeros(4000), np.zeros(4000)), rate, 512).collect()
+
+
+def line(notes, rate, seconds):
+    """Harmonic notes (pitch, start, length) with soft ends."""
+    out = np.zeros(int(seconds * rate))
+    for pitch, start, length in notes:
+        t = np.arange(int(length * rate)) / rate
+        f = 440 * 2 ** ((pitch - 69) / 12)
+        shape = np.minimum(np.minimum(t / 0.1, (length - t) / 0.1), 1)
+        at = int(start * rate)
+        out[at : at + len(t)] += shape * sum(np.sin(2 * np.pi * k * f * t) / k for k in range(1, 9) if k * f < rate / 2)
+    return out / np.abs(out).max() * 0.9
+
+
+BASS = [(45, 0.5, 0.5), (48, 1.4, 0.5), (50, 2.3, 0.5), (45, 3.2, 0.5), (43, 4.1, 0.5)]
+LEAD = [(60 + [0, 4, 7, 12][i % 4], 0.2 + 0.65 * i, 0.5) for i in range(10)]
+
+
+@pytest.mark.parametrize(("name", "notes"), [("bass", BASS), ("lead", LEAD)])
+def test_transcription_finds_every_note_and_no_other(spark, name, notes):
+    """From samples to notes, with recall and precision of 1 at a tolerance of a tenth of a second."""
+    rate = 22050
+    x = line(notes, rate, notes[-1][1] + 1)
+    preset = intervals.preset_of(name)
+    win, hop = 8192, 441
+    reference = spark.createDataFrame([(i, "a", p, s, s + d, 1.0) for i, (p, s, d) in enumerate(notes)], NOTES)
+    scored = analysis.evaluate(pcm_of(spark, x, x), reference, preset, rate, win, hop, tolerance=0.2).first()
+    assert (scored.recall, scored.precision) == (1.0, 1.0)
+
+
+def test_presets_and_selections(spark):
+    assert intervals.names_of("both") == ["bass", "lead"] and intervals.names_of("lead") == ["lead"]
+    with pytest.raises(KeyError, match="none of"):
+        intervals.names_of("drums")
+    assert {r.name for r in intervals.presets(spark).collect()} == {"bass", "lead"}
+    notes = spark.createDataFrame([("bass", 1), ("lead", 2), ("other", 3)], "preset string, id int")
+    assert sorted(r.id for r in intervals.selected(notes, "both").collect()) == [1, 2] and intervals.selected(notes, "bass").first().id == 1
+
+
+def test_a_model_of_notes_is_run_by_chunk_and_merged(spark):
+    x = np.zeros(60)
+    x[10:50] = 1.0
+    held = samples(spark, x)
+    plan = separation.chunks(held.groupBy("track").agg((F.max("n") + 1).alias("total")), separation.pulled_back(F.col("total"), 20, 4))
+    run = lambda v: [(60, float(np.flatnonzero(v)[0]), float(np.flatnonzero(v)[-1] + 1), 0.5)] if v.any() else []
+    got = intervals.predicted_notes(separation.spread(held, plan, 20), run, 1.0, 2.0).collect()
+    assert [(r.track, r.pitch, r.start, r.end, r.conf) for r in got] == [("a", 60, 10.0, 50.0, 0.5)]
+
+
+def test_scores_and_their_mean(spark):
+    note = lambda *rows: spark.createDataFrame([(i, t, 60, float(i), i + 0.5, 0.5) for i, t in rows], NOTES)
+    ref, est = note((0, "a"), (1, "a"), (2, "b")), note((0, "a"), (7, "a"), (8, "c"))
+    scored = intervals.scores(ref, est, intervals.match(ref, est))
+    assert {r.track: (r.precision, r.recall, r.f1) for r in scored.collect()} == {"a": (0.5, 0.5, 0.5), "b": (0, 0, 0), "c": (0, 0, 0)}
+    assert tuple(intervals.mean_scores(scored).first()) == (3, round(0.5 / 3, 6), round(0.5 / 3, 6), round(0.5 / 3, 6))
+
+
 def test_midi_file_round_trip(spark):
     held = spark.createDataFrame([(1, "bass", 45, 0.5, 1.0, 0.9), (2, "bass", 48, 1.4, 2.0, 0.5)], NOTES)
     events = intervals.deltas(intervals.midi_events(held, 120.0, 0.0)).withColumn("file", F.lit("x"))
@@ -174,27 +311,122 @@ def test_plans(spark):
 
     assert plan(0, 10, 2) == [] and plan(5, 10, 2) == [(0, 5)] and plan(10, 10, 2) == [(0, 10)] and plan(11, 10, 2) == [(0, 10), (1, 11)]
     assert plan(25, 10, 4) == [(0, 10), (6, 16), (12, 22), (15, 25)]
-    held = plan(120, 50, 10, separation.clipped)
-    assert held[0][0] == 0 and held[-1][1] == 120
+    cut = lambda total, chunk, overlap: plan(total, chunk, overlap, separation.clipped)
+    assert cut(50, 20, 5) == [(0, 20), (15, 35), (30, 50), (45, 50)] and cut(16, 20, 5) == [(0, 16), (15, 16)]
+    assert cut(100, 50, 10) == [(0, 50), (40, 90), (80, 100)] and cut(120, 50, 10)[-1] == (80, 120)
     with pytest.raises(ValueError):
         separation.pulled_back(F.lit(1), 10, 10)
-
-
-def test_low_rank_recovery():
-    rng = np.random.default_rng(42)
-    low = rng.normal(size=(120, 3)) @ rng.normal(size=(3, 100))
-    sparse = np.where(rng.random((120, 100)) < 0.03, rng.normal(size=(120, 100)) * 10, 0)
-    for scale in (1.0, 1e-4):
-        got, rest = separation.low_rank((low + sparse) * scale, rounds=200, tolerance=1e-7)
-        assert np.linalg.norm(got - low * scale) / np.linalg.norm(low * scale) < 1e-3
-        assert np.linalg.norm(rest - sparse * scale) / np.linalg.norm(sparse * scale) < 1e-3
-    assert not separation.low_rank(np.zeros((3, 4)))[0].any()
-
-
-def test_low_rank_chunks_add_up(spark):
-    m = np.random.default_rng(5).random((50, 6))
-    got = separation.low_rank_chunks(matrix(spark, m), 20, 5).orderBy("frame", "bin").toPandas()
-    assert len(got) == 300 and np.abs((got["low"] + got["sparse"]).to_numpy().reshape(50, 6) - m).max() < 1e-2
+    with pytest.raises(ValueError):
+        separation.clipped(F.lit(1), 10, 0)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4])
+@pytest.mark.parametrize("shape", [(120, 100), (90, 140)])
+def test_low_rank_recovery(scale, shape):
+    """A plane of rank 3 under strong single cells, with the defaults."""
+    rng = np.random.default_rng(11)
+    plane = scale * sum(np.outer(rng.normal(size=shape[0]), rng.normal(size=shape[1])) for _ in range(3))
+    spikes = np.zeros(shape)
+    at = rng.choice(plane.size, plane.size * 3 // 100, replace=False)
+    spikes.flat[at] = scale * rng.uniform(-15, 15, len(at))
+    low, sparse = separation.low_rank(plane + spikes)
+    for got, true in ((low, plane), (sparse, spikes)):
+        assert np.linalg.norm(got - true) < 1e-3 * np.linalg.norm(true)
+
+
+def test_low_rank_of_silence():
+    low, sparse = separation.low_rank(np.zeros((3, 4)))
+    assert not low.any() and not sparse.any()
+
+
+@pytest.mark.parametrize("total", [16, 50, 100])
+def test_low_rank_chunks_are_cross_faded(spark, total, monkeypatch):
+    """Against a loop over the chunks that blends rows one by one."""
+    m, chunk, overlap = np.random.default_rng(5).random((total, 6)), 20, 5
+    got = separation.low_rank_chunks(matrix(spark, m), chunk, overlap).orderBy("frame").toPandas()
+    hop, out, last = chunk - overlap, np.zeros((total, 6)), None
+    for a in range(0, total, hop):
+        own = separation.low_rank(m[a : a + chunk])[0]
+        after = min(a + hop, total)
+        for n in range(a, after):
+            out[n] = own[n - a]
+        if last is not None:
+            fade = min(overlap, len(own), len(last), after - a)
+            for j in range(fade):
+                w = (j + 1) / (fade + 1)
+                out[a + j] = w * own[j] + (1 - w) * last[hop + j]
+        last = own
+    assert len(got) == total and np.abs(np.stack(got["low"]) - out).max() < 1e-9
+    assert np.abs(np.stack(got["low"]) + np.stack(got["sparse"]) - m).max() < 1e-4
+
+
+def test_transform_equals_numpy_at_real_windows(spark):
+    x = np.random.default_rng(42).normal(0, 0.2, 9000)
+    win, hop = 2048, 512
+    padded = np.concatenate([np.zeros(1024), x, np.zeros(1024)])
+    padded = np.concatenate([padded, np.zeros(-(len(padded) - win) % hop % win)])
+    w = transform.window(win)
+    expected = np.stack([np.fft.rfft(padded[i : i + win] * w) / w.sum() for i in range(0, len(padded) - win + 1, hop)])
+    for block in (4, 256):
+        got = transform.stft(samples(spark, x), win, hop, block).orderBy("frame").toPandas()
+        assert len(got) == len(expected) and np.allclose(np.stack(got["re"]) + 1j * np.stack(got["im"]), expected, atol=1e-12)
+    with pytest.raises(ValueError):
+        transform.stft(samples(spark, x), 8, 8)
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_signals_come_back_at_60_decibels(spark, block):
+    rate = 22050
+    t = np.arange(rate) / rate
+    for x in (0.5 * np.sin(2 * np.pi * 440 * t), 0.5 * np.sin(2 * np.pi * (100 * t + 1950 * t * t)), np.random.default_rng(42).normal(0, 0.2, rate)):
+        held = samples(spark, x)
+        sizes = held.groupBy("track").agg((F.max("n") + 1).alias("samples"))
+        back = transform.istft(transform.stft(held, 2048, 512, block), sizes, 2048, 512, block).orderBy("n").toPandas()
+        assert back["n"].tolist() == list(range(rate))
+        assert 20 * np.log10(np.linalg.norm(x) / np.linalg.norm(back["v"] - x)) >= 60
+
+
+def test_stems_add_up_and_tell_tone_from_clicks(spark):
+    rate = 8000
+    t = np.arange(2 * rate) / rate
+    tone = 0.4 * np.sin(2 * np.pi * (400 * t + 75 * t * t))
+    clicks = np.where(np.arange(len(t)) % 2400 == 1200, 0.9, 0.0)
+    held = samples(spark, tone + clicks)
+    for method, sizes in (("hpss", {"time": 17, "freq": 17}), ("rpca", {"chunk": 40, "overlap": 8}), ("combined", {"time": 17, "freq": 17, "chunk": 40, "overlap": 8})):
+        got = separation.separate(held, method, 512, 128, **sizes).toPandas()
+        one, two = (got[got["stem"] == s].sort_values("n")["v"].to_numpy() for s in separation.stems_of(method))
+        assert len(one) == len(two) == len(t) and np.abs(one + two - tone - clicks).max() < 1e-3
+        if method == "hpss":
+            near = clicks > 0
+            assert np.abs(two[near]).mean() > 3 * np.abs(one[near] - tone[near]).mean()
+            assert np.corrcoef(one, tone)[0, 1] > 0.95
+    with pytest.raises(ValueError, match="none of"):
+        separation.separate(held, "magic", 512)
+
+
+def test_a_model_sees_whole_chunks_in_order(spark):
+    """Reversal and a running sum depend on every sample of a chunk and its order."""
+    x = np.random.default_rng(3).random(100)
+    held = samples(spark, x).repartition(7)
+    sizes = held.groupBy("track").agg((F.max("n") + 1).alias("total"))
+    plan = separation.chunks(sizes, separation.pulled_back(F.col("total"), 40, 20))
+    seen = lambda v: np.stack([v[::-1], np.cumsum(v)])[:, None, :]
+    parts = separation.infer_chunks(held, plan, 40, seen, ("back", "sum"))
+    got = separation.blended(parts, ("track", "stem")).toPandas()
+    total, weight = np.zeros((2, 100)), np.zeros(100)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(40) + 0.5) / 40)
+    for a in (0, 20, 40, 60):
+        total[:, a : a + 40] += w * seen(x[a : a + 40])[:, 0]
+        weight[a : a + 40] += w
+    for k, stem in enumerate(("back", "sum")):
+        assert np.allclose(got[got["stem"] == stem].sort_values("n")["v"], total[k] / weight)
+    with pytest.raises(Exception, match="lacks the stems third"):
+        separation.infer_chunks(held, plan, 40, seen, ("back", "sum", "third")).collect()
+    short = samples(spark, x[:7])
+    one = separation.chunks(short.groupBy("track").agg((F.max("n") + 1).alias("total")), separation.pulled_back(F.col("total"), 40, 20))
+    got = separation.infer_chunks(short, one, 40, lambda v: v + len(v), ("all",)).orderBy("n").toPandas()
+    assert np.allclose(got["y"], x[:7] + 40)
+    assert separation.normalised_output([np.ones((1, 2, 5)), np.zeros((1, 2, 5))], 4).shape == (2, 4)
 
 
 def test_matching_equals_a_plain_loop(spark):

@@ -73,7 +73,7 @@ def test_ewma_speed_has_every_event(spark):
     assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-6 for x in got)
 
 
-@pytest.mark.parametrize(("name", "n"), [("widen_rows_all", 440), ("intensity_all", 88)])
+@pytest.mark.parametrize(("name", "n"), [("widen_rows_all", 440), ("widen_rows", 440), ("intensity_all", 88), ("intensity", 88)])
 def test_every_row_is_there(spark, name, n):
     assert [r[0] for r in plans.QUERIES[name](spark, DATA).select("row").distinct().orderBy("row").collect()] == list(range(n))
 
