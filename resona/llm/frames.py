@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +71,26 @@ def ranked(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+#: The tables that this thread stashed within a scratch() block.
+_HELD = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed within this block are deleted at its end: for results that are written by then."""
+    _HELD.paths = []
+    try:
+        yield
+    finally:
+        for path in _HELD.__dict__.pop("paths"):
+            remove(spark, path)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """The rows as a compressed table in the shared checkpoint folder, for tables too long for cut()."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    if (held := getattr(_HELD, "paths", None)) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

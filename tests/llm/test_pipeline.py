@@ -8,7 +8,9 @@ import pytest
 from test_llm_operators import DOCS, make, plain_fingerprint, roots, without_repeats, words
 
 import corpus_pipeline
-from resona.llm import packing
+from pyspark.sql import functions as F
+
+from resona.llm import frames, packing
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +70,24 @@ def test_run_equals_a_plain_version(spark, folder):
     assert dict(got.groupby("doc_id")["length"].sum()) == {r[0]: n * tokens[r[0]] for r, n in copies.items() if n}
 
 
+def test_stages_with_awkward_rows(spark, folder):
+    """All texts null, columns that clash, repeated rows: each stage gives a defined result."""
+    docs = spark.createDataFrame([(i % 3, None, None, None, None) for i in range(6)], DOCS)
+    docs = docs.withColumns({c: F.lit("own") for c in ("size", "kept", "fingerprint", "_row", "score", "length")})
+    counts = {name: stage(spark, docs, folder).count() for name, stage in corpus_pipeline.STAGES}
+    assert counts == {"language_id": 0, "near_dedup": 1, "substring_dedup": 6, "mix_sources": 0, "packing": 6}
+
+
+def test_intermediate_tables_go(spark, folder):
+    import glob
+
+    where = frames.shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{where}/*"))
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    new = [p for p in set(glob.glob(f"{where}/*")) - before if "/table-" in p or "/pipeline-" in p]
+    assert len(new) == 1 and [p.rsplit("/", 1)[1] for p in glob.glob(f"{new[0]}/*")] == ["4-packing"]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
