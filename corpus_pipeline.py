@@ -1,7 +1,13 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage is a name and a function of (spark, documents, sf_dir) that applies one operator to all
-that the stage before kept; ``run`` writes each result as a table and reads it again.
+that the stage before kept; ``run`` writes each result as a table and reads it again, and deletes
+what only earlier stages needed.
+
+Cases, for every stage: null and empty texts, ids and sources go through as their operator defines
+it; repeated rows and ties too; a text of any length is worked on whole; columns other than those of
+documents are dropped first, so no name can clash; an empty table gives an empty one.  Language ID
+drops texts that are null or have no letter, so only a caller of the later stages meets those.
 """
 
 from __future__ import annotations
@@ -17,13 +23,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: no letter, or far from every language."""
+    """Documents that language ID rejects go: null, no letter, or far from every language."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"), frames.fold("doc_id", 5) != 0)
     return language_id.identify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest doc_id."""
+    """One document of each SimHash component stays, that of the smallest doc_id; a null id comes last."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
@@ -36,12 +42,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for; a null source is one of its own."""
     return mixing.emit(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences; a null text is the end alone."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
@@ -59,8 +65,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents")
-    folder = f"{frames.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    folder, last = f"{frames.shared_folder(spark)}/pipeline-{uuid.uuid4()}", None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        with frames.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            frames.remove(spark, last)
+        last = path
     return docs
