@@ -23,9 +23,9 @@ def pooled(stream: DataFrame, size: str, late: str, time: str = "ts", value: str
 
 
 def sessions(stream: DataFrame, gap: str, late: str, time: str = "ts", by: str = "track") -> DataFrame:
-    """Runs of rows that follow each other in less than the gap."""
-    held = stream.withWatermark(time, late).groupBy(F.session_window(time, gap), by).agg(F.count("*").alias("n"))
-    return held.select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    """Runs of rows that follow each other in less than the gap; a session ends a gap after its last row."""
+    held = stream.withWatermark(time, late).groupBy(F.session_window(time, f"{gap} -1 microseconds"), by).agg(F.count("*").alias("n"))
+    return held.select(by, F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("end"), "n")
 
 
 def flux(stream: DataFrame) -> DataFrame:
