@@ -3,15 +3,18 @@
 The decoder reads prefix codes, back-references, the colour cache and several prefix-code groups,
 and inverts the predictor, cross-colour, subtract-green and palette transforms.  Where a stream has
 one group whose red, blue and alpha codes have a single symbol, and no cache, it finds the symbols
-of all bit positions at once and follows the chain of code lengths by doubling jumps; else it goes
-pixel by pixel.  The encoder writes samples as green values under one prefix code, or as a palette
-of up to 16 of them, several to a pixel.
+of all bit positions at once, copies included, and follows the chain of their sizes by doubling
+jumps; else it goes pixel by pixel.  The encoder writes samples as green values: literals and
+back-references, of what a predictor leaves where that is less, or of a palette of up to 16 values,
+several to a pixel.  Images of one channel gain nothing by a colour cache or cross-colour.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -24,8 +27,12 @@ NEARBY = sorted(
 )
 LENGTH_CODES, DISTANCE_CODES, CACHE_FACTOR = 24, 40, 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-OPAQUE = 0xFF000000
 SEGMENT = 1 << 18
+#: Extra bits of a length's or distance's prefix, and its least value.
+EXTRA = np.array([0] * 4 + [(p - 2) >> 1 for p in range(4, DISTANCE_CODES)])
+BASE = np.array([p + 1 for p in range(4)] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, DISTANCE_CODES)])
+#: The encoder's copies: samples at least, at most, and how far back at most.
+SHORTEST, LONGEST, WINDOW = 8, 4096, (1 << 15) - 120
 
 
 class CorruptImage(ValueError):
@@ -182,31 +189,46 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
 
 
 def _value(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
+    return int(BASE[prefix]) + bits.read(int(EXTRA[prefix]))
 
 
-def _chain(bits: Bits, code: Code, n: int) -> np.ndarray | None:
-    """The next n symbols of one code, or None if one of them is no literal."""
+@lru_cache(maxsize=32)
+def _near(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distances of the nearby codes at this width, and the code of each distance they reach."""
+    distances = np.array([0] + [max(1, dx + dy * width) for dx, dy in NEARBY])
+    codes = np.arange(8 * width + 9) + len(NEARBY)
+    for code in range(len(NEARBY), 0, -1):
+        codes[distances[code]] = code
+    return distances, codes
+
+
+def _samples(bits: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndarray:
+    """The next n values of an image in which only green varies: literals, and copies of earlier ones."""
     start = bits.position
-    raw = np.zeros(len(bits.data) - start // 8 + 8, np.uint32)
-    raw[:-8] = np.frombuffer(bits.data, np.uint8)[start // 8 :]
-    table = code.table.astype(np.int16)
-    out, done, local, base = np.empty(n, np.uint32), 0, start % 8, 0
-    mask, shift = np.uint32((1 << code.bits) - 1), np.arange(8, dtype=np.uint32)
+    raw = np.zeros(len(bits.data) - start // 8 + 24, np.uint32)
+    raw[:-24] = np.frombuffer(bits.data, np.uint8)[start // 8 :]
+    table, copies = green.table.astype(np.int16), bool(green.table.max() >> 4 >= 256)
+    longest, shift = green.bits + (43 if copies else 0), np.arange(8, dtype=np.uint32)
+    mask, distance_mask = np.uint32((1 << green.bits) - 1), (1 << distance.bits) - 1
+    symbols, lengths, distances = [], [], []
+    done, local, base = 0, start % 8, 0
     while done < n:
-        span = min(SEGMENT, 8 * (len(raw) - 8 - base))
+        span = min(SEGMENT, 8 * (len(raw) - 24 - base))
         if span <= local:
             raise CorruptImage("the image ends early")
-        span = min(span, -(-(local + (n - done) * code.bits) // 8) * 8)
-        part = raw[base : base + span // 8 + 3]
-        wide = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
+        span = min(span, -(-(local + (n - done) * longest) // 8) * 8)
+        part = raw[base : base + span // 8 + 16]
+        wide = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
         entry = table.take((wide[: span // 8, None] >> shift & mask).reshape(-1))
         # from span on, a position leads to itself
-        jump = np.arange(span + 16, dtype=np.int32)
+        jump = np.arange(span + 64, dtype=np.int32)
         jump[:span] += entry & 15
+        peek = lambda at, w=wide: w[at >> 3] >> (at & 7).astype(np.uint32)
+        if copies:
+            at = np.flatnonzero(entry >= 256 << 4)
+            then = jump[at] + EXTRA[(entry[at] >> 4) - 256]
+            found = distance.table[peek(then) & distance_mask]
+            jump[at] = then + (found & 15) + EXTRA[found >> 4]
         jumps = [jump]
         for _ in range(3):
             jumps.append(jumps[-1].take(jumps[-1]))
@@ -218,12 +240,39 @@ def _chain(bits: Bits, code: Code, n: int) -> np.ndarray | None:
         for j in reversed(jumps):
             at_all = np.stack([at_all, j.take(at_all)], axis=1).reshape(-1)
         at_all = at_all[at_all < span][: n - done]
-        out[done : done + len(at_all)] = entry[at_all] >> 4
-        done += len(at_all)
+        symbol = entry[at_all] >> 4
+        size = np.ones(len(at_all), np.int64)
+        if copies:
+            which = np.flatnonzero(symbol >= 256)
+            at, kind = at_all[which] + (entry[at_all[which]] & 15), symbol[which] - 256
+            size[which] = BASE[kind] + (peek(at) & (1 << EXTRA[kind]) - 1)
+            at = at + EXTRA[kind]
+            found = distance.table[peek(at) & distance_mask]
+            away = BASE[found >> 4] + (peek(at + (found & 15)) & (1 << EXTRA[found >> 4]) - 1)
+            whole = int(np.searchsorted(np.cumsum(size), n - done)) + 1
+            at_all, symbol, size, away = at_all[:whole], symbol[:whole], size[:whole], away[which < whole]
+            near = _near(width)[0]
+            distances.append(np.where(away > len(NEARBY), away - len(NEARBY), near[np.minimum(away, len(NEARBY))]))
+        symbols.append(symbol)
+        lengths.append(size)
+        done += int(size.sum())
         last = int(jump[at_all[-1]])
         base, local = base + last // 8, last % 8
+    if done > n or 8 * base + local > 8 * (len(raw) - 24):
+        raise CorruptImage("the image ends early")
     bits.seek(start // 8 * 8 + 8 * base + local)
-    return out if out.max() < 256 else None
+    if not copies:
+        return np.concatenate(symbols).astype(np.uint32)
+    symbol, size = np.concatenate(symbols), np.concatenate(lengths)
+    begin, out = np.cumsum(size) - size, np.zeros(n, np.uint8)
+    literal = symbol < 256
+    out[begin[literal]] = symbol[literal]
+    held = bytearray(out)
+    for at, k, d in zip(begin[~literal].tolist(), size[~literal].tolist(), np.concatenate(distances).tolist(), strict=True):
+        if d > at:
+            raise CorruptImage("a back-reference leaves the image")
+        held[at : at + k] = held[at - d : at - d + k] if d >= k else (held[at - d : at] * (k // d + 1))[:k]
+    return np.frombuffer(held, np.uint8).astype(np.uint32)
 
 
 def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -244,11 +293,8 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
         rest = codes[0][3].single << 24 | codes[0][1].single << 16 | codes[0][2].single
         if codes[0][0].bits == 0 and codes[0][0].single < 256:
             return np.full(n, rest | codes[0][0].single << 8, np.uint32)
-        back = bits.position
-        found = _chain(bits, codes[0][0], n) if codes[0][0].bits else None
-        if found is not None:
-            return found << np.uint32(8) | np.uint32(rest)
-        bits.seek(back)
+        if codes[0][0].bits:
+            return _samples(bits, codes[0][0], codes[0][4], n, width) << np.uint32(8) | np.uint32(rest)
     out, cache, at = [0] * n, [0] * cache_size, 0
     shift = 32 - cache_bits
     while at < n:
@@ -318,6 +364,14 @@ def _predict(mode: int, left: list[int], top: list[int], right: list[int], corne
 
 
 def _undo_predictor(pixels: np.ndarray, width: int, height: int, size: int, modes: np.ndarray) -> np.ndarray:
+    if set((modes >> 8 & 15).tolist()) in ({1}, {2}):
+        # one mode all over: sums along the edge that it starts from, then from there
+        rows = _channels(pixels).reshape(height, width, 4)
+        rows[0, 0] += (255, 0, 0, 0)
+        first, then = (0, 1) if modes[0] >> 8 & 15 == 1 else (1, 0)
+        edge = rows[:, 0] if first == 0 else rows[0]
+        edge[:] = np.cumsum(edge, axis=0)
+        return _pixels(np.cumsum(rows, axis=then)).reshape(-1)
     rows, across = _channels(pixels).tolist(), -(-width // (1 << size))
     for i in range(width * height):
         y, x = divmod(i, width)
@@ -424,6 +478,11 @@ class Writer:
         return b"".join(self.done) + self.value.to_bytes(-(-self.count // 8), "little")
 
 
+def write_lone(to: Writer, symbol: int) -> None:
+    """A prefix code of one symbol below 256."""
+    to.put(1 | 1 << 2 | symbol << 3, 11)
+
+
 def write_code(to: Writer, lengths: list[int]) -> None:
     """A prefix code's lengths, as the decoder reads them."""
     held = [s for s, n in enumerate(lengths) if n]
@@ -433,22 +492,17 @@ def write_code(to: Writer, lengths: list[int]) -> None:
         for s in held:
             to.put(s, 8)
         return
-    tokens, i = [], 0
-    while i < len(lengths):
-        run = i
-        while run < len(lengths) and lengths[run] == lengths[i]:
-            run += 1
-        run -= i
-        if lengths[i] == 0 and run >= 3:
-            n = min(run, 138)
-            tokens.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-        elif i and lengths[i] and lengths[i - 1] == lengths[i] and run >= 3:
-            n = min(run, 6)
-            tokens.append((16, n - 3, 2))
-        else:
-            n = 1
-            tokens.append((lengths[i], 0, 0))
-        i += n
+    tokens = []
+    for value, same in groupby(lengths):
+        run = len(list(same))
+        if value and run:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            n = min(run, 6 if value else 138)
+            tokens.append((16, n - 3, 2) if value else (17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            run -= n
+        tokens += [(value, 0, 0)] * run
     counts = [0] * 19
     for s, _, _ in tokens:
         counts[s] += 1
@@ -460,22 +514,110 @@ def write_code(to: Writer, lengths: list[int]) -> None:
         to.put(of_lengths[LENGTH_ORDER[i]], 3)
     to.put(0, 1)
     alone = sum(n > 0 for n in of_lengths) == 1
+    value = count = 0
     for s, extra, n in tokens:
         if not alone:
-            to.put(*codes[s])
-        to.put(extra, n)
-
-
-def _write_samples(to: Writer, samples: np.ndarray) -> None:
+            code, size = codes[s]
+            value |= code << count
+            count += size
+        value |= extra << count
+        count += n
+    to.put(value, count)
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits a sample."""
+    n = counts[counts > 0]
+    total = n.sum()
+    return float(np.log2(total) - n @ np.log2(n) / total) if len(n) else 0.0
+
+
+def _copies(samples: np.ndarray, each: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of stretches that occurred before, where a copy takes fewer bits than the samples."""
+    none = np.zeros(0, np.int64)
+    if len(samples) <= SHORTEST:
+        return none, none, none
+    two = samples[:-1].astype(np.uint64) | samples[1:].astype(np.uint64) << np.uint64(8)
+    four = two[:-2] | two[2:] << np.uint64(16)
+    eight = four[:-4] | four[4:] << np.uint64(32)
+    order = np.argsort(eight, kind="stable")
+    again = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
+    back = np.zeros(len(eight) + 1, np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    back[back > WINDOW] = 0
+    # where the distance stays, eight samples that occurred before go on in the next eight
+    turns = np.flatnonzero(back[1:] != back[:-1]) + 1  # the first has no distance
+    found, at = [], 0
+    for first, last, d in zip(turns[:-1].tolist(), turns[1:].tolist(), back[turns[:-1]].tolist(), strict=True):
+        first, last = max(first, at), last + SHORTEST - 1
+        # a copy is a length symbol, a distance symbol and their extra bits
+        if d and last - first >= SHORTEST and (last - first) * each > 10 + d.bit_length() + (last - first).bit_length():
+            found += [(i, min(LONGEST, last - i), d) for i in range(first, last, LONGEST)]
+            at = last
+    return tuple(np.array(found, np.int64).T) if found else (none, none, none)
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix of each value, its extra bits and their number."""
+    prefix = np.searchsorted(BASE, values, side="right") - 1
+    return prefix, values - BASE[prefix], EXTRA[prefix]
+
+
+def _coded(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and their number by symbol; a lone symbol takes none."""
+    value, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    codes = canonical(lengths)
+    for s, (code, n) in codes.items() if len(codes) > 1 else ():
+        value[s], size[s] = code, n
+    return value, size
+
+
+def _write_samples(to: Writer, samples: np.ndarray, width: int, alpha: int = 255) -> None:
+    """Samples as green values: literals, and copies of what came before."""
     counts = np.bincount(samples, minlength=256 + LENGTH_CODES)
+    start, length, back = _copies(samples, _entropy(counts)) if np.count_nonzero(counts) > 1 else [np.zeros(0, np.int64)] * 3
+    edges = np.zeros(len(samples) + 1, np.int64)
+    edges[start] = 1
+    edges[start + length] -= 1
+    literal = np.cumsum(edges[:-1]) == 0
+    near = _near(width)[1]
+    code = np.where(back < len(near), near[np.minimum(back, len(near) - 1)], back + len(NEARBY))
+    (kind, more, more_bits), (far, rest, rest_bits) = _prefixed(length), _prefixed(code)
+    counts = np.bincount(np.concatenate([samples[literal], kind + 256]), minlength=256 + LENGTH_CODES)
     lengths = code_lengths(counts.tolist(), 15)
-    for code in (lengths, [1], [1], [0] * 255 + [1], [1]):
-        write_code(to, code)
-    if np.count_nonzero(counts) > 1:
-        value, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for s, (code, n) in canonical(lengths).items():
-            value[s], size[s] = code, n
-        to.put_all(value[samples], size[samples])
+    distances = code_lengths(np.bincount(far, minlength=DISTANCE_CODES).tolist(), 15) if len(far) else [1]
+    write_code(to, lengths)
+    for symbol in (0, 0, alpha):
+        write_lone(to, symbol)
+    write_code(to, distances)
+    (value, size), (far_value, far_size) = _coded(lengths), _coded(distances)
+    if not len(start):
+        if np.count_nonzero(counts) > 1:
+            to.put_all(value[samples], size[samples])
+        return
+    places = literal.astype(np.int64)
+    places[start] = 4
+    places = np.cumsum(places) - places
+    values, sizes = np.zeros((2, np.count_nonzero(literal) + 4 * len(start)), np.int64)
+    values[places[literal]], sizes[places[literal]] = value[samples[literal]], size[samples[literal]]
+    parts = (value[kind + 256], size[kind + 256]), (more, more_bits), (far_value[far], far_size[far]), (rest, rest_bits)
+    for k, (v, n) in enumerate(parts):
+        values[places[start] + k], sizes[places[start] + k] = v, n
+    to.put_all(values, sizes)
+
+
+def _predicted(samples: np.ndarray) -> tuple[int, np.ndarray]:
+    """The predictor (left, above) that takes a tenth off the entropy, or 0, and the samples less what it tells."""
+    best, least = (0, samples), 0.9 * _entropy(np.bincount(samples.reshape(-1)))
+    left, above = samples.copy(), samples.copy()
+    left[:, 1:] -= samples[:, :-1]
+    left[1:, 0] -= samples[:-1, 0]
+    above[1:] -= samples[:-1]
+    above[0, 1:] -= samples[0, :-1]
+    for mode, rest in ((1, left), (2, above)):
+        if (bits := _entropy(np.bincount(rest.reshape(-1)))) < least:
+            best, least = (mode, rest), bits
+    return best
 
 
 def encode(samples: np.ndarray) -> bytes:
@@ -507,8 +649,14 @@ def encode(samples: np.ndarray) -> bytes:
         short = -width % (1 << bundle)
         index = np.pad(index, ((0, 0), (0, short))).reshape(height, -1, 1 << bundle)
         samples = (index << (depth * np.arange(1 << bundle))).sum(axis=2)
+    mode, samples = (0, samples) if bundle else _predicted(samples.astype(np.uint8))
+    if mode:
+        to.put(1 | PREDICTOR << 1 | 7 << 3, 6)  # blocks of 512 by 512, all of one mode
+        to.put(0, 1)
+        for symbol in (mode, 0, 0, 0, 0):
+            write_lone(to, symbol)
     to.put(0, 3)  # no further transform, no colour cache, one group of codes
-    _write_samples(to, samples.reshape(-1).astype(np.int64))
+    _write_samples(to, samples.reshape(-1).astype(np.int64), samples.shape[1], 0 if mode else 255)
     body = to.data()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk

@@ -183,6 +183,57 @@ def test_samples_and_palettes(kinds):
     assert (image >> 8 & 255 == samples).all() and (image >> 24 == 255).all()
 
 
+def encoded(samples):
+    """The bytes of an image that gives these samples back, opaque."""
+    stored = webp.encode(samples)
+    image = webp.decode(stored)
+    assert (image >> 8 & 255 == samples).all() and (image >> 24 == 255).all()
+    return stored
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_encoder_round_trips(seed):
+    rng = np.random.default_rng(seed)
+    height, kinds = int(rng.integers(1, 40)), int(rng.integers(1, 257))
+    plain = rng.integers(0, kinds, (height, 64))
+    for samples in (
+        plain, np.concatenate([plain, plain[::-1], plain]), np.cumsum(plain & 1, axis=1), np.cumsum(plain % 3, axis=0),
+        np.resize(plain.reshape(-1)[: rng.integers(1, 90)], (height, 64)), np.resize(plain, (height, int(rng.integers(1, 70)))),
+    ):
+        encoded((samples & 255).astype(np.uint8))
+
+
+def test_encoder_uses_copies_and_predictors():
+    rng = np.random.default_rng(1)
+    once = rng.integers(32, 128, (40, 64)).astype(np.uint8)
+    alone, twice = len(encoded(once)), len(encoded(np.concatenate([once, once])))
+    assert twice < alone + 40
+    apart = np.concatenate([once, rng.integers(0, 256, (600, 64)).astype(np.uint8), once])
+    assert (webp.decode(webp.encode(apart)) >> 8 & 255 == apart).all()  # too far back for a copy
+    for axis in (0, 1):
+        ramp = (np.cumsum(rng.integers(0, 4, (64, 64)), axis=axis) & 255).astype(np.uint8)
+        assert len(encoded(ramp)) < ramp.size * 0.3
+    long = np.concatenate([once, np.full((200, 64), 7, np.uint8), once])
+    assert len(encoded(long)) < alone + 60
+
+
+def test_a_copy_from_before_the_image_raises():
+    to = Writer()
+    to.put(0x2F | 7 << 8 | 0 << 22, 40)
+    to.put(0, 3)
+    green = [0] * 280
+    green[65] = green[256 + 3] = 1
+    for lengths in (green, [1], [1], [0] * 255 + [1], [0] * 5 + [1] + [0] * 34):
+        write_code(to, lengths)
+    codes = canonical(green)
+    for symbol in (65, 256 + 3, 65, 65, 65):
+        to.put(*codes[symbol])
+        if symbol > 255:
+            to.put(1, 1)  # distance prefix 5 has one extra bit
+    with pytest.raises(webp.CorruptImage, match="leaves the image"):
+        webp.decode(wrap(to))
+
+
 def test_skewed_counts_keep_codes_short():
     counts = [1, 1]
     while len(counts) < 40:
