@@ -19,6 +19,8 @@ A4_MIDI, A4_HZ = 69.0, 440.0
 A_CORNERS, A_REFERENCE, A_COMPRESSION = (20.6, 107.7, 737.9, 12194.0), 1000.0, 0.25
 #: Range of a gamma, and the shortest span of a view in milliseconds (fixed values).
 GAMMA_LOW, GAMMA_HIGH, LEAST_SPAN_MS = 0.6, 5.0, 1000.0
+#: Steps between the ticks of a time axis (fixed values).
+TICK_STEPS_MS = (1000, 2000, 5000, 10000, 15000, 30000, 60000, 120000, 300000, 600000)
 #: Ticks of a quarter note and the tempo where none is given (fixed values).
 TICKS, DEFAULT_BPM = 480, 120.0
 
@@ -138,6 +140,32 @@ def clock_text(ms: Column) -> Column:
     return F.concat(F.lpad(F.floor(whole / 60000).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(whole / 1000) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 1000).cast("string"), 3, "0"))
 
 
+def iso_text(ms: Column) -> Column:
+    """Milliseconds since 1970 as ISO 8601 in UTC, whatever the session's time zone is."""
+    day, rest = F.floor(ms / 86400000), F.pmod(F.floor(ms), F.lit(86400000))
+    parts = ((rest / 3600000, 24, 2, "T"), (rest / 60000, 60, 2, ":"), (rest / 1000, 60, 2, ":"), (rest, 1000, 3, "."))
+    digits = [x for part, of, n, mark in parts for x in (F.lit(mark), F.lpad((F.floor(part) % of).cast("string"), n, "0"))]
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), *digits, F.lit("Z"))
+
+
+def stamp_ms(text: Column) -> Column:
+    """Milliseconds since 1970 of a date and time in UTC, with T or a space between and Z or nothing after; null for other texts."""
+    plain = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?\s*Z?$"
+    read = F.concat(F.regexp_replace(text, r"\s*Z?$", ""), F.lit("Z")).try_cast("timestamp")
+    return F.when(text.rlike(plain), F.floor(F.unix_micros(read) / 1000 + 0.5))
+
+
+def tick_ms(span_ms: Column) -> Column:
+    """The first step between ticks that gives at most 16 of them, or the longest."""
+    fits = F.filter(F.array(*map(F.lit, TICK_STEPS_MS)), lambda step: span_ms / step <= 16)
+    return F.coalesce(F.array_min(fits), F.lit(TICK_STEPS_MS[-1]))
+
+
+def sought(at: Column, by: Column, offset, limit) -> Column:
+    """Where a jump from a place ends: not beyond the limit, nor before the offset."""
+    return F.greatest(F.least(at + by, F.lit(limit)), F.lit(offset))
+
+
 def follow_start(playhead: Column, start: Column, span: Column, low: Column, high: Column) -> Column:
     """Where a view that follows the playhead begins: it moves once the playhead is in the first 5 or the last 15 per cent."""
     moved = F.least(F.greatest(playhead - 0.1 * span, low), high - span)

@@ -78,6 +78,22 @@ def resolution(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", S.clamp(F.col("value"), 15.0, 60.0).alias("rate"), F.when(sub.isin(1, 5, 10), sub).otherwise(1).alias("sub"), F.array_min(fits).alias("factor"))
 
 
+@query("""with e as (select event_id, value, user_id, make_timestamp(epoch_us(ts)) as moment, 1767225600000 + (value - 2.5) * 1000 as axis from events)
+ select event_id, strftime(moment, '%Y-%m-%dT%H:%M:%S.%gZ') as stamp, epoch_us(moment) // 1000 as ms, round_even(axis, 3) as axis, round_even((axis - 1767225600000) / 1000.0 + 2.5, 3) as seconds,
+ coalesce(list_min(list_filter([1000, 2000, 5000, 10000, 15000, 30000, 60000, 120000, 300000, 600000], lambda s: value * 100000 / s <= 16)), 600000) as tick,
+ round_even(greatest(least(value + user_id % 41 - 20, 90.0), 2.5), 6) as sought from e""")
+def axis_times(spark, sf_dir):
+    """Times as text and read back, media time on a view's axis and back, steps between ticks, and jumps kept within a track."""
+    offset, epoch_ms = 2.5, 1767225600000
+    axis = S.axis_ms(F.col("value"), offset, epoch_ms)
+    held = read(spark, sf_dir, "events").withColumn("stamp", S.iso_text(F.floor(micros(F.col("ts")) / 1000)))
+    return held.select(
+        "event_id", "stamp", S.stamp_ms(F.regexp_replace(F.col("stamp"), "T", " ")).alias("ms"), F.bround(axis, 3).alias("axis"),
+        F.bround(S.media_seconds(axis, offset, epoch_ms), 3).alias("seconds"), S.tick_ms(F.col("value") * 100000).alias("tick"),
+        F.bround(S.sought(F.col("value"), F.col("user_id") % 41 - 20, offset, 90.0), 6).alias("sought"),
+    )
+
+
 @query("""select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as steps, round_even(count(*) filter (event_type <> 'error') / count(*)::double, 4) as progress from events group by user_id""")
 def task_status(spark, sf_dir):
     held = read(spark, sf_dir, "events").groupBy("user_id")

@@ -501,3 +501,19 @@ def test_session_columns_are_rounded_half_even():
 
     text = "".join(p.read_text() for p in Path(__file__).parents[1].joinpath("resona").rglob("*.py"))
     assert "F.round(" not in text
+
+
+def test_times_as_text(spark):
+    ms = F.col("ms").cast("long")
+    texts = spark.createDataFrame([(-1,), (0,), (951782399999,), (1767225600007,)], "ms long").select(S.iso_text(ms).alias("t"), S.stamp_ms(S.iso_text(ms)).alias("back"), "ms").collect()
+    assert [r.t for r in texts] == ["1969-12-31T23:59:59.999Z", "1970-01-01T00:00:00.000Z", "2000-02-28T23:59:59.999Z", "2026-01-01T00:00:00.007Z"]
+    assert all(r.back == r.ms for r in texts)
+    odd = spark.createDataFrame([("2026-01-01 00:00:00",), ("2026-01-01T00:00:00.25 Z",), ("yesterday",), ("2026-13-01 00:00:00",), (None,)], "t string")
+    assert [r[0] for r in odd.select(S.stamp_ms(F.col("t"))).collect()] == [1767225600000, 1767225600250, None, None, None]
+
+
+def test_ticks_and_jumps(spark):
+    spans = spark.createDataFrame([(16000.0,), (16001.0,), (9600000.0,), (1e12,)], "x double")
+    assert [r[0] for r in spans.select(S.tick_ms(F.col("x"))).collect()] == [1000, 2000, 600000, 600000]
+    jumps = spark.createDataFrame([(5.0, -9.0), (5.0, 2.0), (5.0, 99.0)], "at double, by double")
+    assert [r[0] for r in jumps.select(S.sought(F.col("at"), F.col("by"), 1.0, 60.0)).collect()] == [1.0, 7.0, 60.0]
