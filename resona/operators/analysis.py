@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources import media
 from . import rhythm, spectral, transform
+from .lineage import cut
 
 #: Rates of columns a second that can be asked for, and parts of a semitone (fixed values).
 TIME_RATES, SUBS = (15, 60), (1, 5, 10)
@@ -25,19 +26,24 @@ def channel_spectra(pcm: DataFrame, win: int, hop: int | None = None) -> DataFra
 
 
 def channel_cells(spectra: DataFrame, rate_hz: int, win: int, columns: int, sub: int = 1, range_db: float = 70.0) -> DataFrame:
-    """(track, channel, row, col, q): pooled pitch rows, quantised against the joint peak of a track's three channels."""
+    """(track, channel, row, col, q): pooled pitch rows, quantised against the joint peak of a track's three channels.
+
+    The pooled rows, a small part of the spectra, are written once: the peak and the cells both need them.
+    """
     power = spectral.band_power(spectra, rate_hz, win, sub)
     if sub > 1:
         power = power.withColumn("p", spectral.widen(F.col("p"), 88 * sub, sub))
     pooled = spectral.pool(power, columns)
-    flat = pooled.select("track.track", "track.channel", "row", "col", "p")
+    flat = cut(pooled.select("track.track", "track.channel", "row", "col", "p"))
     return spectral.quantised(flat, range_db)
 
 
 def beat(spectra: DataFrame, seconds: float) -> DataFrame:
     """(track, bpm, offset) of the mix, from the rises of its spectrum; seconds: between frames."""
     mix = spectra.where(F.col("track.channel") == "mix").select("track.track", "frame", "m")
-    return rhythm.estimate(rhythm.flux(mix).select("track", (F.col("frame") - 1).alias("t"), F.col("flux").alias("x")), seconds)
+    rises = rhythm.flux(mix).select("track", (F.col("frame") - 1).alias("t"), F.col("flux").alias("x"))
+    # one number a frame, read by each step of the estimate
+    return rhythm.estimate(cut(rises), seconds)
 
 
 def analyse(pcm: DataFrame, rate_hz: int, win: int, hop: int | None = None, rate: int = 15, sub: int = 1, columns: int = 60, range_db: float = 70.0) -> DataFrame:

@@ -1,19 +1,20 @@
-"""Results kept by content: fingerprints, a manifest, retention, publishing, and jobs that can be cancelled."""
+"""Results kept by content: fingerprints, retention, publishing as partitions of a table, and the progress of a group of jobs."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import threading
-import uuid
+import re
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEPT = 8
+#: Partition columns of kept results.
+PLACE = ("store_version", "store_params", "store_key")
 
 
 def params_key(params: dict[str, Any]) -> str:
@@ -37,91 +38,55 @@ def unknown(names: DataFrame, registry: DataFrame, column: str) -> DataFrame:
     return names.select(column).distinct().join(registry.select(column), column, "left_anti")
 
 
-class Store:
-    """Tables under a folder, by the fingerprints of their content, parameters and version.
+def _place(key: str, params: dict[str, Any], version: str) -> dict[str, str]:
+    for name in (key, version):
+        if not re.fullmatch(r"[A-Za-z][\w.-]*", name):
+            raise ValueError(f"{name!r} does not name a folder: a letter, then letters, digits, _, . and -")
+    return dict(zip(PLACE, (version, params_key(params), key), strict=True))
 
-    A table is written beside its place and named in the manifest when it is whole, so a reader finds
-    a whole table or none.  What is missing, or of another version, is a miss and not an error.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, kept: int = KEPT):
-        self.spark, self.folder, self.kept = spark, folder, kept
+def put(df: DataFrame, folder: str, key: str, params: dict[str, Any], version: str) -> None:
+    """Write a result as one partition of the table in a folder, in place of the one that was there.
+
+    Spark writes the files beside the table and moves the partition when all tasks are done.  The
+    partition's folder is named by version, parameters and key.  A result without rows leaves no folder.
+    """
+    held = df.withColumns({c: F.lit(v) for c, v in _place(key, params, version).items()})
+    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(folder)
 
-    def _manifest(self) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema("key string, params string, version string, table string, at timestamp").parquet(f"{self.folder}/manifest") if there else None
 
-    def find(self, key: str, params: dict[str, Any], version: str) -> DataFrame | None:
-        held = self._manifest()
-        if held is None:
+def find(spark: SparkSession, folder: str, key: str, params: dict[str, Any], version: str) -> DataFrame | None:
+    """The result, or None where there is none of this version and these parameters: a miss is no error."""
+    path = "/".join((folder, *(f"{c}={v}" for c, v in _place(key, params, version).items())))
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
-        rows = held.where((F.col("key") == key) & (F.col("params") == params_key(params)) & (F.col("version") == version))
-        last = rows.orderBy(F.desc("at"), F.desc("table")).select("table").first()
-        return self.spark.read.parquet(f"{self.folder}/{last[0]}") if last else None
-
-    def put(self, df: DataFrame, key: str, params: dict[str, Any], version: str) -> DataFrame:
-        name = f"{version}/{uuid.uuid4()}"
-        df.write.parquet(f"{self.folder}/{name}")
-        row = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(params_key(params)).alias("params"), F.lit(version).alias("version"), F.lit(name).alias("table"), F.current_timestamp().alias("at"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def get(self, key: str, params: dict[str, Any], version: str, make: Callable[[], DataFrame]) -> DataFrame:
-        found = self.find(key, params, version)
-        return found if found is not None else self.put(make(), key, params, version)
-
-    def listed(self) -> DataFrame | None:
-        """The newest entries, as many as are kept."""
-        held = self._manifest()
-        return None if held is None else newest(held.withColumn("_all", F.lit(1)), "_all", "at", "table", self.kept).drop("_all")
-
-
-class Busy(RuntimeError):
-    """Another job of this kind is running."""
-
-
-class Jobs:
-    """One job at a time in a Spark job group of its own; the last 32 are remembered."""
-
-    def __init__(self, spark: SparkSession, remembered: int = 32):
-        self.spark, self.remembered = spark, remembered
-        self.lock, self.pool, self.jobs = threading.Lock(), ThreadPoolExecutor(1), {}
-
-    def start(self, work: Callable[[Callable[[float], None]], Any]) -> str:
-        """Run work(progress) in the background; progress takes a share and raises once the job is cancelled."""
-        with self.lock:
-            if any(j["status"] == "running" for j in self.jobs.values()):
-                raise Busy("a job is running")
-            name = uuid.uuid4().hex
-            self.jobs[name] = job = {"id": name, "status": "running", "progress": 0.0, "cancelled": False}
-            for old in list(self.jobs)[: -self.remembered]:
-                del self.jobs[old]
-
-        def progress(share: float) -> None:
-            job["progress"] = round(share, 4)
-            if job["cancelled"]:
-                raise InterruptedError
-
-        def run() -> None:
-            self.spark.sparkContext.setJobGroup(name, "job", interruptOnCancel=True)
-            try:
-                job["result"] = work(progress)
-                job["status"] = "cancelled" if job["cancelled"] else "done"
-            except Exception as e:
-                job["status"], job["error"] = ("cancelled", None) if job["cancelled"] else ("error", str(e))
-
-        job["future"] = self.pool.submit(run)
-        return name
-
-    def poll(self, name: str) -> dict[str, Any]:
-        return {k: v for k, v in self.jobs[name].items() if k not in ("future", "cancelled")}
-
-    def wait(self, name: str, seconds: float | None = None) -> dict[str, Any]:
-        self.jobs[name]["future"].result(seconds)
-        return self.poll(name)
-
-    def cancel(self, name: str) -> None:
-        self.jobs[name]["cancelled"] = True
-        self.spark.sparkContext.cancelJobGroup(name)
+        raise
+
+
+def get(spark: SparkSession, folder: str, key: str, params: dict[str, Any], version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result that is there, else the one made now and kept."""
+    found = find(spark, folder, key, params, version)
+    if found is None:
+        put(made := make(), folder, key, params, version)
+        found = find(spark, folder, key, params, version)
+        return made.limit(0) if found is None else found
+    return found
+
+
+def listed(spark: SparkSession, folder: str, n: int = KEPT) -> DataFrame:
+    """(the partition columns, at) of the n results that were written last, from the files' footers."""
+    held = spark.read.schema(", ".join(f"{c} string" for c in PLACE)).parquet(folder)
+    entries = held.groupBy(*PLACE).agg(F.max("_metadata.file_modification_time").alias("at"))
+    return newest(entries.withColumn("_all", F.lit(1)), "_all", "at", PLACE[-1], n).drop("_all")
+
+
+def progress(spark: SparkSession, group: str) -> float:
+    """The share of tasks that are done, of the stages that a job group has begun; setJobGroup and cancelJobGroup do the rest."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(stage) for job in jobs if job for stage in job.stageIds]
+    total = sum(s.numTasks for s in stages if s)
+    return sum(s.numCompletedTasks for s in stages if s) / total if total else 0.0

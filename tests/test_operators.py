@@ -465,35 +465,55 @@ def test_params_key_ignores_order_and_sees_values():
 
 
 def test_store_misses_then_finds(spark, tmp_path):
-    held = store.Store(spark, str(tmp_path))
-    calls = []
+    folder, calls = str(tmp_path / "kept"), []
 
     def make():
         calls.append(1)
         return spark.range(3)
 
     for _ in range(2):
-        assert held.get("k", {"a": 1}, "v1", make).count() == 3
-    assert len(calls) == 1 and held.find("k", {"a": 1}, "v2") is None and held.listed().count() == 1
-
-
-def test_jobs_run_one_at_a_time_and_can_be_cancelled(spark):
-    import threading
-
-    jobs, go = store.Jobs(spark), threading.Event()
-
-    def work(progress):
-        go.wait(20)
-        progress(0.5)
-        return spark.range(5).count()
-
-    name = jobs.start(work)
-    with pytest.raises(store.Busy):
-        jobs.start(work)
-    jobs.cancel(name)
-    go.set()
-    assert jobs.wait(name, 30)["status"] == "cancelled"
-    assert jobs.wait(jobs.start(work), 60)["result"] == 5
+        assert sorted(r[0] for r in store.get(spark, folder, "k", {"a": 1}, "v1", make).select("id").collect()) == [0, 1, 2]
+    assert len(calls) == 1
+    assert store.find(spark, folder, "k", {"a": 1}, "v2") is None and store.find(spark, folder, "k", {"a": 2}, "v1") is None
+    store.put(spark.range(2).selectExpr("'x' as other"), folder, "j", {"a": 1}, "v1")
+    store.put(spark.range(5), folder, "k", {"a": 1}, "v1")
+    assert store.find(spark, folder, "k", {"a": 1}, "v1").count() == 5 and store.find(spark, folder, "j", {"a": 1}, "v1").first()[0] == "x"
+    assert [r.store_key for r in store.listed(spark, folder, 1).collect()] == ["k"] and store.listed(spark, folder).count() == 2
+    assert store.get(spark, folder, "none", {}, "v1", lambda: spark.range(0)).count() == 0
+    with pytest.raises(ValueError, match="does not name a folder"):
+        store.find(spark, folder, "../k", {}, "v1")
+
+
+def test_a_group_of_jobs_tells_its_progress_and_can_be_cancelled(spark):
+    import time
+
+    from pyspark import InheritableThread
+
+    ended, context = [], spark.sparkContext
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(0 if batch.column("id")[0].as_py() < 6 else 60)
+            yield batch
+
+    def work():
+        context.setJobGroup("slow", "a slow job", interruptOnCancel=True)
+        try:
+            ended.append(spark.range(0, 8, 1, 8).mapInArrow(slow, "id long").count())
+        except Exception as e:
+            ended.append(e)
+
+    assert store.progress(spark, "slow") == 0.0
+    thread, began = InheritableThread(target=work), time.monotonic()
+    thread.start()
+    while not 0 < store.progress(spark, "slow") < 1 and time.monotonic() - began < 40:
+        time.sleep(0.1)
+    assert 0 < store.progress(spark, "slow") < 1
+    context.cancelJobGroup("slow")
+    thread.join(40)
+    assert len(ended) == 1 and isinstance(ended[0], Exception)
 
 
 def test_session_columns_are_rounded_half_even():
