@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -11,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, shared_folder
+
 #: Rows up to which a lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -22,26 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: spark.checkpoint.dir, and a temporary one only where that is unset and one machine does all.
-
-    A cluster without the setting is an error, since no folder of one machine would do there.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that nothing before them runs again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(column: str | Column, folds: int) -> Column:
     """crc32 of a value as text, modulo folds; a null counts as an empty text."""
     text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
