@@ -6,16 +6,19 @@ many zeros lead it, and the ``MANTISSA`` bits after its first one.  Two sets hav
 where they have the same minimum, and sometimes by chance; only candidates come of that chance.
 
 * Equal sets are one node, by two independent sums of their hashes.
-* Bands of ``ROWS`` registers are keys.  Nodes that share a key are compared within it by all their
+* Bands of ``ROWS`` registers are keys.  Few shingles leave most registers empty, so sets of at most ``SMALL``
+  have keys of their own: their smallest hashes, so many that two sets that link share one for certain.
+  Keys that the same nodes share are one key.  Nodes that share a key are compared within it by all their
   registers: the share that agrees, less the number expected by chance at both sizes, estimates the
   similarity.  A pair below the threshold by more than ``MARGIN`` is not looked at again; the
   margin is six standard deviations of the estimate, and the bands miss a link at the threshold once in 10**8.
-* Links are confirmed on full sets, in two rounds.  First every node proposes its best partner in each
-  key, which is one pair a node, not all pairs; the confirmed ones join most of a group of copies.
-  Then all pairs that an estimate leaves and that lie in different components are confirmed, each
-  in the first of its common keys only.  So no link that joins two components is lost, and links
-  within one are not made.
-* A key of over ``CHUNK`` nodes is cut into chunks, and each two chunks are compared in work of their own.
+* Each key gives a spanning forest of its pairs with the best estimates, which is less than one pair a
+  node, not all pairs.  Nodes that these pairs connect are a group, and every link lies within one.
+* Links are confirmed on full sets, which meet once for each group: all numbers of common shingles at once,
+  by products of matrices for shingles that many have, by pairs for the others.  A forest of the links
+  is what a group gives.
+* A key of over ``CHUNK`` nodes, or a group of as many or of over ``LARGE`` shingles, is cut into chunks, and each two
+  chunks are work of their own.
 
 Cases: a text without words, or null, is linked with nothing, not even its like; one of fewer words than
 a shingle has one shingle; a component is named by its smallest non-null doc_id, null if it has none,
@@ -30,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -38,15 +42,19 @@ from .frames import cut, lookup, salted, stash, table
 from .simhash import components
 
 SHINGLE = 3
-#: Link from this many hundredths of the union on.
+#: Link from this many hundredths of the union on; the bands below are made for it.
 PERCENT = 85
 BUCKETS, MANTISSA = 256, 10
 #: Registers of a band, and bands.
 ROWS, BANDS = 5, 32
+#: Shingles up to which a set has keys by its smallest hashes.
+SMALL = 48
 #: How far below the threshold an estimate may be of a pair that links.
 MARGIN = 0.135
-#: Nodes of a key that are compared with each other in one piece of work.
-CHUNK = 1024
+#: Nodes of a key or group, and shingles of a group, that are compared with each other in one piece of work.
+CHUNK, LARGE = 1024, 1 << 20
+#: Sets from which on a shingle counts by a product of matrices, and shingles of one product.
+MANY, COLUMNS = 32, 2048
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -112,154 +120,239 @@ def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, bands.any(axis=2)
 
 
+def node_ids(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """16 bytes of each set, none of an empty one: two independent sums over its hashes."""
+    n = np.diff(bounds)
+    sums = np.zeros((len(n), 2), np.uint64)
+    held = np.flatnonzero(n)
+    if len(held):
+        sums[held] = np.stack([np.add.reduceat(K.mix(hashes ^ np.uint64(x)), bounds[held]) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+    return [x.tobytes() if k else None for x, k in zip(sums, n.tolist(), strict=True)]
+
+
+def prefix(n: int) -> int:
+    """How many of a small set's smallest hashes are keys: two sets that link have one of them in common."""
+    return n - -(-PERCENT * n // 100) + 1 if 0 < n <= SMALL else 0
+
+
+def banded(n: np.ndarray) -> np.ndarray:
+    """Whether a set of n shingles can link with one that is not small, so that its bands are keys."""
+    return 100 * n > PERCENT * SMALL
+
+
 def sketches(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The other columns with node (16 bytes, null for an empty set), n_shingles and registers."""
-    made = ("node", "n_shingles", "registers")
+    """The other columns with node (16 bytes, null for an empty set), n_shingles, registers, and the smallest hashes of a small set."""
+    made = ("node", "n_shingles", "registers", "smallest")
     others = [c for c in documents.columns if c != text and c not in made]
-    schema = documents.select(*others).schema.add("node", "binary").add("n_shingles", "long").add("registers", "binary")
+    schema = documents.select(*others).schema.add("node", "binary").add("n_shingles", "long").add("registers", "binary").add("smallest", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, text):
                 hashes, bounds = shingle_sets(part.column(text))
                 n = np.diff(bounds)
-                sums = np.zeros((len(n), 2), np.uint64)
-                held = np.flatnonzero(n)
-                if len(held):
-                    sums[held] = np.stack([np.add.reduceat(K.mix(hashes ^ np.uint64(x)), bounds[held]) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
-                nodes = [x.tobytes() if k else None for x, k in zip(sums, n.tolist(), strict=True)]
+                nodes = node_ids(hashes, bounds)
                 regs = [x.tobytes() for x in registers(hashes, bounds)]
-                columns = [pa.array(nodes, pa.binary()), pa.array(n), pa.array(regs, pa.binary())]
+                smallest = [hashes[a : a + prefix(k)].tobytes() for a, k in zip(bounds[:-1].tolist(), n.tolist(), strict=True)]
+                columns = [pa.array(nodes, pa.binary()), pa.array(n), pa.array(regs, pa.binary()), pa.array(smallest, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], names=[*others, *made])
 
     return documents.select(*others, text).mapInArrow(run, schema)
 
 
 def full_sets(documents: DataFrame, text: str = "text") -> DataFrame:
-    """node and members, the shingle hashes in ascending order, of each row that has any."""
+    """node and members, the shingle hashes in ascending order, of each text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, text):
                 hashes, bounds = shingle_sets(part.column(text))
                 sets = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(hashes, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    return documents.select("node", text).mapInArrow(run, "node binary, members binary")
+    return documents.select(text).mapInArrow(run, "node binary, members binary")
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """A row (key, band, node) for each band of each node."""
+    """A row (key, band, node) for each band of a node, and for each of the smallest hashes of a small one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                found = _registers(part.column("registers"))
-                keys, held = band_keys(found)
-                at_row, band = np.nonzero(held)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at_row, band].view(np.int64)), pa.array(band.astype(np.int32)), part.column("node").take(pa.array(at_row))], names=["key", "band", "node"])
+                keys, held = band_keys(_registers(part.column("registers")))
+                row, band = np.nonzero(held & banded(part.column("n_shingles").to_numpy())[:, None])
+                few = [np.frombuffer(x, np.uint64) for x in part.column("smallest").to_pylist()]
+                sizes = np.array([len(x) for x in few])
+                values = np.concatenate([keys[row, band], K.mix(np.concatenate(few) ^ np.uint64(0x94D049BB133111EB))])
+                place = pa.array(np.concatenate([row, np.repeat(np.arange(len(few)), sizes)]))
+                bands = np.concatenate([band, BANDS + np.zeros(sizes.sum(), np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bands), part.column("node").take(place)], names=["key", "band", "node"])
+
+    return nodes.select("node", "n_shingles", "registers", "smallest").mapInArrow(run, "key long, band int, node binary")
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, band int, node binary")
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """The rows of keyed() of keys with several nodes; of keys that have the same nodes, those of the first."""
+    by = Window.partitionBy("key")
+    one, other = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    held = keyed(nodes).withColumns({"n": F.count("*").over(by), "one": F.bit_xor(one).over(by), "other": F.bit_xor(other).over(by)}).where("n > 1")
+    held = stash(held)
+    first = held.groupBy("n", "one", "other").agg(F.min(F.struct("band", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    return held.join(first.distinct(), "key", "left_semi").select("key", "band", "node")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
 
 
-def compare(group: np.ndarray, band: np.ndarray, label: np.ndarray, found: np.ndarray, sizes: np.ndarray, least: float, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places within groups of equal, adjacent numbers whose labels differ and whose estimate is at least ``least``.
-
-    best_only: of each place only its best pair; else every pair whose first common band is the group's.
-    """
+def forest(a: np.ndarray, b: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (a, b) among n places are a spanning forest of the greatest values (Boruvka)."""
+    order = np.lexsort((b, a, -value))
+    at, label, chosen = np.arange(len(order)), np.arange(n), []
+    while True:
+        x, y = label[a[order[at]]], label[b[order[at]]]
+        open_ = x != y
+        at, x, y = at[open_], x[open_], y[open_]
+        if not len(at):
+            return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+        best = np.full(n, len(order))
+        np.minimum.at(best, x, at)
+        np.minimum.at(best, y, at)
+        picked = np.unique(best[best < len(order)])
+        chosen.append(picked)
+        x, y = label[a[order[picked]]], label[b[order[picked]]]
+        while (apart := x != y).any():
+            low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            np.minimum.at(label, high, low)
+            while (down := label[label]).tobytes() != label.tobytes():
+                label = down
+            x, y = label[x], label[y]
+
+
+def compare(group: np.ndarray, found: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that are a spanning forest, of the best, of those in groups of equal, adjacent numbers whose estimate is at least ``least``."""
     n = len(group)
-    at, ones, others, values = np.arange(n), [], [], []
+    at, ones, others, values = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for step in range(1, n):
         at = at[at + step < n]
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        a = at[label[at] != label[at + step]]
-        b = a + step
-        fits = 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
-        a, b = a[fits], b[fits]
-        for i in range(0, len(a), 1 << 14):
-            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        b = at + step
+        fits = 100 * np.minimum(sizes[at], sizes[b]) >= PERCENT * np.maximum(sizes[at], sizes[b])
+        a, b = at[fits], b[fits]
+        for i in range(0, len(a), 1 << 13):
+            x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
             value = estimate(found[x], found[y], sizes[x], sizes[y])
             held = value >= least
             ones.append(x[held]), others.append(y[held]), values.append(value[held])
-    if not ones:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, value = np.concatenate(ones), np.concatenate(others), np.concatenate(values)
-    if best_only:
-        place, partner = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.lexsort((partner, -np.concatenate([value, value]), place))
-        place, partner = place[order], partner[order]
-        first = np.ones(len(place), bool)
-        first[1:] = place[1:] != place[:-1]
-        return place[first], partner[first]
-    mine, theirs = (found[x][:, : ROWS * BANDS].reshape(len(x), BANDS, ROWS) for x in (a, b))
-    common = ((mine == theirs).all(axis=2) & mine.any(axis=2)).argmax(axis=1) == band[a]
-    return a[common], b[common]
-
-
-def candidates(members: DataFrame, nodes: DataFrame, best_only: bool, chunk: int = CHUNK, percent: int = PERCENT) -> DataFrame:
-    """Pairs (u, v), u below v, of nodes that share a key, have different labels, and may link; members: key, band, node, label."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
-    shared = sizes.where("n > 1 and a <> b").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    rows = members.join(shared, "key")
+    a, b = np.concatenate(ones), np.concatenate(others)
+    held = forest(a, b, np.concatenate(values), n)
+    return a[held], b[held]
+
+
+def in_chunks(rows: DataFrame, by: str, sizes: DataFrame, chunk: int) -> DataFrame:
+    """The rows (by, node, ...) with i and j, two chunks of their key whose nodes meet; sizes: (by, n), the chunks it takes."""
+    held = rows.join(sizes.select(by, F.ceil(F.col("n")).cast("int").alias("chunks")), by)
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select("key", "band", "label", "node", "pair.i", "pair.j")
-    full = rows.join(nodes.select("node", "n_shingles", "registers"), "node")
-    work = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    least = percent / 100 - MARGIN
+    # with several chunks, a chunk's own pairs meet in the work of any two; so it needs none of its own
+    pairs = F.when(F.col("chunks") > 1, F.filter(pairs, lambda p: p["i"] != p["j"])).otherwise(pairs)
+    return held.withColumn("pair", F.explode(pairs)).select(*rows.columns, "pair.i", "pair.j")
+
+
+def _whole(rows: DataFrame, by: str, schema: str, work, least: int) -> DataFrame:
+    """work(batch, group numbers) on rows dealt by (by, i, j): whole groups, in order, of a few ``least`` rows together."""
+    dealt = rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def answer(part: pa.RecordBatch, keys: np.ndarray) -> pa.RecordBatch:
-            group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-            label = part.column("label").dictionary_encode().indices.to_numpy()
-            found, n = _registers(part.column("registers")), part.column("n_shingles").to_numpy()
-            a, b = compare(group, part.column("band").to_numpy(), label, found, n, least, best_only)
-            nodes_ = part.column("node").to_pylist()
-            pairs = [(min(x, y), max(x, y)) for x, y in ((nodes_[i], nodes_[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True))]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["u", "v"])
+        def numbers(part: pa.RecordBatch) -> np.ndarray:
+            name = part.column(by)
+            first = np.ones(part.num_rows, bool)
+            i, j = (part.column(c).to_numpy() for c in ("i", "j"))
+            changed = np.asarray(pc.not_equal(name.slice(1), name.slice(0, part.num_rows - 1)))
+            first[1:] = changed | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            return np.cumsum(first) - 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = pa.Table.from_batches([held, batch.slice(at, 1 << 12)] if held else [batch.slice(at, 1 << 12)]).combine_chunks().to_batches()[0]
-                keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
-                same = (keys == keys[-1]).all(axis=1)
-                last = len(keys) - int(np.argmin(same[::-1])) if not same.all() else 0
+            for at in range(0, batch.num_rows, least):
+                part = pa.Table.from_batches([held, batch.slice(at, least)] if held else [batch.slice(at, least)]).combine_chunks().to_batches()[0]
+                group = numbers(part)
+                last = int(np.searchsorted(group, group[-1]))
                 if last:
-                    yield answer(part.slice(0, last), keys[:last])
+                    yield work(part.slice(0, last), group[:last])
                 held = part.slice(last)
         if held is not None and held.num_rows:
-            yield answer(held, np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1))
+            yield work(held, numbers(held))
 
-    return work.mapInArrow(run, "u binary, v binary").distinct()
+    return dealt.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets link."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("one")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("members").alias("other")), "v").select("u", "v", "one", "other")
+def candidates(members: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (u, v), u below v, that connect the same nodes as all pairs of nodes that share a key and may link; members: key, node."""
+    sizes = members.groupBy("key").agg((F.count("*") / chunk).alias("n"))
+    rows = in_chunks(members.select("key", "node"), "key", sizes, chunk)
+    full = rows.join(nodes.select("node", "n_shingles", "registers"), "node")
+    least = PERCENT / 100 - MARGIN
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, other))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                links.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(links, pa.bool_()))
+    def work(part: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        a, b = compare(group, _registers(part.column("registers")), part.column("n_shingles").to_numpy(), least)
+        return pa.RecordBatch.from_arrays([part.column("node").take(pa.array(x)) for x in (a, b)], names=["u", "v"])
+
+    return _whole(full, "key", "u binary, v binary", work, 1 << 11).distinct()
+
+
+def common(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, n): how many hashes two rows have in common, above the diagonal; a row has a hash once."""
+    order = np.lexsort((row, hashes))
+    hashes, row = hashes[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    size = np.diff(np.append(first, len(hashes)))
+    of = np.repeat(np.arange(len(first)), size)
+    out = np.zeros((n, n), np.float32)
+    many = np.flatnonzero(size >= MANY)
+    for a in range(0, len(many), COLUMNS):
+        place = np.full(len(first), -1)
+        place[many[a : a + COLUMNS]] = np.arange(len(many[a : a + COLUMNS]))
+        held = place[of] >= 0
+        there = np.zeros((n, min(COLUMNS, len(many) - a)), np.float32)
+        there[row[held], place[of[held]]] = 1
+        out += there @ there.T
+    few = np.flatnonzero((size < MANY)[of])
+    for step in range(1, MANY):
+        few = few[few + step < len(of)]
+        few = few[of[few] == of[few + step]]
+        if not len(few):
+            break
+        np.add.at(out, (row[few], row[few + step]), 1)
+    return np.triu(out, 1)
+
+
+def confirmed(sets: DataFrame, chunk: int = CHUNK, large: int = LARGE) -> DataFrame:
+    """Links (u, v) that connect the same nodes as all links within each group; sets: group, node, n_shingles, members."""
+    work_of = F.greatest(F.count("*") / chunk, F.sum("n_shingles") / large)
+    rows = in_chunks(sets, "group", sets.groupBy("group").agg(work_of.alias("n")), chunk)
+
+    def work(part: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        n = part.column("n_shingles").to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        hashes = np.frombuffer(b"".join(part.column("members").to_pylist()), np.uint64)
+        # groups that are worked on together have no hash in common
+        shared = common(K.mix(hashes + K.mix(group.astype(np.uint64) + np.uint64(1))[row]), row, len(n))
+        a, b = np.nonzero(shared)
+        both = shared[a, b].astype(np.int64)
+        held = 100 * both >= PERCENT * (n[a] + n[b] - both)
+        a, b = a[held], b[held]
+        tree = forest(a, b, np.zeros(len(a)), len(n))
+        return pa.RecordBatch.from_arrays([part.column("node").take(pa.array(x[tree])) for x in (a, b)], names=["u", "v"])
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return _whole(rows, "group", "u binary, v binary", work, 1 << 9).distinct()
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """The other columns with n_shingles, component_id and kept."""
     others = [c for c in documents.columns if c not in (text, "n_shingles", "component_id", "kept")]
     # the columns that stay are packed away, so that none clashes with those of the work
@@ -267,24 +360,17 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     rows = stash(sketches(source))
     # of equal sets, one text stands for all
     named = rows.where("node is not null")
-    nodes = stash(named.groupBy("node").agg(F.min("id").alias("low"), F.min("hash").alias("hash"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
-    keys = keyed(nodes)
-    members = stash(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"))
-
-    first = cut(candidates(members.withColumn("label", F.col("node")), nodes, True, chunk, percent))
-    asked = first.select(F.col("u").alias("asked")).union(first.select("v")).distinct()
-    wanted = cut(lookup(nodes.select("node", F.col("hash").alias("wanted")), asked, F.col("node") == F.col("asked"), "left_semi"))
-    chosen = lookup(source.select("text", "hash"), wanted, F.col("hash") == F.col("wanted"))
-    sets = stash(full_sets(chosen.select("node", "text")).dropDuplicates(["node"]))
-
-    links = cut(confirmed(first, sets, percent))
-    roots = components(links)
-    labels = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("label"))
-    # where a best partner was not confirmed, every other pair across components still may be
-    second = cut(candidates(labels, nodes, False, chunk, percent).join(first, ["u", "v"], "left_anti"))
-    more = cut(confirmed(second, sets, percent))
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    nodes = stash(named.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("id", "hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("smallest").alias("smallest")))
+    members = stash(shared_keys(nodes))
+
+    pairs = cut(candidates(members, nodes, chunk))
+    joined = components(pairs)
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    asked = asked.join(joined, "node", "left").select(F.col("node").alias("asked"), F.coalesce("root", "node").alias("group"))
+    wanted = cut(lookup(nodes.select("node", "n_shingles", F.col("first.id").alias("first"), F.col("first.hash").alias("wanted")), asked, F.col("node") == F.col("asked")).drop("asked"))
+    chosen = lookup(source.select("id", "text", "hash"), wanted.select("first", "wanted"), (F.col("hash") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    sets = full_sets(chosen.select("text")).dropDuplicates(["node"])
+    roots = components(confirmed(stash(wanted.select("group", "node", "n_shingles").join(sets, "node")), chunk))
 
     owned = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     # a component may hold a large share of all nodes: they are added up before the shuffle, and the way back is salted

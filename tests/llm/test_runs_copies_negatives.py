@@ -219,6 +219,39 @@ def test_pairs_that_a_best_partner_does_not_join_are_still_confirmed(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want and 2 < len({r[2] for r in want}) < 65
 
 
+def test_small_sets_that_differ_by_a_shingle_are_linked(spark):
+    """No set of few shingles is without a key: texts and the same texts with one word more."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(8, 52))]
+        rows += [(2 * i, " ".join(w), "en"), (2 * i + 1, " ".join([*w, "more"]), "en")]
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_forests_join_what_the_edges_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((2, 1), (30, 20), (200, 2000)):
+        a, b = (np.sort(rng.integers(0, n, (2, m)), axis=0))
+        a, b = a[a != b], b[a != b]
+        value = rng.integers(0, 5, len(a)) / 5
+        held = hyperminhash.forest(a, b, value, n)
+
+        def parts(x, y):
+            label = list(range(n))
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                old, new = label[i], label[j]
+                label = [new if k == old else k for k in label]
+            return [label.index(k) for k in label]
+
+        assert parts(a[held], b[held]) == parts(a, b) and len(held) == n - len(set(parts(a, b)))
+        for level in (0.8, 0.6, 0.4):  # and what the better ones join, their better ones join
+            high = value >= level
+            kept = held[value[held] >= level]
+            assert parts(a[kept], b[kept]) == parts(a[high], b[high])
+
+
 def test_registers_and_estimates():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
