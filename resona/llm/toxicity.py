@@ -1,16 +1,19 @@
 """Toxicity: a factorization machine over hashed terms.
 
 The terms of a text are 64-bit hashes of its lower-cased words of letters and of their first four
-and five bytes, present or not.  The machine has a weight for each feature and, as inner products of
-``RANK`` factors, one for each pair of features.  Two tests on the training rows choose the features:
+and five bytes; that a term comes at least ``LEVELS`` times is a term of its own.  The machine has a weight
+for each feature and, as inner products of ``RANK`` factors, one for each pair of features.  Two tests on the
+training rows choose the features:
 
-* alone: log-likelihood ratio of term and label, of either sign, at a false discovery rate of ``FALSE``;
-* in pairs: among the ``COMMON`` terms of most texts and the ``STRONG`` best of the first test, the score
-  test of a pair's weight given a machine without pairs, at ``FALSE`` by Bonferroni.  So a term that tells
-  nothing alone, such as the mention of a group, is a feature if it does beside another.
+* alone: log-likelihood ratio of term and label, of either sign, at a false discovery rate of ``FALSE``, of all
+  terms in at least ``LEAST`` texts;
+* in pairs: the score test of a pair's weight given a machine without pairs, at ``FALSE`` by Bonferroni, of
+  all pairs of words that ``SUPPORT`` toxic texts have; a pair that fewer have is too rare to pass.  So a
+  word that tells nothing alone, such as the mention of a group, is a feature if it does beside another,
+  however many others there are.  The pairs are dealt to tasks as tiles of a matrix.
 
-It is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of doc_id, equal texts once.
-Scoring reads every text whole.
+It is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of doc_id, equal texts once; what
+passes the driver, the sample's terms, is bounded by it.  Scoring reads every text whole.
 
 Cases: a null or empty text, and any text when nothing can be learned, gets the score of a text
 without features; several labels of one doc_id, or of equal texts, count as toxic if one is; terms of
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .frames import cut, fold, table
 
-#: Labelled rows that the model is fitted on, the features it has at most from the first test, and pair factors.
-SAMPLE, FEATURES, RANK = 20_000, 4096, 8
-#: Terms whose pairs are tested: those of most texts, and the best of the first test.
-COMMON, STRONG = 768, 256
+#: Labelled rows that the model is fitted on, and pair factors.
+SAMPLE, RANK = 20_000, 8
+#: Texts that a term needs for the first test, toxic texts that a word needs for the second, and words of a tile.
+LEAST, SUPPORT, TILE = 3, 8, 1024
+#: Counts of a term from which on it is another term too.
+LEVELS = (2, 4)
 #: Rate of false features that the tests allow, and the score from which a text is predicted toxic.
 FALSE, THRESHOLD = 0.1, 0.3
 #: Texts of a step of learning.
@@ -44,20 +49,36 @@ BATCH = 2048
 PREFIXES = (4, 5)
 
 
-def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every term of every text, repeats included."""
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of every text, repeats included."""
+    return _terms(texts, ())
+
+
+def _terms(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     raw, bounds = K.text_buffer(texts)
     raw = K.letters_only(raw)
     starts, ends, rows = K.word_bounds(raw, bounds)
     row = np.repeat(np.arange(len(texts)), np.diff(rows))
     hashes, at = [K.word_hashes(raw, starts, ends)], [row]
-    for size in PREFIXES:
+    for size in prefixes:
         long = ends - starts > size
         hashes.append(K.word_hashes(raw, starts[long], starts[long] + size, seed=size))
         at.append(row[long])
     return np.concatenate(at), np.concatenate(hashes)
 
 
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every term of every text, each once."""
+    at, hashes = _terms(texts, PREFIXES)
+    order = np.lexsort((hashes, at))
+    at, hashes = at[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)])
+    count = np.diff(np.append(first, len(at)))
+    at, hashes = at[first], hashes[first]
+    often = [(at[count >= k], K.mix(hashes[count >= k] + np.uint64(k))) for k in LEVELS]
+    return np.concatenate([at, *(o[0] for o in often)]), np.concatenate([hashes, *(o[1] for o in often)])
+
+
 @dataclass
 class Model:
     terms: np.ndarray
@@ -130,27 +151,54 @@ def _discovered(evidence: np.ndarray, tested: int) -> int:
     return int(passed[-1]) + 1 if len(passed) else 0
 
 
-def _in_pairs(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, expected: np.ndarray, m: int) -> np.ndarray:
-    """Which of m features have a pair whose weight is not 0, given what a machine without pairs expects of each text."""
-    pull, spread = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    ends = np.searchsorted(rows, np.arange(0, len(labels) + BATCH, BATCH))
-    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        span = slice(k * BATCH, min((k + 1) * BATCH, len(labels)))
-        there = np.zeros((span.stop - span.start, m), np.float32)
-        there[rows[a:b] - span.start, ids[a:b]] = 1
-        pull += there.T @ (there * (labels - expected)[span, None].astype(np.float32))
-        spread += there.T @ (there * (expected * (1 - expected))[span, None].astype(np.float32))
-    pairs = max(m * (m - 1) // 2, 1)
-    strong = np.abs(pull) > NormalDist().inv_cdf(1 - FALSE / pairs / 2) * np.sqrt(spread + 1)
-    np.fill_diagonal(strong, False)
-    return strong.any(axis=1)
+def _in_pairs(spark: SparkSession, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, expected: np.ndarray, m: int) -> np.ndarray:
+    """Which of m features have a pair whose weight is not 0, given what a machine without pairs expects of each text; a task has a tile of the pairs."""
+    if m < 2:
+        return np.zeros(m, bool)
+    limit = NormalDist().inv_cdf(1 - FALSE / (m * (m - 1) // 2) / 2)
+    of = np.argsort(ids, kind="stable")
+    shared = spark.sparkContext.broadcast((rows[of].astype(np.int32), ids[of].astype(np.int32), (labels - expected).astype(np.float32), (expected * (1 - expected)).astype(np.float32)))
+    tiles = -(-m // TILE)
+
+    def tile(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, ids, pulls, spreads = shared.value
+        parts = []
+        for k in (i, j):
+            a, b = np.searchsorted(ids, [k * TILE, (k + 1) * TILE])
+            order = np.argsort(rows[a:b], kind="stable")
+            parts.append((rows[a:b][order], ids[a:b][order] - k * TILE))
+        pull, spread = np.zeros((TILE, TILE), np.float32), np.zeros((TILE, TILE), np.float32)
+        for at in range(0, len(pulls), BATCH):
+            one, other = (np.zeros((BATCH, TILE), np.float32) for _ in parts)
+            for there, (r, c) in zip((one, other), parts, strict=True):
+                a, b = np.searchsorted(r, [at, at + BATCH])
+                there[r[a:b] - at, c[a:b]] = 1
+            n = min(BATCH, len(pulls) - at)
+            pull += one[:n].T @ (other[:n] * pulls[at : at + n, None])
+            spread += one[:n].T @ (other[:n] * spreads[at : at + n, None])
+        strong = np.abs(pull) > limit * np.sqrt(spread + 1)
+        if i == j:
+            np.fill_diagonal(strong, False)
+        x, y = np.nonzero(strong)
+        return np.unique(x) + i * TILE, np.unique(y) + j * TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile(i, j)), pa.int64())], names=["feature"])
+
+    work = spark.range(tiles).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(tiles - 1))).alias("j"))
+    found = work.repartition(max(1, tiles * (tiles + 1) // 2), "i", "j").mapInArrow(run, "feature long").distinct().collect()
+    out = np.zeros(m, bool)
+    out[[r[0] for r in found]] = True
+    return out
 
 
 def _longs(found: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in found.collect()], np.int64).view(np.uint64)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, rank: int = RANK, key: str = "doc_id") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK, key: str = "doc_id") -> Model:
     """A model of labels (doc_id, toxic) for documents (doc_id, text)."""
     held = labels.where("toxic is not null").select(F.col(key).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     share = sample / max(1, held.count())
@@ -165,10 +213,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
         for batch in batches:
             for part in K.slices(batch, limit=8 << 20):
                 at, hashes = terms(part.column("text"))
-                order = np.lexsort((at, hashes))
+                order = np.argsort(hashes, kind="stable")
                 at, hashes = at[order], hashes[order]
-                new = np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)]
-                at, hashes = at[new], hashes[new]
                 toxic = part.column("toxic").to_numpy()[at]
                 first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
                 if len(first):
@@ -178,16 +224,27 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     n, t = (x or 0 for x in rows.agg(F.count("*"), F.sum("toxic")).first())
     if not 0 < t < n:
         return Model(np.zeros(0, np.uint64), -4.0 if not t else 4.0, np.zeros(0), np.zeros((0, rank)))
-    by_term = rows.mapInArrow(counts, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("n >= 3")
+    by_term = rows.mapInArrow(counts, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
     ratio = lambda a, b: F.when((a > 0) & (b > 0), a * F.ln(F.try_divide(a, b))).otherwise(0.0)
     there, away = F.col("t").cast("double"), F.lit(float(t)) - F.col("t")
     there0, away0 = (F.col("n") - F.col("t")).cast("double"), F.lit(float(n - t)) - (F.col("n") - F.col("t"))
     in_, out = F.col("n") / float(n), 1 - F.col("n") / float(n)
     evidence = 2 * (ratio(there, in_ * float(t)) + ratio(away, out * float(t)) + ratio(there0, in_ * float(n - t)) + ratio(away0, out * float(n - t)))
     tested = cut(by_term.select("term", "n", evidence.alias("e")))
-    best = tested.orderBy(F.desc("e"), "term").limit(features).select("term", "e").collect()
+    # no evidence below that of FALSE for one term alone can pass
+    best = tested.where(F.col("e") >= NormalDist().inv_cdf(1 - FALSE / 2) ** 2).orderBy(F.desc("e"), "term").select("term", "e").collect()
     alone = np.array([r[0] for r in best], np.int64).view(np.uint64)[: _discovered(np.array([r[1] for r in best]), tested.count())]
-    often = _longs(tested.orderBy(F.desc("n"), "term").limit(COMMON).select("term"))
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch):
+                at, hashes = words(part.column("text"))
+                order = np.lexsort((at, hashes))
+                at, hashes = at[order], hashes[order]
+                new = np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1]))[: len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64))], names=["term"])
+
+    often = _longs(rows.where("toxic = 1").mapInArrow(spoken, "term long").groupBy("term").count().where(F.col("count") >= SUPPORT).select("term"))
     listed = np.union1d(alone, often)
     find = Finder(listed)
 
@@ -209,8 +266,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
         return at[held], place[ids[held]]
 
     alone_only = _learn(*among(np.sort(alone)), truth, np.sort(alone), 0, 100)
-    paired = np.union1d(often, alone[:STRONG])
-    both = _in_pairs(*among(paired), truth, alone_only.score(*among(np.sort(alone)), len(truth)), len(paired))
+    paired = np.unique(often)
+    both = _in_pairs(documents.sparkSession, *among(paired), truth, alone_only.score(*among(np.sort(alone)), len(truth)), len(paired))
     chosen = np.union1d(alone, paired[both])
     return _learn(*among(chosen), truth, chosen, rank)
 

@@ -237,6 +237,38 @@ def test_toxicity_learns_pairs_from_texts(spark, kind):
     assert np.mean([b for a, b in tested if a]) > 0.95 and np.mean([a for a, b in tested if b]) > 0.95
 
 
+@pytest.mark.parametrize("fillers", [150, 2500])
+def test_toxicity_learns_rare_pairs_among_many_words(spark, fillers):
+    """Toxic only where two words meet that are neutral alone, each in a few hundredths of the texts, whatever else there is."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "pu") for b in ("rin", "sat", "tov", "wex", "yul") for c in (f"{x}{y}" for x in "abcdefghij" for y in "abcdefghij")][:fillers]
+    rows = []
+    for i in range(8000):
+        t = [rng.choice(vocabulary) for _ in range(20)]
+        kind = rng.random()
+        t += ["zorgon", "vexil"] if kind < 0.015 else ["zorgon"] if kind < 0.03 else ["vexil"] if kind < 0.045 else []
+        rng.shuffle(t)
+        rows.append((i, " ".join(t), int(kind < 0.015)))
+    held = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(held, held.select("doc_id", "toxic").where("doc_id % 4 != 2"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(held.drop("toxic"), model).collect()}
+    tested = [(got[i], y) for i, _, y in rows if i % 4 == 2]
+    assert np.mean([a for a, y in tested if y]) > 0.9 and np.mean([y for a, y in tested if a]) > 0.9
+
+
+def test_toxicity_scores_agree_with_a_plain_machine(spark):
+    """Each score is bias, weights and the sum over all pairs of features, written out."""
+    rows = labelled_texts("insult", 1200)
+    held = spark.createDataFrame([*rows, (-1, None, None), (-2, "nothing known", None)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(held, held.where("toxic is not null").select("doc_id", "toxic"))
+    place = {int(h): i for i, h in enumerate(model.terms)}
+    got = {r.doc_id: r.score for r in toxicity.score(held.drop("toxic"), model).collect()}
+    for i, t, _ in [*rows[:60], (-1, None, None), (-2, "nothing known", None)]:
+        features = sorted({place[int(h)] for h in toxicity.terms(pa.array([t], pa.string()))[1] if int(h) in place})
+        z = model.bias + sum(model.weights[f] for f in features) + sum(float(model.factors[a] @ model.factors[b]) for n, a in enumerate(features) for b in features[:n])
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
     """Equal texts with different labels, and repeated ids, in any order."""
     rows = [(i, f"plain words {i % 9}" if i % 3 else f"scum words {i % 9}", int(i % 3 == 0 and i % 2)) for i in range(300)]
