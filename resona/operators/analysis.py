@@ -94,13 +94,13 @@ def analyse(pcm: DataFrame, rate_hz: int, win: int, hop: int | None = None, rate
 
 def evaluate(pcm: DataFrame, reference: DataFrame, preset, rate_hz: int, win: int, hop: int | None = None, tolerance: float = 0.05) -> DataFrame:
     """(track, precision, recall, f1) of the notes found in samples (track, ch, n, v) against notes (id, track, pitch, start, end)."""
-    from . import intervals
+    from . import intervals, matching
 
     hop = transform.checked_hop(win, hop)
     spectra = channel_spectra(pcm, win, hop).where(F.col("track.channel") == "mix").select("track.track", "frame", "m")
     found = transcribed(spectra, preset, rate_hz, win, hop)
     estimate = found.withColumn("id", F.xxhash64("track", "pitch", "start"))
-    return intervals.scores(reference, estimate, intervals.match(reference, estimate, start=tolerance))
+    return intervals.scores(reference, estimate, matching.match(reference, estimate, start=tolerance))
 
 
 def transcribed(spectra: DataFrame, preset, rate_hz: int, win: int, hop: int) -> DataFrame:

@@ -42,8 +42,6 @@ PRESETS = {
 }
 #: Longest gap that mono and poly merging close, least note of poly, frames that a snap moves (fixed values).
 MONO_GAP, POLY_GAP, POLY_LEAST, SNAP = 0.06, 0.05, 0.03, 1
-#: Islands of notes that one group matches.
-ISLANDS = 64
 
 
 def salience(frames: DataFrame, preset: Preset, rate: int, win: int) -> DataFrame:
@@ -238,39 +236,6 @@ def deltas(events: DataFrame) -> DataFrame:
     return events.withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(by), F.lit(0)))
 
 
-def match(reference: DataFrame, estimate: DataFrame, pitch: float = 0.5, start: float = 0.05) -> DataFrame:
-    """(track, ref_id, est_id): each reference note in order takes the free estimate that it overlaps most.
-
-    Estimates must be within both tolerances; the earliest of equals wins.  Notes that begin further
-    apart than the tolerance never meet, so a track falls into islands, and a group holds a few of
-    them; each reference note looks only at the estimates within its tolerance.
-    """
-    side = lambda df, ref: df.select("track", "id", F.col("pitch").cast("double").alias("pitch"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(ref).alias("ref"))
-    both = side(reference, True).union(side(estimate, False))
-    order = Window.partitionBy("track").orderBy("start")
-    opens = F.coalesce((F.col("start") - F.lag("start").over(order) > start).cast("int"), F.lit(1))
-    islands = both.withColumn("_opens", opens).withColumn("_group", F.floor(F.sum("_opens").over(order) / ISLANDS)).drop("_opens")
-
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        held = part.sort_values(["start", "id"])
-        ref, est = held[held["ref"]], held[~held["ref"]]
-        a, b, p, ids = (est[c].to_numpy() for c in ("start", "end", "pitch", "id"))
-        low, high = np.searchsorted(a, ref["start"].to_numpy() - start - 1e-9), np.searchsorted(a, ref["start"].to_numpy() + start + 1e-9, side="right")
-        free, found = np.ones(len(est), bool), []
-        for r, i, j in zip(ref.itertuples(), low, high, strict=True):
-            near = slice(i, j)
-            overlap = np.minimum(b[near], r.end) - np.maximum(a[near], r.start)
-            good = free[near] & (np.abs(p[near] - r.pitch) <= pitch) & (np.abs(a[near] - r.start) <= start) & (overlap > 0)
-            if good.any():
-                k = i + int(np.where(good, overlap, -np.inf).argmax())
-                free[k] = False
-                found.append((r.track, r.id, ids[k]))
-        return pd.DataFrame(found, columns=["track", "ref_id", "est_id"])
-
-    schema = reference.select("track", F.col("id").alias("ref_id"), F.col("id").alias("est_id")).schema
-    return islands.groupBy("track", "_group").applyInPandas(pairs, schema)
-
-
 def scores(reference: DataFrame, estimate: DataFrame, matched: DataFrame) -> DataFrame:
     """(track, precision, recall, f1), 0 where there is nothing to divide by."""
     count = lambda df, name: df.groupBy("track").agg(F.count("*").alias(name))

@@ -83,13 +83,15 @@ def onsets(frames: DataFrame, first: int, end: int, half: int, near: int, gap: i
 
 
 def autocorrelation(series: DataFrame, lags: int, t: str = "t", x: str = "x") -> DataFrame:
-    """(track, lag, ac): sums of products of the demeaned series with itself, lag steps on, over the greatest of them."""
-    means = series.groupBy("track").agg(F.avg(x).alias("mean"))
-    held = series.join(means, "track").select("track", F.col(t).alias("t"), (F.col(x) - F.col("mean")).alias("x"))
-    ahead = held.select("track", F.col("x").alias("y"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.struct(k.alias("lag"), (F.col("t") - k).alias("t")))).alias("e")).select("track", "y", "e.lag", "e.t")
-    sums = held.join(ahead, ["track", "t"]).groupBy("track", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("ac"))
-    most = sums.groupBy("track").agg(F.max("ac").alias("most"))
-    return sums.join(most, "track").where("most > 0").select("track", "lag", (F.col("ac") / F.col("most")).alias("ac"))
+    """(track, lag, ac): sums of products of the demeaned series, t without gaps, with itself, lag steps on, over the greatest of them.
+
+    By transforms of blocks of the series, so the cost does not depend on the number of lags.
+    """
+    from . import blocks
+
+    size = max(blocks.SIZE, 1 << max(0, lags - 1).bit_length())
+    held = blocks.to_blocks(series.select("track", F.col(t).alias("n"), F.col(x).cast("double").alias("v")), size)
+    return blocks.correlated(held, lags, size)
 
 
 def interpolated(points: DataFrame, at: str, values: DataFrame, index: str, value: str, last: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import intervals, rhythm, store
+from ..operators import intervals, matching, rhythm, store
 from ..sources import media
 from ..sources.tables import FRAMES, NOTES, SIGNAL, frames, notes, read, signal
 from .catalog import query
@@ -217,15 +217,27 @@ def _sides(spark, sf_dir):
     return notes(spark, sf_dir).where("id % 2 = 0"), notes(spark, sf_dir).where("id % 2 = 1")
 
 
-@query()
+_MATCHED = f"""{NOTES}, r as (select *, row_number() over (partition by track order by start, id) as k from notes where id % 2 = 0), e as (select * from notes where id % 2 = 1),
+ c as (select r.track, k, e.id as est, e.start as s, least(e."end", r."end") - greatest(e.start, r.start) as overlap from r join e on r.track = e.track
+   and abs(e.pitch - r.pitch) <= 12 and abs(e.start - r.start) <= 3600 and least(e."end", r."end") > greatest(e.start, r.start)),
+ g(track, k, pick, taken) as (select distinct track, 0::bigint, null::bigint, []::bigint[] from r union all
+   select track, k, pick, case when pick is null then taken else list_append(taken, pick) end from (select g.track, g.k + 1 as k, g.taken,
+     (select arg_min(c.est, row(-c.overlap, c.s, c.est)) from c where c.track = g.track and c.k = g.k + 1 and not list_contains(g.taken, c.est)) as pick
+     from g where exists (select 1 from r where r.track = g.track and r.k = g.k + 1))),
+ m as (select g.track, r.id as ref_id, pick as est_id from g join r on r.track = g.track and r.k = g.k where pick is not null)"""
+
+
+@query(f"with recursive {_MATCHED} select track, ref_id, est_id from m")
 def note_match(spark, sf_dir):
-    """Greedy matching of even and odd events; the tests compare it with a plain loop."""
-    return intervals.match(*_sides(spark, sf_dir), 12.0, 3600.0)
+    """Greedy matching of even and odd events."""
+    return matching.match(*_sides(spark, sf_dir), 12.0, 3600.0)
 
 
-@query()
+@query(f"""with recursive {_MATCHED}, t as (select track, count(*) filter (id % 2 = 0) as r, count(*) filter (id % 2 = 1) as e from notes group by track),
+ s as (select t.track, coalesce(n / nullif(e, 0)::double, 0.0) as p, coalesce(n / nullif(r, 0)::double, 0.0) as q from t left join (select track, count(*) as n from m group by track) using (track))
+ select track, round_even(p, 6) as precision, round_even(q, 6) as recall, round_even(coalesce(2 * p * q / nullif(p + q, 0), 0.0), 6) as f1 from s""")
 def note_match_prf(spark, sf_dir):
-    return intervals.scores(*_sides(spark, sf_dir), intervals.match(*_sides(spark, sf_dir), 12.0, 3600.0))
+    return intervals.scores(*_sides(spark, sf_dir), matching.match(*_sides(spark, sf_dir), 12.0, 3600.0))
 
 
 _NAMES = "['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B']"

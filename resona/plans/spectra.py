@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import analysis, rhythm, separation, spectral, transform
+from ..operators import analysis, blocks, rhythm, separation, spectral, transform
 from ..sources.tables import FRAMES, SIGNAL, frames, read, signal
 from .catalog import query
 
@@ -114,28 +114,24 @@ _DFT = "dft as (select track, frame, b.range as bin, sum(x * cos(2 * pi() * b.ra
 
 @query(f"with {SIGNAL}, {_FRAMED}, {_DFT} select track, frame, bin::int as bin, round_even(re, 6) + 0.0 as re, round_even(im, 6) + 0.0 as im from dft")
 def stft_fft(spark, sf_dir):
-    """The same as stft_dft16, by the transform that is there for windows of any size, in blocks of 8 frames."""
-    held = transform.stft(signal(spark, sf_dir), 16, block=8)
+    """The same as stft_dft16, by the transform of blocks that is there for windows of any size."""
+    held = blocks.stft(blocks.to_blocks(signal(spark, sf_dir), 64), 16, size=64)
     flat = held.select("track", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c"))
     return flat.select("track", "frame", "bin", (F.bround("c.re", 6) + 0.0).alias("re"), (F.bround("c.im", 6) + 0.0).alias("im"))
 
 
-def _lengths(samples):
-    return samples.groupBy("track").agg((F.max("n") + 1).alias("samples"))
-
-
 @query(f"with {SIGNAL} select track, n, round_even(v, 4) as v from signal")
 def istft_fft(spark, sf_dir):
     """The signal itself, by way of a transform at a window of 2048."""
-    samples = signal(spark, sf_dir)
-    back = transform.istft(transform.stft(samples, 2048, 512), _lengths(samples), 2048, 512)
-    return back.withColumn("v", F.bround(F.bround("v", 9), 4))
+    held = blocks.to_blocks(signal(spark, sf_dir), 4096)
+    back = blocks.istft(blocks.stft(held, 2048, 512, 4096), blocks.lengths(held, 4096), 2048, 512, 4096)
+    return blocks.samples(back, 4096).withColumn("v", F.bround(F.bround("v", 9), 4))
 
 
 @query(f"with {SIGNAL} select track, n, round_even(v, 4) as v, 2::bigint as stems from signal")
 def stem_samples(spark, sf_dir):
     """The sum of the harmonic and percussive stems of each track, which is the track."""
-    stems = separation.separate(signal(spark, sf_dir), "hpss", 64, 16)
+    stems = separation.separate(signal(spark, sf_dir), "hpss", 64, 16, 256)
     return stems.groupBy("track", "n").agg(F.bround(F.bround(F.sum("v"), 7), 4).alias("v"), F.count("*").alias("stems"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..operators import rhythm, separation
+from ..operators import blocks, rhythm, separation, transform
 from ..sources.tables import HOURLY, SIGNAL, hourly, read, signal
 from .catalog import query
 
@@ -59,19 +60,34 @@ def beat_grid(spark, sf_dir):
 
 
 CHUNK, OVERLAP = 16, 8
+#: Samples of a block: the tracks of the tables are short.
+SIZE = 256
+
+
+def _held(spark, sf_dir):
+    """The signal as blocks."""
+    return blocks.to_blocks(signal(spark, sf_dir), SIZE)
+
+
+def _around_zero(held, spans, name):
+    """Least and greatest sample less 50 of each span, or 0 where that is beyond: from the levels of a pyramid."""
+    found = blocks.extremes(held, blocks.pyramid(held, SIZE, cell=4, fan=4), spans, SIZE, cell=4, fan=4)
+    return found.select("track", F.col(name).cast("int").alias(name), F.least(F.col("low") - 50, F.lit(0.0)).alias("low"), F.greatest(F.col("high") - 50, F.lit(0.0)).alias("high"))
+
+
 _SIZES = "sizes as (select track, max(n) + 1 as total from signal group by track)"
 _PLAN = f"""{_SIZES}, plan as (select track, i::int as chunk, case when total <= {CHUNK} then 0 else least(i * {CHUNK - OVERLAP}, total - {CHUNK}) end as start, case when total <= {CHUNK} then total else least(i * {CHUNK - OVERLAP}, total - {CHUNK}) + {CHUNK} end as "end"
   from (select *, unnest(range(case when total <= {CHUNK} then 1 else ceil((total - {CHUNK}) / {CHUNK - OVERLAP}.0)::bigint + 1 end)) as i from sizes))"""
 
 
-def _plan(samples):
-    sizes = samples.groupBy("track").agg((F.max("n") + 1).alias("total"))
+def _plan(held):
+    sizes = blocks.lengths(held, SIZE).withColumnRenamed("samples", "total")
     return separation.chunks(sizes, separation.pulled_back(F.col("total"), CHUNK, OVERLAP))
 
 
 @query(f'with {SIGNAL}, {_PLAN} select track, chunk, start, "end" from plan')
 def chunk_plan_dl(spark, sf_dir):
-    return _plan(signal(spark, sf_dir))
+    return _plan(_held(spark, sf_dir))
 
 
 @query(f"""with {SIGNAL}, {_SIZES}, p as (select track, i as chunk, i * 15 as start, least(i * 15 + 20, total) as "end" from (select *, unnest(range(ceil(greatest(total, 1) / 15.0)::bigint)) as i from sizes)),
@@ -91,9 +107,9 @@ _BLEND = """part as (select s.track, s.n, v * (1 + 0.1 * chunk) as y, 0.5 - 0.5
 
 @query(f"with {SIGNAL}, {_PLAN}, {_BLEND} select track, n, round_even(sum(w * y) / greatest(sum(w), 1e-30), 6) as v from part group by all")
 def ola_blend(spark, sf_dir):
-    samples = signal(spark, sf_dir)
-    parts = separation.spread(samples, _plan(samples), CHUNK).withColumn("y", F.col("v") * (1 + 0.1 * F.col("chunk")))
-    return separation.blended(parts).withColumn("v", F.bround("v", 6))
+    held = _held(spark, sf_dir)
+    parts = blocks.chunked(held, _plan(held), lambda x, row: {"y": transform.lists((x * (1 + 0.1 * row["chunk"]))[None, :])}, [T.StructField("y", transform.NUMBERS)], SIZE)
+    return blocks.samples(blocks.blended(parts, SIZE), SIZE).withColumn("v", F.bround("v", 6))
 
 
 @query(f"""with {SIGNAL}, {_PLAN}, part as (select s.track, p.chunk, s.n, 0.5 - 0.5 * cos(2 * pi() * (n - start + 0.5) / ("end" - start)) as w,
@@ -102,13 +118,14 @@ def ola_blend(spark, sf_dir):
  select track, stem, n, round_even(round_even(sum(w * y) / greatest(sum(w), 1e-30), 9), 4) as v from stem group by all""")
 def infer_ola(spark, sf_dir):
     """An injected model run on each whole chunk, and the chunks blended; its stems, running sums and rises since the first sample, need the chunk in order."""
-    samples = signal(spark, sf_dir)
+    held = _held(spark, sf_dir)
 
     def model(x):
         return [x.cumsum()[None, :], (x - x[0])[None, :]]
 
-    parts = separation.infer_chunks(samples, _plan(samples), CHUNK, model, ("sum", "rise"))
-    return separation.blended(parts, ("track", "stem")).withColumn("v", F.bround(F.bround("v", 9), 4))
+    parts = separation.infer_blocks(held, _plan(held), CHUNK, model, ("sum", "rise"), SIZE)
+    by = ("track", "stem")
+    return blocks.samples(blocks.blended(parts, SIZE, by), SIZE, by).withColumn("v", F.bround(F.bround("v", 9), 4))
 
 
 @query(f"""with {SIGNAL}, {_SIZES}, p as (select s.track, n, v, total, i.range as pass, total * i.range // 3 as roll from signal s join sizes using (track), range(3) i)
@@ -123,23 +140,20 @@ def shift_average(spark, sf_dir):
  select p.track, px::int as px, least(min(v - 50), 0) as low, greatest(max(v - 50), 0) as high from px p join signal s on s.track = p.track and n >= a and n < b group by all""")
 def lod_minmax(spark, sf_dir):
     """Least and greatest sample of each of 8 columns of a track, around zero."""
-    samples = signal(spark, sf_dir)
-    sizes = samples.groupBy("track").agg((F.max("n") + 1).alias("total"))
+    held = _held(spark, sf_dir)
     a = F.floor(F.col("px") * F.col("total") / 8)
     b = F.greatest(F.floor((F.col("px") + 1) * F.col("total") / 8), a + 1)
-    spans = sizes.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("track", "px", F.explode(F.sequence(a, b - 1)).alias("n"))
-    v = F.col("v") - 50
-    return samples.join(spans, ["track", "n"]).groupBy("track", "px").agg(F.least(F.min(v), F.lit(0.0)).alias("low"), F.greatest(F.max(v), F.lit(0.0)).alias("high"))
+    spans = blocks.lengths(held, SIZE).withColumnRenamed("samples", "total").withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return _around_zero(held, spans.select("track", "px", a.alias("a"), F.least(b, F.col("total")).alias("b")).where("a < b"), "px")
 
 
 @query(f"with {SIGNAL}, {_SIZES} select track, (n // greatest(total // 10, 1))::int as bucket, least(min(v - 50), 0) as low, greatest(max(v - 50), 0) as high from signal join sizes using (track) where n // greatest(total // 10, 1) < 10 group by all")
 def overview(spark, sf_dir):
     """Least and greatest sample of each of 10 equal buckets; the rest of a track is left out."""
-    samples = signal(spark, sf_dir)
-    sizes = samples.groupBy("track").agg((F.max("n") + 1).alias("total"))
-    bucket = F.floor(F.col("n") / F.greatest(F.floor(F.col("total") / 10), F.lit(1))).cast("int")
-    v = F.col("v") - 50
-    return samples.join(sizes, "track").withColumn("bucket", bucket).where("bucket < 10").groupBy("track", "bucket").agg(F.least(F.min(v), F.lit(0.0)).alias("low"), F.greatest(F.max(v), F.lit(0.0)).alias("high"))
+    held = _held(spark, sf_dir)
+    width = F.greatest(F.floor(F.col("samples") / 10), F.lit(1))
+    spans = blocks.lengths(held, SIZE).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("a", F.col("bucket") * width)
+    return _around_zero(held, spans.select("track", "bucket", "a", F.least(F.col("a") + width, F.col("samples")).alias("b")).where("a < b"), "bucket")
 
 
 @query(f"""with {SIGNAL}, p as (select track, max(abs(v)) as peak from signal group by track), m as (select max(peak) as mix from p)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import scalars as S
-from resona.operators import analysis, intervals, rhythm, separation, spectral, store, transform
+from resona.operators import analysis, intervals, matching, rhythm, separation, spectral, store, transform
 from resona.sources import media
 
 
@@ -259,7 +259,7 @@ def test_a_model_of_notes_is_run_by_chunk_and_merged(spark):
 def test_scores_and_their_mean(spark):
     note = lambda *rows: spark.createDataFrame([(i, t, 60, float(i), i + 0.5, 0.5) for i, t in rows], NOTES)
     ref, est = note((0, "a"), (1, "a"), (2, "b")), note((0, "a"), (7, "a"), (8, "c"))
-    scored = intervals.scores(ref, est, intervals.match(ref, est))
+    scored = intervals.scores(ref, est, matching.match(ref, est))
     assert {r.track: (r.precision, r.recall, r.f1) for r in scored.collect()} == {"a": (0.5, 0.5, 0.5), "b": (0, 0, 0), "c": (0, 0, 0)}
     assert tuple(intervals.mean_scores(scored).first()) == (3, round(0.5 / 3, 6), round(0.5 / 3, 6), round(0.5 / 3, 6))
 
@@ -444,7 +444,7 @@ def test_matching_equals_a_plain_loop(spark):
             used.add(best)
             expected.append((r[0], best))
     held = [spark.createDataFrame(x, NOTES) for x in (ref, est)]
-    assert sorted((r.ref_id, r.est_id) for r in intervals.match(*held, 0.5, 0.2).collect()) == sorted(expected)
+    assert sorted((r.ref_id, r.est_id) for r in matching.match(*held, 0.5, 0.2).collect()) == sorted(expected)
 
 
 def test_scalars(spark):
