@@ -3,9 +3,9 @@
 A text's vector has the hashed byte 2-, 3- and 4-grams of its lower-cased letters, weighted
 log(1 + count) times the inverse document frequency, and is normalised.  Each language has up to
 ``CLUSTERS`` centroids, from spherical k-means over a sample of at most ``SAMPLE`` labelled texts
-in all, or ``LEAST`` of each language if those are more; the ``LANGUAGES`` with most texts can be
-learned, so dirty values of the column do not make the model grow; document frequencies cover every training text.  A text gets the language of the centroid
-of the greatest cosine.
+in all, or ``LEAST`` of each language if those are more; a value of the column is a language if ``FEWEST``
+texts have it, so that typing errors do not make the model grow; document frequencies cover every
+training text.  A text gets the language of the centroid of the greatest cosine.
 
 A long text meets every centroid in some buckets by chance, so rejection goes by the centred cosine,
 the correlation over buckets, which is near 0 for what the language did not make.  It is held
@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import fold, table
+from .frames import fold, lookup, table
 
 #: Hash buckets of a vector.
 WIDTH = 4096
 #: Labelled texts that the centroids are fitted on, all languages together, and clusters of each.
 SAMPLE, CLUSTERS = 1600, 4
-#: Languages that can be learned, and the least sample of each.
-LANGUAGES, LEAST = 200, 8
+#: Training texts that make a language, and the least sample of each.
+FEWEST, LEAST = 2, 8
 MARGIN = 0.5
 #: Words of the beginnings that floors are set on, and the powers of two of grams that have a floor each.
 HEADS, LENGTHS = (1, 4, 16, 64, 256), 24
@@ -146,15 +146,15 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = CLUSTERS, lang: str = "lang", key: str = "doc_id") -> Model | None:
     """A model of the rows where train holds and lang is not null."""
     rows = documents.where(train & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect())
+    counts = dict(rows.groupBy(lang).count().where(F.col("count") >= FEWEST).collect())  # a row for each language of the model
     if not counts:
         return None
     names = sorted(counts)
     each = max(LEAST, sample // len(names))
     draw = F.pmod(F.xxhash64(F.lit("language"), key, F.xxhash64("text")), 1 << 30) / float(1 << 30)
     shares = documents.sparkSession.createDataFrame([(name, min(1.0, each / counts[name])) for name in names], "_lang string, _share double")
-    rows = rows.join(F.broadcast(shares), F.col(lang) == F.col("_lang"))  # at most LANGUAGES rows
-    chosen = rows.where(draw < F.col("_share")).select(lang, "text")
+    rows = lookup(rows, shares, F.col(lang) == F.col("_lang"), rows=len(names))
+    chosen = rows.where(draw < F.col("_share")).select(F.col(lang).alias("lang"), "text", draw.alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +167,11 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, clusters: int
                     for (i, _), x in zip(short, gram_counts(pa.array([t for _, t in short], pa.string())) if short else []):
                         at = np.flatnonzero(x)
                         heads[i].append(np.concatenate([at, np.minimum(x[at], 65535)]).astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(lang), pa.array([x.tobytes() for x in held], pa.binary()), pa.array(heads, pa.list_(pa.binary()))], names=[lang, "counts", "heads"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array([x.tobytes() for x in held], pa.binary()), pa.array(heads, pa.list_(pa.binary()))], names=["lang", "draw", "counts", "heads"])
 
-    # the draw is a bound in expectation; the limit makes it one for repeated keys too
-    drawn = chosen.mapInArrow(run, f"`{lang}` string, counts binary, heads array<binary>").limit(2 * max(sample, LEAST * len(names))).collect()
+    # the draw is a bound in expectation; the limit, of the least draws, makes it one for repeated keys too
+    found = chosen.mapInArrow(run, "lang string, draw double, counts binary, heads array<binary>")
+    drawn = found.orderBy("draw", "lang", "counts").limit(2 * max(sample, LEAST * len(names))).drop("draw").collect()
     drawn.sort(key=lambda r: (r[0], r[1]))
     frequency, n = _frequencies(rows.select("text"))
     model = Model((np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros((len(names), LENGTHS)), names)

@@ -171,14 +171,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The other columns with fingerprint (long) and component_id."""
-    prints = cut(fingerprints(documents, text))
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("_low")))
+    others = [c for c in documents.columns if c not in (text, "fingerprint", "component_id")]
+    # the columns that stay are packed away, so that none clashes with those of the work
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    prints = cut(fingerprints(packed))
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("_low")))
     roots = components(links(nodes.select("fingerprint"), radius))
     named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "_low", F.coalesce("root", "fingerprint").alias("root"))
     # a component may hold a large share of all nodes: they are added up before the shuffle, and the way back is salted
     lows = named.groupBy("root").agg(F.count("*").alias("_n"), F.min("_low").alias("component_id")).where("_n > 1").drop("_n")
     owner = salted(named, lows, ["root"], "fingerprint", how="left").select(F.col("fingerprint").alias("_print"), F.coalesce("component_id", "_low").alias("component_id"))
-    return prints.drop("component_id").join(owner, F.col("fingerprint") == F.col("_print")).drop("_print")
+    joined = prints.join(owner, F.col("fingerprint") == F.col("_print"))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in others), "fingerprint", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

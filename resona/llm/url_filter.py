@@ -84,7 +84,11 @@ def rule_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) ->
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str = "url") -> DataFrame:
     """The rows with host, path, rule, pattern and verdict."""
-    held = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct()
+    # the columns that stay are packed away, so that none clashes with those of the work
+    new = ("host", "path", "rule", "pattern", "verdict")
+    named = [F.col(f"`{c}`") for c in pages.columns]
+    keyed = pages.select(F.struct(*named).alias("row"), F.col(url).alias("url"), F.coalesce(F.col(url), F.concat(F.lit("\0"), F.xxhash64(*named).cast("string"))).alias("at"))
+    held = keyed.select(F.col("url").alias("_url")).where("_url is not null").distinct()
     subject = split_url(F.col("_url"))[2]
     held = held.select("_url", subject.alias("subject"))
     words = F.array_distinct(F.filter(F.split(F.lower("subject"), "[^a-z0-9]+"), lambda t: t != ""))
@@ -97,10 +101,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     index = rules.join(rarest, ["rule", "tier"]).select("_key", "rule", "tier", "length", "verdict", "regex")
     fits = lookup(tokens, index, F.col("token") == F.col("_key"), rows=n_rules).where("subject rlike regex")
     best = fits.groupBy("_url").agg(F.max(F.struct("tier", "length", "rule", "verdict")).alias("_best"))
-    keyed = pages.withColumn("_at", F.coalesce(F.col(url), F.concat(F.lit("\0"), F.xxhash64(*pages.columns).cast("string"))))
-    host, path, _ = split_url(F.col(url))
-    new = {"host": host, "path": path, "rule": F.when(F.col("_best.tier") == 1, F.col("_best.rule")), "pattern": F.when(F.col("_best.tier") == 0, F.col("_best.rule")), "verdict": F.coalesce("_best.verdict", F.lit(default))}
-    return keyed.join(best, keyed["_at"] == best["_url"], "left").select(*(c for c in pages.columns if c not in new), *(c.alias(k) for k, c in new.items()))
+    host, path, _ = split_url(F.col("url"))
+    rule = lambda tier: F.when(F.col("_best.tier") == tier, F.col("_best.rule"))
+    made = (host, path, rule(1), rule(0), F.coalesce("_best.verdict", F.lit(default)))
+    kept = (F.col("row").getField(c).alias(c) for c in pages.columns if c not in new)
+    return keyed.join(best, keyed["at"] == best["_url"], "left").select(*kept, *(c.alias(k) for k, c in zip(new, made, strict=True)))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,6 +405,16 @@ def test_url_filter(spark):
         url_filter.rule_table(spark, (), (("*", "block"),))
 
 
+def test_no_column_name_clashes(spark):
+    """Names that the work itself uses stay, with what they held."""
+    names = ["_url", "_best", "_key", "subject", "token", "at", "row", "a.b", "_print", "_low", "node", "root", "id", "_salt"]
+    rows = [(i, f"http://sub.example.net/en/{i}", "one two three four five six", *names) for i in range(3)]
+    held = spark.createDataFrame(rows, ["page_id", "url", "text", *names])
+    for found in (url_filter.judge(held, url_filter.rule_table(spark)), simhash.near_duplicates(held, key="page_id")):
+        assert [[r[c] for c in names] for r in found.collect()] == [names] * 3
+    assert {r["component_id"] for r in simhash.near_duplicates(held, key="page_id").collect()} == {0}
+
+
 def test_url_filter_of_one_hot_url(spark):
     held = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 > 0, F.lit("http://a.net/hot")).otherwise(F.concat(F.lit("http://q.io/"), "id")).alias("url"))
     got = {(r.rule, r.verdict): r["count"] for r in url_filter.judge(held, url_filter.rule_table(spark)).groupBy("rule", "verdict").count().collect()}
@@ -579,9 +589,8 @@ def test_language_id(spark):
     assert sum(got[i].rejected for i, *_ in rows) == 0
 
 
-def test_language_id_with_many_values_of_the_column(spark, monkeypatch):
-    """Those with most texts are learned; the others are no prediction, and cost no memory."""
-    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+def test_language_id_with_many_values_of_the_column(spark):
+    """Values that one text has are no prediction, and cost no memory."""
     rows = [(i, ["the thing and that", "ein schöner satz ist", "une école à côté"][i % 3] + f" {i}", ["en", "de", "fr"][i % 3]) for i in range(90)]
     rows += [(100 + i, f"noise{i} noise", f"x{i}") for i in range(60)]
     held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -590,6 +599,18 @@ def test_language_id_with_many_values_of_the_column(spark, monkeypatch):
     assert model.names == ["de", "en", "fr"] and all(got[i] == k for i, _, k in rows[:90])
 
 
+def test_language_id_learns_any_number_of_languages(spark):
+    """Each of 230 languages has letters of its own."""
+    rows = []
+    for k in range(230):
+        own = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        rows += [(k * 10 + i, " ".join("".join(own[(7 * i + j) % 40 : (7 * i + j) % 40 + 3]) for j in range(30)), f"lang{k}") for i in range(4)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(held, F.col("doc_id") % 10 != 3)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(held, model).collect()}
+    assert len(model.names) == 230 and np.mean([got[i] == k for i, _, k in rows if i % 10 == 3]) > 0.95
+
+
 def plain_nearest(train, texts):
     """Nearest of plain centroids of whole n-gram counts, one a language, by cosine."""
     grams = lambda t: Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
