@@ -2,7 +2,8 @@
 
 Each micro-batch is written as a partition of its own, by its number, so that a batch that runs again
 after a failure replaces what it had written; and the checkpoint keeps a file from coming twice.
-Spark lists no file without a byte: such a one is not taken until it has some.
+Of a file without a byte Spark gives no row and counts it as taken, as it does with one that is still
+being written: files are to be moved into the folder when they are whole.
 """
 
 from __future__ import annotations
