@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small tables with the awkward cases in them."""
+"""The first ten operators against brute force, on small tables with the awkward cases in them."""
 
 import hashlib
 import math
