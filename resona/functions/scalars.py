@@ -172,10 +172,6 @@ def follow_start(playhead: Column, start: Column, span: Column, low: Column, hig
     return F.when((playhead < start + 0.05 * span) | (playhead > start + 0.85 * span), moved).otherwise(start)
 
 
-def round_to(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
-
-
 def gamma_anchor(p: Column, gamma: Column) -> Column:
     """Where an anchor of a colour scale moves under a gamma, which is kept within its range."""
     return F.pow(p, clamp(gamma, GAMMA_LOW, GAMMA_HIGH))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import intervals, matching, rhythm, store
+from ..operators import decoding, intervals, lineage, matching, rhythm, store, views
 from ..sources import media
 from ..sources.tables import FRAMES, NOTES, SIGNAL, frames, notes, read, signal
 from .catalog import query
@@ -61,6 +63,12 @@ def viterbi_states(spark, sf_dir):
     return intervals.decode(_scaled(spark, sf_dir), HOP, LEAD)
 
 
+@query(f"with recursive {FRAMES}, {_SALIENCE}, {_viterbi(HOP)} select * from states")
+def viterbi_chunks(spark, sf_dir):
+    """The cheapest path, with the frames of a track in chunks that are decoded side by side."""
+    return decoding.decode_chunks(_scaled(spark, sf_dir), HOP, LEAD, 32)
+
+
 _RUNS = """typed as (select user_id as track, event_type as state, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events),
  marked as (select *, case when state = lag(state) over w then 0 else 1 end as new from typed window w as (partition by track order by frame)),
  numbered as (select *, sum(new) over (partition by track order by frame) as run from marked),
@@ -208,6 +216,15 @@ def visible_notes(spark, sf_dir):
     return intervals.visible(held.join(F.broadcast(longest), F.lit(True)), A, B, F.col("longest")).select("id", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"))
 
 
+@query(f"""with {NOTES} select id, pitch, round_even(start, 3) as start, round_even("end", 3) as "end" from notes where "end" >= {A} and start <= {B}""")
+def indexed_view(spark, sf_dir):
+    """The notes that touch a view, from an index of all notes that is written to the shared folder."""
+    path = f"{lineage.shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    views.index(notes(spark, sf_dir).select("id", "pitch", "start", "end"), path, 3600.0)
+    seen = views.viewed(spark.read.parquet(path), A, B, 3600.0)
+    return seen.select("id", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"))
+
+
 @query(f"with {NOTES} select id, pitch, conf from notes order by conf desc, id limit 1500")
 def top_conf_notes(spark, sf_dir):
     return intervals.most_confident(notes(spark, sf_dir), 1500).select("id", "pitch", "conf")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import struct
 import wave
 from collections.abc import Iterator
@@ -144,12 +143,19 @@ def midi_bytes(tracks: dict[str, list[tuple[int, int, int, int]]], bpm: float) -
 
 
 def midi_notes(data: bytes) -> list[tuple[int, float, float]]:
-    """Sorted (pitch, start, end) of a file's notes, at its first tempo."""
+    """Sorted (pitch, start, end) of a file's notes, at the first tempo of its first track.
+
+    An off ends all notes of its pitch that are open in the track; a note that nothing ends is none.
+    """
     if data[:4] != b"MThd":
         raise UnsupportedFormat("no MIDI file")
-    division, at, tempo, raw = struct.unpack(">H", data[12:14])[0], 14, None, []
-    while at < len(data):
+    division, at, tempo, raw, n_tracks = struct.unpack(">H", data[12:14])[0], 14, None, [], 0
+    while at + 8 <= len(data):
         end = at + 8 + struct.unpack(">I", data[at + 4 : at + 8])[0]
+        if data[at : at + 4] != b"MTrk":
+            at = end
+            continue
+        n_tracks += 1
         i, tick, status, open_ = at + 8, 0, 0, {}
         while i < end:
             delta = 0
@@ -171,7 +177,7 @@ def midi_notes(data: bytes) -> list[tuple[int, float, float]]:
                     i += 1
                     if not data[i - 1] & 0x80:
                         break
-                if kind == 0x51 and tempo is None:
+                if kind == 0x51 and tempo is None and n_tracks == 1:
                     tempo = int.from_bytes(data[i : i + size], "big")
                 i += size
                 continue
@@ -180,8 +186,8 @@ def midi_notes(data: bytes) -> list[tuple[int, float, float]]:
             i += size
             if status & 0xF0 == 0x90 and velocity:
                 open_.setdefault(pitch, []).append(tick)
-            elif status & 0xE0 == 0x80 and open_.get(pitch):
-                raw.append((pitch, open_[pitch].pop(0), tick))
+            elif status & 0xE0 == 0x80:
+                raw += [(pitch, on, tick) for on in open_.pop(pitch, [])]
         at = end
     second = (tempo or 500_000) / 1e6 / division
     return sorted((p, a * second, b * second) for p, a, b in raw)
@@ -208,13 +214,3 @@ def one_midi(deltas: DataFrame, by: str, bpm: float) -> DataFrame:
         return pd.DataFrame({by: [part[by].iloc[0]], "content": [midi_bytes(tracks, bpm)]})
 
     return deltas.groupBy(by).applyInPandas(run, deltas.select(by).schema.add("content", "binary"))
-
-
-def checked_name(path: Column) -> Column:
-    return S.base_name(path)
-
-
-def file_name(title: str, track: str) -> str:
-    """The name of a download."""
-    plain = re.sub(r"[^A-Za-z0-9_-]+", "_", title).strip("_") or "track"
-    return f"{plain}_{track}.mid"
