@@ -220,8 +220,8 @@ def visible_notes(spark, sf_dir):
 def indexed_view(spark, sf_dir):
     """The notes that touch a view, from an index of all notes that is written to the shared folder."""
     path = f"{lineage.shared_folder(spark)}/notes-{uuid.uuid4().hex}"
-    views.index(notes(spark, sf_dir).select("id", "pitch", "start", "end"), path, 3600.0)
-    seen = views.viewed(spark.read.parquet(path), A, B, 3600.0)
+    views.index(notes(spark, sf_dir).select("id", "pitch", "start", "end"), path, 86400.0)
+    seen = views.viewed(spark.read.parquet(path), A, B, 86400.0)
     return seen.select("id", "pitch", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"))
 
 
