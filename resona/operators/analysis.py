@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,6 +12,39 @@ from .lineage import cut
 
 #: Rates of columns a second that can be asked for, and parts of a semitone (fixed values).
 TIME_RATES, SUBS = (15, 60), (1, 5, 10)
+#: Seconds that a view shows at first (fixed value).
+FIRST_VIEW = 15.0
+
+
+class Stages:
+    """Row counts of the stages of a job, told as Spark's own metrics of the actions that run them."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows, counted under a name by the first action that goes through them."""
+        self._held[name] = Observation(name)
+        return df.observe(self._held[name], F.count(F.lit(1)).alias("rows"))
+
+    @property
+    def names(self) -> list[str]:
+        """The stages in the order in which they were declared."""
+        return list(self._held)
+
+    def rows(self) -> dict[str, int]:
+        """The rows of each stage, in order; waits for actions that have not run them yet."""
+        return {name: held.get["rows"] for name, held in self._held.items()}
+
+
+def excerpt(pcm: DataFrame, rate_hz: int, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """The samples (n, more columns) from a second up to another, numbered from 0; the filter reaches the scan of a table."""
+    if start < 0 or (end is not None and end <= start):
+        raise ValueError("an excerpt ends after it starts, and starts at 0 or later")
+    first = int(start * rate_hz)
+    held = pcm.where(F.col("n") >= first) if first else pcm
+    held = held if end is None else held.where(F.col("n") < int(end * rate_hz))
+    return held.withColumn("n", F.col("n") - first) if first else held
 
 
 def checked(rate: int, sub: int) -> tuple[int, int]:
@@ -46,12 +79,30 @@ def beat(spectra: DataFrame, seconds: float) -> DataFrame:
     return rhythm.estimate(cut(rises), seconds)
 
 
-def analyse(pcm: DataFrame, rate_hz: int, win: int, hop: int | None = None, rate: int = 15, sub: int = 1, columns: int = 60, range_db: float = 70.0) -> DataFrame:
-    """(track, payload): for each track a JSON document of its spectra, envelopes, tempo and the settings they were made with."""
+def analyse(
+    pcm: DataFrame,
+    rate_hz: int,
+    win: int,
+    hop: int | None = None,
+    rate: int = 15,
+    sub: int = 1,
+    columns: int = 60,
+    range_db: float = 70.0,
+    start: float = 0.0,
+    end: float | None = None,
+    stages: Stages | None = None,
+) -> DataFrame:
+    """(track, payload): for each track a JSON document of its spectra, envelopes, tempo and the settings they were made with.
+
+    start and end, in seconds, choose an excerpt; lengths and beats are counted from its start, and a
+    track that ends before it has no row.  stages counts the rows that each step hands on: decode, stft, aggregate, payload.
+    """
     hop = transform.checked_hop(win, hop)
     rate, sub = checked(rate, sub)
-    spectra = channel_spectra(pcm, win, hop)
-    cells = channel_cells(spectra, rate_hz, win, columns, sub, range_db)
+    watch = stages.watch if stages else lambda _, df: df
+    pcm = watch("decode", excerpt(pcm, rate_hz, start, end))
+    spectra = watch("stft", channel_spectra(pcm, win, hop))
+    cells = watch("aggregate", channel_cells(spectra, rate_hz, win, columns, sub, range_db))
     named = cells.select(F.struct("track", "channel").alias("track"), "row", "col", "q")
     specs = spectral.packed(named, 88 * sub).select("track.*", "n_cols", "spec")
     tops = cells.groupBy("track", "channel", "col").agg(F.max("q").alias("top")).groupBy("track", "channel")
@@ -70,8 +121,9 @@ def analyse(pcm: DataFrame, rate_hz: int, win: int, hop: int | None = None, rate
         F.bround(seconds, 3).alias("durationSec"),
         F.lit(range_db).alias("dbRange"),
         F.lit(win).alias("window"),
-        F.lit(0.0).alias("offsetSec"),
-        F.lit(None).cast("double").alias("endSec"),
+        F.lit(float(start)).alias("offsetSec"),
+        F.lit(end).cast("double").alias("endSec"),
+        F.least(F.lit(FIRST_VIEW), F.bround(seconds, 3)).alias("initViewSec"),
         F.array(*(S.note_name(F.lit(p)) for p in pitches)).alias("noteLabels"),
         F.array(*(F.lit(i) for i, p in enumerate(pitches) if p % 12 == 0)).alias("cTickIdx"),
         F.array(*map(F.lit, TIME_RATES)).alias("timeRates"),
@@ -89,7 +141,7 @@ def analyse(pcm: DataFrame, rate_hz: int, win: int, hop: int | None = None, rate
         F.lit(rate).alias("rate"),
         F.lit(sub).alias("sub"),
     ]
-    return held.select("track", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+    return watch("payload", held).select("track", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def evaluate(pcm: DataFrame, reference: DataFrame, preset, rate_hz: int, win: int, hop: int | None = None, tolerance: float = 0.05) -> DataFrame:
