@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources import media
-from . import rhythm, spectral, transform
+from . import blocks, rhythm, spectral, transform
 from .lineage import cut
 
 #: Rates of columns a second that can be asked for, and parts of a semitone (fixed values).
@@ -53,9 +52,13 @@ def checked(rate: int, sub: int) -> tuple[int, int]:
 
 
 def channel_spectra(pcm: DataFrame, win: int, hop: int | None = None) -> DataFrame:
-    """(track, frame, m) of samples (track, ch, n, v); a track here is a struct of the track and one of mix, left and right."""
-    named = media.channels(pcm).select(F.struct("track", "channel").alias("track"), "n", "v")
-    return transform.magnitudes(transform.stft(named, win, hop))
+    """(track, frame, m) of samples (track, ch, n, v), or of their blocks (track, ch, block, v).
+
+    A track here is a struct of the track and one of mix, left and right.
+    """
+    held = pcm if "block" in pcm.columns else blocks.to_blocks(pcm, by=("track", "ch"))
+    named = blocks.channels(held).select(F.struct("track", "channel").alias("track"), "block", "v")
+    return transform.magnitudes(blocks.stft(named, win, hop))
 
 
 def channel_cells(spectra: DataFrame, rate_hz: int, win: int, columns: int, sub: int = 1, range_db: float = 70.0) -> DataFrame:

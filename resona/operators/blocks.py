@@ -260,6 +260,28 @@ def _dealt(pieces: DataFrame, size: int, by: tuple[str, ...]) -> DataFrame:
     return held.select(*by, "block", F.flatten(F.transform("held", lambda x: x["v"])).alias("v"))
 
 
+def channels(held: DataFrame) -> DataFrame:
+    """(track, channel, block, v) of blocks (track, ch, block, v): the mean of all channels, the first, and the second or again the first.
+
+    What meets is the blocks of one place, as many as a file has channels.
+    """
+    met = held.groupBy("track", "block").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("all"))
+    one = lambda k: F.element_at("all", k)["v"]
+    added = F.aggregate(F.slice("all", F.lit(2), F.size("all")), one(1), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
+    three = {
+        "mix": F.transform(added, lambda x: x / F.size("all")),
+        "left": one(1),
+        "right": F.when(F.size("all") > 1, one(2)).otherwise(one(1)),
+    }
+    named = F.array(*(F.struct(F.lit(c).alias("channel"), v.alias("v")) for c, v in three.items()))
+    return met.select("track", "block", F.explode(named).alias("e")).select("track", "e.channel", "block", "e.v")
+
+
+def mono(held: DataFrame) -> DataFrame:
+    """(track, block, v): the mean of the channels of blocks (track, ch, block, v)."""
+    return mean(held.select("track", "block", "v"))
+
+
 def mean(blocks: DataFrame, size: int = SIZE, by: tuple[str, ...] = ("track",)) -> DataFrame:
     """The mean, sample by sample, of several blocks of one place."""
     held = blocks.groupBy(*by, "block").agg(F.collect_list("v").alias("all"))

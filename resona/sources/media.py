@@ -195,14 +195,19 @@ def midi_notes(data: bytes) -> list[tuple[int, float, float]]:
 
 def read_midi(spark: SparkSession, path: str) -> DataFrame:
     """(track, pitch, start, end) of the notes of the files under a path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return notes_of(spark.read.format("binaryFile").load(path).select("path", "content")).drop("id")
+
+
+def notes_of(files: DataFrame) -> DataFrame:
+    """(track, pitch, start, end, id) of MIDI files (path, content); ids number a file's notes by pitch, start and end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(midi_notes(content), columns=["pitch", "start", "end"]).assign(track=name)[["track", "pitch", "start", "end"]]
+                found = pd.DataFrame(midi_notes(content), columns=["pitch", "start", "end"])
+                yield found.assign(track=name, id=np.arange(len(found)))[["track", "pitch", "start", "end", "id"]]
 
-    return files.mapInPandas(run, "track string, pitch int, start double, end double")
+    return files.mapInPandas(run, "track string, pitch int, start double, end double, id long")
 
 
 def one_midi(deltas: DataFrame, by: str, bpm: float) -> DataFrame:

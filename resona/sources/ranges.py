@@ -111,6 +111,7 @@ class WavReader(DataSourceReader):
         self.path = options["path"]
         self.size, self.stretch = int(options.get("size", 1 << 15)), int(options.get("stretch", STRETCH))
         self.start, self.finish = float(options.get("start", 0)), options.get("end")
+        self.ending = options.get("ending", "").lower()
         self.low, self.high = 0, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -130,7 +131,7 @@ class WavReader(DataSourceReader):
         scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        for each in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.path):
+        for each in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and f.base_name.lower().endswith(self.ending)), key=lambda f: f.path):
             yield store, each, scheme + each.path
 
     def partitions(self) -> list[Stretch]:
@@ -175,9 +176,12 @@ class WavBlocks(DataSource):
         return WavReader(dict(self.options))
 
 
-def read_wav_blocks(spark: SparkSession, path: str, start: float = 0.0, end: float | None = None, size: int = 1 << 15, stretch: int = STRETCH):
-    """(track, ch, block, v, rate): the files under a path as blocks of ``size`` samples of a channel, read by ranges."""
+def read_wav_blocks(spark: SparkSession, path: str, start: float = 0.0, end: float | None = None, size: int = 1 << 15, stretch: int = STRETCH, ending: str = ""):
+    """(track, ch, block, v, rate): the files under a path as blocks of ``size`` samples of a channel, read by ranges.
+
+    ending: that of the names of the files to read, in either case; the others are passed over.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavBlocks)
-    options = {"size": size, "stretch": stretch, "start": start} | ({} if end is None else {"end": end})
+    options = {"size": size, "stretch": stretch, "start": start, "ending": ending} | ({} if end is None else {"end": end})
     return spark.read.format("wav_blocks").options(**options).load(path)
