@@ -226,3 +226,9 @@ def preferred(wanted: Column, available: Column, last: str) -> Column:
 def missing(registry: Column, found: Column) -> Column:
     """The names of the registry that were not found, in its order."""
     return F.array_except(registry, found)
+
+
+def in_order(found: Column, registry: Column) -> Column:
+    """The names that were found, an error unless they are those of a registry in its order."""
+    said = F.concat(F.lit("expected "), F.array_join(registry, ", "), F.lit(", found "), F.array_join(found, ", "))
+    return F.when(found == registry, found).otherwise(F.raise_error(said))

@@ -8,6 +8,7 @@ a row for each sample.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import media
 from .transform import NUMBERS, checked_hop, lists, rows, window
 
 #: Samples of a block: about a second.
@@ -282,6 +284,66 @@ def mono(held: DataFrame) -> DataFrame:
     return mean(held.select("track", "block", "v"))
 
 
+def pcm_parts(blocks: DataFrame, by: tuple[str, ...] = ("track",)) -> DataFrame:
+    """(by..., block, content): the 16-bit samples of each block; put together in order they are a track's."""
+    schema = T.StructType([*blocks.select(*by, "block").schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [batch.column("v")[i].values.to_numpy(zero_copy_only=False) for i in range(batch.num_rows)]
+            content = pa.array([media.pcm16(v) for v in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "block")), content], names=schema.names)
+
+    return blocks.select(*by, "block", "v").mapInArrow(run, schema)
+
+
+def fingerprints(blocks: DataFrame) -> DataFrame:
+    """(track, pcm16): the first 16 hex digits of the SHA-256 of a track's 16-bit samples.
+
+    A task goes through its tracks' blocks in order and holds one batch of them and the state of one hash.
+    """
+    held = pcm_parts(blocks).repartition("track").sortWithinPartitions("track", "block")
+    schema = blocks.select("track").schema.add("pcm16", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        told = lambda: pa.RecordBatch.from_arrays([key, pa.array([state.hexdigest()[:16]])], names=["track", "pcm16"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column("track").slice(i, 1)
+                if state is None or not own.equals(key):
+                    if state is not None:
+                        yield told()
+                    key, state = own, hashlib.sha256()
+                state.update(batch.column("content")[i].as_py())
+        if state is not None:
+            yield told()
+
+    return held.mapInArrow(run, schema)
+
+
+def wav_parts(blocks: DataFrame, rate: int, size: int = SIZE) -> DataFrame:
+    """(track, block, content): a mono file of each track in parts, its header as block -1; no part needs another."""
+    total = lengths(blocks, size).select("track", F.lit(-1).cast("long").alias("block"), (F.col("samples") * 2).alias("bytes"))
+    hex_ = lambda n, width: F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(n, 8 * i) % 256), 2, "0") for i in range(width)))
+    number = lambda n, width=4: hex_(F.lit(n) if isinstance(n, int) else n, width)
+    form = F.concat(number(16), number(1, 2), number(1, 2), number(rate), number(2 * rate), number(2, 2), number(16, 2))
+    text = lambda s: F.lit(s.encode().hex())
+    header = F.concat(text("RIFF"), number(F.col("bytes") + 36), text("WAVEfmt "), form, text("data"), number(F.col("bytes")))
+    whole = F.when(F.col("bytes") + 36 < 1 << 32, F.unhex(header)).otherwise(F.raise_error(F.lit("a WAV file holds less than 4 GB")))
+    return total.select("track", "block", whole.alias("content")).unionByName(pcm_parts(blocks))
+
+
+def wav_files(blocks: DataFrame, rate: int, size: int = SIZE) -> DataFrame:
+    """(track, content): the parts of wav_parts() as one value, for tracks of which one is small enough for that."""
+
+    def run(part: pa.Table) -> pa.Table:
+        held = part.sort_by("block")
+        return pa.table({"track": held.column("track").slice(0, 1), "content": pa.array([b"".join(held.column("content").to_pylist())], pa.binary())})
+
+    return wav_parts(blocks, rate, size).groupBy("track").applyInArrow(run, blocks.select("track").schema.add("content", "binary"))
+
+
 def mean(blocks: DataFrame, size: int = SIZE, by: tuple[str, ...] = ("track",)) -> DataFrame:
     """The mean, sample by sample, of several blocks of one place."""
     held = blocks.groupBy(*by, "block").agg(F.collect_list("v").alias("all"))

@@ -230,10 +230,10 @@ def midi_events(notes: DataFrame, bpm: float, offset: float) -> DataFrame:
     return notes.select("id", "track", "pitch", F.explode(both).alias("e")).select("track", "e.tick", "e.kind", "pitch", "e.velocity", "id")
 
 
-def deltas(events: DataFrame) -> DataFrame:
-    """The events with ``delta``, ticks since the one before; offs come before ons."""
-    by = Window.partitionBy("track").orderBy("tick", "kind", "id")
-    return events.withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(by), F.lit(0)))
+def deltas(events: DataFrame, by: tuple[str, ...] = ("track",)) -> DataFrame:
+    """The events with ``delta``, ticks since the one before in its track; offs come before ons."""
+    order = Window.partitionBy(*by).orderBy("tick", "kind", "id")
+    return events.withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(order), F.lit(0)))
 
 
 def scores(reference: DataFrame, estimate: DataFrame, matched: DataFrame) -> DataFrame:

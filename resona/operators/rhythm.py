@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Tempo candidates, and those that count fully (fixed values).
 BPM_LOW, BPM_HIGH, BPM_STEP, COMMON_LOW, COMMON_HIGH, UNCOMMON = 50.0, 240.0, 0.5, 70.0, 180.0, 0.7
 #: Frames that a tempo needs at least, and what a track without one gets (fixed values).
@@ -129,6 +131,22 @@ def phase(series: DataFrame, tempos: DataFrame, hop: float, t: str = "t", x: str
     return best.select("track", F.bround("bpm", 1).alias("bpm"), F.bround(F.col("phase") * hop, 3).alias("offset"))
 
 
+def numbered(df: DataFrame, by: str, order: tuple[str, ...], name: str = "k") -> DataFrame:
+    """The rows with their place, from 1, within a key and order that together are unique.
+
+    Rows are sorted by ranges of key and order, so a key with most of them lies in many tasks; a row's
+    place is that within its range and the number of rows of its key in the ranges before.
+    """
+    held = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", F.monotonically_increasing_id())
+    held = cut(held).withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    # one row for each range and each key in it
+    counts = held.groupBy(by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    joined = held.withColumnRenamed(by, "_key").join(counts.withColumnRenamed("_range", "_r"), F.col("_key").eqNullSafe(F.col(by)) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def smoothed(series: DataFrame, t: str, x: str, keep: float, block: int = 4096) -> DataFrame:
     """The series, t from 1 without gaps, with ``smooth``: keep times the last smooth value and the rest of the new one; the first is itself.
 

@@ -42,3 +42,18 @@ def viewed(indexed: DataFrame, a: float, b: float, width: float) -> DataFrame:
     near = reduce(lambda x, y: x | y, (c for c, _ in chosen))
     once = reduce(lambda x, y: x.when(F.col("level") == y[0], y[1]), enumerate(f for _, f in chosen), F)
     return indexed.where(near & (F.col("start") <= b) & (F.col("end") >= a) & (F.col("cell") == once)).drop("level", "cell")
+
+
+def aligned(cells: DataFrame, hop: float, a: float, b: float, columns: int, offset: float = 0.0) -> DataFrame:
+    """The cells (col, ...) of a layer at the columns ``x`` of a view of [a, b) seconds, each where its middle lies.
+
+    A layer has columns of hop seconds from offset on, so layers of any steps and offsets meet at x.  Each cell gives
+    the columns that it covers by itself: nothing is joined.  What the layer has no cell for stays empty.
+    """
+    if b <= a or columns < 1:
+        raise ValueError("a view ends after it starts and has a column")
+    wide = (b - a) / columns
+    # x has its middle at a + (x + 0.5) * wide, and column c is [c, c + 1) * hop + offset
+    first = lambda c: F.ceil((c * hop + offset - a) / wide - 0.5)
+    low, end = F.greatest(first(F.col("col")), F.lit(0)), F.least(first(F.col("col") + 1), F.lit(columns))
+    return cells.where(low < end).withColumn("x", F.explode(F.sequence(low, end - 1)))

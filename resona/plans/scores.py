@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import decoding, intervals, lineage, matching, rhythm, store, views
+from ..operators import blocks, decoding, intervals, lineage, matching, rhythm, store, views
 from ..sources import media
 from ..sources.tables import FRAMES, NOTES, SIGNAL, frames, notes, read, signal
 from .catalog import query
@@ -158,8 +158,9 @@ _TICKS = f"""ev as (select id, track, pitch, start - {START} as s, "end" - {STAR
  midi as (select track, on_tick as tick, 1 as kind, pitch, least(greatest(64 + round_even(63 * conf, 0), 1), 127)::int as velocity, id from pair union all select track, off_tick, 0, pitch, 0, id from pair)"""
 
 
-def _midi(spark, sf_dir):
-    held = notes(spark, sf_dir).withColumn("start", F.col("start") - START).withColumn("end", F.col("end") - START)
+def _midi(spark, sf_dir, times: int = 1):
+    """Events of the notes, so many times as fast as they are."""
+    held = notes(spark, sf_dir).withColumns({c: (F.col(c) - START) / float(times) for c in ("start", "end")})
     return intervals.midi_events(held, TEMPO, OFFSET)
 
 
@@ -173,37 +174,69 @@ def midi_deltas(spark, sf_dir):
     return intervals.deltas(_midi(spark, sf_dir)).select("track", "id", "kind", "delta")
 
 
-@query()
-def midi_bytes(spark, sf_dir):
-    """A MIDI file of each pitch class, by its digest."""
-    held = intervals.deltas(_midi(spark, sf_dir).withColumn("name", F.col("track")).withColumn("track", F.concat("track", F.lit("/"), F.col("pitch") % 12)))
-    files = media.one_midi(held.withColumn("file", F.substring_index("track", "/", -1)), "file", TEMPO)
-    return files.select("file", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def _little(x: str, size: int) -> str:
     """SQL of a number's little-endian bytes as hex digits."""
     return " || ".join(f"substr(printf('%0{2 * size}x', ({x})::bigint), {i}, 2)" for i in range(2 * size - 1, 0, -2))
 
 
+def _hex(x: str, digits: int) -> str:
+    return f"printf('%0{digits}x', ({x})::bigint)"
+
+
+def _numbered(x: str) -> str:
+    """SQL of a MIDI variable-length number's hex digits, below 2 to the 28th."""
+    low = _hex(f"{x} % 128", 2)
+    more = [f"case when {x} >= {1 << 7 * k} then {_hex(f'128 + ({x} >> {7 * k}) % 128', 2)} else '' end" for k in (3, 2, 1)]
+    return " || ".join([*more, low])
+
+
+_TEMPO_HEX = f"00ff5103{round(60_000_000 / TEMPO):06x}"
+# a delta has 28 bits at most, some four days at this tempo, so the months of the events pass a thousand times as fast
+_FAST = 1000
+_FAST_TICKS = _TICKS.replace(f"start - {START} as s", f"(start - {START}) / {_FAST}.0 as s").replace(f'"end" - {START} as e', f'("end" - {START}) / {_FAST}.0 as e')
+# a user's notes: a track of each type of event, the tempo in one of its own where there are several
+_MIDI_FILE = f"""mine as (select user_id as file, m.* from midi m join events on event_id = m.id),
+ gap as (select file, track, tick, kind, pitch, velocity, id, tick - coalesce(lag(tick) over (partition by file, track order by tick, kind, id), 0) as delta from mine),
+ line as (select file, track, string_agg({_numbered("delta")} || case kind when 1 then '90' else '80' end || {_hex("pitch", 2)} || {_hex("velocity", 2)}, '' order by tick, kind, id) as events from gap group by file, track),
+ counted as (select *, count(*) over (partition by file) as tracks from line),
+ named as (select file, track, tracks, case when tracks = 1 then '{_TEMPO_HEX}' else '' end || '00ff03' || {_hex("length(track)", 2)} || lower(hex(encode(track))) || events || '00ff2f00' as body from counted),
+ chunk as (select file, track, tracks, '4d54726b' || {_hex("length(body) // 2", 8)} || body as chunk from named),
+ whole as (select file, '4d54686400000006' || case when max(tracks) = 1 then '0000' else '0001' end || {_hex("case when max(tracks) = 1 then 1 else max(tracks) + 1 end", 4)} || '01e0'
+   || case when max(tracks) = 1 then '' else '4d54726b' || {_hex(str(len(_TEMPO_HEX) // 2 + 4), 8)} || '{_TEMPO_HEX}00ff2f00' end || string_agg(chunk, '' order by track) as content from chunk group by file)"""
+
+
+@query(f"with {NOTES}, {_FAST_TICKS}, {_MIDI_FILE} select file, length(content) // 2 as bytes, sha256(unhex(content)) as sha256 from whole")
+def midi_bytes(spark, sf_dir):
+    """A MIDI file of each user's notes, by its digest: a track of each type of event."""
+    users = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("file"))
+    mine = _midi(spark, sf_dir, _FAST).join(users, "id")
+    held = intervals.deltas(mine, ("file", "track"))
+    return media.one_midi(held, "file", TEMPO).select("file", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 # samples of 16 bits, cut towards zero
 _PCM16 = f"""pcm as (select track, n, trunc(least(greatest(v / 100 - 0.5, -1.0), 1.0) * 32767)::bigint as x from signal),
  body as (select track, count(*) as n, string_agg({_little("(x + 65536) % 65536", 2)}, '' order by n) as hex from pcm group by track)"""
 _WAV_HEADER = " || ".join(["'52494646'", _little("36 + 2 * n", 4), "'57415645666d7420' || '10000000' || '01000100'", _little("8000", 4), _little("16000", 4), "'02001000' || '64617461'", _little("2 * n", 4)])
 
 
+def _small(spark, sf_dir):
+    return signal(spark, sf_dir).withColumn("v", F.col("v") / 100 - 0.5)
+
+
 @query(f"with {SIGNAL}, {_PCM16} select track, n, n * 2 + 44 as bytes, sha256(unhex({_WAV_HEADER} || hex)) as sha256 from body")
 def wav_bytes(spark, sf_dir):
     """The size and digest of a WAV file of each track."""
-    held = signal(spark, sf_dir)
-    files = media.one_file(held.withColumn("v", F.col("v") / 100 - 0.5), 8000)
-    return held.groupBy("track").agg(F.count("*").alias("n")).join(files, "track").select("track", "n", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    held = blocks.to_blocks(_small(spark, sf_dir), 4096)
+    size = blocks.lengths(held, 4096).withColumnRenamed("samples", "n")
+    files = blocks.wav_files(held, 8000, 4096)
+    return size.join(files, "track").select("track", "n", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 @query(f"with {SIGNAL}, {_PCM16} select track, left(sha256(unhex(hex)), 16) as pcm16 from body")
 def pcm16_hash(spark, sf_dir):
     """Fingerprints of the tracks' samples."""
-    return media.fingerprints(signal(spark, sf_dir).withColumn("v", F.col("v") / 100 - 0.5))
+    return blocks.fingerprints(blocks.to_blocks(_small(spark, sf_dir), 4096))
 
 
 A, B, LONGEST = START + 5 * 86400, START + 5 * 86400 + 7200, 60.0 * 1000

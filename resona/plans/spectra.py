@@ -244,6 +244,21 @@ def hpss_masks(spark, sf_dir):
     return _masked(spark, sf_dir).select("track", "frame", "bin", F.bround("mh", 6).alias("mh"), F.bround("mp", 6).alias("mp"))
 
 
+_DFT_MASKED = _MASKED.replace("range(64)", "range(9)").replace("[-1, -2, 64, 65]", "[-1, -2, 9, 10]")
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * i.range / 16))"
+
+
+@query(f"""with {SIGNAL}, {_FRAMED}, {_DFT}, bins as (select track, frame, bin, sqrt(re * re + im * im) as m from dft), frames as (select distinct track, frame from bins), {_DFT_MASKED},
+ shared as (select track, frame, bin, stem, re * case stem when 'harmonic' then mh else mp end as re, im * case stem when 'harmonic' then mh else mp end as im from masked join dft using (track, frame, bin), (values ('harmonic'), ('percussive')) s(stem)),
+ back as (select track, stem, frame * 4 - 8 + i.range as n, {_HANN} * 8 / 16 * sum(case when bin in (0, 8) then 1 else 2 end * (re * cos(2 * pi() * bin * i.range / 16) - im * sin(2 * pi() * bin * i.range / 16))) as x, {_HANN} * {_HANN} as norm from shared, range(16) i group by track, stem, frame, i.range),
+ added as (select track, stem, n, sum(x) / sum(norm) as v from back group by track, stem, n)
+ select a.track, stem, a.n, round_even(round_even(a.v, 8), 4) + 0.0 as v from added a join signal s on s.track = a.track and s.n = a.n""")
+def stem_parts(spark, sf_dir):
+    """The harmonic and the percussive stem of each track, sample by sample: masks from medians, and the inverse of what they leave."""
+    stems = separation.separate(signal(spark, sf_dir), "hpss", 16, 4, 64, time=5, freq=5)
+    return stems.select("track", "stem", "n", (F.bround(F.bround("v", 8), 4) + 0.0).alias("v"))
+
+
 @query(f"""with {FRAMES}, {_MASKED}, s as (select *, greatest(m - 0.05, 0.0) as sp, least(m, 0.05) as lo from masked),
  w as (select *, lo * lo / (lo * lo + sp * sp + 1e-10) as ml, sp * sp / (sp * sp + lo * lo + 1e-10) as ms from s)
  select track, frame, bin::int as bin, round_even(sqrt(mh * ml) / (sqrt(mh * ml) + sqrt(mp * ms) + 1e-10), 6) as share from w""")

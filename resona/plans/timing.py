@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,8 +180,8 @@ def ewma_speed(spark, sf_dir):
 @query()
 def ewma_speed_all(spark, sf_dir):
     """The speed of a transfer, seven tenths the last and three tenths the new, at every event."""
-    by = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    held = read(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.row_number().over(by).alias("k"), F.col("value").alias("x"))
+    held = read(spark, sf_dir, "events").select(F.col("event_type").alias("track"), "ts", "event_id", F.col("value").alias("x"))
+    held = rhythm.numbered(held, "track", ("ts", "event_id")).select("track", F.col("k").cast("int").alias("k"), "x")
     return rhythm.smoothed(held, "k", "x", 0.7).select(F.col("track").alias("event_type"), "k", F.bround("smooth", 6).alias("speed"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import blocks, intervals, separation, spectral
+from ..operators import blocks, intervals, separation, spectral, views
 from ..sources.tables import FRAMES, SIGNAL, frames, micros, read, signal
 from .catalog import query
 from .spectra import _POOLED, _QUANTISED, RATE, WIN, _bands_sql, _quantised
@@ -49,6 +49,18 @@ def overlay(spark, sf_dir):
     return cells.join(master, ["row", "col"]).groupBy("track", "row", F.floor(F.col("col") / 2).alias("bucket")).agg(F.max("q").alias("stem"), F.max("master").alias("master"))
 
 
+@query(f"""with {_CELLS}, {_QUANTISED}, x as (select range as x from range(37)), s as (select x, floor((0.1 + (x + 0.5) * 0.9 / 37 - 0.03) / 0.05)::bigint as mine, floor((0.1 + (x + 0.5) * 0.9 / 37) / 0.07)::bigint as theirs from x),
+ m as (select row, col, max(q) as master from quantised group by all),
+ l as (select track, row, x, q from quantised join s on col = mine), u as (select row, x, master from m join s on col = theirs)
+ select coalesce(l.x, u.x) as x, coalesce(l.row, u.row)::int as row, track, q as stem, master from l full join u on l.row = u.row and l.x = u.x where coalesce(l.row, u.row) between 12 and 60""")
+def overlay_view(spark, sf_dir):
+    """A track's cells, of 0.05 seconds from 0.03 on, over those of all, of 0.07 seconds, at the 37 columns and 49 rows of a view."""
+    cells = _quantised(spark, sf_dir).where("row between 12 and 60")
+    master = cells.groupBy("row", "col").agg(F.max("q").alias("master"))
+    layer = views.aligned(cells, 0.05, 0.1, 1.0, 37, 0.03).select("row", "x", "track", F.col("q").alias("stem"))
+    return layer.join(views.aligned(master, 0.07, 0.1, 1.0, 37).select("row", "x", "master"), ["row", "x"], "full")
+
+
 _W = "sum(v * case when abs(d) < 1e-12 then 1.0 else sin(pi() * d) / (pi() * d) end * (0.5 + 0.5 * cos(pi() * d / 4)) / 1.5)"
 
 
@@ -203,10 +215,10 @@ def missing_names(spark, sf_dir):
 
 @query("""select event_id, event_type as track from events where event_type in ('click', 'view')""")
 def selected_tracks(spark, sf_dir):
-    """The rows of both of two tracks, one after the other."""
-    held = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("track"))
-    one = lambda name: held.where(F.col("track") == name)
-    return one("click").unionByName(one("view"))
+    """The rows of both of two tracks."""
+    preset = F.when(F.col("event_type") == "click", "bass").when(F.col("event_type") == "view", "lead")
+    held = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("track"), preset.alias("preset"))
+    return intervals.selected(held, "both").drop("preset")
 
 
 @query("""select event_id, case when value > 1 and value < 90 then value else 120.0 end as bpm from events""")

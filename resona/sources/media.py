@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -85,35 +85,10 @@ def read_wav(spark: SparkSession, path: str, start: float = 0.0, end: float | No
     return files.mapInPandas(run, "track string, ch int, n long, v double, rate int")
 
 
-def channels(pcm: DataFrame) -> DataFrame:
-    """(track, channel, n, v): the mean of all channels, the first, and the second or again the first."""
-    wide = pcm.groupBy("track", "n").agg(F.avg("v").alias("mix"), F.max(F.when(F.col("ch") == 0, F.col("v"))).alias("left"), F.max(F.when(F.col("ch") == 1, F.col("v"))).alias("right"))
-    return wide.withColumn("right", F.coalesce("right", "left")).unpivot(["track", "n"], ["mix", "left", "right"], "channel", "v")
-
-
-def one_file(signal: DataFrame, rate: int) -> DataFrame:
-    """(track, content): a WAV file of each track, which is one value and so one group."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held = part.sort_values("n")
-        return pd.DataFrame({"track": [held["track"].iloc[0]], "content": [wav_bytes(held["v"].to_numpy(float), rate)]})
-
-    return signal.groupBy("track").applyInPandas(run, signal.select("track").schema.add("content", "binary"))
-
-
-def fingerprints(signal: DataFrame) -> DataFrame:
-    """(track, pcm16): the first 16 hex digits of the SHA-256 of the 16-bit samples."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held = part.sort_values("n")
-        return pd.DataFrame({"track": [held["track"].iloc[0]], "content": [pcm16(held["v"].to_numpy(float))]})
-
-    held = signal.groupBy("track").applyInPandas(run, signal.select("track").schema.add("content", "binary"))
-    return held.select("track", F.left(F.sha2("content", 256), F.lit(16)).alias("pcm16"))
-
-
 def _number(n: int) -> bytes:
-    """A MIDI variable-length number."""
+    """A MIDI variable-length number, which has 28 bits at most."""
+    if n >= 1 << 28:
+        raise ValueError(f"{n} ticks from one event to the next are more than a file can say")
     out = [n & 0x7F]
     while n := n >> 7:
         out.append(n & 0x7F | 0x80)

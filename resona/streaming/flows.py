@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .mixer import PROVIDER
 
 
 def hopping(stream: DataFrame, size: str, hop: str, late: str, time: str = "ts", value: str = "value", by: str = "track") -> DataFrame:
@@ -28,18 +30,28 @@ def sessions(stream: DataFrame, gap: str, late: str, time: str = "ts", by: str =
     return held.select(by, F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("end"), "n")
 
 
-def flux(stream: DataFrame) -> DataFrame:
-    """(track, frame, flux) of frames (track, frame, m) that arrive in order; the state of a track is its last frame."""
+class Rises(StatefulProcessor):
+    """Keeps the last frame of a track as a value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "m array<double>")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was = np.array(state.get[0]) if state.exists else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was = np.array(self.last.get()[0]) if self.last.exists() else 0.0
         out = []
-        for row in pd.concat(batches).sort_values("frame").itertuples():
+        for row in pd.concat(list(rows)).sort_values("frame").itertuples():
             m = np.asarray(row.m, float)
-            out.append((key[0], row.frame, float(np.maximum(m - (0 if was is None else was), 0).sum())))
+            out.append((key[0], row.frame, float(np.maximum(m - was, 0).sum())))
             was = m
-        state.update((was.tolist(),))
+        self.last.update((was.tolist(),))
         yield pd.DataFrame(out, columns=["track", "frame", "flux"])
 
+    def close(self) -> None:
+        pass
+
+
+def flux(stream: DataFrame) -> DataFrame:
+    """(track, frame, flux) of frames (track, frame, m) that arrive in order; the state of a track is its last frame."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     schema = stream.select("track", "frame").schema.add("flux", "double")
-    return stream.groupBy("track").applyInPandasWithState(step, schema, "m array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("track").transformWithStateInPandas(statefulProcessor=Rises(), outputStructType=schema, outputMode="Append", timeMode="None")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import scalars as S
-from resona.operators import analysis, intervals, matching, rhythm, separation, spectral, store, transform
+from resona.operators import analysis, blocks, intervals, matching, rhythm, separation, spectral, store, transform
 from resona.sources import media
 
 
@@ -279,7 +279,8 @@ def test_wav_round_trip(spark, tmp_path):
     held = media.read_wav(spark, str(tmp_path))
     left = held.where("ch = 0").orderBy("n").toPandas()
     assert len(left) == 1000 and left["rate"].iloc[0] == 8000 and np.abs(left["v"] - x).max() < 1e-3
-    assert media.channels(held).where("channel = 'mix'").count() == 1000
+    mix = blocks.channels(blocks.to_blocks(held, by=("track", "ch"))).where("channel = 'mix'")
+    assert blocks.samples(mix).count() == 1000
     with pytest.raises(media.UnsupportedFormat):
         media.wav_samples(b"nothing")
     with pytest.raises(ValueError, match="after the end"):
@@ -301,7 +302,7 @@ def test_fingerprint(spark):
 
     x = np.linspace(-1.2, 1.2, 40)
     expected = hashlib.sha256((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()).hexdigest()[:16]
-    assert media.fingerprints(samples(spark, x)).first().pcm16 == expected
+    assert blocks.fingerprints(blocks.to_blocks(samples(spark, x), 16)).first().pcm16 == expected
 
 
 def test_plans(spark):
@@ -537,3 +538,56 @@ def test_ticks_and_jumps(spark):
     assert [r[0] for r in spans.select(S.tick_ms(F.col("x"))).collect()] == [1000, 2000, 600000, 600000]
     jumps = spark.createDataFrame([(5.0, -9.0), (5.0, 2.0), (5.0, 99.0)], "at double, by double")
     assert [r[0] for r in jumps.select(S.sought(F.col("at"), F.col("by"), 1.0, 60.0)).collect()] == [1.0, 7.0, 60.0]
+
+
+def test_places_in_a_hot_key_are_counted_over_ranges(spark):
+    """A key with nine tenths of the rows lies in several ranges, and each row has the place that sorting gives it."""
+    draw = np.random.default_rng(8)
+    rows = [(None if i % 50 == 0 else "hot" if i % 10 else f"k{i % 3}", int(draw.integers(0, 40)), i) for i in range(3000)]
+    held = spark.createDataFrame(rows, "key string, at int, id long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would be one range
+    try:
+        got = {r.id: r.k for r in rhythm.numbered(held, "key", ("at", "id")).collect()}
+        ranges = held.repartitionByRange("key", "at", "id").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for key, at, i in rows:
+        by.setdefault(key, []).append((at, i))
+    assert got == {i: k for part in by.values() for k, (_, i) in enumerate(sorted(part), 1)}
+    assert len({r.p for r in ranges if r.key == "hot"}) > 1
+    assert rhythm.numbered(held.limit(0), "key", ("at", "id")).count() == 0
+
+
+def test_names_in_order(spark):
+    held = spark.createDataFrame([(["a", "b"],)], "found array<string>")
+    registry = lambda *names: F.array(*map(F.lit, names))
+    assert held.select(S.in_order(F.col("found"), registry("a", "b"))).first()[0] == ["a", "b"]
+    for other in [("b", "a"), ("a",), ("a", "b", "c")]:
+        with pytest.raises(Exception, match="expected " + ", ".join(other) + ", found a, b"):
+            held.select(S.in_order(F.col("found"), registry(*other))).collect()
+
+
+def test_layers_of_two_steps_meet_at_the_columns_of_a_view(spark):
+    from resona.operators import views
+
+    def shown(n, hop, offset, a, b, columns):
+        out = {}
+        for x in range(columns):
+            c = int(np.floor((a + (x + 0.5) * (b - a) / columns - offset) / hop))
+            if 0 <= c < n:
+                out[x] = c
+        return out
+
+    for n, hop, offset, a, b, columns in [(20, 0.05, 0.03, 0.1, 1.0, 37), (5, 1.0, -2.0, 0.0, 10.0, 7), (400, 0.01, 0.0, 1.003, 2.0, 12), (3, 0.5, 50.0, 0.0, 1.0, 4)]:
+        cells = spark.range(n).select(F.col("id").alias("col"))
+        got = [(r.x, r.col) for r in views.aligned(cells, hop, a, b, columns, offset).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == shown(n, hop, offset, a, b, columns)
+    with pytest.raises(ValueError, match="view"):
+        views.aligned(cells, 0.5, 1.0, 1.0, 4)
+
+
+def test_a_delta_beyond_28_bits_is_an_error():
+    assert len(media.midi_bytes({"a": [((1 << 28) - 1, 1, 60, 64)]}, 120.0)) > 0
+    with pytest.raises(ValueError, match="more than a file can say"):
+        media.midi_bytes({"a": [(1 << 28, 1, 60, 64)]}, 120.0)
