@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import blocks, rhythm, separation, transform
 from ..sources.tables import HOURLY, SIGNAL, hourly, read, signal
 from .catalog import query
+from .views import RAW_TAPS
 
 LAGS, HOP = 48, 0.05
 
@@ -127,6 +129,33 @@ def infer_ola(spark, sf_dir):
     return blocks.samples(blocks.blended(parts, SIZE, by), SIZE, by).withColumn("v", F.bround(F.bround("v", 9), 4))
 
 
+_INNER = """unit as (select k, h / sum(h) over () as h from raw), z as (select track, max(n) + 1 as own from signal group by track),
+ io as (select track, unnest(range(ceil(own * 3 / 2.0)::bigint)) as m from z), it as (select track, m, (m * 2 - k) // 3 as n, 3 * h as h from io, unit where (m * 2 - k) % 3 = 0),
+ inside as (select t.track, t.m as n, sum(v * h) as v from it t join signal s on s.track = t.track and s.n = t.n group by t.track, t.m)"""
+_OUTER = """bo as (select track, unnest(range(own)) as m from z), bt as (select track, m, (m * 3 - k) // 2 as n, 2 * h as h from bo, unit where (m * 3 - k) % 2 = 0)"""
+
+
+@query(f"""with {SIGNAL}, {RAW_TAPS}, {_INNER}, {_PLAN.replace("from signal", "from inside")},
+ rolled as (select i.track, pass.range as pass, (n + total * pass.range // 2) % total as n, v from inside i join sizes using (track), range(2) pass),
+ part as (select r.track, pass, r.n, 0.5 - 0.5 * cos(2 * pi() * (n - start + 0.5) / ("end" - start)) as w, first_value(v) over c as base, v - first_value(v) over c as rise
+   from rolled r join plan p on r.track = p.track and n >= start and n < "end" window c as (partition by r.track, pass, p.chunk order by r.n)),
+ stem as (select track, pass, n, w, 'base' as stem, base as y from part union all select track, pass, n, w, 'rise', rise from part),
+ blend as (select track, pass, stem, n, sum(w * y) / greatest(sum(w), 1e-30) as v from stem group by all),
+ one as (select b.track, stem, (n - total * pass // 2 + total) % total as n, avg(v) as v from blend b join sizes using (track) group by all), {_OUTER}
+ select t.track, stem, t.m as n, round_even(round_even(sum(v * h), 9), 4) + 0.0 as v from bt t join one o on o.track = t.track and o.n = t.n group by t.track, stem, t.m""")
+def model_stems(spark, sf_dir):
+    """All of a separation by a model of half the rate again: there, two passes of overlapping chunks, and back, for both of its stems.
+
+    The model's stems are the first sample of a chunk, held, and what its samples rise above it.
+    """
+
+    def model(x):
+        return [np.full((1, len(x)), x[0]), (x - x[0])[None, :]]
+
+    found = separation.separate_by_model(_held(spark, sf_dir), 2, 3, CHUNK, OVERLAP, model, ("base", "rise"), 2, SIZE)
+    return blocks.samples(found, SIZE, ("track", "stem")).withColumn("v", F.bround(F.bround("v", 9), 4) + 0.0)
+
+
 @query(f"""with {SIGNAL}, {_SIZES}, p as (select s.track, n, v, total, i.range as pass, total * i.range // 3 as roll from signal s join sizes using (track), range(3) i)
  select track, n, round_even(avg(v * (1 + 0.01 * (((n - roll) % total + total) % total))), 6) as v from p group by all""")
 def shift_average(spark, sf_dir):

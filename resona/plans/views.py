@@ -76,8 +76,11 @@ _HALF = 30
 _BESSEL = "list_sum(list_transform(range(0, 40), lambda j: pow(pow({x} / 2, j) / gamma(j + 1), 2)))"
 
 
-@query(f"""with {SIGNAL}, raw as (select i.range - {_HALF} as k, case when i.range = {_HALF} then 1.0 else sin(pi() * (i.range - {_HALF}) / 3) / (pi() * (i.range - {_HALF}) / 3) end
-   * {_BESSEL.format(x=f"(5.0 * sqrt(greatest(1 - pow((i.range - {_HALF}) / {_HALF}.0, 2), 0)))")} as h from range({2 * _HALF + 1}) i),
+RAW_TAPS = f"""raw as (select i.range - {_HALF} as k, case when i.range = {_HALF} then 1.0 else sin(pi() * (i.range - {_HALF}) / 3) / (pi() * (i.range - {_HALF}) / 3) end
+   * {_BESSEL.format(x=f"(5.0 * sqrt(greatest(1 - pow((i.range - {_HALF}) / {_HALF}.0, 2), 0)))")} as h from range({2 * _HALF + 1}) i)"""
+
+
+@query(f"""with {SIGNAL}, {RAW_TAPS},
  taps as (select k, 3 * h / sum(h) over () as h from raw), z as (select track, ceil((max(n) + 1) * 3 / 2.0)::bigint as length from signal group by track),
  o as (select track, unnest(range(length)) as m from z), t as (select track, m, (m * 2 - k) // 3 as n, h from o, taps where (m * 2 - k) % 3 = 0)
  select t.track, m as n, round_even(sum(v * h), 6) as v from t join signal s on s.track = t.track and s.n = t.n group by t.track, m""")
