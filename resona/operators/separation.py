@@ -96,6 +96,8 @@ def low_rank(matrix: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) ->
 
     Principal component pursuit by the augmented Lagrangian method with inexact steps (Lin, Chen and Ma):
     the multiplier begins at the matrix over its dual norm, and the penalty grows by half in each round.
+    What is left falls to the tolerance in some 27 to 32 rounds, so ``rounds`` is a bound only.  A tolerance of 5e-4
+    would do with 15 to 20, but moves single cells of a mask by up to 0.9 (by 0.005 in the mean); 1e-6 moves none by over 0.05.
     """
     whole = np.linalg.norm(matrix)
     if whole == 0:

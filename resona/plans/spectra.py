@@ -160,9 +160,12 @@ def _pcm(spark, sf_dir):
     return held.select(F.col("user_id").alias("track"), "n", both).select("track", "ch", "n", "v")
 
 
-@query(f"""with {_PCM}, {_FRAMED}, {_DFT}, bins as (select track, frame, bin, sqrt(re * re + im * im) as m from dft), {_bands_sql(1, 16, 9)}, frames as (select distinct track, frame from bins),
- {_POOLED.format(n=10).replace("sizes", "blocks")}, named as (select split_part(track, '/', 1)::bigint as track, split_part(track, '/', 2) as channel, row, col, p from pooled), tops as (select track, max(p) as peak from named group by track)
- select track, channel, row::int as row, col, round_even(round(least(greatest((greatest(10 * log10(greatest(p / peak, 1e-12)), -70.0) + 70.0) / 70.0, 0.0), 1.0) * 255, 6), 0)::int as q from named join tops using (track)""")
+_CHANNELS = f"""{_PCM}, {_FRAMED}, {_DFT}, bins as (select track, frame, bin, sqrt(re * re + im * im) as m from dft), {_bands_sql(1, 16, 9)}, frames as (select distinct track, frame from bins),
+ {_POOLED.format(n=10).replace("sizes", "blocks")}, named as (select split_part(track, '/', 1)::bigint as track, split_part(track, '/', 2) as channel, row, col, p from pooled), tops as (select track, max(p) as peak from named group by track),
+ cells as (select track, channel, row::int as row, col, round_even(round(least(greatest((greatest(10 * log10(greatest(p / peak, 1e-12)), -70.0) + 70.0) / 70.0, 0.0), 1.0) * 255, 6), 0)::int as q from named join tops using (track))"""
+
+
+@query(f"with {_CHANNELS} select * from cells")
 def analysis_cells(spark, sf_dir):
     """Spectra of mix, left and right of each track, on the scale of their joint peak."""
     return analysis.channel_cells(analysis.channel_spectra(_pcm(spark, sf_dir), 16), RATE, 16, 10)
@@ -174,6 +177,25 @@ def analysis_payload(spark, sf_dir):
     return analysis.analyse(_pcm(spark, sf_dir), RATE, 16, columns=10)
 
 
+@query(f"""with {_CHANNELS}, tall as (select track, channel, col, max(q) as top from cells group by all),
+ e as (select track, channel, max(col) + 1 as n_cols, string_agg(top::varchar, ',' order by col) as envelope from tall group by all),
+ spec as (select track, channel, base64(unhex(string_agg(printf('%02X', q), '' order by row, col))) as spec from cells group by all),
+ long as (select track, round_even(count(*) / {RATE}.0, 3) as seconds from pcm group by track)
+ select track, channel, seconds, least(15.0, seconds) as first_view, n_cols, spec, envelope, 'A0' as lowest, 'C8' as highest, 88 as labels, '3,15,27,39,51,63,75,87' as octaves, round_even(4 / {RATE}.0, 6) as step
+  from spec join e using (track, channel) join long using (track)""")
+def payload_fields(spark, sf_dir):
+    """What the document of each track says, read back from its JSON, a row for each channel."""
+    fields = "durationSec double, initViewSec double, nCols bigint, hopSec double, noteLabels array<string>, cTickIdx array<int>, specs map<string,string>, envelopes map<string,array<int>>"
+    held = analysis.analyse(_pcm(spark, sf_dir), RATE, 16, columns=10).select("track", F.from_json("payload", fields).alias("p"))
+    each = held.select("track", "p", F.explode("p.specs").alias("channel", "spec"))
+    return each.select(
+        "track", "channel", F.col("p.durationSec").alias("seconds"), F.col("p.initViewSec").alias("first_view"), F.col("p.nCols").alias("n_cols"), "spec",
+        F.array_join(F.col("p.envelopes")[F.col("channel")].cast("array<string>"), ",").alias("envelope"),
+        F.element_at("p.noteLabels", 1).alias("lowest"), F.element_at("p.noteLabels", -1).alias("highest"), F.size("p.noteLabels").alias("labels"),
+        F.array_join(F.col("p.cTickIdx").cast("array<string>"), ",").alias("octaves"), F.col("p.hopSec").alias("step"),
+    )
+
+
 @query("select label as track, frame, frame // 3 as slice from (select label, row_number() over (partition by label order by vec_id) - 1 as frame from embeddings)")
 def frame_slices(spark, sf_dir):
     """Frames by slices of a tenth of a second, 3 frames each."""
