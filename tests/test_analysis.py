@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from resona.operators import analysis
+from resona.operators import analysis, spectral
 
 RATE = 8000
 
@@ -54,3 +54,16 @@ def test_stages_are_counted_in_order(spark):
     assert rows["decode"] == 2 * 6 * RATE and rows["payload"] == 1
     assert rows["aggregate"] == 3 * 88 * got["nCols"]
     assert rows["stft"] % 3 == 0 and rows["stft"] // 3 >= 6 * RATE // 512
+
+
+def test_levels_near_a_half_are_rounded_as_the_sql_rounds_them(spark, duck):
+    """A level within a millionth of a half is that half, and goes to the even step; without the digits it went to the nearer one."""
+    levels = [126.5000002, 127.4999998, 200.5000003, 63.4999997, 100.500002, 101.499998]
+    m = [1.0] + [10 ** ((x / 255 * 70 - 70) / 20) for x in levels] + [1e-9, 1e-9]
+    frames = spark.createDataFrame([(("a", "mix"), 0, m)], "track struct<track string, channel string>, frame long, m array<double>")
+    got = {r.row: r.q for r in analysis.channel_cells(frames, RATE, 16, 10).collect()}
+    sql = "round_even(round(least(greatest((greatest(10 * log10(greatest(p, 1e-12)), -70.0) + 70.0) / 70.0, 0.0), 1.0) * 255, 6), 0)::int"
+    for row, at, n in spectral.bands(9, 16, RATE):
+        assert n == 1 and got[row] == duck.sql(f"select {sql} from (select {m[at] * m[at]!r}::double as p)").fetchall()[0][0]
+    reached = {at for _, at, _ in spectral.bands(9, 16, RATE)}
+    assert {1, 2, 3, 4} <= reached and {got[r] for r, at, _ in spectral.bands(9, 16, RATE) if at in (1, 2, 3, 4)} == {126, 128, 200, 64}
