@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -277,3 +278,20 @@ def test_sinks_of_blocks_equal_those_of_whole_signals(spark):
     prints = {r.track: r.pcm16 for r in B.fingerprints(held).collect()}
     assert prints == {t: hashlib.sha256(media.pcm16(v)).hexdigest()[:16] for t, v in x.items()}
     assert B.fingerprints(held.limit(0)).count() == 0
+
+
+def test_chunks_and_blocks_are_rows_and_not_groups(spark):
+    """A call of Python for each group of a chunk's or block's samples took longer than all of its work."""
+    held = B.to_blocks(spark.createDataFrame([("a", i, float(i % 7)) for i in range(700)], "track string, n long, v double"), SIZE)
+    found = separation.separate_by_model(held, 2, 3, 100, 50, lambda x: [x / 4, 3 * x / 4], ("low", "high"), 2, SIZE)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_results_of_a_batch_go_out_in_several(monkeypatch):
+    """Each with the keys of the rows that made them; rows that make nothing are left out."""
+    monkeypatch.setattr(B, "FULL", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(40)])], names=["track"])
+    made = ([pa.array([i] * (i % 3), pa.int64())] for i in range(40))
+    out = list(B._gathered(batch, ("track",), ["track", "x"], made))
+    assert len(out) > 1
+    assert [(r["track"], r["x"]) for b in out for r in b.to_pylist()] == [(f"t{i}", i) for i in range(40) for _ in range(i % 3)]
