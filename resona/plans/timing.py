@@ -153,7 +153,7 @@ def model_stems(spark, sf_dir):
         return [np.full((1, len(x)), x[0]), (x - x[0])[None, :]]
 
     found = separation.separate_by_model(_held(spark, sf_dir), 2, 3, CHUNK, OVERLAP, model, ("base", "rise"), 2, SIZE)
-    return blocks.samples(found, SIZE, ("track", "stem")).withColumn("v", F.bround(F.bround("v", 9), 4) + 0.0)
+    return blocks.samples(found, SIZE, ("track", "stem")).withColumn("v", F.rint(F.bround("v", 9) * 1e4) / 1e4 + 0.0)
 
 
 @query(f"""with {SIGNAL}, {_SIZES}, p as (select s.track, n, v, total, i.range as pass, total * i.range // 3 as roll from signal s join sizes using (track), range(3) i)

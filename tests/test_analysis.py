@@ -67,3 +67,25 @@ def test_levels_near_a_half_are_rounded_as_the_sql_rounds_them(spark, duck):
         assert n == 1 and got[row] == duck.sql(f"select {sql} from (select {m[at] * m[at]!r}::double as p)").fetchall()[0][0]
     reached = {at for _, at, _ in spectral.bands(9, 16, RATE)}
     assert {1, 2, 3, 4} <= reached and {got[r] for r, at, _ in spectral.bands(9, 16, RATE) if at in (1, 2, 3, 4)} == {126, 128, 200, 64}
+
+
+def test_cells_are_pooled_without_a_key_for_each(spark):
+    """No row for each cell goes through a shuffle, and rows of one range of bins are pooled as one."""
+    ranges, places = spectral.kinds(RATE, 16)
+    assert len(ranges) == 9 and [ranges[k] for k in places] == [(a, n) for _, a, n in spectral.bands(9, 16, RATE)]
+    held = analysis.channel_columns(analysis.channel_spectra(clicks(spark, 1), 16), RATE, 16, 10)
+    assert held.groupBy("channel").count().where("count > 10").count() == 0
+    plan = analysis.analyse(clicks(spark, 1), RATE, 16, columns=10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("sub", [1, 5])
+def test_columns_are_the_maxima_of_rows(spark, sub):
+    """Pooled columns against the pool that has a row for each cell."""
+    spectra = analysis.channel_spectra(clicks(spark, 1), 64).where("frame < 12")
+    power = spectral.band_power(spectra, RATE, 64, sub)
+    if sub > 1:
+        power = power.withColumn("p", spectral.widen(power["p"], 88 * sub, sub))
+    plain = spectral.pool(power, 7).select("track.track", "track.channel", "row", "col", "p")
+    key = lambda df: sorted((r.channel, r.row, r.col, r.q) for r in df.collect())
+    assert key(analysis.channel_cells(spectra, RATE, 64, 7, sub)) == key(spectral.quantised(plain, digits=analysis.DIGITS))
