@@ -82,7 +82,8 @@ def test_cells_are_pooled_without_a_key_for_each(spark):
 @pytest.mark.parametrize("sub", [1, 5])
 def test_columns_are_the_maxima_of_rows(spark, sub):
     """Pooled columns against the pool that has a row for each cell."""
-    spectra = analysis.channel_spectra(clicks(spark, 1), 64).where("frame < 12")
+    held = [(("a", c), i, [float((i * j + k) % 7) for j in range(33)]) for k, c in enumerate(("mix", "left")) for i in range(12)]
+    spectra = spark.createDataFrame(held, "track struct<track string, channel string>, frame long, m array<double>")
     power = spectral.band_power(spectra, RATE, 64, sub)
     if sub > 1:
         power = power.withColumn("p", spectral.widen(power["p"], 88 * sub, sub))
